@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from gradewell.llm.chat_format import op2_chat_format
+from gradewell.llm.decontaminate import op6_decontaminate
+from gradewell.llm.packing import op9_packing
 from gradewell.llm.quality_rules import op5_quality_rules
+from gradewell.llm.token_counts import op4_token_counts
 from gradewell.llm.warc import op3_warc
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
+    "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontaminate": op6_decontaminate,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
