@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gradewell.llm.chat_format import op2_chat_format
 from gradewell.llm.decontaminate import op6_decontaminate
+from gradewell.llm.minhash import op7_minhash_dedup
 from gradewell.llm.packing import op9_packing
 from gradewell.llm.quality_rules import op5_quality_rules
 from gradewell.llm.token_counts import op4_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op9_packing": op9_packing,
 }
 
