@@ -7,6 +7,7 @@ from gradewell.llm.decontaminate import op6_decontaminate
 from gradewell.llm.minhash import op7_minhash_dedup
 from gradewell.llm.packing import op9_packing
 from gradewell.llm.quality_rules import op5_quality_rules
+from gradewell.llm.suffix_dedup import op8_suffix_dedup
 from gradewell.llm.token_counts import op4_token_counts
 from gradewell.llm.warc import op3_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
 }
 
