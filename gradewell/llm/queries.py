@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gradewell.llm.chat_format import op2_chat_format
 from gradewell.llm.decontaminate import op6_decontaminate
+from gradewell.llm.lm_scoring import op1_lm_score
 from gradewell.llm.minhash import op7_minhash_dedup
 from gradewell.llm.packing import op9_packing
 from gradewell.llm.quality_rules import op5_quality_rules
@@ -12,6 +13,7 @@ from gradewell.llm.token_counts import op4_token_counts
 from gradewell.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
