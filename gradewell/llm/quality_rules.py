@@ -136,4 +136,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(docs).where("kept").select(*docs.columns)
+    """Documents that the rules keep."""
+    # beside a row number, which is not deterministic, the verdict is computed once: the filter does not repeat it below
+    judged = judge(docs).select(*docs.columns, "kept", F.monotonically_increasing_id().alias("_row"))
+    return judged.where("kept and _row >= 0").select(*docs.columns)

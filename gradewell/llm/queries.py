@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from gradewell.llm.chat_format import op2_chat_format
 from gradewell.llm.decontaminate import op6_decontaminate
+from gradewell.llm.license_scan import op10_license_scan
 from gradewell.llm.lm_scoring import op1_lm_score
 from gradewell.llm.minhash import op7_minhash_dedup
 from gradewell.llm.packing import op9_packing
@@ -22,6 +24,8 @@ QUERIES = {
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
+    "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
