@@ -1,6 +1,35 @@
-"""Stages over documents, in order; completed as the operators arrive."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, packing.
 
+Each stage takes (spark, docs, sf_dir), works on all documents that the stage
+before kept, and returns the columns of documents; the last returns the packed
+pieces. run() writes each stage's result to the shared folder and reads it back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gradewell.llm._store import store, table
+from gradewell.llm.decontaminate import decontamination_stage
+from gradewell.llm.minhash import near_duplicate_stage
+from gradewell.llm.packing import packing_stage
 from gradewell.llm.quality_rules import quality_stage
+from gradewell.llm.suffix_dedup import repeat_stage
 
-STAGES = [("quality_rules", quality_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("suffix_dedup", repeat_stage),
+    ("decontaminate", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Near-duplicate components, repeated passages and token ids are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return docs
