@@ -2,8 +2,8 @@
 
 Writing: of records with equal payloads the one with the smallest page_id is
 the response and the others are revisits of it. A record ends with two line
-breaks, so with these as the line separator Spark's text writer produces a
-valid uncompressed archive on any file system that Spark can write to.
+breaks, so with these as the line separator Spark's text writer produces
+valid archives, each one gzip member, on any file system that Spark can write to.
 
 Reading: archives are read by Spark's binaryFile source, one row a file, and
 parsed inside tasks. A record whose header, length or digest fails its check is
@@ -102,7 +102,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int
         records(pages, min_bytes)
         .write.option("lineSep", END)
         .option("maxRecordsPerFile", records_per_file)
-        .option("compression", "none")
+        .option("compression", "gzip")
         .text(path)
     )
 
@@ -168,29 +168,36 @@ def _plain(data: bytes, base: int = 0) -> Iterator[dict]:
 
 
 def _members(data: bytes) -> Iterator[dict]:
-    """Records of an archive of one gzip member for each record; a member that does not inflate is skipped to the next that does."""
+    """Records of an archive of gzip members, of one record or many; of a damaged member the records before the damage are kept."""
     magic = b"\x1f\x8b\x08"
 
-    def inflate(at: int) -> tuple[bytes, int] | None:
-        z = zlib.decompressobj(31)
-        try:
-            out = z.decompress(memoryview(data)[at:])
-        except zlib.error:
-            return None
-        return (out, len(data) - len(z.unused_data)) if z.eof else None
+    def inflate(at: int) -> tuple[bytes, int | None]:
+        """What inflates from here, and the member's end if it is sound."""
+        z, parts = zlib.decompressobj(31), []
+        for i in range(at, len(data), 1 << 16):
+            try:
+                parts.append(z.decompress(memoryview(data)[i : i + (1 << 16)]))
+            except zlib.error:
+                break
+            if z.eof:
+                return b"".join(parts), min(i + (1 << 16), len(data)) - len(z.unused_data)
+        return b"".join(parts), None
 
     at = 0
     while at < len(data):
-        got = inflate(at) if data[at : at + 3] == magic else None
-        if got:
-            for row in _plain(got[0]):
-                yield row | {"start": at, "end": got[1]}
-            at = got[1]
+        out, end = inflate(at) if data[at : at + 3] == magic else (b"", None)
+        if end is not None:
+            for row in _plain(out):
+                yield row | {"start": at, "end": end}
+            at = end
             continue
         resume = data.find(magic, at + 1)
-        while resume >= 0 and inflate(resume) is None:
+        while resume >= 0 and not inflate(resume)[0].startswith(VERSION):
             resume = data.find(magic, resume + 1)
         resume = len(data) if resume < 0 else resume
+        for row in _plain(out):
+            if row["kind"] != "gap":
+                yield row | {"start": at, "end": resume}
         yield {"kind": "gap", "start": at, "end": resume, "reason": "member does not inflate"}
         at = resume
 
