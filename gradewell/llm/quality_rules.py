@@ -1,9 +1,9 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
 Edge cases: a null text counts as empty and has no words; an empty text fails
-the base rule (fewer than ten words). Input columns of any other name pass
-through; a clash with an output name is an error raised while planning. Repeated rows are judged alike. There is no
-shuffle, so a hot key, a very long text or an empty table needs no special care.
+the base rule (fewer than ten words). Repeated rows are judged alike; an empty table
+gives no rows. judge() keeps other columns, but for names that it uses itself; the query and the
+stage take documents with columns of any names. There is no shuffle so a hot key or a very long text needs no special care.
 """
 
 from __future__ import annotations
@@ -137,6 +137,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    # beside a row number, which is not deterministic, the verdict is computed once: the filter does not repeat it below
-    judged = judge(docs).select(*docs.columns, "kept", F.monotonically_increasing_id().alias("_row"))
-    return judged.where("kept and _row >= 0").select(*docs.columns)
+    # the document rides along as one struct, so its columns may have any names; beside a row number, which is
+    # not deterministic, the verdict is computed once: the filter does not repeat it below
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"), "text")
+    judged = judge(whole).select("_document", "kept", F.monotonically_increasing_id().alias("_row"))
+    return judged.where("kept and _row >= 0").select("_document.*")

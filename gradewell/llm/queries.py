@@ -8,6 +8,7 @@ from gradewell.llm.decontaminate import op6_decontaminate
 from gradewell.llm.license_scan import op10_license_scan
 from gradewell.llm.lm_scoring import op1_lm_score
 from gradewell.llm.minhash import op7_minhash_dedup
+from gradewell.llm.oracles import SQL
 from gradewell.llm.packing import op9_packing
 from gradewell.llm.quality_rules import op5_quality_rules
 from gradewell.llm.suffix_dedup import op8_suffix_dedup
@@ -28,4 +29,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {name: sql.strip() for name, sql in SQL.items()}
