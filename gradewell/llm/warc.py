@@ -31,6 +31,9 @@ from gradewell.llm._store import fresh_path, table
 
 END = "\r\n\r\n"
 VERSION = b"WARC/1.0\r\n"
+#: Types of records, and fields that a header has once.
+TYPES = (b"warcinfo", b"response", b"resource", b"request", b"metadata", b"revisit", b"conversion", b"continuation")
+ONCE = (b"warc-type", b"warc-record-id", b"content-length", b"warc-date")
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 RECORD = "kind string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, file string, start long, end long, reason string"
@@ -121,11 +124,12 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
     fields = {}
     for line in data[at + len(VERSION) : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon or b"WARC/1.0" in name:
+        name = name.strip().lower()
+        if not colon or b"WARC/1." in line or name in fields and name in ONCE:
             return "malformed header line"
-        fields[name.strip().lower()] = value.strip()
+        fields[name] = value.strip()
     kind, length = _field(fields, b"warc-type"), _field(fields, b"content-length")
-    if not kind or not length.isdigit():
+    if kind not in TYPES or not length.isdigit():
         return "no type or length"
     body, end = stop + 4, stop + 4 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
