@@ -26,6 +26,7 @@ than the two named are not looked at. doc_id is an integer, not null.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ from gradewell.llm._words import mix, prefix_hash, slices, span_hash
 
 MATCH, KMER = 100, 24
 HOT = 2000  # different regions of one anchor in one shard
-FEW = 1_000_000  # ids in a broadcast: 16 MB at most; more are joined by a shuffle
+FEW = 250_000  # ids in a broadcast: 16 MB at most; more are joined by a shuffle
+SHARD = 16_384  # regions sorted together, about 2 MB; a task takes one shard after the other
 SHARD_MEMORY = 64 << 20
 
 
@@ -185,11 +187,25 @@ def _bytes(docs: DataFrame, doc_id: str, text: str, opened: DataFrame, match: in
     return both.mapInArrow(run, "shard long, doc long, start long, windows long, body binary")
 
 
-def _covered(shards: DataFrame, match: int, memory: int) -> DataFrame:
-    """doc, start, end: spans of windows that start earlier in their shard, by the suffix array of each partition's regions."""
-    ordered = shards.repartition("shard").sortWithinPartitions("doc", "start", "shard")
+def _covered(pieces: DataFrame, shards: int, match: int, memory: int) -> DataFrame:
+    """doc, start, end: spans of windows that start earlier in their shard, by the suffix array of each shard's regions."""
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(shards)).cast("long"))
+    ordered = dealt.repartition("shard").sortWithinPartitions("shard", "doc", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and held[-1].column(0)[-1].as_py() != number[a]:
+                    yield from of_shard(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from of_shard(held)
+
+    def of_shard(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, starts, windows, bodies, sizes = [], [], [], [], []
         for batch in batches:
             docs.append(batch.column(1).to_numpy())
@@ -199,8 +215,6 @@ def _covered(shards: DataFrame, match: int, memory: int) -> DataFrame:
                 body = np.frombuffer(x.as_buffer(), dtype=np.uint8)
                 sizes.append(len(body) + 1)
                 bodies.append(body)
-        if not bodies:
-            return
         doc, start, count = np.concatenate(docs), np.concatenate(starts), np.concatenate(windows)
         at = np.concatenate([[0], np.cumsum(sizes)])
         # 0 ends the whole, 1 each region; bytes follow
@@ -260,8 +274,9 @@ def _covered(shards: DataFrame, match: int, memory: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", match: int = MATCH, memory: int = SHARD_MEMORY) -> DataFrame:
     """doc, spans: the spans of bytes (start, end) covered by an earlier string, sorted, for documents that have any."""
     found = store(_sorted_out(_regions(docs, doc_id, text, match, KMER)), "regions")
-    shards = _bytes(docs, doc_id, text, found.where("open"), match)
-    within = _covered(shards, match, memory)
+    opened = found.where("open")
+    pieces = _bytes(docs, doc_id, text, opened, match)
+    within = _covered(pieces, max(1, math.ceil(opened.count() / SHARD)), match, memory)
     whole = found.where("not open").select("doc", "start", (F.col("start") + F.floor(F.col("shape") / 256) - 1 + match).alias("end"))
     return whole.unionByName(within).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
@@ -339,7 +354,10 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         return (_kept(body, inner).decode("utf-8"),)
 
     changed = _cut(docs, spans, "doc_id", "text", "rest string", rest)
-    out = docs.join(spans.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti").unionByName(
-        docs.drop("text", "n_chars").join(changed, "doc_id").where("rest != ''").select("*", F.col("rest").alias("text"), F.length("rest").cast("long").alias("n_chars")).select(*docs.columns)
-    )
-    return out.select(*docs.columns)
+    # the document rides along as one struct, so its columns may have any names
+    whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"))
+    new = F.col("_document").withField("text", F.col("rest"))
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.length("rest").cast(dict(docs.dtypes)["n_chars"]))
+    untouched = whole.join(spans.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti").select("_document.*")
+    return untouched.unionByName(whole.join(changed, "doc_id").where("rest != ''").select(new.alias("_document")).select("_document.*"))
