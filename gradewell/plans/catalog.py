@@ -6,7 +6,7 @@ responses of five models, suppliers for the registry and nations for providers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewell.functions import cleaning as clean
@@ -454,3 +454,93 @@ SELECT category, model_id, CAST(rank() OVER (PARTITION BY category ORDER BY accu
 def _(spark, d):
     s = rounded(scoring.score(responses(spark, d), ["category", "model_id"]), "accuracy")
     return s.select("category", "model_id", F.rank().over(Window.partitionBy("category").orderBy(F.desc("accuracy"))).cast("long").alias("place"))
+
+
+def keyed(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("row_id"))
+    return c, F.col("row_id").cast("string")
+
+
+@query("h12_exam_name", "SELECT c_custkey AS row_id, 'maths ' || c_custkey AS exam FROM customer")
+def _(spark, d):
+    c, k = keyed(spark, d)
+    return c.select("row_id", clean.exam_name(F.concat(F.lit("a/EN_maths_"), k, F.lit("_x21.xlsx"))).alias("exam"))
+
+
+@query("h14_exam_key", "SELECT c_custkey AS row_id, 'MATHS_BASIC_' AS name, '20' || substring(CAST(c_custkey % 90 + 10 AS VARCHAR), 1, 2) AS year FROM customer")
+def _(spark, d):
+    c, _ = keyed(spark, d)
+    key = clean.exam_key(F.concat(F.lit("Maths Basic 0"), (F.col("row_id") % 90 + 10).cast("string"), F.lit(".XLSX")))
+    return c.select("row_id", key["name"].alias("name"), key["year"].alias("year"))
+
+
+@query("h25_slug", "SELECT p_partkey AS row_id, lower(replace(replace(p_name || ' PCK', ' PCK', ''), ' ', '_')) AS slug FROM part")
+def _(spark, d):
+    return questions(spark, d).select("row_id", clean.slug(F.concat("question", F.lit(" PCK"))).alias("slug"))
+
+
+@query("h27_choices", r"SELECT c_custkey AS row_id, 'x' || c_custkey || '.' AS choice, 'a b' AS question, c_custkey % 2 = 0 AS complete FROM customer")
+def _(spark, d):
+    c, k = keyed(spark, d)
+    other = F.when(F.col("row_id") % 2 == 0, "y").otherwise("")
+    return c.select("row_id", clean.without_final_stop(F.concat(F.lit("x"), k, F.lit(".."))).alias("choice"), clean.one_line(F.lit("a\nb")).alias("question"), clean.complete_choices(k, other).alias("complete"))
+
+
+@query("h30_leading_number", "SELECT c_custkey AS row_id, CAST(c_custkey AS INTEGER) AS number, substring('. abcdefgh', CAST(length(CAST(c_custkey AS VARCHAR)) AS BIGINT)) AS rest FROM customer")
+def _(spark, d):
+    c, k = keyed(spark, d)
+    found = clean.leading_number(F.concat(k, F.lit(". abcdefgh")))
+    return c.select("row_id", found["number"].alias("number"), found["rest"].alias("rest"))
+
+
+@query("h32_page_text", "SELECT c_custkey AS row_id, CAST(c_custkey AS INTEGER) AS page, 'a' || chr(10) || 'b' AS text FROM customer")
+def _(spark, d):
+    c, k = keyed(spark, d)
+    return c.select("row_id", clean.page_number(F.concat(F.lit("Page "), k)).alias("page"), clean.without_last_line(F.concat(F.lit("a\nb\n"), k)).alias("text"))
+
+
+@query("i2_segment_page", "SELECT c_custkey AS row_id, CAST(unnest([0, 1]) AS INTEGER) AS place, unnest(['1. a' || chr(10) || 'D x', '2. b' || chr(10) || 'D ' || c_custkey]) AS paragraph FROM customer")
+def _(spark, d):
+    from gradewell.functions.pages import SegmentPage
+
+    c, k = keyed(spark, d)
+    pages = c.select("row_id", F.concat(F.lit("1. a\nD x\n2. b\nD "), k).alias("text"))
+    return pages.lateralJoin(SegmentPage(F.col("text").outer())).select("row_id", "place", "paragraph")
+
+
+@query("c14_pick_rows", "SELECT o_orderkey AS row_id, o_totalprice FROM orders JOIN (SELECT unnest([1, 3, 3, 7]) AS k) ON o_orderkey = k")
+def _(spark, d):
+    places = spark.createDataFrame([(0, 1), (1, 3), (2, 3), (3, 7)], "pos int, row_id long")
+    return lookups.pick_rows(read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice"), places).select("row_id", "o_totalprice")
+
+
+@query("e21_list_lengths", "SELECT CAST(sum(n) AS BIGINT) AS total, count(DISTINCT k) AS keys FROM (SELECT len(l) AS n, unnest(l) AS k, row_number() OVER () AS r FROM (SELECT [c_custkey] AS l FROM customer))")
+def _(spark, d):
+    lists = read(spark, d, "customer").select(F.array("c_custkey").alias("l"))
+    sizes = lists.agg(F.sum(F.size("l")).alias("total"))
+    return sizes.crossJoin(lists.select(F.explode("l").alias("k")).agg(F.count_distinct("k").alias("keys")))  # one row each
+
+
+@query("e8_teacher_scores", """SELECT y AS year, 'A-' || p || ' (x)' AS exam_code, count(DISTINCT o_custkey) AS n_teachers, round(avg(v), 4) AS score_mean, 'A_' || p AS exam FROM (
+ SELECT CASE WHEN o_orderkey % 2 = 0 THEN '2017' ELSE '2020' END AS y, o_custkey % 5 AS p, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 100 + 0.5 ELSE o_orderkey % 10 END AS v FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0) GROUP BY ALL""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    rows = read(spark, d, "orders").select(
+        F.when(k % 2 == 0, "2017").otherwise("2020").alias("year"), F.concat(F.lit("A-"), (F.col("o_custkey") % 5).cast("string"), F.lit(" (x)")).alias("CAT_PRUEBA"), F.col("o_custkey").alias("MRUN"),
+        F.concat((k % 100).cast("string"), F.lit(",5")).alias("PROM_DOM_DOCENTE"), F.when(k % 3 == 0, "low").otherwise(F.concat(F.lit("x,"), (k % 10).cast("string"))).alias("PTJE_FINAL"),
+    )
+    return leaderboard.teacher_scores(rows).select("year", F.col("CAT_PRUEBA").alias("exam_code"), "n_teachers", F.round("score_mean", 4).alias("score_mean"), "exam")
+
+
+@query("d7_fuzzy_matches")
+def _(spark, d):
+    b = read(spark, d, "benchmark")
+    return dedupe.fuzzy_matches(b.where("item_id % 10 = 0").select(F.regexp_replace("text", "^[^ ]+ ", "").alias("query")), b, "query", "text", 70, 100).select("item_id", "ratio")
+
+
+@query("k_window_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    from gradewell.streaming.responses import tumbling_counts
+
+    out = tumbling_counts(read(spark, d, "events").select("ts", "event_type"), "ts", "1 hour", ["event_type"])
+    return out.select("event_type", F.col("window.start").alias("start"), "n")
