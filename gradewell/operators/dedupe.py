@@ -101,8 +101,9 @@ def fuzzy_links(df: DataFrame, columns: Sequence[str], low: float, strict: bool
 
 
 def _members(df: DataFrame, columns: Sequence[str], by: Sequence[str], row: str) -> DataFrame:
-    """Each row with its class."""
-    return df.select(F.col(row).alias("_j"), F.min(row).over(Window.partitionBy(*by, *columns)).alias("_class"))
+    """Each row with its class and the mean ratio of the class to itself: a missing text is like no other, not even a missing one."""
+    held = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    return df.select(F.col(row).alias("_j"), F.min(row).over(Window.partitionBy(*by, *columns)).alias("_class"), (100.0 * held / len(columns)).alias("_own"))
 
 
 def fuzzy_flags(df: DataFrame, columns: Sequence[str], threshold: float, name: str = "is_fuzzy_duplicate", by: Sequence[str] = (), row: str = "row_id", versions: bool = False, ratios: bool = False) -> DataFrame:
@@ -114,7 +115,7 @@ def fuzzy_flags(df: DataFrame, columns: Sequence[str], threshold: float, name: s
     links = fuzzy_links(df, columns, threshold, by=by, row=row)
     both = links.select(F.col("a").alias("_class"), F.col("b").alias("_other"), "ratio").unionByName(links.select(F.col("b").alias("_class"), F.col("a").alias("_other"), "ratio"))
     members = _members(df, columns, by, row)
-    own = members.select("_class").distinct().select("_class", F.col("_class").alias("_other"), F.lit(100.0).alias("ratio")) if threshold < 100 else both.limit(0)
+    own = members.where(F.col("_own") > threshold).select("_class", F.col("_class").alias("_other"), F.col("_own").alias("ratio")).distinct()
     both = both.unionByName(own)
     # the rows of the two classes of a link in order: the last row of the other class before each row of this one
     mine = both.join(members, "_class").select("_class", "_other", "ratio", "_j", F.lit(None).cast("long").alias("_i"))
@@ -143,7 +144,7 @@ def sweep(df: DataFrame, columns: Sequence[str], thresholds: Sequence[float], ro
     """A flag for each threshold from one comparison at the lowest."""
     found = fuzzy_links(df, columns, min(thresholds), row=row).groupBy(F.col("b").alias("_class")).agg(F.max("ratio").alias("_best"))
     out = df.join(_members(df, columns, (), row).withColumnRenamed("_j", row), row).join(found, "_class", "left")
-    best = F.when(F.col(row) != F.col("_class"), F.lit(100.0)).otherwise(F.coalesce("_best", F.lit(0.0)))
+    best = F.greatest(F.when(F.col(row) != F.col("_class"), F.col("_own")), F.coalesce("_best", F.lit(0.0)))
     return out.select(*df.columns, *[(best > t).alias(f"above_{t:g}") for t in thresholds])
 
 
