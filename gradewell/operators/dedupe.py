@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradewell.sources.shared import settled
+
 BLOCK = 256  # texts compared with another block at once
 BAND = math.log(1.1)  # lengths within a tenth share a band
 
@@ -112,7 +114,7 @@ def fuzzy_flags(df: DataFrame, columns: Sequence[str], threshold: float, name: s
     With versions, "duplicate" for flagged rows and "original" for others that a
     later row repeats; with ratios, the ratio to the latest earlier row that it repeats.
     """
-    links = fuzzy_links(df, columns, threshold, by=by, row=row)
+    links = settled(fuzzy_links(df, columns, threshold, by=by, row=row))
     both = links.select(F.col("a").alias("_class"), F.col("b").alias("_other"), "ratio").unionByName(links.select(F.col("b").alias("_class"), F.col("a").alias("_other"), "ratio"))
     members = _members(df, columns, by, row)
     own = members.where(F.col("_own") > threshold).select("_class", F.col("_class").alias("_other"), F.col("_own").alias("ratio")).distinct()
