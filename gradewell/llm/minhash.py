@@ -2,12 +2,14 @@
 
 Texts of one set of shingles are one class, stored as its smallest doc_id, so
 copies are never paired. Signatures of classes are cut into bands; classes that share a band are
-candidates. No pairs of a whole bucket are formed: first each member is held
-against the bucket's smallest, then against the most similar member of another
-component, and last, for exactness, members of one bucket that still lie in
-different components are compared by signature in blocks inside tasks, which
-emit only pairs whose estimate leaves a link possible. All links are confirmed
-on full sets.
+candidates. No pairs of a whole bucket are formed: each member is held against
+the bucket's smallest, and pairs whose signatures leave a link possible tie
+classes; members of one bucket that are tied to different classes are compared by
+signature in blocks inside tasks, which give one tie for each two of these. Components
+of ties are clusters, and every link lies within one. One pair of each class is confirmed on full sets and
+gives first components; where a cluster still holds several, blocks of their full
+sets meet in tasks, which count all intersections exactly and give only the links
+that join components. Blocks of one large component never meet each other.
 
 With 128 minima in 32 bands of 4 a pair of similarity 0.8 is missed with a probability below 1e-7;
 an estimate under 0.6 at a true 0.8 has one below 1e-7 as well.
@@ -151,8 +153,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _across(rows: DataFrame, sigs: DataFrame, best: bool) -> DataFrame:
-    """Possible pairs of one bucket in different components, found in blocks: with best, for each member the most similar only.
+def _spanning(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of links, one for each two labels that they join, leaving out what earlier ones joined."""
+    low, high = np.minimum(left, right), np.maximum(left, right)
+    names, code = np.unique(np.concatenate([low, high]), return_inverse=True)
+    n = len(low)
+    _, first = np.unique(code[:n].astype(np.int64) * len(names) + code[n:], return_index=True)
+    root = list(range(len(names)))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for i in first.tolist():
+        p, q = find(int(code[i])), find(int(code[n + i]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append(i)
+    return np.array(out, dtype=np.int64)
+
+
+def _across(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Possible pairs (a, b) that tie members of different components within one bucket, found in blocks.
 
     rows: band, doc, component, blocks. Each row goes to the block pairs it takes
     part in; equal block pairs lie next to each other in a partition and are read as a stream.
@@ -166,25 +191,19 @@ def _across(rows: DataFrame, sigs: DataFrame, best: bool) -> DataFrame:
     )
     spread = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
 
-    def compare(doc, comp, sig, side) -> tuple[np.ndarray, np.ndarray]:
-        x, y = (np.flatnonzero(side), np.flatnonzero(~side)) if not side.all() else (np.arange(len(doc)), np.arange(len(doc)))
+    def compare(doc, comp, sig) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
-        for s in range(0, len(x), 64):
-            own = x[s : s + 64]
-            same = np.zeros((len(own), len(y)), dtype=np.int16)
+        for s in range(0, len(doc), 64):
+            own = np.arange(s, min(s + 64, len(doc)))
+            same = np.zeros((len(own), len(doc)), dtype=np.int16)
             for m in range(sig.shape[1]):
-                same += sig[own, m][:, None] == sig[y, m][None, :]
-            ok = (same >= POSSIBLE * sig.shape[1]) & (comp[own][:, None] != comp[y][None, :])
-            if best:
-                at = np.where(ok, same, -1).argmax(axis=1)
-                held = np.flatnonzero(ok[np.arange(len(own)), at])
-                left.append(own[held])
-                right.append(y[at[held]])
-            else:
-                p, q = np.nonzero(ok)
-                left.append(own[p])
-                right.append(y[q])
-        return doc[np.concatenate(left)], doc[np.concatenate(right)]
+                same += sig[own, m][:, None] == sig[:, m][None, :]
+            p, q = np.nonzero((same >= POSSIBLE * sig.shape[1]) & (comp[own][:, None] != comp[None, :]))
+            left.append(own[p])
+            right.append(q)
+        p, q = np.concatenate(left), np.concatenate(right)
+        at = _spanning(p, q, comp[p], comp[q]) if len(p) else p
+        return doc[p[at]], doc[q[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -196,8 +215,7 @@ def _across(rows: DataFrame, sigs: DataFrame, best: bool) -> DataFrame:
             cuts = _groups(t)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1 and (comp[a:b] != comp[a]).any():
-                    side = (t["i"].to_numpy()[a:b] == t["lo"].to_numpy()[a:b])
-                    p, q = compare(doc[a:b], comp[a:b], sig[a:b], side)
+                    p, q = compare(doc[a:b], comp[a:b], sig[a:b])
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], names=["a", "b"])
 
         for batch in batches:
@@ -220,6 +238,57 @@ def _across(rows: DataFrame, sigs: DataFrame, best: bool) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one cluster, confirmed on full sets in blocks.
+
+    members: doc, cluster, component. A component of half a block or more has blocks of its own,
+    which do not meet; smaller ones of a cluster share blocks.
+    """
+    size = members.groupBy("cluster", "component").agg(F.count("*").alias("s"))
+    own = F.col("s") >= BLOCK // 2
+    small = size.where(~own).groupBy("cluster").agg(F.sum("s").alias("rest"))
+    # pure: the component that a block holds alone
+    kinds = size.join(small, "cluster", "left").select(
+        "cluster", "component", F.when(own, F.col("component")).alias("pure"), F.ceil(F.when(own, F.col("s")).otherwise(F.col("rest")) / BLOCK).cast("int").alias("parts")
+    )
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")
+    placed = members.join(kinds, ["cluster", "component"]).select("doc", "cluster", "component", F.struct("pure", part).alias("block"))
+    blocks = (
+        kinds.select("cluster", "pure", "parts").distinct()
+        .select("cluster", "pure", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        .select("cluster", F.struct("pure", "part").alias("block"))
+    )
+    met = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "cluster")
+    apart = F.col("x.pure").isNull() | F.col("y.pure").isNull() | (F.col("x.pure") != F.col("y.pure"))
+    met = met.where((F.col("x") <= F.col("y")) & apart).select("cluster", "x", "y", F.xxhash64("cluster", "x", "y").alias("meeting"))
+    sides = met.select("cluster", F.col("x").alias("block"), "meeting").unionByName(met.where("x != y").select("cluster", F.col("y").alias("block"), "meeting"))
+    dealt = placed.join(sides, ["cluster", "block"]).select("meeting", "doc", "component").join(sets, "doc")
+
+    def links(t: pa.Table) -> pa.Table:
+        doc, comp = t["doc"].to_numpy(), t["component"].to_numpy()
+        lists = [np.frombuffer(x, dtype=np.uint64) for x in t["members"].to_pylist()]
+        n = np.array([len(x) for x in lists], dtype=np.int64)
+        names, times = np.unique(np.concatenate(lists), return_counts=True)
+        shared = names[times > 1]
+        common = np.zeros((len(doc), len(doc)), dtype=np.float32)
+        # shared shingles as columns of zeros and ones, some thousands at a time: products count intersections
+        for s in range(0, len(shared), 4096):
+            some = shared[s : s + 4096]
+            held = np.zeros((len(doc), len(some)), dtype=np.float32)
+            for i, x in enumerate(lists):
+                at = np.searchsorted(some, x[np.searchsorted(x, some[0]) : np.searchsorted(x, some[-1], "right")])
+                mine = x[np.searchsorted(x, some[0]) : np.searchsorted(x, some[-1], "right")]
+                held[i, at[some[at] == mine]] = 1
+            common += held @ held.T
+        both = np.rint(common).astype(np.int64)
+        ok = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+        p, q = np.nonzero(np.triu(ok, 1))
+        at = _spanning(p, q, comp[p], comp[q]) if len(p) else p
+        return pa.table({"a": np.maximum(doc[p[at]], doc[q[at]]), "b": np.minimum(doc[p[at]], doc[q[at]])})
+
+    return dealt.groupBy("meeting").applyInArrow(links, "a long, b long").distinct()
+
+
 _KEYS = ("band", "lo", "hi")
 
 
@@ -253,30 +322,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = store(_sets(wanted, doc_id, text, shingle), "bucket-sets")
 
     sizes = sigs.select("doc", "n")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes, signatures and full sets allow the link, in that order."""
-        fit = (
-            pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
-            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            .select("a", "b")
-        )
-        return _confirmed(_possible(fit, sigs), sets, percent)
-
     star = buckets.where("doc != m").select(F.col("doc").alias("a"), F.col("m").alias("b")).distinct()
-    links = store(confirmed(star), "links-star")
-    found = components(links)
-    for best in (True, False):
-        labelled = buckets.select("band", "doc", "c").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-        rows = labelled.join(mixed, "band", "left_semi").select("band", "doc", "component", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
-        more = store(confirmed(_across(rows, sigs, best)), "links-across")
-        if more.isEmpty():
-            # no member has a link to its most similar stranger: the last pass still looks at all others
-            continue
-        links = links.unionByName(more)
-        found = components(links)
+    fit = (
+        star.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a")
+        .join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        .select("a", "b")
+    )
+    ties = store(_possible(fit, sigs), "ties")
+    # one step is enough to tell most members of a bucket apart from strangers: the smallest class a member is tied to
+    near = ties.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("component"))
+    labelled = buckets.select("band", "doc", "c").join(near, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
+    rows = labelled.join(mixed, "band", "left_semi").select("band", "doc", "component", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
+    more = store(_across(rows, sigs), "ties-across")
+    clusters = components(ties.unionByName(more))
+
+    first = store(_confirmed(ties.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "links")
+    found = components(first)
+    placed = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = placed.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cluster")
+    rest = store(_within(placed.join(several, "cluster", "left_semi"), sets, percent), "links-within")
+    if not rest.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     labels = member.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("id").alias(doc_id), F.coalesce("component", "doc").alias("component"))
     out = base.select(doc_id, F.col("n").alias("n_shingles")).join(labels, doc_id, "left").withColumn("component_id", F.coalesce("component", F.col(doc_id)))
     return out.select(doc_id, "n_shingles", "component_id", F.col(doc_id).eqNullSafe(F.col("component_id")).alias("kept"))
