@@ -20,7 +20,7 @@ anchor's place in the window, since windows that are equal have it in one place.
 Edge cases: a null text is empty and loses nothing; texts shorter than MATCH
 lose nothing; doc_id gives the order and identifies a document: rows that repeat it
 and its text do not repeat each other; an empty table gives no rows; columns other
-than the two named are not looked at. doc_id is an integer, not null.
+than the two named are not looked at. doc_id is an integer; rows of a null one lose nothing and are nobody's earlier text.
 """
 
 from __future__ import annotations
@@ -273,6 +273,7 @@ def _covered(pieces: DataFrame, shards: int, match: int, memory: int) -> DataFra
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", match: int = MATCH, memory: int = SHARD_MEMORY) -> DataFrame:
     """doc, spans: the spans of bytes (start, end) covered by an earlier string, sorted, for documents that have any."""
+    docs = docs.where(F.col(doc_id).isNotNull())
     found = store(_sorted_out(_regions(docs, doc_id, text, match, KMER)), "regions")
     opened = found.where("open")
     pieces = _bytes(docs, doc_id, text, opened, match)

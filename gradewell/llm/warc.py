@@ -11,7 +11,7 @@ not trusted: the reader searches for the next version line or gzip member that
 parses, resumes there, and logs the bytes between as quarantined.
 
 Edge cases: a null html is an empty payload, like an empty one; rows with equal
-page_id are kept, and the smallest (page_id, row) is the response; a null url is
+page_id are kept, and all of them are the response if theirs is the smallest; rows of a null page_id have no record; a null url is
 written as an empty target; an empty table gives no records; extra columns are ignored. Only
 digests move in the shuffle that finds first copies, and a join that is skewed by a hot payload is split by AQE.
 """
@@ -51,6 +51,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def with_first_copy(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_digest, payload_bytes, first_id: the smallest page_id with that payload."""
+    pages = pages.where(F.col("page_id").isNotNull())
     rows = pages.select(
         "page_id",
         F.coalesce("url", F.lit("")).alias("url"),

@@ -12,8 +12,8 @@ from gradewell.llm._store import fresh_path
 
 
 def test_archives_read_back(spark):
-    rows = [(3, None, "same"), (1, "u\r\nx", "same"), (2, "u", None), (4, "u", ""), (5, "u", "WARC/1.0\r\n\r\n" * 3), (6, "u", "é" * 50_000)]
-    df = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, value string").repartition(2)
+    rows = [(3, None, "same"), (1, "u\r\nx", "same"), (2, "u", None), (4, "u", ""), (5, "u", "WARC/1.0\r\n\r\n" * 3), (6, "u", "é" * 50_000), (None, "u", "lost")]
+    df = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, value string").repartition(2)  # a null page_id has no record
     path = fresh_path(spark, "t")
     warc.write(df, path, records_per_file=2)
     got = {r.page_id: r for r in warc.read(spark, path).collect()}

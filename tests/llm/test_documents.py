@@ -135,6 +135,10 @@ def test_suffix_dedup(docs, no_docs, rows, monkeypatch):
     assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == want
     assert any(w[1] for w in want.values())
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
+    text = rows[-1][1] or "x"
+    nameless = docs.sparkSession.createDataFrame([(None, "z" * 300, "", "", 0, 0, "", 0), (None, text, "", "", 0, 0, "", 0)], docs.schema)
+    both = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs.unionByName(nameless)).collect() if r.doc_id is not None}
+    assert both == {d: w[1] for d, w in want.items()}
     left = suffix_dedup.repeat_stage(docs.sparkSession, docs, "")
     assert left.columns == docs.columns and all(r.text is None or r.n_chars == len(r.text) for r in left.collect())
 
