@@ -14,7 +14,8 @@ Edge cases: a null or empty text matches nothing; texts and templates of fewer
 words than a shingle match nothing; a template that repeats another is reported
 under each name; rows that repeat a doc_id are reported together; an empty table gives no rows;
 columns other than the two named are ignored. Templates are a registry of bounded size: beyond
-MOST_SHINGLES of them the filter is a join in place of a list in the plan.
+MOST_SHINGLES of them the filter is a join in place of a list in the plan, and
+templates are broadcast only while their shingles, repeats included, are no more than that.
 """
 
 from __future__ import annotations
@@ -87,6 +88,9 @@ def registry(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> Data
 def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
     """doc_id, license_id, containment (the most of a window), n_windows, first_word (of the first such window)."""
     known = templates.select(F.explode("shingles").alias("h")).distinct()
+    total = templates.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    # a template has a shingle at least, so this bounds the templates and their bands too
+    near = F.broadcast if total <= MOST_SHINGLES else lambda df: df
     listed = [r["h"] for r in known.limit(MOST_SHINGLES + 1).collect()]
     classes = sorted(r["class"] for r in templates.select("class").distinct().collect())  # powers of two: a few dozen at most
     base = shingled(docs.select(doc_id, text), text).drop(text)
@@ -112,9 +116,9 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     least = opened.select("*", _minima(F.col("own")).alias("minima"), F.monotonically_increasing_id().alias("_row"))
     banded = least.select(doc_id, "class", "first_word", "own", F.posexplode(_once("minima")).alias("band", "least"))
     keys = templates.select("license_id", "class", F.posexplode(_minima(F.col("shingles"))).alias("band", "least"))
-    found = banded.join(keys, ["class", "band", "least"]).groupBy(doc_id, "class", "first_word", "license_id").agg(F.any_value("own").alias("own"))
+    found = banded.join(near(keys), ["class", "band", "least"]).groupBy(doc_id, "class", "first_word", "license_id").agg(F.any_value("own").alias("own"))
     common = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
-    checked = found.join(templates.select("license_id", "shingles"), "license_id").withColumn("containment", common).where(F.col("containment") >= contained)
+    checked = found.join(near(templates.select("license_id", "shingles")), "license_id").withColumn("containment", common).where(F.col("containment") >= contained)
     return checked.groupBy(doc_id, "license_id").agg(
         F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("first_word").alias("first_word")
     )
