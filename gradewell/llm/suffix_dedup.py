@@ -75,6 +75,15 @@ def regions_of(raw: np.ndarray, off: np.ndarray, match: int = MATCH, kmer: int =
     return t, first - off[t], last - first + 1, a - first, span_hash(prefix, a, a + kmer), span_hash(prefix, first, last + match)
 
 
+def _again(*columns: np.ndarray) -> np.ndarray:
+    """Rows that are equal to the one before."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[:1] = False
+    for c in columns:
+        out[1:] &= c[1:] == c[:-1]
+    return out
+
+
 def _regions(docs: DataFrame, doc_id: str, text: str, match: int, kmer: int) -> DataFrame:
     """anchor, region, doc, start, shape: regions that repeat an earlier one of the same slice have a null region and a spread anchor."""
 
@@ -85,17 +94,21 @@ def _regions(docs: DataFrame, doc_id: str, text: str, match: int, kmer: int) ->
                 doc = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)[t]
                 # equal regions of one slice meet here already, so a frequent passage leaves one row a slice for its hot anchor
                 order = np.lexsort((start, doc, region))
-                late = np.zeros(len(order), dtype=bool)
+                # a repeated row is the same place again, not an earlier one
+                again = _again(region[order], doc[order], start[order])
+                order = order[~again]
+                late = np.zeros(len(region), dtype=bool)
                 r = region[order]
                 late[order[1:][(r[1:] == r[:-1])]] = True
                 spread = mix(doc.view(np.uint64) + mix(start.view(np.uint64)))
+                order.sort()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.where(late, spread, anchor).view(np.int64)),
-                        pa.array(region.view(np.int64), mask=late),
-                        pa.array(doc),
-                        pa.array(start),
-                        pa.array(windows * 256 + place),
+                        pa.array(np.where(late, spread, anchor).view(np.int64)[order]),
+                        pa.array(region.view(np.int64)[order], mask=late[order]),
+                        pa.array(doc[order]),
+                        pa.array(start[order]),
+                        pa.array((windows * 256 + place)[order]),
                     ],
                     names=["anchor", "region", "doc", "start", "shape"],
                 )
@@ -109,8 +122,17 @@ def _sorted_out(regions: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # last: the anchor and region read last; held: the only first region so far of the anchor read last
-        last, held, several = None, None, None
+        last, held, several, place = None, None, None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            # a repeated row of the documents brings the same places again: each counts once
+            whole = [batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
+            again = _again(*whole)
+            again[0] = place == tuple(int(c[0]) for c in whole)
+            place = tuple(int(c[-1]) for c in whole)
+            if again.any():
+                batch = batch.filter(pa.array(~(again & batch.column(1).is_valid().to_numpy(zero_copy_only=False))))
             n = batch.num_rows
             if not n:
                 continue

@@ -143,6 +143,19 @@ def test_suffix_dedup(docs, no_docs, rows, monkeypatch):
     assert left.columns == docs.columns and all(r.text is None or r.n_chars == len(r.text) for r in left.collect())
 
 
+def test_repeated_rows_do_not_repeat_each_other(spark, docs, rows):
+    """Rows with the same doc_id and text, in one slice and in several, lose what one of them would lose."""
+    more = spark.createDataFrame([(900, "a line that stands nowhere else, " + "".join(f"{i}-" for i in range(90)), "", "", 0, 0, "", 0)], docs.schema)
+    once = docs.unionByName(more)
+    want = plain_repeats([tuple(r) for r in once.collect()])
+    for again in (once.unionByName(once), once.unionByName(once).coalesce(1)):
+        got = suffix_dedup.remove_repeats(again).collect()
+        assert len(got) == 2 * len(want)
+        assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
+    left = suffix_dedup.repeat_stage(spark, more.unionByName(more), "").collect()
+    assert [r.text for r in left] == [more.first().text] * 2
+
+
 def library():
     from tokenizers import Tokenizer
 
