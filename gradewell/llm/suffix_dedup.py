@@ -15,7 +15,9 @@ of one anchor form a region, and only regions of one anchor hash can repeat each
 4. Covered windows are merged to spans by document and cut from the text.
 
 An anchor of many different regions is dealt to several shards by ranges of the
-anchor's place in the window, since windows that are equal have it in one place.
+anchor's place in the window, since windows that are equal have it in one place. One of
+more than PARTS * HOT regions has too many for any shard: its windows become regions of
+their own, each keyed by its whole content, and step 2 settles them as it settles equal regions.
 
 Edge cases: a null text is empty and loses nothing; texts shorter than MATCH
 lose nothing; doc_id gives the order and identifies a document: rows that repeat it
@@ -40,6 +42,7 @@ from gradewell.llm._words import mix, prefix_hash, slices, span_hash
 
 MATCH, KMER = 100, 24
 HOT = 2000  # different regions of one anchor in one shard
+PARTS = 8  # shards of one anchor
 FEW = 250_000  # ids in a broadcast: 16 MB at most; more are joined by a shuffle
 SHARD = 16_384  # regions sorted together, about 2 MB; a task takes one shard after the other
 SHARD_MEMORY = 64 << 20
@@ -84,6 +87,32 @@ def _again(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+PLACES = "anchor long, region long, doc long, start long, shape long"
+
+
+def _places(anchor: np.ndarray, region: np.ndarray, doc: np.ndarray, start: np.ndarray, shape: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Regions of one slice as rows of PLACES: equal ones meet here already, so a frequent passage leaves one row a slice for its hot anchor."""
+    order = np.lexsort((start, doc, region))
+    # a repeated row is the same place again, not an earlier one
+    order = order[~_again(region[order], doc[order], start[order])]
+    late = np.zeros(len(region), dtype=bool)
+    r = region[order]
+    late[order[1:][r[1:] == r[:-1]]] = True
+    order.sort()
+    with np.errstate(over="ignore"):
+        spread = mix(doc.view(np.uint64) + mix(start.view(np.uint64)))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.where(late, spread, anchor).view(np.int64)[order]),
+            pa.array(region.view(np.int64)[order], mask=late[order]),
+            pa.array(doc[order]),
+            pa.array(start[order]),
+            pa.array(shape[order]),
+        ],
+        names=["anchor", "region", "doc", "start", "shape"],
+    )
+
+
 def _regions(docs: DataFrame, doc_id: str, text: str, match: int, kmer: int) -> DataFrame:
     """anchor, region, doc, start, shape: regions that repeat an earlier one of the same slice have a null region and a spread anchor."""
 
@@ -92,28 +121,9 @@ def _regions(docs: DataFrame, doc_id: str, text: str, match: int, kmer: int) ->
             for a, b, raw, off in slices(batch.column(1)):
                 t, start, windows, place, anchor, region = regions_of(raw, off, match, kmer)
                 doc = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)[t]
-                # equal regions of one slice meet here already, so a frequent passage leaves one row a slice for its hot anchor
-                order = np.lexsort((start, doc, region))
-                # a repeated row is the same place again, not an earlier one
-                again = _again(region[order], doc[order], start[order])
-                order = order[~again]
-                late = np.zeros(len(region), dtype=bool)
-                r = region[order]
-                late[order[1:][(r[1:] == r[:-1])]] = True
-                spread = mix(doc.view(np.uint64) + mix(start.view(np.uint64)))
-                order.sort()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.where(late, spread, anchor).view(np.int64)[order]),
-                        pa.array(region.view(np.int64)[order], mask=late[order]),
-                        pa.array(doc[order]),
-                        pa.array(start[order]),
-                        pa.array((windows * 256 + place)[order]),
-                    ],
-                    names=["anchor", "region", "doc", "start", "shape"],
-                )
-
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "anchor long, region long, doc long, start long, shape long")
+                yield from _places(anchor, region, doc, start, windows * 256 + place)
+
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, PLACES)
 
 
 def _sorted_out(regions: DataFrame) -> DataFrame:
@@ -177,7 +187,7 @@ def _only(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
 def _bytes(docs: DataFrame, doc_id: str, text: str, opened: DataFrame, match: int) -> DataFrame:
     """shard, doc, start, windows, body: the bytes of open regions, hot anchors dealt by the anchor's place."""
     hot = opened.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
-    parts = F.least(F.lit(8), F.ceil(F.coalesce("c", F.lit(0)) / HOT)).cast("int")
+    parts = F.least(F.lit(PARTS), F.ceil(F.coalesce("c", F.lit(0)) / HOT)).cast("int")
     by_doc = (
         opened.join(hot, "anchor", "left").withColumn("parts", F.greatest(F.lit(1), parts))
         .groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "shape", "parts")).alias("regions"))
@@ -209,6 +219,35 @@ def _bytes(docs: DataFrame, doc_id: str, text: str, opened: DataFrame, match: in
     return both.mapInArrow(run, "shard long, doc long, start long, windows long, body binary")
 
 
+def _windows(docs: DataFrame, doc_id: str, text: str, crowded: DataFrame, match: int) -> DataFrame:
+    """anchor, region, doc, start, shape: the windows of crowded regions, each a region whose anchor is its whole content."""
+    by_doc = crowded.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "shape")).alias("regions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(2)
+            count = own.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(count)])
+            flat = own.flatten()
+            anchors, starts, shapes = (flat.field(i).to_numpy() for i in range(3))
+            for a, b, raw, off in slices(batch.column(1)):
+                here = slice(int(at[a]), int(at[b]))
+                t = np.repeat(np.arange(b - a), count[a:b])
+                windows = shapes[here] // 256
+                of = np.repeat(np.arange(len(t)), windows)
+                start = starts[here][of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+                doc = batch.column(0).slice(a, b - a).to_numpy().astype(np.int64)[t[of]]
+                first = off[t[of]] + start
+                content = span_hash(prefix_hash(raw), first, first + match)
+                with np.errstate(over="ignore"):
+                    key = mix(content + mix(anchors[here][of].view(np.uint64)))
+                yield from _places(key, content, doc, start, np.full(len(of), 256))
+
+    texts = _only(docs.select(F.col(doc_id).cast("long").alias(doc_id), text), doc_id, by_doc).dropDuplicates([doc_id])
+    both = texts.withColumnRenamed(doc_id, "doc").join(by_doc, "doc").select("doc", text, "regions")
+    return both.mapInArrow(run, PLACES)
+
+
 def _covered(pieces: DataFrame, shards: int, match: int, memory: int) -> DataFrame:
     """doc, start, end: spans of windows that start earlier in their shard, by the suffix array of each shard's regions."""
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(shards)).cast("long"))
@@ -298,6 +337,14 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.where(F.col(doc_id).isNotNull())
     found = store(_sorted_out(_regions(docs, doc_id, text, match, KMER)), "regions")
     opened = found.where("open")
+    # at most one in PARTS * HOT open regions names such an anchor
+    crowds = store(opened.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > PARTS * HOT).select("anchor"), "crowds")
+    n_crowds = crowds.count()
+    if n_crowds:
+        keys = F.broadcast(crowds) if n_crowds <= FEW else crowds
+        single = _sorted_out(_windows(docs, doc_id, text, opened.join(keys, "anchor", "left_semi"), match)).where("not open")
+        found = found.where("not open").select("doc", "start", "shape").unionByName(store(single, "windows").select("doc", "start", "shape")).withColumn("open", F.lit(False))
+        opened = opened.join(keys, "anchor", "left_anti")
     pieces = _bytes(docs, doc_id, text, opened, match)
     within = _covered(pieces, max(1, math.ceil(opened.count() / SHARD)), match, memory)
     whole = found.where("not open").select("doc", "start", (F.col("start") + F.floor(F.col("shape") / 256) - 1 + match).alias("end"))

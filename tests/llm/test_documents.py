@@ -156,6 +156,30 @@ def test_repeated_rows_do_not_repeat_each_other(spark, docs, rows):
     assert [r.text for r in left] == [more.first().text] * 2
 
 
+def test_a_crowded_anchor_is_split_until_shards_are_bounded(spark, monkeypatch):
+    """A line in many documents of different text: no shard has more than PARTS * HOT regions of its anchors, and repeats are exact."""
+    import random
+
+    rng = random.Random(8)
+    junk = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    lines = [junk(30), junk(96), junk(150)]
+    rows = [(i, junk(rng.randint(80, 160)) + lines[i % 3] + junk(rng.randint(80, 160))) for i in range(150)]
+    rows += [(200 + i, junk(10) + rows[i][1][20:]) for i in range(9)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    most, dealt = [], suffix_dedup._bytes
+
+    def watched(*args):
+        pieces = dealt(*args)
+        most.append(pieces.groupBy("shard").count().agg(F.max("count")).first()[0] or 0)
+        return pieces
+
+    monkeypatch.setattr(suffix_dedup, "_bytes", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = by_id(suffix_dedup.remove_repeats(df))
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == plain_repeats(rows)
+    assert most and max(most) <= 8 * suffix_dedup.HOT
+
+
 def library():
     from tokenizers import Tokenizer
 
