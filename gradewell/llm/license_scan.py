@@ -6,9 +6,11 @@ occurrence of a template whole. A window's minima under BANDS hash functions,
 one a band, retrieve templates by an equi-join; then the share of a
 template's shingles that the window holds is counted exactly.
 
-A window of 2L words that holds at least 0.8 of a template of L words, L >= 7, is at least
-0.2 similar to it: no band of 64 meets with a probability of 0.8^64, below 1e-6.
-Only windows with some template's shingle are formed, since all others contain no part of one.
+A class is a template's number of words up to 16, and at most an eighth more beyond. Templates of one or two
+shingles are retrieved by these themselves, so none is missed. A window of twice the class that holds at least
+0.8 of a template of more shingles is at least 4/15 similar to it (least at nine words: 4 of 5 shingles
+in 14): no band of 64 meets with a probability of (11/15)^64, below 3e-9.
+Only windows with some shingle of a template of their class are formed, since all others contain no part of one.
 
 Edge cases: a null or empty text matches nothing; texts and templates of fewer
 words than a shingle match nothing; a template that repeats another is reported
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from gradewell.llm._store import table
 
 SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
+EXACT = SHINGLE + 1  # words of the largest class whose shingles are the keys
 MOST_SHINGLES = 20_000
 
 #: Public license notices.
@@ -65,8 +68,10 @@ def shingled(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("_shingles", shingles).drop("_words", "_hashes")
 
 
-def _minima(shingles: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda j: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, j))))
+def _keys(shingles: Column, size: Column) -> Column:
+    """What windows and templates of a class meet by: the shingles themselves (band 0) up to EXACT words, else minima by band."""
+    minima = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda j: F.struct(j.alias("band"), F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, j))).alias("least")))
+    return F.when(size <= EXACT, F.transform(shingles, lambda h: F.struct(F.lit(0).alias("band"), h.alias("least")))).otherwise(minima)
 
 
 def _once(column: str) -> Column:
@@ -75,11 +80,12 @@ def _once(column: str) -> Column:
 
 
 def registry(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """license_id, shingles (distinct), class: the least power of two that is not under its words, 8 at least."""
+    """license_id, shingles (distinct), class: its words, beyond 16 rounded up to an eighth of the power of two below."""
     rows = spark.createDataFrame([(k, v) for k, v in templates.items()], "license_id string, notice string")
     out = shingled(rows, "notice").where(F.size("_shingles") > 0)
     words = F.size("_shingles") + SHINGLE - 1
-    size = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(words, F.lit(8))))).cast("int")
+    step = F.pow(F.lit(2), F.greatest(F.floor(F.log2(words - 1)) - 3, F.lit(0)))
+    size = (F.ceil(words / step) * step).cast("int")
     out = out.select("license_id", F.array_distinct("_shingles").alias("shingles"), size.alias("class"))
     # the registry comes from the driver and goes back there, as plain rows
     return spark.createDataFrame(out.collect(), out.schema)
@@ -87,35 +93,44 @@ def registry(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> Data
 
 def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
     """doc_id, license_id, containment (the most of a window), n_windows, first_word (of the first such window)."""
-    known = templates.select(F.explode("shingles").alias("h")).distinct()
+    known = templates.select(F.explode("shingles").alias("h"), "class").distinct()
     total = templates.agg(F.sum(F.size("shingles"))).first()[0] or 0
     # a template has a shingle at least, so this bounds the templates and their bands too
     near = F.broadcast if total <= MOST_SHINGLES else lambda df: df
-    listed = [r["h"] for r in known.limit(MOST_SHINGLES + 1).collect()]
-    classes = sorted(r["class"] for r in templates.select("class").distinct().collect())  # powers of two: a few dozen at most
+    listed = known.limit(MOST_SHINGLES + 1).collect()
     base = shingled(docs.select(doc_id, text), text).drop(text)
     if len(listed) <= MOST_SHINGLES:
-        places = F.transform("_shingles", lambda h, i: F.when(h.isin(listed), i)) if listed else F.array().cast("array<int>")
+        of_class: dict[int, list[int]] = {}
+        for r in listed:
+            of_class.setdefault(r["class"], []).append(r["h"])
+        some = sorted({r["h"] for r in listed})
+        places = F.filter(F.transform("_shingles", lambda h, i: F.when(h.isin(some), i)), lambda i: i.isNotNull()) if some else F.array().cast("array<int>")
         # beside a row number, which is not deterministic, the list is computed once: filters do not repeat it below
-        held = base.select("*", F.filter(places, lambda i: i.isNotNull()).alias("_hits"), F.monotonically_increasing_id().alias("_row")).where((F.size("_hits") > 0) & (F.col("_row") >= 0)).drop("_row")
+        placed = base.select("*", places.alias("_places"), F.monotonically_increasing_id().alias("_row")).where((F.size("_places") > 0) & (F.col("_row") >= 0)).drop("_row")
+        own = lambda c: F.transform(F.filter("_places", lambda i: F.get("_shingles", i).isin(of_class[c])), lambda i: F.struct(F.lit(c).alias("class"), i.alias("i")))
+        hits = F.flatten(F.array(*map(own, sorted(of_class)))) if of_class else F.array().cast("array<struct<class:int,i:int>>")
+        held = placed.select("*", hits.alias("_hits")).drop("_places")
     else:
         keyed = base.withColumn("_row", F.monotonically_increasing_id())
-        hits = keyed.select("_row", F.posexplode("_shingles").alias("i", "h")).join(known, "h", "left_semi").groupBy("_row").agg(F.collect_list("i").alias("_hits"))
+        hits = keyed.select("_row", F.posexplode("_shingles").alias("i", "h")).join(known, "h").groupBy("_row").agg(F.collect_list(F.struct("class", "i")).alias("_hits"))
         held = keyed.join(hits, "_row").drop("_row")
+
     # window k of a class c has the words from k * c on, twice c of them
-    numbers = lambda c: F.array_distinct(F.flatten(F.transform("_hits", lambda i: F.array(F.greatest(F.lit(0), F.floor(i / c) - 1), F.floor(i / c)))))
+    def numbers(x: Column) -> Column:
+        k = F.floor(x["i"] / x["class"])
+        return F.array(*[F.struct(x["class"].alias("class"), n.alias("k")) for n in (F.greatest(F.lit(0).cast("long"), k - 1), k)])
 
-    def of_class(c: int) -> Column:
-        own = lambda k: F.array_distinct(F.slice("_shingles", (k * c + 1).cast("int"), F.lit(2 * c - SHINGLE + 1)))
-        return F.transform(numbers(c), lambda k: F.struct(F.lit(c).alias("class"), (k * c).cast("long").alias("first_word"), own(k).alias("own")))
+    def window(w: Column) -> Column:
+        first = w["k"] * w["class"]
+        own = F.array_distinct(F.slice("_shingles", (first + 1).cast("int"), w["class"] * 2 - SHINGLE + 1))
+        return F.struct(w["class"].alias("class"), first.alias("first_word"), own.alias("own"))
 
-    none = F.array().cast("array<struct<class:int,first_word:bigint,own:array<bigint>>>")
-    windows = F.flatten(F.array(*map(of_class, classes))) if classes else none
+    windows = F.transform(F.array_distinct(F.flatten(F.transform("_hits", numbers))), window)
     listed_windows = held.select(doc_id, windows.alias("_windows"), F.monotonically_increasing_id().alias("_row"))
     opened = listed_windows.select(doc_id, F.explode(_once("_windows")).alias("w")).select(doc_id, "w.class", "w.first_word", "w.own")
-    least = opened.select("*", _minima(F.col("own")).alias("minima"), F.monotonically_increasing_id().alias("_row"))
-    banded = least.select(doc_id, "class", "first_word", "own", F.posexplode(_once("minima")).alias("band", "least"))
-    keys = templates.select("license_id", "class", F.posexplode(_minima(F.col("shingles"))).alias("band", "least"))
+    least = opened.select("*", _keys(F.col("own"), F.col("class")).alias("minima"), F.monotonically_increasing_id().alias("_row"))
+    banded = least.select(doc_id, "class", "first_word", "own", F.explode(_once("minima")).alias("m")).select(doc_id, "class", "first_word", "own", "m.band", "m.least")
+    keys = templates.select("license_id", "class", F.explode(_keys(F.col("shingles"), F.col("class"))).alias("m")).select("license_id", "class", "m.band", "m.least")
     found = banded.join(near(keys), ["class", "band", "least"]).groupBy(doc_id, "class", "first_word", "license_id").agg(F.any_value("own").alias("own"))
     common = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     checked = found.join(near(templates.select("license_id", "shingles")), "license_id").withColumn("containment", common).where(F.col("containment") >= contained)

@@ -269,6 +269,16 @@ def test_license_scan(spark, docs, no_docs):
     assert license_scan.scan(no_docs, known).count() == 0 and license_scan.scan(docs, known.limit(0)).count() == 0
 
 
+def test_license_scan_misses_no_short_notice(spark):
+    """200 notices of one shingle at each place of 6,000 different texts: bands alone miss some."""
+    notices = {f"n{k}": " ".join(f"n{k}{c}" for c in "abcde") for k in range(200)}
+    others = lambda sign, n: F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit(sign), F.xxhash64("id", i)))
+    notice = F.concat_ws(" ", *[F.concat(F.lit("n"), F.col("id") % 200, F.lit(c)) for c in "abcde"])
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", others("x", F.col("id") % 17), notice, others("y", F.lit(20))).alias("text"))
+    got = license_scan.scan(df, license_scan.registry(spark, notices)).select("doc_id", "license_id").collect()
+    assert {(r.doc_id, r.license_id) for r in got} == {(i, f"n{i % 200}") for i in range(6000)}
+
+
 def test_license_scan_by_join(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MOST_SHINGLES", 3)
     df = spark.createDataFrame([(1, "a b " + license_scan.TEMPLATES["mit-short"])], "doc_id long, text string")
