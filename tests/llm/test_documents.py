@@ -245,6 +245,20 @@ def test_language_scores(docs, no_docs, rows):
     assert lm_scoring.score_texts(no_docs).count() == 0
 
 
+def test_every_token_is_mixed_in_its_context(spark):
+    """Known words in their usual order are likelier than the same words in another one, and so are repeats within a text; bytes are the text's own."""
+    line = "red fox ran over blue hill while old crow sang near deep lake"
+    turned = " ".join(reversed(line.split()))
+    fresh = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    texts = {i: line for i in range(400)} | {fresh[0]: line, fresh[1]: turned, fresh[2]: turned.replace(" ", "   "), fresh[3]: "zq1vx " * 2, fresh[4]: "zq1vx wk7pd"}
+    got = by_id(lm_scoring.score_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)))
+    usual, other, wide, again, apart = (got[i] for i in fresh[:5])
+    assert usual.n_known == other.n_known == usual.n_tokens and usual.base_score == pytest.approx(other.base_score)
+    assert usual.score > other.score + 3
+    assert wide.score == pytest.approx(other.score) and wide.bits_per_byte == pytest.approx(-wide.score * math.log2(10) / len(texts[fresh[2]]))
+    assert again.score > apart.score
+
+
 def test_word_spelling_is_a_distribution():
     """All continuations of one byte after any prefix sum to one: the bits of a byte split its probability."""
     from gradewell.llm import _mixing
