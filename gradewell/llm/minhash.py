@@ -355,6 +355,9 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of five-word shingles: that with the smallest doc_id, in one row if rows repeat its id and text."""
+    gone = near_duplicates(docs, shingle=5).where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    several = store(left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    once = left.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -113,6 +113,16 @@ def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == plain_components(rows)
 
 
+def test_near_duplicate_stage_takes_five_words_and_one_row_of_a_document(spark):
+    words = [f"w{i}" for i in range(120)]
+    edited = [*words]
+    for i in (20, 50, 80):
+        edited[i] = "x"  # of 117 four-word shingles 105 stay (0.81 similar), of 116 five-word ones 101 (0.77)
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (2, " ".join(edited)), (3, " ".join(words))]
+    left = minhash.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
+
+
 def plain_repeats(rows, match=100):
     seen, out = set(), {}
     for doc, text, *_ in sorted(rows):
