@@ -162,13 +162,21 @@ def similar_to(df: DataFrame, text: str, column: str, threshold: float) -> DataF
 
 
 def fuzzy_matches(queries: DataFrame, known: DataFrame, query: str, text: str, low: float, high: float = 100.0, most_queries: int = 10_000) -> DataFrame:
-    """Rows of known within [low, high] of each query text; the queries are a stated, small set and are sent to all tasks."""
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries: use fuzzy_links on the union")
+    """Rows of known within [low, high] of each query text; up to most_queries are sent to all tasks, more are dealt by length and in blocks."""
+    n = queries.count()
     a, b = F.length(query), F.length(text)
     fits = 200 * F.least(a, b) >= (low - 0.5) * (a + b)
-    joined = known.join(F.broadcast(queries), fits)
+    if n <= most_queries:
+        joined = known.join(F.broadcast(queries), fits)
+    else:
+        # lengths that fit lie within a number of bands, and each known row meets every block of those
+        blocks = math.ceil(n / most_queries)
+        banded = low > 0.5
+        band = lambda length: F.floor(F.log(F.greatest(length, F.lit(1))) / BAND).cast("int") if banded else F.lit(0)
+        reach = math.ceil(math.log((200 - low + 0.5) / (low - 0.5)) / BAND) + 1 if banded else 0
+        dealt = queries.withColumn("_band", band(a)).withColumn("_block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int"))
+        near = known.withColumn("_band", F.explode(F.sequence(band(b) - reach, band(b) + reach))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        joined = near.join(dealt, ["_band", "_block"]).where(fits).drop("_band", "_block")
     return joined.withColumn("ratio", fuzz_ratio(F.col(query), F.col(text))).where(F.col("ratio").between(low, high))
 
 

@@ -113,3 +113,14 @@ def test_positions_keep_the_answer(spark):
     got = sampling.all_positions(df, list("abcd")).orderBy("variant").collect()
     assert [r["answer"] for r in got] == ["B", "A", "C", "D"]
     assert all(r["abcd"["ABCD".index(r["answer"])]] == "x" for r in got)
+
+
+def test_fuzzy_matches_of_more_queries_than_are_sent(spark):
+    from gradewell.operators import dedupe
+
+    texts = [f"question {i * 37} about {'x' * (i % 9)} fractions" for i in range(40)] + ["", "a"]
+    known = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    queries = known.where("item_id % 2 = 0").select(known["text"].alias("query"))
+    want = sorted((i, q, dedupe.fuzzy_ratio(q, x)) for i, x in enumerate(texts) for q in texts[::2] if 70 <= dedupe.fuzzy_ratio(q, x) <= 100)
+    got = dedupe.fuzzy_matches(queries, known, "query", "text", 70, 100, most_queries=4)
+    assert sorted((r.item_id, r["query"], r.ratio) for r in got.collect()) == want
