@@ -24,7 +24,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Near-duplicate components, repeated passages and token ids are beyond SQL; tests hold run() against brute force.
+#: Near-duplicate components, repeated passages and token ids are beyond SQL; tests hold run() against its stages, and operators against brute force.
 ORACLE_SQL = None
 
 
