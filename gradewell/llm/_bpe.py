@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 
-from gradewell.llm._words import prefix_hash, span_hash
+from gradewell.llm._words import bytes_hash, equal_spans
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Unicode White_Space.
@@ -113,7 +113,7 @@ class Bpe:
         self.library.no_padding()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.memo: dict[int, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
         self._fast = None
 
     def merge(self, word: bytes) -> list[int]:
@@ -178,16 +178,21 @@ class Bpe:
 
     def per_word(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For byte spans: make(word) of each, as (flat values, values of each distinct word as offsets, the distinct word of each span)."""
-        h = span_hash(prefix_hash(raw), start, end)
-        distinct, at, which = np.unique(h, return_index=True, return_inverse=True)
+        _, at, which = np.unique(bytes_hash(raw, start, end), return_index=True, return_inverse=True)
+        # spans of one hash are compared: one that differs from the first of its hash is a word of its own
+        size = end - start
+        other = np.flatnonzero((size != size[at[which]]) | ~equal_spans(raw, start, start[at[which]], size))
+        which[other] = len(at) + np.arange(len(other))
+        at = np.concatenate([at, other])
         memo, parts = self.memo, []
         if len(memo) > self.MEMO:
             memo.clear()
         data = raw.tobytes()
-        for key, a, b in zip(distinct.tolist(), start[at].tolist(), end[at].tolist(), strict=True):
-            got = memo.get(key)
+        for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True):
+            word = data[a:b]
+            got = memo.get(word)
             if got is None:
-                got = memo[key] = make(data[a:b])
+                got = memo[word] = make(word)
             parts.append(got)
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         return np.frombuffer(b"".join(parts), dtype="<u4"), np.concatenate([[0], np.cumsum(sizes)]), which

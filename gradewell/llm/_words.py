@@ -6,11 +6,14 @@ equals splitting code points: a byte of 0x80 or more always belongs to a word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+LONG = 512  # bytes of a span that is hashed eight bytes a round
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], dtype=np.uint64)
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -47,8 +50,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number, zeros beyond the end."""
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def bytes_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes a round, each through mix(), so that no arithmetic of the bytes survives; long spans by BLAKE2."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + _B)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    eights = _eights(raw)
+    active = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, h = start[active], size[active], out[active]
+    while len(active):
+        x = eights[at]
+        short = left < 8
+        x[short] &= _MASKS[left[short]]
+        h = mix(h ^ x)
+        more = left > 8
+        done = ~more
+        out[active[done]] = h[done]
+        active, at, left, h = active[more], at[more] + 8, left[more] - 8, h[more]
+    return out
+
+
+def equal_spans(raw: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes from start are those from other, for each of many spans."""
+    eights, out = _eights(raw), np.ones(len(start), dtype=bool)
+    active = np.flatnonzero((size > 0) & (start != other))
+    at, to, left = start[active], other[active], size[active]
+    while len(active):
+        x = eights[at] ^ eights[to]
+        short = left < 8
+        x[short] &= _MASKS[left[short]]
+        out[active[x != 0]] = False
+        more = (left > 8) & (x == 0)
+        active, at, to, left = active[more], at[more] + 8, to[more] + 8, left[more] - 8
+    return out
+
+
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums of values (bytes or 64-bit hashes); span_hash() turns two of them into a span's hash."""
+    """Polynomial prefix sums of values (bytes or 64-bit hashes); span_hash() turns two of them into a span's hash.
+
+    For hashed contexts and anchors only, where different spans may share a value: bytes_hash() is for identity.
+    """
     up, _ = _powers(len(values) + 1)
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
@@ -101,7 +150,7 @@ class Words:
         self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.off = np.searchsorted(self.start, off)
         self.raw = LOWER[raw] if lower else raw
-        self.hash = span_hash(prefix_hash(self.raw), self.start, self.end)
+        self.hash = bytes_hash(self.raw, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -118,5 +167,9 @@ class Words:
             runs = np.where((runs == 0) & (count > 0), 1, runs)
         offsets = np.concatenate([[0], np.cumsum(runs)])
         first = np.repeat(self.off[:-1] - offsets[:-1], runs) + np.arange(offsets[-1])
-        last = np.minimum(first + k, np.repeat(self.off[1:], runs))
-        return span_hash(prefix_hash(self.hash), first, last), offsets
+        size = np.minimum(k, np.repeat(count, runs))
+        h = mix(size.astype(np.uint64) + _B)
+        for j in range(k):
+            word = self.hash[np.minimum(first + j, len(self.hash) - 1)] if len(self.hash) else h
+            h = np.where(j < size, mix(h ^ word), h)
+        return h, offsets

@@ -269,19 +269,100 @@ def test_every_token_is_mixed_in_its_context(spark):
     assert again.score > apart.score
 
 
-def test_word_spelling_is_a_distribution():
-    """All continuations of one byte after any prefix sum to one: the bits of a byte split its probability."""
+def small_model(texts, rounds=3):
+    import numpy as np
+
+    from gradewell.llm import _mixing
+    from gradewell.llm._words import Words
+
+    raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    h, n = np.unique(Words(raw, off).hash, return_counts=True)
+    codes = _mixing.Codes(h[n > 1], n[n > 1], int((n == 1).sum()), len(texts), np.bincount(raw, minlength=256))
+    model, counts = _mixing.Model(), _mixing.no_counts()
+    coded = _mixing.encode(codes, raw, off)
+    for _ in range(rounds):
+        _mixing.learn(coded, counts, model.weights, model.cells)
+    model.logits = _mixing.logits_of(counts)
+    return codes, model, coded
+
+
+def test_scores_are_a_distribution():
+    """After any words, the probabilities of all next symbols sum to one: codes are complete, and a bit splits its probability."""
+    import numpy as np
+
     from gradewell.llm import _mixing
 
-    model = _mixing.Model()
-    known = [b"tor", b"torlis", b"anan", b"mo"]
-    model.zeros, model.ones = _mixing.count(known)
-    model.weights, model.cells = _mixing.learn(model, known)
-    two = [bytes([a, b]) for a in (0x61, 0x74) for b in range(256)]
-    one = _mixing.score(model, [bytes([a]) for a in range(256)])
+    codes, model, _ = small_model(["the cat of the dog the cat", "of the cat zebra", "", "dog of dog"])
+    for code in (codes.length.tolist() + [codes.escape[1], codes.end[1]], codes.byte_length.tolist()):
+        assert sum(2.0**-k for k in code) == 1
+    value = np.append(codes.value, [codes.escape[0], codes.end[0]]).astype(np.uint32)
+    length = np.append(codes.length, [codes.escape[1], codes.end[1]]).astype(np.uint8)
+    n = len(value)
+    for kind, value, length in ((0, value, length), (1, codes.byte_value, codes.byte_length)):
+        n = len(value)
+        none, context = np.zeros(n, dtype=np.uint8), np.arange(_mixing.N, dtype=np.uint32)[:, None] * np.uint32(77) + np.zeros(n, dtype=np.uint32)
+        one = _mixing.Symbols(kind, value, length, context, np.full(n, value[0], dtype=np.uint32), np.full(n, length[0], dtype=np.uint8), none + np.uint8(3), np.arange(n))
+        empty = _mixing.Symbols(1 - kind, *(x[..., :0] for x in (value, length, context, value, length, none, none)))
+        coded = _mixing.Coded(None, None, (one, empty) if kind == 0 else (empty, one))
+        assert np.exp(_mixing.score(model, coded, n)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_equal_a_plain_mixer():
+    """Score of each text, bit by bit in plain Python: slots, gates, weights, refinement."""
+    from gradewell.llm import _mixing as m
+
+    texts = ["the cat of the dog the cat", "of the cat zebra", "", "dog of dog of the quagga"]
+    codes, model, coded = small_model(texts)
+    got = m.score(model, coded, len(texts))
+    want = [0.0] * len(texts)
+    for x in coded.parts:
+        for i in range(len(x.value)):
+            value, length = int(x.value[i]), int(x.length[i])
+            for b in range(length):
+                node, bit = (1 << b) | value >> (length - b), value >> (length - b - 1) & 1
+                known = []
+                for k in range(m.N):
+                    slot = ((int(x.context[k, i]) ^ ((node * int(m.ONE) + x.kind) & 0xFFFFFFFF)) * int(m.TWO) & 0xFFFFFFFF) >> (32 - m.BITS)
+                    known.append(float(model.logits[k, node if k == 0 and x.kind == 0 and b < m.BITS else slot]))
+                size, sign, state = int(x.guess_length[i]), 0.0, int(x.guess_length[i] > 0)
+                if size > b and (1 << b) | int(x.guess[i]) >> (size - b) == node:
+                    sign, state = (1.0 if int(x.guess[i]) >> (size - b - 1) & 1 else -1.0), int(x.state[i])
+                place = min(b, m.PLACES - 1)
+                gate = ((x.kind * m.PLACES + place) * 4 + 2 * (known[2] != 0) + (known[1] != 0)) * m.STATES + state
+                t = sum(float(w) * v for w, v in zip(model.weights[gate], [*known, sign, 0.1]))
+                t = max(-m.SPREAD, min(m.SPREAD, t))
+                at = (t + m.SPREAD) * (m.CELLS - 1) / (2 * m.SPREAD)
+                low = min(int(at), m.CELLS - 2)
+                near = lambda c: (model.cells[1, x.kind, place, c] + 20 / (1 + math.exp(m.SPREAD - c * 2 * m.SPREAD / (m.CELLS - 1)))) / (model.cells[:, x.kind, place, c].sum() + 20)  # noqa: E731, B023
+                q = near(low) * (1 - at + low) + near(low + 1) * (at - low)
+                p = 0.5 * (1 / (1 + math.exp(-t)) + q)
+                want[int(x.text[i])] += math.log(p if bit else 1 - p)
+    assert got == pytest.approx(want, rel=1e-4)
+
+
+def test_words_of_equal_polynomials_differ():
+    """Two strings of which any polynomial hash modulo 2^64 is equal stay apart in word hashes, shingles and token ids."""
     import numpy as np
 
-    assert np.exp(one).sum() < 1 and np.exp(_mixing.score(model, two)).sum() < 1
+    from gradewell.llm import _bpe
+    from gradewell.llm._words import Words, bytes_hash
+
+    for n in (1024, 2048, 4096):
+        x = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        y = x.translate(str.maketrans("ab", "ba"))
+        raw = np.frombuffer(f"{x} {y}".encode(), dtype=np.uint8)
+        w = Words(raw, np.array([0, len(raw)]))
+        assert w.hash[0] != w.hash[1] and len(set(w.shingles(1, False)[0].tolist())) == 2
+        bpe = _bpe.load(token_counts.default_vocabulary(), "ids")
+        own = list(packing.token_ids(bpe, np.frombuffer((x + y).encode(), dtype=np.uint8), np.array([0, n, 2 * n])))
+        tok = library()
+        assert [np.frombuffer(i, dtype="<u4").tolist()[:-1] for i in own] == [tok.encode(s, add_special_tokens=False).ids for s in (x, y)]
+    # spans of every length up to the long ones, wherever they lie
+    base = np.frombuffer(b"xyz" * 400, dtype=np.uint8)
+    size = np.arange(0, 600)
+    assert (bytes_hash(base, np.full(600, 0), size) == bytes_hash(base, np.full(600, 3), size + 3)).all()
+    assert len(set(bytes_hash(base, np.full(600, 0), size).tolist())) == 600
 
 
 def test_license_scan(spark, docs, no_docs):
