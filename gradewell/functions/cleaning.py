@@ -105,6 +105,10 @@ def slug(category: Column) -> Column:
     return F.lower(F.replace(F.replace(category, F.lit(" PCK"), F.lit("")), F.lit(" "), F.lit("_")))
 
 
+def without_suffix(category: Column, suffix: str = " PCK") -> Column:
+    return F.when(F.endswith(category, F.lit(suffix)), F.substring(category, F.lit(1), F.length(category) - len(suffix))).otherwise(category)
+
+
 def cost(rate_in: Column, rate_out: Column, combined: bool = False) -> Column:
     """A model's price: the input rate, or four fifths of it and a fifth of the output rate; a single rate stands for both."""
     return F.when(rate_out.isNull(), rate_in).otherwise(0.8 * rate_in + 0.2 * rate_out) if combined else rate_in

@@ -36,7 +36,7 @@ def segment(text: str | None) -> Iterator[str]:
         yield "\n".join(held) if closing else "\n".join(held).strip()
 
 
-@udtf(returnType="place int, paragraph string")
+@udtf(returnType="place int, paragraph string", useArrow=True)
 class SegmentPage:
     def eval(self, text: str):
         yield from enumerate(segment(text))

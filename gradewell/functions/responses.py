@@ -99,3 +99,10 @@ def temperature(model: Column) -> Column:
     for p in WARM_PREFIXES:
         warm = warm | model.startswith(p)
     return F.when(warm, 1).otherwise(0)
+
+
+def delay(model: Column, seconds: dict[str, int]) -> Column:
+    """Seconds to wait between two calls of a model, 0 for one without a rule."""
+    from gradewell.functions.cleaning import lookup
+
+    return lookup(model, seconds, F.lit(0))

@@ -17,12 +17,18 @@ BAND = math.log(1.1)  # lengths within a tenth share a band
 
 
 def exact_flags(df: DataFrame, columns: Sequence[str], name: str = "is_duplicate", keep: str | bool = "first", row: str = "row_id") -> DataFrame:
-    """Flags rows that repeat another on columns, nulls being equal: all but the first, all but the last, or, with keep False, all."""
-    w = Window.partitionBy(*columns)
-    if keep is False:
-        return df.withColumn(name, F.count("*").over(w) > 1)
-    order = F.col(row) if keep == "first" else F.col(row).desc()
-    return df.withColumn(name, F.row_number().over(w.orderBy(order)) > 1)
+    """Flags rows that repeat another on columns, nulls being equal: all but the first, all but the last, or, with keep False, all.
+
+    The row that stays is found by an aggregate and met by its row number, so a text of many copies is no hot key.
+    """
+    kept = df.groupBy(*columns).agg((F.max(row) if keep == "last" else F.min(row)).alias("_kept"), F.count("*").alias("_n"))
+    kept = (kept.where("_n = 1") if keep is False else kept).select(F.col("_kept").alias(row), F.lit(False).alias(name))
+    return df.join(kept, row, "left").withColumn(name, F.coalesce(name, F.lit(True))).select(*df.columns, name)
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """Values that occur more than once, with their number."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -68,11 +74,11 @@ def fuzzy_links(df: DataFrame, columns: Sequence[str], low: float, strict: bool
     held = held.join(sizes, ["_by", "_band"]).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int"))
     block = F.struct("_band", "_salt")
     blocks = sizes.select("_by", "_band", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")).select("_by", block.alias("k"))
-    # of lengths n <= m a ratio is 200 n / (n + m) at most; for several columns only their mean is bounded, and so is it then by their sums
-    reach = math.log((200 - low + 0.5) / (low - 0.5)) / BAND + 1 if low > 0.5 and len(columns) == 1 else 1e9
+    # of lengths n <= m a ratio is 200 n / (n + m) at most; for several columns only their mean is bounded: any two bands meet
+    reach = math.ceil(math.log((200 - low + 0.5) / (low - 0.5)) / BAND) + 1 if low > 0.5 and len(columns) == 1 else math.ceil(math.log(1 << 31) / BAND)
+    near = blocks.select("_by", F.col("k").alias("x"), F.explode(F.sequence(F.col("k._band"), F.col("k._band") + reach)).alias("_band"))
     pairs = (
-        blocks.withColumnRenamed("k", "x").join(blocks.withColumnRenamed("k", "y"), "_by")
-        .where((F.col("x") <= F.col("y")) & (F.col("y._band") - F.col("x._band") <= reach))
+        near.join(blocks.select("_by", F.col("k._band").alias("_band"), F.col("k").alias("y")), ["_by", "_band"]).where(F.col("x") <= F.col("y"))
         .select("_by", "x", "y", F.xxhash64("_by", "x", "y").alias("_pair"))
     )
     text = F.array(*[F.col(c).cast("string") for c in columns]).alias("_text")
@@ -150,12 +156,38 @@ def sweep(df: DataFrame, columns: Sequence[str], thresholds: Sequence[float], ro
     return out.select(*df.columns, *[(best > t).alias(f"above_{t:g}") for t in thresholds])
 
 
+def flag_totals(df: DataFrame, flags: dict[float, str]) -> DataFrame:
+    """threshold, n and percent of rows whose flag is set, for each threshold's flag."""
+    of = [F.struct(F.lit(t).alias("threshold"), F.count_if(F.col(f)).alias("n"), F.round(100.0 * F.count_if(F.col(f)) / F.count("*"), 6).alias("percent")) for t, f in flags.items()]
+    return df.agg(F.array(*of).alias("_of")).select(F.inline("_of"))
+
+
 def pair_report(df: DataFrame, columns: Sequence[str], low: float, high: float, row: str = "row_id") -> DataFrame:
     """Each row's later partners of a mean ratio within [low, high), as an array of (row, ratio)."""
     links = fuzzy_links(df, columns, low, strict=False, high=high, row=row)
     return links.groupBy(F.col("a").alias(row)).agg(F.sort_array(F.collect_list(F.struct(F.col("b").alias("row"), "ratio"))).alias("partners"))
 
 
+def audit(df: DataFrame, flag: str, low: float, question: str, columns: Sequence[str], row: str = "row_id", many: int = 4, high: float = 80) -> DataFrame:
+    """Each flagged row with whether another row is like it above low, by its question or else by all columns, and whether more than many are above high."""
+
+    def found(own: Sequence[str], name: str) -> DataFrame:
+        links = settled(fuzzy_links(df, own, low, strict=False, row=row))
+        members = _members(df, own, (), row)
+        size = members.groupBy("_class").agg(F.count("*").alias("_s"), F.min("_own").alias("_own"))
+        both = links.select(F.col("a").alias("_class"), F.col("b").alias("_o"), "ratio").unionByName(links.select(F.col("b").alias("_class"), F.col("a").alias("_o"), "ratio"))
+        rest = both.join(size.select(F.col("_class").alias("_o"), "_s"), "_o").groupBy("_class").agg(F.sum("_s").alias("_l"), F.sum(F.when(F.col("ratio") >= high, F.col("_s")).otherwise(0)).alias("_h"))
+        # a class's copies are like each other unless their texts are missing
+        copies = size.select("_class", (F.col("_s") - 1).alias("_c"), "_own")
+        hits = copies.join(rest, "_class", "left")
+        of = lambda c, t: F.coalesce(c, F.lit(0)) + F.when(F.col("_own") >= t, F.col("_c")).otherwise(0)
+        hits = hits.select("_class", of("_l", low).alias(name), of("_h", high).alias(f"{name}_high"))
+        return members.join(hits, "_class").select(F.col("_j").alias(row), name, f"{name}_high")
+
+    out = df.where(F.coalesce(F.col(flag), F.lit(False))).select(row).join(found([question], "_q"), row).join(found(columns, "_a"), row)
+    return out.select(row, ((F.col("_q") > 0) | (F.col("_a") > 0)).alias("has_match"), ((F.col("_q_high") > many) | (F.col("_a_high") > many)).alias("many_matches"))
+
+
 def similar_to(df: DataFrame, text: str, column: str, threshold: float) -> DataFrame:
     """Rows of a ratio above threshold to one text, with the ratio."""
     return df.withColumn("ratio", fuzz_ratio(F.col(column), F.lit(text))).where(F.col("ratio") > threshold)
@@ -180,6 +212,19 @@ def fuzzy_matches(queries: DataFrame, known: DataFrame, query: str, text: str, l
     return joined.withColumn("ratio", fuzz_ratio(F.col(query), F.col(text))).where(F.col("ratio").between(low, high))
 
 
+def candidate_report(queries: DataFrame, known: DataFrame, query: str, text: str, low: float, high: float = 100.0, row: str = "row_id", seed: str | None = None) -> DataFrame:
+    """Each query with the rows of known within [low, high], best first, as an array of (row, ratio); with seed, a query's own row of that number stands first."""
+    found = fuzzy_matches(queries.select(query).distinct(), known, query, text, low, high)
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("ratio")).alias("_r"), F.col(row).alias("row"), "ratio")))
+    partners = F.transform(listed, lambda x: F.struct(x["row"].alias("row"), x["ratio"].alias("ratio")))
+    by = found.groupBy(query).agg(partners.alias("partners"))
+    if seed is None:
+        return by
+    own = F.array(F.struct(F.col(seed).alias("row"), F.lit(100).alias("ratio")))
+    rest = F.filter(F.coalesce("partners", F.array().cast("array<struct<row:bigint,ratio:int>>")), lambda x: x["row"] != F.col(seed))
+    return queries.join(by, query, "left").select(seed, query, F.concat(own.cast("array<struct<row:bigint,ratio:int>>"), rest).alias("partners"))
+
+
 def in_order(df: DataFrame, column: str, row: str = "row_id", by: Sequence[str] = ()) -> DataFrame:
     """Whether a column never falls in the order of rows, by group."""
     w = Window.partitionBy(*by).orderBy(row) if by else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions.cleaning import cost, decimal_comma, exam_code, second_of_two
@@ -14,6 +14,11 @@ def with_registry(scores: DataFrame, models: DataFrame, combined: bool = False)
     return scores.join(models.select("model_id", "provider", "open", "size", price), "model_id", "left")
 
 
+def record(*columns: str) -> Column:
+    """A row's columns as one JSON object; what is missing is null."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def by_provider(models: DataFrame) -> DataFrame:
     """provider, document: its models as JSON."""
     listed = F.sort_array(F.collect_list(F.struct("model_id", "size", "open")))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradewell.operators.columns import numbered
+
 
 def draw(row: str, seed: int) -> Column:
     """A row's place in a draw: the MD5 of its id and the seed."""
@@ -14,9 +16,22 @@ def draw(row: str, seed: int) -> Column:
 
 
 def sample_rows(df: DataFrame, fraction: float, row: str = "row_id", seed: int = 42) -> DataFrame:
-    """Exactly floor(fraction * rows) rows."""
-    n = int(fraction * df.count())
-    return df.orderBy(draw(row, seed), row).limit(n)
+    """Exactly floor(fraction * rows) rows: the first ones by draw().
+
+    Draws are counted in 65,536 ranges; whole ranges are taken by a filter, and only the range in which the share ends is sorted.
+    """
+    drawn = df.withColumn("_draw", draw(row, seed)).withColumn("_range", F.conv(F.substring("_draw", 1, 4), 16, 10).cast("int"))
+    counts = sorted((r["_range"], r["n"]) for r in drawn.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    left, last = int(fraction * sum(n for _, n in counts)), -1
+    for last, n in counts:
+        if n > left:
+            break
+        left -= n
+    else:
+        last = 1 << 16
+    whole = drawn.where(F.col("_range") < last)
+    rest = drawn.where(F.col("_range") == last).orderBy("_draw", row).limit(left)
+    return whole.unionByName(rest).select(*df.columns)
 
 
 def stratified(df: DataFrame, by: str, size: int, row: str = "row_id", seed: int = 42) -> DataFrame:
@@ -71,12 +86,13 @@ def pick_replicates(df: DataFrame, run: int, copies: int, by: Sequence[str], row
     df has a row for each question and copy, in the order of row, copies adjacent.
     Of n questions, question i gives its copy run + floor((copies - 1 - run) * i / (n - 1)).
     """
-    w = Window.partitionBy(*by)
-    place = F.row_number().over(w.orderBy(row)) - 1
-    out = df.withColumn("_at", place).withColumn("_n", F.count("*").over(w) / copies)
+    placed = numbered(df, row, "_at", by)
+    # one row a category
+    sizes = placed.groupBy(*by).agg((F.count("*") / copies).alias("_n"))
+    out = placed.join(sizes, list(by))
     i, rep = F.floor(F.col("_at") / copies), F.col("_at") % copies
     step = F.when(F.col("_n") > 1, F.floor((copies - 1 - run) * i / (F.col("_n") - 1))).otherwise(0)
-    return out.where(rep == run + step).drop("_at", "_n")
+    return out.where(rep == run + step).select(*df.columns)
 
 
 def swap_answer(choices: Sequence[str], answer: str, new: Column) -> list[Column]:

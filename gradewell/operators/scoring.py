@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.functions.responses import clean_key, correct, parse_choice
@@ -60,10 +60,35 @@ def reliable(df: DataFrame, question: str, by: Sequence[str]) -> DataFrame:
 
 
 def by_position(df: DataFrame, by: Sequence[str], positions: Sequence[str] = "ABCD") -> DataFrame:
-    """Accuracy by the position of the right answer; a position without questions is null."""
-    grid = df.select(*by).distinct().select("*", F.explode(F.array(*[F.lit(p) for p in positions])).alias("position"))
-    found = score(df.withColumn("position", F.col("answer")), [*by, "position"]).select(*by, "position", "accuracy")
-    return grid.join(found, [*by, "position"], "left")
+    """Accuracy by the position of the right answer; a position without questions is null. One pass: positions are opened after the sums."""
+    right = correct(F.col("pred"), F.col("answer")).cast("double")
+    of = [F.struct(F.lit(p).alias("position"), F.avg(F.when(F.col("answer") == p, right)).alias("accuracy")) for p in positions]
+    return df.groupBy(*by).agg(F.array(*of).alias("_of")).select(*by, F.inline("_of"))
+
+
+def mean_of_positions(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The plain mean of the accuracies by position, whatever the number of questions of each."""
+    return score(df, [*by, "answer"]).groupBy(*by).agg(F.avg("accuracy").alias("accuracy"))
+
+
+def one_letter(df: DataFrame, letter: str, by: Sequence[str], said: Sequence[str] = ()) -> DataFrame:
+    """Accuracy over questions whose answer is one letter, how many predictions could be read, and how many said each given letter."""
+    counts = [F.count_if(F.col("pred") == x).alias(f"said_{x}") for x in said]
+    return df.where(F.col("answer") == letter).groupBy(*by).agg(F.avg(correct(F.col("pred"), F.col("answer")).cast("double")).alias("accuracy"), F.count("*").alias("n"), F.count("pred").alias("n_read"), *counts)
+
+
+def counts_by_hue(df: DataFrame, column: str, hue: str) -> DataFrame:
+    """Counts by two columns, and by the first alone to order bars by."""
+    counts = df.groupBy(column, hue).agg(F.count("*").alias("n"))
+    return counts.withColumn("of_category", F.sum("n").over(Window.partitionBy(column)))  # a row for each hue
+
+
+def arrays_of_question(df: DataFrame, question: str, order: Sequence[str], category: str = "category") -> DataFrame:
+    """The category of each question text, or "Multiple", and its answers and predictions as arrays, in the order given."""
+    listed = F.sort_array(F.collect_list(F.struct(*order, F.coalesce("pred", F.lit("")).alias("_pred"), "answer", "pred")))
+    kinds = F.count_distinct(category) + F.max(F.col(category).isNull().cast("int"))
+    out = df.groupBy(question).agg(F.when(kinds == 1, F.min(category)).otherwise("Multiple").alias("category"), F.count("*").alias("copies"), listed.alias("_all"))
+    return out.select(question, "category", "copies", F.col("_all.answer").alias("answers"), F.col("_all.pred").alias("preds"))
 
 
 def category_of_question(df: DataFrame, question: str, category: str = "category") -> DataFrame:

@@ -534,6 +534,7 @@ def _(spark, d):
 
 @query("d7_fuzzy_matches")
 def _(spark, d):
+    # queries are the items of every tenth number, more than those divisible by 100, against all items
     b = read(spark, d, "benchmark")
     return dedupe.fuzzy_matches(b.where("item_id % 10 = 0").select(F.regexp_replace("text", "^[^ ]+ ", "").alias("query")), b, "query", "text", 70, 100).select("item_id", "ratio")
 
@@ -544,3 +545,7 @@ def _(spark, d):
 
     out = tumbling_counts(read(spark, d, "events").select("ts", "event_type"), "ts", "1 hour", ["event_type"])
     return out.select("event_type", F.col("window.start").alias("start"), "n")
+
+
+# further queries register themselves here
+from gradewell.plans import columns, files, fuzzy, runs  # noqa: E402, F401

@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once, into spark.checkpoint.dir; a temporary folder is set only where the setting is absent (tests)."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder is set only in local mode, where the setting is absent (tests)."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gradewell-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the whole cluster shares."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, into the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()

@@ -144,7 +144,8 @@ def write_cache(responses: DataFrame, path: str) -> None:
 
 
 def write_leaderboard(table: DataFrame, path: str) -> None:
-    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    # one file; the exchange keeps the work before it apart from the one task that writes
+    table.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(records: DataFrame, path: str) -> None:
@@ -165,8 +166,20 @@ def write_splits(df: DataFrame, path: str, category: str = "category") -> None:
     out.write.mode("overwrite").option("header", True).partitionBy("split", "category_slug").csv(path)
 
 
-def markdown(table: DataFrame, sort: str, most: int = 1000) -> str:
-    """A leaderboard as text, best first."""
-    rows = table.orderBy(F.desc(sort), *[c for c in table.columns if c != sort]).limit(most).collect()
+def markdown(table: DataFrame, sort: str) -> str:
+    """A leaderboard as text, best first: every row, fetched part by part."""
+    rows = table.orderBy(F.desc(sort), *[c for c in table.columns if c != sort]).toLocalIterator()
     lines = [table.columns, ["---"] * len(table.columns), *[["" if v is None else str(v) for v in r] for r in rows]]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def write_sheet(table: DataFrame, path: str) -> None:
+    """A table as an Excel file, written by one task; needs openpyxl on the executors and a path that they can write to."""
+    names = table.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches]
+        pd.concat(parts or [pd.DataFrame(columns=names)]).to_excel(path, index=False)
+        yield pd.DataFrame({"n": [sum(map(len, parts))]})
+
+    table.repartition(1).mapInPandas(run, "n long").collect()
