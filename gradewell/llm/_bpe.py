@@ -8,6 +8,7 @@ code point whose class may differ between Unicode versions, are given to the lib
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import cache
 
@@ -99,6 +100,9 @@ class Bpe:
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
         to_byte = _byte_chars()
         self.special = [t["content"] for t in spec["added_tokens"]]
+        if any(a != b and a in b for a in self.special for b in self.special) or any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path} has special tokens that hold each other or take what stands around them")
+        self.special_pattern = re.compile(b"|".join(re.escape(t.encode()) for t in self.special)) if self.special else None
         self.ids = {bytes(to_byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in self.special}
         self.bytes_of = {i: b for b, i in self.ids.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm._store import store
+from gradewell.llm._store import fresh_path, remove, store
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round is written to the shared folder, so a lost executor costs one round at most.
     """
     x, y = F.col(a), F.col(b)
-    now = store(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "links")
+    spark, path = edges.sparkSession, fresh_path(edges.sparkSession, "links")
+    now = store(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "links", path)
     while not _stars(now):
-        now = store(_small_star(_large_star(now)), "links")
+        last, path = path, fresh_path(spark, "links")
+        now = store(_small_star(_large_star(now)), "links", path)
+        remove(spark, last)
     roots = now.select(F.col("v").alias("u"), "v").distinct()
     return now.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
 

@@ -3,7 +3,7 @@
 An item's window is ten consecutive words (all of a shorter item). Its tokens
 are its five-word shingles. A document word run can only be a window if all of
 its shingles are shingles of items, so documents keep just such runs, found
-with a bitmap of fixed size. Shingles are ordered by how often these runs hold
+with a bitmap sized by the items. Shingles are ordered by how often these runs hold
 them; each window is joined by its rarest one only, the offset of that shingle
 fixes where the window would start and end, and what stands there is compared word by word.
 
@@ -28,7 +28,7 @@ from gradewell.llm._store import store, table
 from gradewell.llm._words import ALNUM, Words, slices
 
 WINDOW, SHINGLE = 10, 5
-BITS = 23  # of the bitmap of item shingles: 1 MB, however many items there are
+SPARE, LEAST_BITS, MOST_BITS = 4, 16, 28  # the bitmap of item shingles has 2^SPARE bits for each, 32 MB at most: a fuller one lets more runs through, with the same result
 CHUNK = 64  # shingles of a run in one row
 
 
@@ -61,33 +61,35 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", wind
 
 
 def bitmap(found: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
-    """Bits of all shingles, and for each shingle size the fewest shingles of a window."""
-    mask = (1 << BITS) - 1
+    """Packed bits of all shingles, and for each shingle size the fewest shingles of a window."""
+    total = found.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    size = min(max(total.bit_length() + SPARE, LEAST_BITS), MOST_BITS)
     bits = (
         found.select(F.explode("shingles").alias("h"))
-        .select(F.col("h").bitwiseAND(mask).alias("b"))
+        .select(F.col("h").bitwiseAND((1 << size) - 1).alias("b"))
         .groupBy(F.shiftright("b", 6).alias("at"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
         .toArrow()
     )
-    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    out = np.zeros(1 << (size - 6), dtype=np.uint64)
     out[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
     sizes = found.groupBy(F.least("n", F.lit(SHINGLE)).alias("k")).agg(F.min(F.size("shingles")).alias("least")).collect()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool), {r["k"]: r["least"] for r in sizes}
+    return out.view(np.uint8), {r["k"]: r["least"] for r in sizes}
 
 
 def runs(docs: DataFrame, bits: np.ndarray, least: dict[int, int], doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """row, doc_id, n_words and the runs of each document whose shingles are all shingles of items."""
     kind = dict(docs.dtypes)[doc_id]
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    mask = np.uint64((1 << BITS) - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    mask = np.uint64(8 * len(bits) - 1)
     run_type = pa.struct([("k", pa.int32()), ("start", pa.int64()), ("shingles", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))])
 
     def of_slice(w: Words, held: np.ndarray) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(w.off) - 1)]
         for k, fewest in least.items():
             hashes, at = w.shingles(k, False)
-            hit = np.flatnonzero(held[(hashes & mask).astype(np.int64)])
+            place = (hashes & mask).astype(np.int64)
+            hit = np.flatnonzero((held[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
             if not len(hit):
                 continue
             t = np.searchsorted(at, hit, "right") - 1
@@ -110,7 +112,7 @@ def runs(docs: DataFrame, bits: np.ndarray, least: dict[int, int], doc_id: str =
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(shared.value).astype(bool)
+        held = shared.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, b, raw, off in slices(batch.column(1)):

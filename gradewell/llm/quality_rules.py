@@ -2,8 +2,7 @@
 
 Edge cases: a null text counts as empty and has no words; an empty text fails
 the base rule (fewer than ten words). Repeated rows are judged alike; an empty table
-gives no rows. judge() keeps other columns, but for names that it uses itself; the query and the
-stage take documents with columns of any names. There is no shuffle so a hot key or a very long text needs no special care.
+gives no rows. judge() keeps all columns, which may have any names: they ride along as one struct. There is no shuffle so a hot key or a very long text needs no special care.
 """
 
 from __future__ import annotations
@@ -84,7 +83,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """df and the counts that the rules are made of: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios."""
     whole = F.coalesce(F.col(text), F.lit(""))
     spaced = F.translate(whole, SPACE, " " * len(SPACE))
-    out = df.select("*", whole.alias("_text"), F.filter(F.split(spaced, " ", -1), lambda w: w != "").alias("_words"))
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), whole.alias("_text"), F.filter(F.split(spaced, " ", -1), lambda w: w != "").alias("_words"))
     lines = F.filter(F.split(F.col("_text"), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     out = out.select("*", lines.alias("_lines"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     out = _with_repeat_words(out, "_hashes")
@@ -93,18 +92,19 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     length = F.length("_text")
     word_chars = F.length(_deleted(F.col("_text"), SPACE))
     symbols = length - F.length(_deleted(F.col("_text"), SYMBOLS))
+    dup_lines = n_lines - F.size(F.array_distinct("_lines"))
     return out.select(
-        *df.columns,
+        "_row.*",
         n.cast("long").alias("n_words"),
         word_chars.cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
-        (n_lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        dup_lines.cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         (word_chars / count(n)).alias("mean_word_length"),
         (symbols / count(n)).alias("symbol_ratio"),
         ((length - F.length(F.translate("_text", "!", ""))) / count(n)).alias("bang_ratio"),
         (F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))) / count(n)).alias("stop_word_ratio"),
-        ((n_lines - F.size(F.array_distinct("_lines"))) / count(n_lines)).alias("duplicate_line_ratio"),
+        (dup_lines / count(n_lines)).alias("duplicate_line_ratio"),
         (F.size(F.filter("_lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))) / count(n_lines)).alias("bullet_line_ratio"),
         (F.size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…"))) / count(n_lines)).alias("ellipsis_line_ratio"),
     )

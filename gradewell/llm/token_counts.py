@@ -8,8 +8,10 @@ look-ups. Two places differ from the plain rule and are set apart: the end of a
 run of white space whose last character is split off only because something
 follows, and a cut inside 've, 're or 'll.
 
-Edge cases: a null text counts as empty, with no tokens; texts holding a
-special token's string, and all their prefixes, are encoded by the library; repeated rows are
+A special token's string is one token and parts the text, as in the library; a prefix that ends inside of one holds its beginning
+as plain text, so the programme runs on what stands before it with that beginning.
+
+Edge cases: a null text counts as empty, with no tokens; repeated rows are
 counted alike; an empty table gives no rows; columns other than the two named are dropped.
 There is no shuffle; a slice of about 2 MB, or one longer text, is in memory at a time.
 """
@@ -36,8 +38,39 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def prefix_counts(bpe: _bpe.Bpe, raw: np.ndarray, off: np.ndarray) -> tuple[_bpe.Encoded, list[np.ndarray]]:
+def prefix_counts(bpe: _bpe.Bpe, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """For each text the token count of each of its code-point prefixes, the empty one first."""
+    data = raw.tobytes()
+    spans = [m.span() for m in bpe.special_pattern.finditer(data)] if bpe.special_pattern else []
+    if not spans:
+        return _plain_counts(bpe, raw, off)
+    # parts of texts, each with all but the last byte of the special string that follows; that string's code points, or 0
+    parts, lengths, first, at = [], [], [0], 0
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        while at < len(spans) and spans[at][0] < b:
+            # a span cannot cross a text's end unless the texts' bytes make one together
+            s, e = spans[at]
+            at += 1
+            if e <= b and s >= a:
+                parts.append(data[a : e - 1])
+                lengths.append(len(data[s:e].decode()))
+                a = e
+        parts.append(data[a:b])
+        lengths.append(0)
+        first.append(len(parts))
+    counts = _plain_counts(bpe, np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        base, own = 0, []
+        for c, n in zip(counts[a:b], lengths[a:b], strict=True):
+            own.append(base + c)
+            base += int(c[len(c) - n]) + 1 if n else 0
+        out.append(np.concatenate(own))
+    return out
+
+
+def _plain_counts(bpe: _bpe.Bpe, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """prefix_counts() of texts in which no special string counts."""
     x = _bpe.Encoded(bpe, raw, off)
     flat, offsets, which = bpe.per_word(raw, x.start, x.end, bpe.count_word)
     inside, _ = _bpe.expand(flat, offsets, which)
@@ -62,12 +95,9 @@ def prefix_counts(bpe: _bpe.Bpe, raw: np.ndarray, off: np.ndarray) -> tuple[_bpe
     out = []
     for t in range(len(off) - 1):
         a, b = x.edges[t], x.edges[t + 1]
-        if x.odd[t]:
-            out.append(_by_library(bpe, raw[off[t] : off[t + 1]].tobytes().decode()))
-        else:
-            out.append(at_cp[a : b + 1] - (before[x.words_at[t]]))
-            out[-1][0] = 0
-    return x, out
+        out.append(at_cp[a : b + 1] - (before[x.words_at[t]]))
+        out[-1][0] = 0
+    return out
 
 
 def _count(bpe: _bpe.Bpe, word: bytes) -> int:
@@ -77,23 +107,6 @@ def _count(bpe: _bpe.Bpe, word: bytes) -> int:
     return bpe.memo[key]
 
 
-def _by_library(bpe: _bpe.Bpe, text: str) -> np.ndarray:
-    """Counts of all prefixes for a text that the fast way does not take: each token's end, with the library asked again near it.
-
-    Between two places where the library's tokens of the whole text agree with those of a prefix, counts follow from the
-    offsets; prefixes inside a token's last pre-token are encoded from the last safe place, a line feed or blank before it.
-    """
-    counts = np.zeros(len(text) + 1, dtype=np.int64)
-    encode = lambda s: len(bpe.library.encode(s, add_special_tokens=False).ids)
-    safe, base = 0, 0
-    for i in range(1, len(text) + 1):
-        counts[i] = base + encode(text[safe:i])
-        # after a letter, digit or sign that a blank follows, the encoding of what stands before is settled
-        if i < len(text) and text[i] == " " and not text[i - 1].isspace() and not any(text[safe : i + 40].find(s) >= 0 for s in bpe.special):
-            safe, base = i, int(counts[i])
-    return counts
-
-
 def count_tokens(df: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = LIMIT, prefixes: bool = False) -> DataFrame:
     """id, n_bytes, n_tokens, cut_chars (code points of the longest prefix of at most limit tokens), and with prefixes the counts of all prefixes."""
     path = vocabulary or default_vocabulary()
@@ -102,7 +115,7 @@ def count_tokens(df: DataFrame, id_column: str = "doc_id", text: str = "text", v
         bpe = _bpe.load(path, "counts")
         for batch in batches:
             for a, b, raw, off in slices(batch.column(1)):
-                _, counts = prefix_counts(bpe, raw, off)
+                counts = prefix_counts(bpe, raw, off)
                 columns = [
                     batch.column(0).slice(a, b - a),
                     pa.array(np.diff(off), type=pa.int64()),

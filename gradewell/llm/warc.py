@@ -5,15 +5,20 @@ the response and the others are revisits of it. A record ends with two line
 breaks, so with these as the line separator Spark's text writer produces
 valid archives, each one gzip member, on any file system that Spark can write to.
 
+Files are bounded by bytes: pages are written in three classes of size, each with as many records a file as FILE_BYTES holds of its
+largest; a payload beyond that is a file of its own.
+
 Reading: archives are read by Spark's binaryFile source, one row a file, and
 parsed inside tasks. A record whose header, length or digest fails its check is
 not trusted: the reader searches for the next version line or gzip member that
-parses, resumes there, and logs the bytes between as quarantined.
+parses, anywhere in the file, resumes there, and logs the bytes between as quarantined. A file of more than 2 GB is beyond that source.
 
 Edge cases: a null html is an empty payload, like an empty one; rows with equal
-page_id are kept, and all of them are the response if theirs is the smallest; rows of a null page_id have no record; a null url is
+page_id are kept, and all of them are the response if theirs is the smallest; a row of a null page_id comes after all others: it revisits an
+equal payload of one that has an id and else is a response; a null url is
 written as an empty target; an empty table gives no records; extra columns are ignored. Only
-digests move in the shuffle that finds first copies, and a join that is skewed by a hot payload is split by AQE.
+digests and ids move in the shuffles that find first copies, a payload of many copies is dealt over tasks there, and pages then meet the
+list of revisits by id.
 """
 
 from __future__ import annotations
@@ -27,13 +32,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm._store import fresh_path, table
+from gradewell.llm._store import fresh_path, spread_join, store, table
 
 END = "\r\n\r\n"
 VERSION = b"WARC/1.0\r\n"
 #: Types of records, and fields that a header has once.
 TYPES = (b"warcinfo", b"response", b"resource", b"request", b"metadata", b"revisit", b"conversion", b"continuation")
 ONCE = (b"warc-type", b"warc-record-id", b"content-length", b"warc-date")
+MAGIC = b"\x1f\x8b\x08"
+NO_ID = "none"
+FILE_BYTES, CLASSES = 64 << 20, (32 << 10, 1 << 20)
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 RECORD = "kind string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, file string, start long, end long, reason string"
@@ -49,36 +57,41 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*parts)
 
 
-def with_first_copy(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_digest, payload_bytes, first_id: the smallest page_id with that payload."""
-    pages = pages.where(F.col("page_id").isNotNull())
-    rows = pages.select(
-        "page_id",
-        F.coalesce("url", F.lit("")).alias("url"),
-        F.coalesce("html", F.lit("")).alias("payload"),
-    ).select("*", F.unhex(F.sha1(F.col("payload").cast("binary"))).alias("sha1"))
-    slim = pages.select(
-        "page_id",
-        F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha1"),
-    )
-    copies = slim.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    return rows.join(copies, "sha1")
+def _id(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(NO_ID))
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """id, sha1, first_id of each page whose payload one of a smaller page_id has."""
+    slim = pages.select("page_id", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha1"))
+    copies = slim.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
+    copies = store(copies, "copies")
+    total = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    own = spread_join(slim, copies, "sha1", "page_id", "n", total)
+    return store(own.where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(_id("page_id").alias("id"), "sha1", "first_id").distinct(), "revisits")
+
 
+def with_first_copy(pages: DataFrame, copies: DataFrame) -> DataFrame:
+    """page_id, url, payload, first_id: null for a response."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"), _id("page_id").alias("id"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"))
+    return rows.join(copies, ["id", "sha1"], "left")
 
-def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+
+def records(pages: DataFrame, copies: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One column, value: each page as a WARC record without its closing line breaks."""
-    rows = with_first_copy(pages)
+    rows = with_first_copy(pages, copies)
     payload = F.col("payload").cast("binary")
     digest = base32_sha1(payload)
     size = F.octet_length("payload")
-    revisit = (F.col("page_id") != F.col("first_id")) & (size >= min_bytes)
+    revisit = F.col("first_id").isNotNull() & (size >= min_bytes)
     uri = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "),
         F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "),
-        uri(F.col("page_id")),
+        uri(F.col("id")),
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
         F.regexp_replace("url", r"[\r\n]+", " "),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
@@ -100,15 +113,17 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:
     return rows.select(head.alias("value"))
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 5000) -> None:
-    """Archives of at most records_per_file records under path."""
-    (
-        records(pages, min_bytes)
-        .write.option("lineSep", END)
-        .option("maxRecordsPerFile", records_per_file)
-        .option("compression", "gzip")
-        .text(path)
-    )
+def write(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES, classes: tuple[int, ...] = CLASSES) -> None:
+    """Archives under path, of at most file_bytes payload bytes each unless one payload alone is longer."""
+    copies = revisits(pages)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    # how many classes a page is beyond
+    of = sum(((size > c).cast("int") for c in classes), F.lit(0))
+    held = {r["c"] for r in pages.groupBy(of.alias("c")).agg(F.count("*")).collect()} or {0}  # as many rows as classes
+    for k in sorted(held):
+        per_file = max(1, file_bytes // classes[k]) if k < len(classes) else 1
+        writer = records(pages.where(of == k), copies, min_bytes).write.mode("append").option("lineSep", END)
+        writer.option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def _field(lines: dict[bytes, bytes], name: bytes) -> bytes:
@@ -119,20 +134,21 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
     """The record that starts at a version line and its end, or why it cannot be trusted."""
     if data[at : at + len(VERSION)] != VERSION:
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        return "header without end"
-    fields = {}
-    for line in data[at + len(VERSION) : stop].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    fields, pos = {}, at + len(VERSION)
+    # line by line up to the first that is none of a header, so a search over many version lines stays linear
+    while (stop := data.find(b"\r\n", pos)) != pos:
+        if stop < 0:
+            return "header without end"
+        name, colon, value = data[pos:stop].partition(b":")
         name = name.strip().lower()
-        if not colon or b"WARC/1." in line or name in fields and name in ONCE:
+        if not colon or b"WARC/1." in name or b"WARC/1." in value or name in fields and name in ONCE:
             return "malformed header line"
         fields[name] = value.strip()
+        pos = stop + 2
     kind, length = _field(fields, b"warc-type"), _field(fields, b"content-length")
     if kind not in TYPES or not length.isdigit():
         return "no type or length"
-    body, end = stop + 4, stop + 4 + int(length)
+    body, end = stop + 2, stop + 2 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         return "wrong length"
     payload = data[body:end]
@@ -140,12 +156,12 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
     if kind == b"response" and digest and base64.b32encode(hashlib.sha1(payload).digest()) != digest:
         return "wrong digest"
     ids = [_field(fields, k).removeprefix(b"<urn:page:").removesuffix(b">") for k in (b"warc-record-id", b"warc-refers-to")]
-    if not ids[0].lstrip(b"-").isdigit():
+    if ids[0] != NO_ID.encode() and not ids[0].lstrip(b"-").isdigit():
         return "no record id"
     size = _field(fields, b"x-payload-length")
     return {
         "kind": kind.decode("ascii", "replace"),
-        "page_id": int(ids[0]),
+        "page_id": None if ids[0] == NO_ID.encode() else int(ids[0]),
         "refers_to": int(ids[1]) if ids[1] else None,
         "url": _field(fields, b"warc-target-uri").decode("utf-8", "replace"),
         "payload_bytes": len(payload) if kind == b"response" else int(size) if size.isdigit() else None,
@@ -154,67 +170,77 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
     }, end + 4
 
 
-def _plain(data: bytes, base: int = 0) -> Iterator[dict]:
-    """Records of an uncompressed archive, with rows of kind gap for the bytes that were given up."""
-    at = 0
-    while at < len(data):
-        found = _parse(data, at)
-        if not isinstance(found, str):
-            yield found[0] | {"start": base + at, "end": base + found[1], "reason": None}
-            at = found[1]
-            continue
-        # a failed check: no field of this record is trusted, so the next line that opens a sound record is looked for
-        resume = data.find(VERSION, at + 1)
-        while resume >= 0 and isinstance(_parse(data, resume), str):
-            resume = data.find(VERSION, resume + 1)
-        resume = len(data) if resume < 0 else resume
-        yield {"kind": "gap", "start": base + at, "end": base + resume, "reason": found}
-        at = resume
+def _sound(data: bytes, at: int) -> bool:
+    return not isinstance(_parse(data, at), str)
+
+
+def _opens_archive(data: bytes, at: int) -> bool:
+    """Whether a gzip member that begins here begins with a version line."""
+    try:
+        return zlib.decompressobj(31).decompress(memoryview(data)[at : at + (1 << 12)], len(VERSION)) == VERSION
+    except zlib.error:
+        return False
+
 
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What inflates from here, and the member's end if it is sound."""
+    z, parts = zlib.decompressobj(31), []
+    for i in range(at, len(data), 1 << 16):
+        try:
+            parts.append(z.decompress(memoryview(data)[i : i + (1 << 16)]))
+        except zlib.error:
+            break
+        if z.eof:
+            return b"".join(parts), min(i + (1 << 16), len(data)) - len(z.unused_data)
+    return b"".join(parts), None
 
-def _members(data: bytes) -> Iterator[dict]:
-    """Records of an archive of gzip members, of one record or many; of a damaged member the records before the damage are kept."""
-    magic = b"\x1f\x8b\x08"
 
-    def inflate(at: int) -> tuple[bytes, int | None]:
-        """What inflates from here, and the member's end if it is sound."""
-        z, parts = zlib.decompressobj(31), []
-        for i in range(at, len(data), 1 << 16):
-            try:
-                parts.append(z.decompress(memoryview(data)[i : i + (1 << 16)]))
-            except zlib.error:
-                break
-            if z.eof:
-                return b"".join(parts), min(i + (1 << 16), len(data)) - len(z.unused_data)
-        return b"".join(parts), None
+def _next(data: bytes, at: int, members: bool) -> int:
+    """Where the next sound record or member begins; the end if none does."""
+    line, member = data.find(VERSION, at), data.find(MAGIC, at) if members else -1
+    while line >= 0 or member >= 0:
+        if member < 0 or 0 <= line < member:
+            if _sound(data, line):
+                return line
+            line = data.find(VERSION, line + 1)
+        else:
+            if _opens_archive(data, member):
+                return member
+            member = data.find(MAGIC, member + 1)
+    return len(data)
 
+
+def salvage(data: bytes, members: bool = True) -> Iterator[dict]:
+    """All sound records of an archive's bytes, plain or in gzip members of one record or many, in any order, and its gaps.
+
+    Of a damaged member the records before the damage are kept.
+    """
     at = 0
     while at < len(data):
-        out, end = inflate(at) if data[at : at + 3] == magic else (b"", None)
-        if end is not None:
-            for row in _plain(out):
-                yield row | {"start": at, "end": end}
-            at = end
-            continue
-        resume = data.find(magic, at + 1)
-        while resume >= 0 and not inflate(resume)[0].startswith(VERSION):
-            resume = data.find(magic, resume + 1)
-        resume = len(data) if resume < 0 else resume
-        for row in _plain(out):
-            if row["kind"] != "gap":
-                yield row | {"start": at, "end": resume}
-        yield {"kind": "gap", "start": at, "end": resume, "reason": "member does not inflate"}
+        kept: list[dict] = []
+        if members and data.startswith(MAGIC, at):
+            out, end = _inflate(data, at)
+            if end is not None:
+                for row in salvage(out, members=False):
+                    yield row | {"start": at, "end": end}
+                at = end
+                continue
+            kept, reason = [r for r in salvage(out, members=False) if r["kind"] != "gap"], "member does not inflate"
+        else:
+            found = _parse(data, at)
+            if not isinstance(found, str):
+                yield found[0] | {"start": at, "end": found[1], "reason": None}
+                at = found[1]
+                continue
+            reason = found
+        # a failed check: no field of this record is trusted
+        resume = _next(data, at + 1, members)
+        for row in kept:
+            yield row | {"start": at, "end": resume}
+        yield {"kind": "gap", "start": at, "end": resume, "reason": reason}
         at = resume
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """All sound records of an archive's bytes, and its gaps."""
-    head = data[:4096]
-    gz = head.find(b"\x1f\x8b\x08")
-    text = head.find(VERSION)
-    return _members(data) if gz >= 0 and (text < 0 or gz < text) else _plain(data)
-
-
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps (kind gap, with start, end and reason) of all archives under path."""
     names = [c.strip().split(" ")[0] for c in RECORD.split(",")]
@@ -245,9 +271,11 @@ def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    # payload sizes and digests of revisits come from their header, which the writer took from the full payload
+    # payload sizes and digests of revisits come from their header, which the writer took from the full payload;
+    # a gap in what was just written is a lost page, so the query fails
+    lost = F.raise_error(F.concat(F.lit("quarantined bytes in "), F.col("file"))).cast("boolean")
     return (
         read(spark, path, payloads=False)
-        .where("kind in ('response', 'revisit')")
+        .where(F.when(F.col("kind") == "gap", lost).otherwise(F.col("kind").isin("response", "revisit")))
         .select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
     )

@@ -12,18 +12,53 @@ from gradewell.llm._store import fresh_path
 
 
 def test_archives_read_back(spark):
-    rows = [(3, None, "same"), (1, "u\r\nx", "same"), (2, "u", None), (4, "u", ""), (5, "u", "WARC/1.0\r\n\r\n" * 3), (6, "u", "é" * 50_000), (None, "u", "lost")]
-    df = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, value string").repartition(2)  # a null page_id has no record
+    rows = [(3, None, "same"), (1, "u\r\nx", "same"), (2, "u", None), (4, "u", ""), (5, "u", "WARC/1.0\r\n\r\n" * 3), (6, "u", "é" * 50_000), (7, "u", "x" * 2_000_000)]
+    df = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, value string").repartition(2)
     path = fresh_path(spark, "t")
-    warc.write(df, path, records_per_file=2)
+    warc.write(df, path, file_bytes=1 << 16)
     got = {r.page_id: r for r in warc.read(spark, path).collect()}
-    assert {k: (r.kind, r.refers_to) for k, r in got.items()} == {1: ("response", None), 3: ("revisit", 1), 2: ("response", None), 4: ("revisit", 2), 5: ("response", None), 6: ("response", None)}
+    assert {k: (r.kind, r.refers_to) for k, r in got.items()} == {1: ("response", None), 3: ("revisit", 1), 2: ("response", None), 4: ("revisit", 2), 5: ("response", None), 6: ("response", None), 7: ("response", None)}
     assert bytes(got[5].payload).decode() == rows[4][2] and got[6].payload_bytes == 100_000
     empty = fresh_path(spark, "t")
     warc.write(df.limit(0), empty)
     assert warc.read(spark, empty).count() == 0
 
 
+def test_rows_without_an_id_and_repeated_rows(spark):
+    rows = [(None, "u", "a"), (None, "u", "b"), (None, "u", "b"), (4, "u", "a"), (2, "u", "a"), (2, "u", "a"), (2, "u", "c"), (9, "u", "c")]
+    path = fresh_path(spark, "t")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    got = sorted(((r.page_id, bytes(r.payload).decode(), r.kind, r.refers_to) for r in warc.read(spark, path).collect()), key=str)
+    assert got == sorted([(None, "", "revisit", 2), (None, "b", "response", None), (None, "b", "response", None), (4, "", "revisit", 2), (2, "a", "response", None), (2, "a", "response", None), (2, "c", "response", None), (9, "", "revisit", 2)], key=str)
+
+
+def test_a_hot_payload_is_dealt_over_tasks(spark, monkeypatch):
+    from gradewell.llm import _store
+
+    monkeypatch.setattr(_store, "HOT", 10)
+    df = spark.range(300).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, concat('x', id), 'hot') as html")
+    path = fresh_path(spark, "t")
+    warc.write(df, path)
+    got = {r.page_id: (r.kind, r.refers_to) for r in warc.read(spark, path).collect()}
+    assert got == {i: ("response", None) if i % 3 == 0 or i == 1 else ("revisit", 1) for i in range(300)}
+
+
+@pytest.mark.parametrize("before", [100, 4_000, 5_000, 200_000])
+def test_salvage_after_any_length_of_junk(before):
+    junk = bytes(random.Random(before).randrange(256) for _ in range(before))
+    for parts in ([gzip.compress(r) for r in archive()], archive(), [gzip.compress(r) if i % 2 else r for i, r in enumerate(archive())]):
+        got = list(warc.salvage(junk + b"".join(parts)))
+        assert [r["page_id"] for r in got if r["kind"] != "gap"] == list(range(8)) and [r["end"] - r["start"] for r in got if r["kind"] == "gap"] == [before]
+
+
+def test_salvage_of_many_version_lines_is_linear():
+    import time
+
+    began = time.perf_counter()
+    got = list(warc.salvage(b"WARC/1.0\r\n" * 200_000 + b"".join(archive())))
+    assert sum(r["kind"] == "response" for r in got) == 8 and time.perf_counter() - began < 20
+
+
 def archive(n=8):
     out = []
     for i in range(n):

@@ -36,6 +36,8 @@ def test_quality_counts(docs, no_docs, rows):
         assert r.base_failed == (len(w) < 10 or 100 * len(hit) > 20 * len(w))
         assert not (r.kept and r.base_failed)
     assert quality_rules.judge(no_docs.select("doc_id", "text")).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "1 as _text", "2 as _lines", "3 as _row", "4 as _order", "5 as _hashes", "6 as _words")
+    assert {r.doc_id: (r.kept, r._text, r._row) for r in quality_rules.judge(clash).collect()} == {d: (r.kept, 1, 3) for d, r in got.items()}
     kept = quality_rules.quality_stage(docs.sparkSession, docs, "")
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.kept}
 
@@ -209,6 +211,32 @@ def test_token_counts_at_every_prefix(docs, no_docs, rows):
     assert token_counts.count_tokens(no_docs).count() == 0
 
 
+def test_special_strings_in_long_texts():
+    """Texts of special strings, cut anywhere, as the library counts them; a long one takes seconds."""
+    import random
+    import time
+
+    import numpy as np
+
+    from gradewell.llm import _bpe
+
+    tok, rng = library(), random.Random(3)
+    bpe = _bpe.load(token_counts.default_vocabulary(), "counts")
+    mark = bpe.special[0]
+    bits = [mark, mark[:-1], mark[1:], mark[:3], " ", "  ", "a", "it's", "\n", "é", "<|"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(60)] + [mark, mark * 3, mark[: len(mark) // 2]]
+    for halves in (texts, [mark[:5], mark[5:]]):  # neighbours that make a special string together are no special string
+        off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in halves])])
+        for t, own in zip(halves, token_counts.prefix_counts(bpe, np.frombuffer("".join(halves).encode(), dtype=np.uint8), off)):
+            assert own.tolist() == [len(tok.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+    long = mark + "some words of a text, " * 45_000 + mark
+    began = time.perf_counter()
+    own = token_counts.prefix_counts(bpe, np.frombuffer(long.encode(), dtype=np.uint8), np.array([0, len(long)]))[0]
+    assert time.perf_counter() - began < 20
+    for i in (3, 14, 500, 20_000, len(long) - 2, len(long)):
+        assert own[i] == len(tok.encode(long[:i], add_special_tokens=False).ids)
+
+
 def test_packing_round_trip(docs, no_docs, rows):
     tok = library()
     pieces = packing.pack(docs, window=64, open_windows=4).collect()
