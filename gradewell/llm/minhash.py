@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm._store import store, table
+from gradewell.llm._store import spread_join, store, table
 from gradewell.llm._words import Words, mix, slices
 from gradewell.llm.components import components
 
 SHINGLE, MINIMA, BAND, PERCENT, POSSIBLE = 4, 128, 4, 80, 0.6
 BLOCK = 256  # members of a bucket compared at once
+WEIGHT = 1 << 19  # shingles of a block: 4 MB, unless one set alone has more
 
 
 def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,20 +177,49 @@ def _spanning(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray)
     return np.array(out, dtype=np.int64)
 
 
+def _meetings(members: DataFrame, group: str) -> DataFrame:
+    """meeting, doc, component: pairs of blocks whose members are of different components of a group, as rows of both blocks.
+
+    members: group, doc, component, w (a member's weight). A block has about BLOCK members or WEIGHT of weight. A component of half a block or
+    more has blocks of its own, which do not meet each other; smaller ones of a group share blocks. So members that
+    one component holds already cost rows only for those that it does not hold.
+    """
+    key = F.xxhash64(group, "component").alias("key")
+    size = members.groupBy(group, "component").agg(F.count("*").alias("s"), F.sum("w").alias("w"))
+    own = (F.col("s") >= BLOCK // 2) | (F.col("w") >= WEIGHT // 2)
+    parts = lambda s, w: F.ceil(F.greatest(s / BLOCK, w / WEIGHT)).cast("int")
+    rest = size.where(~own).groupBy(group).agg(parts(F.sum("s"), F.sum("w")).alias("rest"))
+    # pure: the component that a block holds alone
+    kinds = size.join(rest, group, "left").select(
+        key, group, "component", "s", F.when(own, F.col("component")).alias("pure"), F.greatest(F.lit(1), F.when(own, parts(F.col("s"), F.col("w"))).otherwise(F.col("rest"))).alias("parts")
+    )
+    kinds = store(kinds, "kinds")
+    total = kinds.agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0]
+    placed = spread_join(members.select(key, group, "doc", "component"), kinds.select("key", "s", "pure", "parts"), "key", "doc", "s", total)
+    placed = placed.select(group, "doc", "component", F.struct("pure", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")).alias("block"))
+    # kinds of blocks meet first, so blocks of one component are never paired
+    kind = kinds.select(group, "pure", "parts").distinct()
+    of = lambda name: F.struct("pure", "parts").alias(name)
+    met = kind.select(group, of("x")).join(kind.select(group, of("y")), group)
+    loose, same = F.col("x.pure").isNull() & F.col("y.pure").isNotNull(), F.col("x.pure").isNull() & F.col("y.pure").isNull()
+    first = loose | F.coalesce(F.col("x.pure") < F.col("y.pure"), F.lit(False))
+    number = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}.parts") - 1))
+    met = met.where(first | same).select(group, "x", "y", number("x").alias("i")).select(group, "x", "y", "i", number("y").alias("j"))
+    block = lambda side, n: F.struct(F.col(f"{side}.pure").alias("pure"), F.col(n).alias("part"))
+    met = met.where(~same | (F.col("i") <= F.col("j"))).select(group, block("x", "i").alias("x"), block("y", "j").alias("y"))
+    met = met.select("*", F.xxhash64(group, "x", "y").alias("meeting"))
+    sides = met.select(group, F.col("x").alias("block"), "meeting").unionByName(met.where("x != y").select(group, F.col("y").alias("block"), "meeting"))
+    at = F.xxhash64(group, "block")
+    return placed.select("doc", "component", at.alias("at")).join(sides.select(at.alias("at"), "meeting"), "at").select("meeting", "doc", "component")
+
+
 def _across(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     """Possible pairs (a, b) that tie members of different components within one bucket, found in blocks.
 
-    rows: band, doc, component, blocks. Each row goes to the block pairs it takes
-    part in; equal block pairs lie next to each other in a partition and are read as a stream.
+    rows: band, doc, component. Rows of one meeting of blocks lie next to each other in a partition and are read as a stream.
     """
-    i = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("long")
-    dealt = (
-        rows.join(sigs.select("doc", "sig"), "doc")
-        .withColumn("i", i)
-        .select("band", "doc", "component", "sig", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-        .select("band", "doc", "component", "sig", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-    )
-    spread = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    dealt = _meetings(rows.withColumn("w", F.lit(0)), "band").join(sigs.select("doc", "sig"), "doc")
+    spread = dealt.repartition("meeting").sortWithinPartitions("meeting")
 
     def compare(doc, comp, sig) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
@@ -223,7 +253,7 @@ def _across(rows: DataFrame, sigs: DataFrame) -> DataFrame:
                 continue
             # the last group of a batch may go on in the next
             cuts = _groups(pa.Table.from_batches([batch]))
-            if held and not _same(held[-1], batch):
+            if held and held[-1]["meeting"][-1].as_py() != batch["meeting"][0].as_py():
                 yield from flush()
                 held = []
             if len(cuts) > 2:
@@ -241,32 +271,13 @@ def _across(rows: DataFrame, sigs: DataFrame) -> DataFrame:
 def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of one cluster, confirmed on full sets in blocks.
 
-    members: doc, cluster, component. A component of half a block or more has blocks of its own,
-    which do not meet; smaller ones of a cluster share blocks.
+    members: doc, cluster, component, w (the size of its set, which bounds what a meeting holds).
     """
-    size = members.groupBy("cluster", "component").agg(F.count("*").alias("s"))
-    own = F.col("s") >= BLOCK // 2
-    small = size.where(~own).groupBy("cluster").agg(F.sum("s").alias("rest"))
-    # pure: the component that a block holds alone
-    kinds = size.join(small, "cluster", "left").select(
-        "cluster", "component", F.when(own, F.col("component")).alias("pure"), F.ceil(F.when(own, F.col("s")).otherwise(F.col("rest")) / BLOCK).cast("int").alias("parts")
-    )
-    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")
-    placed = members.join(kinds, ["cluster", "component"]).select("doc", "cluster", "component", F.struct("pure", part).alias("block"))
-    blocks = (
-        kinds.select("cluster", "pure", "parts").distinct()
-        .select("cluster", "pure", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        .select("cluster", F.struct("pure", "part").alias("block"))
-    )
-    met = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "cluster")
-    apart = F.col("x.pure").isNull() | F.col("y.pure").isNull() | (F.col("x.pure") != F.col("y.pure"))
-    met = met.where((F.col("x") <= F.col("y")) & apart).select("cluster", "x", "y", F.xxhash64("cluster", "x", "y").alias("meeting"))
-    sides = met.select("cluster", F.col("x").alias("block"), "meeting").unionByName(met.where("x != y").select("cluster", F.col("y").alias("block"), "meeting"))
-    dealt = placed.join(sides, ["cluster", "block"]).select("meeting", "doc", "component").join(sets, "doc")
+    dealt = _meetings(members, "cluster").join(sets, "doc")
 
     def links(t: pa.Table) -> pa.Table:
         doc, comp = t["doc"].to_numpy(), t["component"].to_numpy()
-        lists = [np.frombuffer(x, dtype=np.uint64) for x in t["members"].to_pylist()]
+        lists = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t["members"]]
         n = np.array([len(x) for x in lists], dtype=np.int64)
         names, times = np.unique(np.concatenate(lists), return_counts=True)
         shared = names[times > 1]
@@ -289,20 +300,9 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("meeting").applyInArrow(links, "a long, b long").distinct()
 
 
-_KEYS = ("band", "lo", "hi")
-
-
 def _groups(t: pa.Table) -> np.ndarray:
-    new = np.zeros(t.num_rows, dtype=bool)
-    new[0] = True
-    for k in _KEYS:
-        v = t[k].to_numpy()
-        new[1:] |= v[1:] != v[:-1]
-    return np.append(np.flatnonzero(new), t.num_rows)
-
-
-def _same(x: pa.RecordBatch, y: pa.RecordBatch) -> bool:
-    return all(x[k][-1].as_py() == y[k][0].as_py() for k in _KEYS)
+    v = t["meeting"].to_numpy()
+    return np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [t.num_rows]])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -314,8 +314,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sigs = base.join(member.where("id = doc").select(F.col("id").alias(doc_id)), doc_id, "left_semi").select(F.col(doc_id).alias("doc"), "n", "sig")
 
     bands = _bands(sigs)
-    shared = bands.groupBy("band").agg(F.min("doc").alias("m"), F.count("*").alias("c")).where("c > 1")
-    buckets = store(bands.join(shared, "band"), "buckets")
+    shared = store(bands.groupBy("band").agg(F.min("doc").alias("m"), F.count("*").alias("c")).where("c > 1"), "bands")
+    n_rows = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    buckets = store(spread_join(bands, shared, "band", "doc", "c", n_rows), "buckets")
     involved = buckets.select("doc").distinct()
     sigs = store(sigs.join(involved, "doc", "left_semi"), "bucket-signatures")
     wanted = docs.join(involved.select(F.col("doc").alias(doc_id)), doc_id, "left_semi")
@@ -332,17 +333,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ties = store(_possible(fit, sigs), "ties")
     # one step is enough to tell most members of a bucket apart from strangers: the smallest class a member is tied to
     near = ties.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("component"))
-    labelled = buckets.select("band", "doc", "c").join(near, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    rows = labelled.join(mixed, "band", "left_semi").select("band", "doc", "component", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
+    labelled = buckets.select("band", "doc").join(near, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("band", "c")
+    rows = store(spread_join(labelled, store(mixed, "mixed"), "band", "doc", "c", n_rows).select("band", "doc", "component"), "mixed-buckets")
     more = store(_across(rows, sigs), "ties-across")
     clusters = components(ties.unionByName(more))
 
     first = store(_confirmed(ties.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "links")
     found = components(first)
     placed = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    several = placed.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("cluster")
-    rest = store(_within(placed.join(several, "cluster", "left_semi"), sets, percent), "links-within")
+    placed = store(placed.join(sizes.select("doc", F.col("n").alias("w")), "doc"), "clusters")
+    several = placed.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("cluster", "c")
+    loose = store(spread_join(placed, store(several, "several"), "cluster", "doc", "c", n_rows).drop("c"), "loose")
+    rest = store(_within(loose, sets, percent), "links-within")
     if not rest.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     labels = member.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("id").alias(doc_id), F.coalesce("component", "doc").alias("component"))

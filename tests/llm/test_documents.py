@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gradewell.llm import decontaminate, license_scan, lm_scoring, minhash, packing, quality_rules, suffix_dedup, token_counts
+from gradewell.llm import _store, decontaminate, license_scan, lm_scoring, minhash, packing, quality_rules, suffix_dedup, token_counts
 
 WORD, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -110,11 +110,22 @@ def test_near_duplicates_in_a_hot_group(spark, monkeypatch):
         texts.append(" ".join(w))
     rows = list(enumerate(texts))
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(_store, "HOT", 20)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = by_id(minhash.near_duplicates(df))
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == plain_components(rows)
 
 
+def test_a_bucket_of_thousands_of_classes_costs_rows_for_its_strangers_only(spark):
+    """3,000 near copies and 40 strangers in one bucket: members of the large component do not meet each other."""
+    members = spark.range(3040).select(F.lit(7).cast("long").alias("band"), F.col("id").alias("doc"), F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id")).cast("long").alias("component"), F.lit(0).alias("w"))
+    dealt = minhash._meetings(members, "band")
+    pairs = dealt.groupBy("meeting").agg(F.count_if(F.col("component") == 0).alias("own"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in pairs) < 3 * 3040 + 40 * len(pairs) and all(r.n > r.own for r in pairs)
+    seen = dealt.where("component = 0").select("doc").distinct().count()
+    assert seen == 3000 and len(pairs) == 1 + 12
+
+
 def test_near_duplicate_stage_takes_five_words_and_one_row_of_a_document(spark):
     words = [f"w{i}" for i in range(120)]
     edited = [*words]
