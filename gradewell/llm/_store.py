@@ -51,7 +51,7 @@ HOT = 4096  # rows of one key that one task may join
 LISTED = 50_000  # hot keys in a broadcast
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, n: str, total: int) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, n: str, total: int, how: str = "inner") -> DataFrame:
     """many joined to one, in which key is unique and n counts its rows in many (total: all of them).
 
     A key of more than HOT rows is dealt over tasks by a hash of column by, its row of one being repeated for each. Keys of more than
@@ -62,7 +62,22 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, n: str, tota
     parts = F.coalesce("_parts", F.lit(1))
     left = many.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     right = one.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return left.join(right, [key, "_part"]).drop("_part")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def one_text(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs in which each id has one text, whatever the order of rows, and the rows of other texts of these ids, if there are any.
+
+    Of an id's different texts the one with the smallest hash stands for it.
+    """
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    by = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(h).alias("_kept"), F.max(h).alias("_other"))
+    several = store(by.where("_kept != _other").select(F.col(doc_id), "_kept"), "texts-of-one-id")
+    if several.isEmpty():
+        return docs, None
+    marked = docs.join(several, doc_id, "left").withColumn("_own", F.coalesce(F.col("_kept") == h, F.lit(True)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where("_own").select(*columns), marked.where("not _own").select(*columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

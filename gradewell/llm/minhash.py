@@ -16,7 +16,7 @@ an estimate under 0.6 at a true 0.8 has one below 1e-7 as well.
 
 Edge cases: a null text, and one without words, has the empty set and is linked
 with nothing; a text of fewer words than a shingle has its whole sequence as one
-shingle; doc_id identifies a document, so rows that repeat one are one node;
+shingle; doc_id identifies a document, so rows that repeat one are one node, for which one of its texts stands if they differ (one_text());
 rows of a null doc_id are not linked; an empty table gives no rows; other columns are ignored.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm._store import spread_join, store, table
+from gradewell.llm._store import one_text, spread_join, store, table
 from gradewell.llm._words import Words, mix, slices
 from gradewell.llm.components import components
 
@@ -307,10 +307,14 @@ def _groups(t: pa.Table) -> np.ndarray:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept. doc_id is an integer."""
+    docs, others = one_text(docs.select(doc_id, text), doc_id, text)
     base = store(signatures(docs, doc_id, text, shingle).withColumn(doc_id, F.col(doc_id).cast("long")), "signatures")
     keyed = base.where(f"n > 0 and `{doc_id}` is not null")
-    sets_of = keyed.groupBy("k1", "k2", "n").agg(F.min(doc_id).alias("doc"))
-    member = store(keyed.select(F.col(doc_id).alias("id"), "k1", "k2", "n").join(sets_of, ["k1", "k2", "n"]).select("id", "doc").distinct(), "classes")
+    rows = keyed.select(F.col(doc_id).alias("id"), F.struct("k1", "k2", "n").alias("set"))
+    copies = store(rows.groupBy("set").agg(F.min("id").alias("doc"), F.count("*").alias("c")).where("c > 1"), "copies")
+    n_copies = copies.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    member = spread_join(rows, copies, "set", "id", "c", n_copies, "left")
+    member = store(member.select("id", F.coalesce("doc", "id").alias("doc")).distinct(), "classes")
     sigs = base.join(member.where("id = doc").select(F.col("id").alias(doc_id)), doc_id, "left_semi").select(F.col(doc_id).alias("doc"), "n", "sig")
 
     bands = _bands(sigs)
@@ -349,7 +353,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not rest.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     labels = member.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("id").alias(doc_id), F.coalesce("component", "doc").alias("component"))
-    out = base.select(doc_id, F.col("n").alias("n_shingles")).join(labels, doc_id, "left").withColumn("component_id", F.coalesce("component", F.col(doc_id)))
+    counts = base.select(doc_id, F.col("n").alias("n_shingles"))
+    if others is not None:
+        counts = counts.unionByName(signatures(others, doc_id, text, shingle).select(F.col(doc_id).cast("long").alias(doc_id), F.col("n").alias("n_shingles")))
+    out = counts.join(labels, doc_id, "left").withColumn("component_id", F.coalesce("component", F.col(doc_id)))
     return out.select(doc_id, "n_shingles", "component_id", F.col(doc_id).eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -21,7 +21,7 @@ their own, each keyed by its whole content, and step 2 settles them as it settle
 
 Edge cases: a null text is empty and loses nothing; texts shorter than MATCH
 lose nothing; doc_id gives the order and identifies a document: rows that repeat it
-and its text do not repeat each other; an empty table gives no rows; columns other
+and its text do not repeat each other, and of different texts of one doc_id only one is looked at (one_text()), the others lose nothing; an empty table gives no rows; columns other
 than the two named are not looked at. doc_id is an integer; rows of a null one lose nothing and are nobody's earlier text.
 """
 
@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.llm import induced_sort
-from gradewell.llm._store import store, table
-from gradewell.llm._words import mix, prefix_hash, slices, span_hash
+from gradewell.llm._store import one_text, store, table
+from gradewell.llm._words import bytes_hash, mix, prefix_hash, slices, span_hash
 
 MATCH, KMER = 100, 24
 HOT = 2000  # different regions of one anchor in one shard
@@ -75,7 +75,7 @@ def regions_of(raw: np.ndarray, off: np.ndarray, match: int = MATCH, kmer: int =
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (t[1:] != t[:-1])]))
     first, last = start[new], start[np.append(new[1:], len(start)) - 1]
     a, t = anchor[new], t[new]
-    return t, first - off[t], last - first + 1, a - first, span_hash(prefix, a, a + kmer), span_hash(prefix, first, last + match)
+    return t, first - off[t], last - first + 1, a - first, span_hash(prefix, a, a + kmer), bytes_hash(raw, first, last + match)
 
 
 def _again(*columns: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def _windows(docs: DataFrame, doc_id: str, text: str, crowded: DataFrame, match:
                 start = starts[here][of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
                 doc = batch.column(0).slice(a, b - a).to_numpy().astype(np.int64)[t[of]]
                 first = off[t[of]] + start
-                content = span_hash(prefix_hash(raw), first, first + match)
+                content = bytes_hash(raw, first, first + match)
                 with np.errstate(over="ignore"):
                     key = mix(content + mix(anchors[here][of].view(np.uint64)))
                 yield from _places(key, content, doc, start, np.full(len(of), 256))
@@ -389,6 +389,7 @@ def _kept(body: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", match: int = MATCH, memory: int = SHARD_MEMORY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    docs, others = one_text(docs.select(doc_id, text), doc_id, text)
     spans = store(repeated_spans(docs, doc_id, text, match, memory), "spans")
 
     def digest(body: bytes, own: list[tuple[int, int]]) -> tuple:
@@ -399,9 +400,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(text), F.lit(""))
     ids = spans.select(F.col("doc").alias(doc_id))
     few = ids.limit(FEW + 1).count() <= FEW
-    plain = docs.select(doc_id, F.octet_length(body).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"))
-    untouched = plain.join(F.broadcast(ids) if few else ids, doc_id, "left_anti")
-    return untouched.unionByName(changed)
+    whole = [F.octet_length(body).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(body, 256).alias("kept_sha256")]
+    untouched = docs.select(doc_id, *whole).join(F.broadcast(ids) if few else ids, doc_id, "left_anti")
+    out = untouched.unionByName(changed)
+    return out if others is None else out.unionByName(others.select(doc_id, *whole))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,7 +411,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated spans, cut at whole characters; documents of which nothing is left go."""
+    """Texts without their repeated spans, cut at whole characters; documents of which nothing is left go. Rows that repeat a document stay as many."""
+    docs, others = one_text(docs, "doc_id", "text")
     spans = store(repeated_spans(docs), "spans")
 
     def rest(body: bytes, own: list[tuple[int, int]]) -> tuple:
@@ -423,11 +426,13 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             inner.append((a, b))
         return (_kept(body, inner).decode("utf-8"),)
 
-    changed = _cut(docs, spans, "doc_id", "text", "rest string", rest)
+    # one row a document, whose id its rows meet
+    changed = _cut(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), spans, "doc_id", "text", "rest string", rest)
     # the document rides along as one struct, so its columns may have any names
     whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"))
     new = F.col("_document").withField("text", F.col("rest"))
     if "n_chars" in docs.columns:
         new = new.withField("n_chars", F.length("rest").cast(dict(docs.dtypes)["n_chars"]))
     untouched = whole.join(spans.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti").select("_document.*")
-    return untouched.unionByName(whole.join(changed, "doc_id").where("rest != ''").select(new.alias("_document")).select("_document.*"))
+    out = untouched.unionByName(whole.join(changed, "doc_id").where("rest != ''").select(new.alias("_document")).select("_document.*"))
+    return out if others is None else out.unionByName(others)

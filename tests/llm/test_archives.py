@@ -109,36 +109,133 @@ def test_conversations_round_trip(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def suffixes(text, most):
+    want = sorted(range(len(text)), key=lambda i: text[i:], reverse=True)
+    common = [0]
+    for a, b in zip(want, want[1:]):
+        k = 0
+        while k < most and a + k < len(text) and b + k < len(text) and text[a + k] == text[b + k]:
+            k += 1
+        common.append(k)
+    return want, common
+
+
+def induced(text, most, memory):
+    pos, lcp = [], []
+    induced_sort.sort(np.array(text, dtype=np.uint32), lambda p, c: (pos.extend(p.tolist()), lcp.extend(c.tolist())), most, memory)
+    return pos, lcp
+
+
 def test_induced_sorting(monkeypatch):
     rng = random.Random(2)
-    for _ in range(250):
-        monkeypatch.setattr(induced_sort, "BLOCK", rng.choice([1, 2, 3, 1 << 17]))
-        monkeypatch.setattr(induced_sort, "BUCKETS", rng.choice([2, 4096]))
-        text = [rng.randint(1, rng.choice([1, 2, 3, 6])) for _ in range(rng.randint(0, 40))] + [0]
+    for i in range(240):
+        monkeypatch.setattr(induced_sort, "BLOCK", rng.choice([1, 2, 3, 16, 1 << 17]))
+        monkeypatch.setattr(induced_sort, "FAN", rng.choice([2, 3, 8]))
+        text = [rng.randint(1, rng.choice([1, 2, 3, 6, 40])) for _ in range(rng.randint(0, 40 if i % 4 else 300))] + [0]
+        if i % 5 == 0:
+            text = text[:-1] * 3 + [0]
         most = rng.choice([1, 3, 50])
-        pos, lcp = [], []
-        induced_sort.sort(np.array(text, dtype=np.uint16), lambda p, c: (pos.extend(p.tolist()), lcp.extend(c.tolist())), most, rng.choice([1, 1 << 20]))
-        want = sorted(range(len(text)), key=lambda i: text[i:], reverse=True)
-        common = [0]
-        for a, b in zip(want, want[1:]):
-            k = 0
-            while k < most and a + k < len(text) and b + k < len(text) and text[a + k] == text[b + k]:
-                k += 1
-            common.append(k)
-        assert pos == want and lcp == common
-
-
-def test_pipeline(spark, rows, items, tmp_path):
-    import corpus_pipeline
+        assert induced(text, most, rng.choice([1, 200, 1 << 20])) == suffixes(text, most)
+
+
+def test_induced_sorting_of_many_symbols_in_little_memory(monkeypatch):
+    """Over 4,096 symbols, and over 4,096 names in the recursion, with queues and arrays of a few kilobytes: files hold the rest."""
+    rng = random.Random(6)
+    names, kept = [], induced_sort._order
+    monkeypatch.setattr(induced_sort, "_order", lambda x, *a: (names.append(int(x.max()) + 1), kept(x, *a))[1])
+    many = [rng.randint(1, 9000) for _ in range(16_000)] + [0]
+    words = [[rng.randint(2, 90) for _ in range(rng.randint(3, 9))] + [1] for _ in range(5500)]
+    few = [c for _ in range(6000) for c in rng.choice(words)] + [0]
+    for text in (many, few):
+        assert induced(text, 40, 1 << 12) == suffixes(text, 40)
+    assert max(names) > 4096
+
+
+def plain_pipeline(rows, items):
+    """The pipeline in plain Python: doc_id and text of what the first four stages leave."""
+    from test_documents import ALNUM, WORD, Counter, low, plain_components
+
+    from gradewell.llm.quality_rules import STOP_WORDS
+
+    def good(text):
+        w = WORD.findall(text or "")
+        times = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        hit = {j for i in range(len(w) - 4) if times[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        if len(w) < 10 or 100 * len(hit) > 20 * len(w):
+            return False
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        n, m = len(w), max(1, len(lines))
+        symbols = sum(text.count(c) for c in "#*$%&|<>")
+        checks = [
+            (20, 2.5 <= sum(map(len, w)) / n <= 12), (0, symbols / n <= 0.1), (20, text.count("!") / n <= 0.3), (50, sum(x.lower() in STOP_WORDS for x in w) / n >= 0.05),
+            (50, (len(lines) - len(set(lines))) / m <= 0.5), (50, sum(x.lstrip(" ")[:1] in ("-", "*", "•") for x in lines) / m <= 0.9), (50, sum(x.endswith(("...", "…")) for x in lines) / m <= 0.3),
+        ]
+        return all(n < least or ok for least, ok in checks)
+
+    rows = [(d, t) for d, t in rows if good(t)]
+    component = {d: c for d, (_, c) in plain_components(rows, k=5).items()}
+    rows = sorted({(d, t) for d, t in rows if component[d] == d})
+    seen, left = set(), []
+    for doc, text in rows:
+        body = text.encode()
+        cover = bytearray(len(body))
+        for i in range(len(body) - 99):
+            if body[i : i + 100] in seen:
+                cover[i : i + 100] = b"\1" * 100
+            seen.add(body[i : i + 100])
+        at, kept = 0, []
+        for c in text:
+            n = len(c.encode())
+            if not all(cover[at : at + n]):
+                kept.append(c)
+            at += n
+        if kept:
+            left.append((doc, "".join(kept)))
+    windows = set()
+    for text in items:
+        w = low(text, ALNUM)
+        n = min(10, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1 if w else 0)}
+    sizes = {len(k) for k in windows}
+    return {d: t for d, t in left if not any(tuple(w[k : k + n]) in windows for w in [low(t, ALNUM)] for n in sizes for k in range(len(w) - n + 1))}
+
+
+def test_pipeline_equals_plain_python(spark, rows, items, tmp_path):
+    """Nulls, empty and long texts, repeated rows, copies, near copies, shared passages, benchmark leaks; columns that clash with working names."""
+    import zlib
 
-    full = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    import corpus_pipeline
+    from test_documents import library
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _words string, component string"
+    twice = [r for r in rows if r[1] and len(r[1]) > 300][:6]
+    leak = next(r.text for r in items.collect() if r.text and len(r.text.split()) > 12)
+    more = [(1000, "".join(f"word{i} of the " for i in range(40)), "en", "s", 1, "", ""), (1001, "the beginning of it and then " + leak + " and the end of it", "en", "s", 1, "", "")]
+    every = [(*r[:5], "w", "c") for r in [*rows, *twice]] + [more[0], *more]
+    full = spark.createDataFrame(every, schema).repartition(4)
     full.write.parquet(str(tmp_path / "documents.parquet"))
     items.select("item_id", "text").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    want = plain_pipeline([(r[0], r[1]) for r in every], [r.text for r in items.collect()])
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), full.schema)
-        seen.append(docs.count())
         assert docs.columns == full.columns, name
-    assert seen == sorted(seen, reverse=True) and 0 < seen[-1] < seen[0] < len(rows)
-    pieces = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
+    assert {r.doc_id: r.text for r in docs.collect()} == want and docs.count() == len(want) < len(rows)
+    assert 1000 in want and 1001 not in want and all(r.n_chars == len(r.text) for r in docs.where("doc_id < 1000").collect())
+    tok, pieces = library(), {}
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(p.doc_id, []).append(p)
+    assert set(pieces) == set(want)
+    for doc, own in pieces.items():
+        ids = [*tok.encode(want[doc], add_special_tokens=False).ids, 0]
+        at = 0
+        for p in sorted(own, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[at : at + p.length]))
+            at += p.length
+        assert at == len(ids)
+    # empty tables
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(str(empty / "documents.parquet"))
+    items.limit(0).select("item_id", "text").write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

@@ -179,6 +179,25 @@ def test_repeated_rows_do_not_repeat_each_other(spark, docs, rows):
     assert [r.text for r in left] == [more.first().text] * 2
 
 
+def test_one_id_with_two_texts_and_repeated_rows_with_spans(spark):
+    """Whatever the partitions: one of the texts stands for the document, rows are as many as before, and n_removed never exceeds n_bytes."""
+    long = "".join(f"{i}, " for i in range(90))
+    rows = [(1, long), (2, "begin " + long + " end"), (2, "begin " + long + " end"), (3, "short"), (3, long + "x"), (3, "é" * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = set()
+    for n in (1, 5):
+        got = suffix_dedup.remove_repeats(df.repartition(n)).collect()
+        assert len(got) == len(rows) and all(r.n_removed <= r.n_bytes for r in got)
+        assert sorted(r.n_removed for r in got if r.doc_id == 2)[0] == len(long)
+        seen.add(tuple(sorted(map(tuple, got))))
+        left = suffix_dedup.repeat_stage(spark, df.repartition(n), "").collect()
+        assert sorted(r.text for r in left if r.doc_id < 3) == sorted([long, "begin  end", "begin  end"])
+        near = minhash.near_duplicates(df.repartition(n)).collect()
+        assert len(near) == len(rows) and {r.component_id for r in near if r.doc_id == 3} in ({3}, {1})
+        seen.add(tuple(sorted(map(tuple, near))))
+    assert len(seen) == 2
+
+
 def test_a_crowded_anchor_is_split_until_shards_are_bounded(spark, monkeypatch):
     """A line in many documents of different text: no shard has more than PARTS * HOT regions of its anchors, and repeats are exact."""
     import random
@@ -413,6 +432,37 @@ def test_license_scan(spark, docs, no_docs):
     assert license_scan.scan(no_docs, known).count() == 0 and license_scan.scan(docs, known.limit(0)).count() == 0
 
 
+def test_license_scan_equals_exact_containment(spark):
+    """Whole, edited and cut notices anywhere in texts: the scan finds what counting the shingles of every window finds."""
+    import random
+
+    rng = random.Random(12)
+    junk = lambda n: " ".join(rng.choice(["alpha", "of", "the", "software", "license", "to", "any"]) for _ in range(n))
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.translate(LOWER))
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    texts = []
+    for i in range(250):
+        w = words(rng.choice(list(license_scan.TEMPLATES.values())))
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            w[rng.randrange(len(w))] = "edited"
+        if i % 5 == 0:
+            w = w[: max(5, int(len(w) * rng.random()))]
+        texts.append(f"{junk(rng.randint(0, 40))} {' '.join(w)} {junk(rng.randint(0, 40))}")
+    want = {}
+    for name, notice in license_scan.TEMPLATES.items():
+        n, own = len(words(notice)), set(grams(words(notice)))
+        step = 2 ** max(math.floor(math.log2(n - 1)) - 3, 0)
+        size = math.ceil(n / step) * step
+        for doc, t in enumerate(texts):
+            g = grams(words(t))
+            best = max((len(own & set(g[k : k + 2 * size - 4])) / len(own) for k in range(0, len(g), size)), default=0)
+            if best >= license_scan.CONTAINED:
+                want[doc, name] = best
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.license_id): r.containment for r in license_scan.scan(df, license_scan.registry(spark)).collect()}
+    assert len(want) > 100 and got == pytest.approx(want)
+
+
 def test_license_scan_misses_no_short_notice(spark):
     """200 notices of one shingle at each place of 6,000 different texts: bands alone miss some."""
     notices = {f"n{k}": " ".join(f"n{k}{c}" for c in "abcde") for k in range(200)}
