@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage
 before kept, and returns the columns of documents; the last returns the packed
 pieces. run() writes each stage's result to the shared folder and reads it back.
+
+Edge cases: a null or empty text fails the quality rules; an empty table gives no pieces; rows that repeat a doc_id and its text become
+one, and of different texts of one doc_id one stands for it where documents are compared; columns other than doc_id and text, of any
+names, ride along to the last stage (n_chars follows the text); very long texts are whole in each stage.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Near-duplicate components, repeated passages and token ids are beyond SQL; tests hold run() against its stages, and operators against brute force.
+#: Near-duplicate components, repeated passages and token ids are beyond SQL; a test holds the stages and run() against the same work in plain Python.
 ORACLE_SQL = None
 
 
