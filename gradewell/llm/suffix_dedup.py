@@ -186,7 +186,9 @@ def _only(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
 
 def _bytes(docs: DataFrame, doc_id: str, text: str, opened: DataFrame, match: int) -> DataFrame:
     """shard, doc, start, windows, body: the bytes of open regions, hot anchors dealt by the anchor's place."""
-    hot = opened.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT)
+    # at most one in HOT open regions names such an anchor: a short list, so regions of one anchor need not meet in a task
+    hot = store(opened.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT), "hot-anchors")
+    hot = F.broadcast(hot) if hot.count() <= FEW else hot
     parts = F.least(F.lit(PARTS), F.ceil(F.coalesce("c", F.lit(0)) / HOT)).cast("int")
     by_doc = (
         opened.join(hot, "anchor", "left").withColumn("parts", F.greatest(F.lit(1), parts))
