@@ -17,10 +17,10 @@ def _(spark, d):
     return q.select("row_id", C.column_at(q, 1).alias("second"), C.column_at(q, -1).cast("long").alias("last"))
 
 
-@query("c2_insert_columns", "SELECT p_partkey AS row_id, 'CDPK' AS source, CAST(NULL AS VARCHAR) AS note, p_name AS question FROM part")
+@query("c2_insert_columns", "SELECT p_partkey AS row_id, 'exam' AS source, CAST(NULL AS VARCHAR) AS note, p_name AS question FROM part")
 def _(spark, d):
     q = questions(spark, d).select("row_id", "question")
-    return C.insert_columns(q, 1, {"source": F.lit("CDPK"), "note": F.lit(None).cast("string")})
+    return C.insert_columns(q, 1, {"source": F.lit("exam"), "note": F.lit(None).cast("string")})
 
 
 @query("c3_drop_columns", "SELECT p_partkey AS row_id, p_name AS question FROM part")
