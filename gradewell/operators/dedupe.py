@@ -14,6 +14,8 @@ from gradewell.sources.shared import settled
 
 BLOCK = 256  # texts compared with another block at once
 BAND = math.log(1.1)  # lengths within a tenth share a band
+RANGE = 65_536  # row numbers that one window holds
+SENT = 64 << 20  # bytes of queries, in all their bands, that are sent to every task
 
 
 def exact_flags(df: DataFrame, columns: Sequence[str], name: str = "is_duplicate", keep: str | bool = "first", row: str = "row_id") -> DataFrame:
@@ -109,36 +111,65 @@ def fuzzy_links(df: DataFrame, columns: Sequence[str], low: float, strict: bool
 
 
 def _members(df: DataFrame, columns: Sequence[str], by: Sequence[str], row: str) -> DataFrame:
-    """Each row with its class and the mean ratio of the class to itself: a missing text is like no other, not even a missing one."""
+    """Each row with its class and the mean ratio of the class to itself: a missing text is like no other, not even a missing one.
+
+    Classes are found by an aggregate and joined back, one row each, so copies of one text do not pass through one task.
+    """
     held = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
-    return df.select(F.col(row).alias("_j"), F.min(row).over(Window.partitionBy(*by, *columns)).alias("_class"), (100.0 * held / len(columns)).alias("_own"))
+    keys = [*by, *columns]
+    classes = df.groupBy(*keys).agg(F.min(row).alias("_class")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_class")
+    on = F.lit(True)
+    for i, c in enumerate(keys):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    own = df.select(F.col(row).alias("_j"), *keys, (100.0 * held / len(columns)).alias("_own"))
+    return own.join(classes, on).select("_j", "_class", "_own")
+
+
+def _latest_before(both: DataFrame, members: DataFrame) -> DataFrame:
+    """_j and _ratio: the ratio of each row to the latest earlier row of the classes that its own is linked to.
+
+    The rows of the two classes of a link stand in order, dealt by ranges of row numbers; a range begins with the
+    last row of those before it, so a window holds at most two rows for each of RANGE numbers.
+    """
+    none = F.lit(None).cast("long")
+    mine = both.join(members, "_class").select("_class", "_other", "ratio", F.col("_j").cast("long").alias("_j"), none.alias("_i"))
+    theirs = both.join(members.select(F.col("_class").alias("_other"), "_j"), "_other").select("_class", "_other", "ratio", none.alias("_j"), F.col("_j").cast("long").alias("_i"))
+    at = F.coalesce("_j", "_i")
+    rows = mine.unionByName(theirs).withColumn("_range", F.floor(at / RANGE))
+    key = ["_class", "_other", "_range"]
+    ahead = Window.partitionBy("_class", "_other").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begun = rows.groupBy(*key).agg(F.max("_i").alias("_most")).select(*key, F.max("_most").over(ahead).alias("_begun"))
+    inside = Window.partitionBy(*key).orderBy(at, F.col("_j").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.withColumn("_i", F.last("_i", ignorenulls=True).over(inside)).where("_j is not null").join(begun, key)
+    last = last.withColumn("_i", F.coalesce("_i", "_begun")).where("_i is not null")
+    return last.groupBy("_j").agg(F.max_by("ratio", "_i").alias("_ratio"))
 
 
 def fuzzy_flags(df: DataFrame, columns: Sequence[str], threshold: float, name: str = "is_fuzzy_duplicate", by: Sequence[str] = (), row: str = "row_id", versions: bool = False, ratios: bool = False) -> DataFrame:
     """Flags each row that has an earlier row of a mean ratio above threshold.
 
     With versions, "duplicate" for flagged rows and "original" for others that a
-    later row repeats; with ratios, the ratio to the latest earlier row that it repeats.
+    later row repeats; with ratios, the ratio to the latest earlier row that it repeats, whose
+    cost is the rows of both classes for each link. Without ratios a class needs only the first and last row of those it is linked to.
     """
     links = settled(fuzzy_links(df, columns, threshold, by=by, row=row))
     both = links.select(F.col("a").alias("_class"), F.col("b").alias("_other"), "ratio").unionByName(links.select(F.col("b").alias("_class"), F.col("a").alias("_other"), "ratio"))
     members = _members(df, columns, by, row)
     own = members.where(F.col("_own") > threshold).select("_class", F.col("_class").alias("_other"), F.col("_own").alias("ratio")).distinct()
     both = both.unionByName(own)
-    # the rows of the two classes of a link in order: the last row of the other class before each row of this one
-    mine = both.join(members, "_class").select("_class", "_other", "ratio", "_j", F.lit(None).cast("long").alias("_i"))
-    theirs = both.join(members.select(F.col("_class").alias("_other"), "_j"), "_other").select("_class", "_other", "ratio", F.lit(None).cast("long").alias("_j"), F.col("_j").cast("long").alias("_i"))
-    at = F.coalesce("_j", "_i")
-    w = Window.partitionBy("_class", "_other").orderBy(at, F.col("_j").isNull())
-    last = mine.unionByName(theirs).withColumn("_i", F.last("_i", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("_j is not null and _i is not null")
-    found = last.groupBy(F.col("_j").alias(row)).agg(F.max_by("ratio", "_i").alias("_ratio"))
-    out = df.join(found, row, "left").withColumn(name, F.col("_ratio").isNotNull())
+    # a class is named by its first row
+    ends = both.groupBy("_class").agg(F.min("_other").alias("_first"))
+    if versions:
+        latest = members.groupBy(F.col("_class").alias("_other")).agg(F.max("_j").alias("_latest"))
+        ends = ends.join(both.join(latest, "_other").groupBy("_class").agg(F.max("_latest").alias("_latest")), "_class")
+    found = members.join(ends, "_class").select(F.col("_j").alias(row), *ends.columns[1:])
+    out = df.join(found, row, "left").withColumn(name, F.coalesce(F.col(row) > F.col("_first"), F.lit(False)))
     if versions:
-        # a class's earlier rows are originals of what comes after them in the class or in a linked one
-        latest = both.join(members.select(F.col("_class").alias("_other"), "_j"), "_other").groupBy("_class").agg(F.max("_j").alias("_latest"))
-        first = members.join(latest, "_class").where(F.col("_j") < F.col("_latest")).select(F.col("_j").alias(row), F.lit(True).alias("_first"))
-        out = out.join(first.distinct(), row, "left").withColumn("version", F.when(F.col(name), "duplicate").when(F.col("_first"), "original")).drop("_first")
-    return out.withColumnRenamed("_ratio", "fuzzy_ratio") if ratios else out.drop("_ratio")
+        out = out.withColumn("version", F.when(F.col(name), "duplicate").when(F.col(row) < F.col("_latest"), "original"))
+    if ratios:
+        out = out.join(_latest_before(both, members).select(F.col("_j").alias(row), F.col("_ratio").alias("fuzzy_ratio")), row, "left")
+    kept = [*df.columns, *(["fuzzy_ratio"] if ratios else []), name, *(["version"] if versions else [])]
+    return out.select(*[F.col(f"`{c}`") for c in kept])
 
 
 def staged_flags(df: DataFrame, columns: Sequence[str], threshold: float, row: str = "row_id") -> DataFrame:
@@ -194,21 +225,26 @@ def similar_to(df: DataFrame, text: str, column: str, threshold: float) -> DataF
 
 
 def fuzzy_matches(queries: DataFrame, known: DataFrame, query: str, text: str, low: float, high: float = 100.0, most_queries: int = 10_000) -> DataFrame:
-    """Rows of known within [low, high] of each query text; up to most_queries are sent to all tasks, more are dealt by length and in blocks."""
-    n = queries.count()
+    """Rows of known within [low, high] of each query text.
+
+    Texts meet by bands of length, of which each query has all that allow the ratio. Up to most_queries of SENT bytes are sent
+    to all tasks; more are dealt in blocks of that number, and each known row meets every block of its band.
+    """
     a, b = F.length(query), F.length(text)
     fits = 200 * F.least(a, b) >= (low - 0.5) * (a + b)
-    if n <= most_queries:
-        joined = known.join(F.broadcast(queries), fits)
+    banded = low > 0.5
+    band = lambda length: F.floor(F.log(F.greatest(length, F.lit(1))) / BAND).cast("int") if banded else F.when(length >= 0, 0)
+    reach = math.ceil(math.log((200 - low + 0.5) / (low - 0.5)) / BAND) + 1 if banded else 0
+    dealt = queries.withColumn("_band", F.explode(F.sequence(band(a) - reach, band(a) + reach)))
+    placed = known.withColumn("_band", band(b))
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(query)), F.lit(0))).first()
+    if n <= most_queries and size * (2 * reach + 1) <= SENT:
+        joined = placed.join(F.broadcast(dealt), "_band")
     else:
-        # lengths that fit lie within a number of bands, and each known row meets every block of those
-        blocks = math.ceil(n / most_queries)
-        banded = low > 0.5
-        band = lambda length: F.floor(F.log(F.greatest(length, F.lit(1))) / BAND).cast("int") if banded else F.lit(0)
-        reach = math.ceil(math.log((200 - low + 0.5) / (low - 0.5)) / BAND) + 1 if banded else 0
-        dealt = queries.withColumn("_band", band(a)).withColumn("_block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int"))
-        near = known.withColumn("_band", F.explode(F.sequence(band(b) - reach, band(b) + reach))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        joined = near.join(dealt, ["_band", "_block"]).where(fits).drop("_band", "_block")
+        blocks = F.lit(max(2, math.ceil(n / most_queries)))
+        dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(query), blocks).cast("int"))
+        joined = placed.withColumn("_block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))).join(dealt, ["_band", "_block"]).drop("_block")
+    joined = joined.where(fits).drop("_band")
     return joined.withColumn("ratio", fuzz_ratio(F.col(query), F.col(text))).where(F.col("ratio").between(low, high))
 
 

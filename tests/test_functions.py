@@ -75,7 +75,9 @@ def test_common_subsequence():
     assert dedupe.fuzzy_ratio(None, "x") == 0 and dedupe.fuzzy_ratio("", "") == 100
 
 
-def test_fuzzy_flags_equal_the_double_loop(spark):
+@pytest.mark.parametrize("span", [8, 65_536])
+def test_fuzzy_flags_equal_the_double_loop(spark, monkeypatch, span):
+    monkeypatch.setattr(dedupe, "RANGE", span)  # windows of many ranges, and of one
     rng = random.Random(3)
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randint(8, 30))) for _ in range(12)]
     texts = [t if rng.random() < 0.4 else t[:-1] + rng.choice("xyz") for t in base for _ in range(4)] + [None, None]
@@ -92,6 +94,8 @@ def test_fuzzy_flags_equal_the_double_loop(spark):
     assert [r["is_fuzzy_duplicate"] for r in got] == flag
     assert [r["version"] for r in got] == version
     assert [r["fuzzy_ratio"] for r in got] == ratio
+    plain = dedupe.fuzzy_flags(df, ["q"], 80).orderBy("row_id").collect()
+    assert [r["is_fuzzy_duplicate"] for r in plain] == flag
 
 
 def test_must_match_raises(spark):
@@ -115,12 +119,13 @@ def test_positions_keep_the_answer(spark):
     assert all(r["abcd"["ABCD".index(r["answer"])]] == "x" for r in got)
 
 
-def test_fuzzy_matches_of_more_queries_than_are_sent(spark):
+@pytest.mark.parametrize("most", [4, 10_000])
+def test_fuzzy_matches_of_more_queries_than_are_sent(spark, most):
     from gradewell.operators import dedupe
 
     texts = [f"question {i * 37} about {'x' * (i % 9)} fractions" for i in range(40)] + ["", "a"]
     known = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     queries = known.where("item_id % 2 = 0").select(known["text"].alias("query"))
     want = sorted((i, q, dedupe.fuzzy_ratio(q, x)) for i, x in enumerate(texts) for q in texts[::2] if 70 <= dedupe.fuzzy_ratio(q, x) <= 100)
-    got = dedupe.fuzzy_matches(queries, known, "query", "text", 70, 100, most_queries=4)
+    got = dedupe.fuzzy_matches(queries, known, "query", "text", 70, 100, most_queries=most)
     assert sorted((r.item_id, r["query"], r.ratio) for r in got.collect()) == want
