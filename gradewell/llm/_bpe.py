@@ -12,10 +12,13 @@ import re
 import unicodedata
 from functools import cache
 
+import ahocorasick
 import numpy as np
 
 from gradewell.llm._words import bytes_hash, equal_spans
 
+JOINED = 1 << 18  # bytes of pre-tokens that one pass counts, unless one alone has more
+PARTING = "\u0100"  # stands for no byte
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Unicode White_Space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -107,18 +110,18 @@ class Bpe:
         self.bytes_of = {i: b for b, i in self.ids.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {tuple(bytes(to_byte[c] for c in part) for part in m): r for r, m in enumerate(merges)}
-        self.longest = max(map(len, self.ids))
-        by_end: dict[bytes, set[int]] = {}
-        for b in self.ids:
-            by_end.setdefault(b[-2:], set()).add(len(b))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in by_end.items()}
+        # all tokens that end at a place are found in one pass; bytes stand as characters of the same number
+        self.endings = ahocorasick.Automaton()
+        for b, t in self.ids.items():
+            self.endings.add_word(b.decode("latin-1"), (t, len(b)))
+        self.endings.make_automaton()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.memo: dict[bytes, bytes] = {}
-        self._fast = None
+        self._fast = self._ranked()
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token by applying merges in the order of their rank."""
@@ -130,74 +133,86 @@ class Bpe:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.ids[p] for p in parts]
 
+    def _ranked(self):
+        """An encoder by ids as ranks, if ids and merges have one order; else None, and merge() is used."""
+        import tiktoken
+
+        order = [self.ids[a + b] for a, b in sorted(self.rank, key=self.rank.get)]
+        if any(x >= y for x, y in zip(order, order[1:], strict=False)) or (order and max(self.ids[bytes([b])] for b in range(256)) >= order[0]):
+            return None
+        return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=self.ids, special_tokens={})
+
     def _joins(self, a: int, b: int) -> bool:
         """Whether b may follow a: encoding their bytes together gives these two tokens."""
-        key = (a, b)
-        if (found := self.pairs.get(key)) is None:
-            if len(self.pairs) > self.MEMO:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return found
+        both = self.bytes_of[a] + self.bytes_of[b]
+        # the encoder gives a token of the vocabulary whole, without its merges
+        return (self._fast._encode_single_piece(both) if self._fast and both not in self.ids else self.merge(both)) == [a, b]
 
-    def prefixes(self, word: bytes) -> list[tuple[int, int]]:
-        """Dynamic programme over one pre-token: the last token and the count of tokens of each byte prefix.
+    def count_words(self, words: list[bytes]) -> list[bytes]:
+        """Dynamic programme over pre-tokens: the counts of tokens of all byte prefixes of each, as 32-bit numbers.
 
         A prefix ends in that one token which is compatible with the last token of the prefix before it.
         """
-        ids, whole, lengths = self.ids, self.whole, self.lengths
-        last, count = [-1], [0]
-        for i in range(1, len(word) + 1):
-            # lengths known for the last two bytes, and the last byte alone
-            for k in (*lengths.get(word[max(0, i - 2) : i], ()), *((1,) if i > 1 else ())):
-                if k > i or (t := ids.get(word[i - k : i])) is None:
-                    continue
-                if k == i:
-                    if (ok := whole.get(t)) is None:
-                        ok = whole[t] = self.merge(word[:i]) == [t]
-                else:
-                    ok = self._joins(last[i - k], t)
-                if ok:
-                    last.append(t)
-                    count.append(count[i - k] + 1)
-                    break
-            else:
-                raise ValueError("a byte is missing from the vocabulary")
-        return list(zip(last[1:], count[1:], strict=True))
-
-    def encode_word(self, word: bytes) -> bytes:
-        """Ids of one pre-token as little-endian unsigned 32-bit numbers."""
-        if self._fast is None:
-            import tiktoken
-
-            # ranks are ids when merges and ids have one order; else the slower way above is used
-            order = [self.ids[a + b] for a, b in sorted(self.rank, key=self.rank.get)]
-            ordered = all(x < y for x, y in zip(order, order[1:], strict=False)) and (not order or max(self.ids[bytes([b])] for b in range(256)) < order[0])
-            self._fast = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=self.ids, special_tokens={}) if ordered else False
-        ids = self._fast._encode_single_piece(word) if self._fast else self.merge(word)
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def count_word(self, word: bytes) -> bytes:
-        """Counts of all byte prefixes of one pre-token as 32-bit numbers."""
-        return np.array([c for _, c in self.prefixes(word)], dtype="<u4").tobytes()
+        out, a = [], 0
+        while a < len(words):
+            b, size = a + 1, len(words[a])
+            while b < len(words) and size < JOINED:
+                size += len(words[b])
+                b += 1
+            out += self._count_joined(words[a:b])
+            a = b
+        return out
+
+    def _count_joined(self, words: list[bytes]) -> list[bytes]:
+        # no token holds the separator, whose place begins the next word: no token before it, none counted
+        text = PARTING.join([w.decode("latin-1") for w in words])
+        last, count, done = [-1] * (len(text) + 1), [0] * (len(text) + 1), -1
+        pairs, whole, joins = self.pairs, self.whole, self._joins
+        if len(pairs) > self.MEMO:
+            pairs.clear()
+        for end, (t, k) in self.endings.iter(text):
+            if end == done:
+                continue
+            before = end + 1 - k
+            if (u := last[before]) < 0:
+                if (ok := whole.get(t)) is None:
+                    ok = whole[t] = self.merge(self.bytes_of[t]) == [t]
+            elif (ok := pairs.get(u << 32 | t)) is None:
+                ok = pairs[u << 32 | t] = joins(u, t)
+            if ok:
+                last[end + 1] = t
+                count[end + 1] = count[before] + 1
+                done = end
+        counts = np.array(count, dtype="<u4")
+        if len(counts) - np.count_nonzero(counts) != len(words):
+            raise ValueError("a byte is missing from the vocabulary")
+        data, out, at = counts.tobytes(), [], 4
+        for w in words:
+            out.append(data[at : at + 4 * len(w)])
+            at += 4 * len(w) + 4
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token as little-endian unsigned 32-bit numbers."""
+        encode = self._fast._encode_single_piece if self._fast else self.merge
+        return [np.array(encode(w), dtype="<u4").tobytes() for w in words]
 
     def per_word(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For byte spans: make(word) of each, as (flat values, values of each distinct word as offsets, the distinct word of each span)."""
+        """For byte spans: what make gives for a list of words, as (flat values, values of each distinct word as offsets, the distinct word of each span)."""
         _, at, which = np.unique(bytes_hash(raw, start, end), return_index=True, return_inverse=True)
         # spans of one hash are compared: one that differs from the first of its hash is a word of its own
         size = end - start
         other = np.flatnonzero((size != size[at[which]]) | ~equal_spans(raw, start, start[at[which]], size))
         which[other] = len(at) + np.arange(len(other))
         at = np.concatenate([at, other])
-        memo, parts = self.memo, []
+        memo = self.memo
         if len(memo) > self.MEMO:
             memo.clear()
         data = raw.tobytes()
-        for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True):
-            word = data[a:b]
-            got = memo.get(word)
-            if got is None:
-                got = memo[word] = make(word)
-            parts.append(got)
+        words = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        new = list(dict.fromkeys(w for w in words if w not in memo))
+        memo.update(zip(new, make(new), strict=True))
+        parts = [memo[w] for w in words]
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         return np.frombuffer(b"".join(parts), dtype="<u4"), np.concatenate([[0], np.cumsum(sizes)]), which
 

@@ -85,7 +85,7 @@ def cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
 def token_ids(bpe: _bpe.Bpe, raw: np.ndarray, off: np.ndarray, closing: int = CLOSING_ID) -> Iterator[bytes]:
     """Each text's ids and the closing id, as little-endian unsigned 32-bit numbers."""
     x = _bpe.Encoded(bpe, raw, off)
-    flat, offsets, which = bpe.per_word(raw, x.start, x.end, bpe.encode_word)
+    flat, offsets, which = bpe.per_word(raw, x.start, x.end, bpe.encode_words)
     ids, at = _bpe.expand(flat, offsets, which)
     data, ends = ids.astype("<u4").tobytes(), (4 * at[x.words_at]).tolist()
     tail = int(closing).to_bytes(4, "little")

@@ -72,7 +72,7 @@ def prefix_counts(bpe: _bpe.Bpe, raw: np.ndarray, off: np.ndarray) -> list[np.nd
 def _plain_counts(bpe: _bpe.Bpe, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """prefix_counts() of texts in which no special string counts."""
     x = _bpe.Encoded(bpe, raw, off)
-    flat, offsets, which = bpe.per_word(raw, x.start, x.end, bpe.count_word)
+    flat, offsets, which = bpe.per_word(raw, x.start, x.end, bpe.count_words)
     inside, _ = _bpe.expand(flat, offsets, which)
     last = flat[offsets[1:] - 1][which].astype(np.int64) if len(which) else np.zeros(0, dtype=np.int64)
     before = np.concatenate([[0], np.cumsum(last)])
@@ -101,10 +101,9 @@ def _plain_counts(bpe: _bpe.Bpe, raw: np.ndarray, off: np.ndarray) -> list[np.nd
 
 
 def _count(bpe: _bpe.Bpe, word: bytes) -> int:
-    key = ("whole", word)
-    if key not in bpe.memo:
-        bpe.memo[key] = bpe.prefixes(word)[-1][1]
-    return bpe.memo[key]
+    if word not in bpe.memo:
+        bpe.memo[word] = bpe.count_words([word])[0]
+    return int.from_bytes(bpe.memo[word][-4:], "little")
 
 
 def count_tokens(df: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = LIMIT, prefixes: bool = False) -> DataFrame:
