@@ -14,6 +14,7 @@ from gradewell.llm.quality_rules import op5_quality_rules
 from gradewell.llm.suffix_dedup import op8_suffix_dedup
 from gradewell.llm.token_counts import op4_token_counts
 from gradewell.llm.warc import op3_warc
+from gradewell.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
