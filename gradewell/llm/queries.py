@@ -11,6 +11,7 @@ from gradewell.llm.minhash import op7_minhash_dedup
 from gradewell.llm.oracles import SQL
 from gradewell.llm.packing import op9_packing
 from gradewell.llm.quality_rules import op5_quality_rules
+from gradewell.llm.secret_scan import op12_secret_scan
 from gradewell.llm.suffix_dedup import op8_suffix_dedup
 from gradewell.llm.token_counts import op4_token_counts
 from gradewell.llm.warc import op3_warc
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
+    "op12_secret_scan": op12_secret_scan,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
