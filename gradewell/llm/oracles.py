@@ -79,4 +79,30 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
-SQL = {"op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_decontaminate": LEAKS, "op7_minhash_dedup": NEAR}
+
+#: The patterns of the secret rules, each with the words in either case spelled out; a match is marked, and its place is what stands before the mark.
+_SECRET = (
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", "-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0, 0),
+    ("github", "gh[opsru]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+)
+_MARKED = " UNION ALL ".join(
+    rf"SELECT doc_id, {i} AS place, '{kind}' AS kind, {least} AS least, {group} AS g, string_split(regexp_replace(t, '{pattern}', chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) AS parts FROM d"
+    for i, (kind, pattern, group, least) in enumerate(_SECRET)
+)
+_GROUP = _SECRET[0][1]
+SECRETS = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS ({_MARKED}),
+c AS (SELECT doc_id, place, kind, least, g, parts, unnest(range(2, len(parts) + 1)) AS k FROM p WHERE len(parts) > 1),
+m AS (SELECT doc_id, place, kind, least, g, split_part(parts[k], chr(57345), 1) AS s, CAST(list_sum(list_transform(parts[1:k - 1], lambda x: length(replace(x, chr(57345), '')))) AS BIGINT) AS a FROM c),
+f AS (SELECT doc_id, place, kind, a, a || ':' || (a + length(s)) AS span FROM m WHERE CASE WHEN g = 2 THEN length(regexp_extract(s, '{_GROUP}', 2)) ELSE length(s) END >= least),
+n AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || span, ',' ORDER BY a, place) FILTER (place < 3) AS base, string_agg(kind || ':' || span, ',' ORDER BY a, place) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n USING (doc_id)
+"""
+
+SQL = {"op12_secret_scan": SECRETS, "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_decontaminate": LEAKS, "op7_minhash_dedup": NEAR}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from gradewell.llm.chat_format import op2_chat_format
+from gradewell.llm.conversation_repair import op11_conversation_repair
 from gradewell.llm.decontaminate import op6_decontaminate
 from gradewell.llm.license_scan import op10_license_scan
 from gradewell.llm.lm_scoring import op1_lm_score
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_secret_scan": op12_secret_scan,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
