@@ -105,4 +105,47 @@ n AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n USING (doc_id)
 """
 
-SQL = {"op12_secret_scan": SECRETS, "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_decontaminate": LEAKS, "op7_minhash_dedup": NEAR}
+def _repair() -> str:
+    """Rows of each conversation go through a list of four cells in order; a cell is the cost in six digits, the audit, a mark that sorts first, and the repaired rows."""
+    crc_bit = "CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: {crc_bit})), 4294967295)"
+
+    def grown(cell: str, cost: int | str, letter: str, row: str = "NULL") -> str:
+        said = f"split_part({cell}, chr(1), 2) || CASE WHEN {row} IS NULL THEN '' ELSE chr(10) || {row} END" if row != "NULL" else f"split_part({cell}, chr(1), 2)"
+        return f"lpad(CAST(CAST(left({cell}, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || substr(split_part({cell}, chr(1), 1), 7) || '{letter}' || chr(1) || {said}"
+
+    def inserted(v: str) -> str:
+        """Inserts after which u, then ua, then aua have been said."""
+        u = lambda c: grown(c, 3, "I", "'user:'")
+        a = lambda c: grown(c, 3, "I", "'assistant:'")
+        return f"list_transform([{v}], lambda q: [q[1], q[2], least(q[3], {u('q[1]')}, {u('q[2]')}, {u('q[4]')}), q[4]])", f"lambda q: [q[1], q[2], q[3], least(q[4], {a('q[3]')})]", f"lambda q: [q[1], q[2], least(q[3], {u('q[4]')}), q[4]]"
+
+    def closed(v: str) -> str:
+        first, second, third = inserted(v)
+        return f"list_transform(list_transform({first}, {second}), {third})[1]"
+
+    keep = lambda c, kind: f"CASE WHEN r.kind = '{kind}' AND r.stays THEN {grown(c, 'r.cut', 'K', 'r.line')} END"
+    name = lambda c, who: f"CASE WHEN r.stays THEN {grown(c, '3 + r.cut', 'R', f"('{who}:' || r.text)")} END"
+    drop = lambda c: grown(c, 4, "D")
+    step = f"""list_transform([{closed("acc")}], lambda v: [{drop("v[1]")}, least({drop("v[2]")}, {keep("v[1]", "s")}),
+      least({drop("v[3]")}, {", ".join(f(f"v[{i}]", w) for i in (1, 2, 4) for f, w in ((keep, "u"), (name, "user")))}),
+      least({drop("v[4]")}, {keep("v[3]", "a")}, {name("v[3]", "assistant")})])[1]"""
+    return rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, {crc} % 20 AS f FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM h),
+o AS (SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS before, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+m AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+l AS (SELECT conv_id, pos, {{'kind': left(role, 1), 'stays': fault NOT IN ('blank', 'duplicate'), 'cut': CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'line': role || ':' || text, 'text': text}} AS r FROM m),
+g AS (SELECT conv_id, greatest(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM m GROUP BY conv_id),
+p(conv_id, pos, acc) AS (SELECT conv_id, 0::BIGINT, ['000000' || chr(1), NULL, NULL, NULL] FROM g UNION ALL SELECT p.conv_id, l.pos, {step} FROM p JOIN l ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.pos = p.pos + 1),
+e AS (SELECT conv_id, pos, {closed("acc")} AS v FROM p), b AS (SELECT conv_id, pos, least(v[1], v[4]) AS best FROM e)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(best, 6) AS BIGINT), 0) AS cost,
+  coalesce(substr(split_part(best, chr(1), 1), 7), '') AS audit, sha256(coalesce(substr(split_part(best, chr(1), 2), 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.pos = g.n
+"""
+
+
+SQL = {"op11_conversation_repair": _repair(), "op12_secret_scan": SECRETS, "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_decontaminate": LEAKS, "op7_minhash_dedup": NEAR}
