@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradewell.operators.likeness import common_subsequence, fuzzy_ratio, piece_keys, ratios, window_keys  # noqa: F401
 from gradewell.sources.shared import settled
 
-BLOCK = 256  # texts compared with another block at once
+BLOCK = 512  # texts compared with another block at once
+FEW_PAIRS = 1 << 26  # pairs that blocks compare without a look at pieces
+PIECES_FROM = 82  # below this ratio pieces are of four characters or fewer
+ROWS = 4096  # rows that are compared at once
+DEARER = 8  # pairs of a block that cost as much as two texts that meet by a piece
 BAND = math.log(1.1)  # lengths within a tenth share a band
 RANGE = 65_536  # row numbers that one window holds
 SENT = 64 << 20  # bytes of queries, in all their bands, that are sent to every task
@@ -33,83 +40,161 @@ def repeated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of bits at a time."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & at.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def fuzzy_ratio(a: str | None, b: str | None) -> int:
-    """Percentage of characters in the longest common subsequence, rounded half to even; 0 if either is missing."""
-    if a is None or b is None:
-        return 0
-    return 100 if a == b else round(200 * common_subsequence(a, b) / (len(a) + len(b)))
-
-
 @F.pandas_udf(T.IntegerType())
 def fuzz_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """fuzzy_ratio() of two columns."""
-    return pd.Series([fuzzy_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    """fuzzy_ratio() of two columns, many rows at once."""
+    out = np.zeros(len(a), dtype="int32")
+    for at in range(0, len(a), ROWS):
+        x, y = ([None if pd.isna(t) else t for t in side[at : at + ROWS]] for side in (a, b))
+        names = {t: k for k, t in enumerate(dict.fromkeys([*x, *y]))}
+        rows = [[t] for t in names]
+        out[at : at + ROWS] = ratios(rows, rows, np.array([names[t] for t in x]), np.array([names[t] for t in y]), 0)[1][0]
+    return pd.Series(out)
 
 
-def fuzzy_links(df: DataFrame, columns: Sequence[str], low: float, strict: bool = True, high: float | None = None, by: Sequence[str] = (), row: str = "row_id") -> DataFrame:
+def _classes(df: DataFrame, columns: Sequence[str], by: Sequence[str], row: str) -> DataFrame:
+    """_id, _by and _text of every class: rows that agree in all columns and in by, named by their smallest row."""
+    text = F.array(*[F.col(c).cast("string") for c in columns])
+    classes = df.groupBy(*by, *columns).agg(F.min(row).cast("long").alias("_id"))
+    return settled(classes.select("_id", (F.xxhash64(*by) if by else F.lit(0).cast("long")).alias("_by"), text.alias("_text")))
+
+
+def fuzzy_links(df: DataFrame, columns: Sequence[str], low: float, strict: bool = True, high: float | None = None, by: Sequence[str] = (), row: str = "row_id", how: str | None = None) -> DataFrame:
     """a, b, ratio: different texts whose mean ratio is above low (not below, unless strict) and, if given, below high.
 
-    Texts that agree in all columns (and in by) are one class, named by its
-    smallest row, so copies form no pairs. Ratios bound lengths only, and no
-    key that is shared by all similar texts exists at the usual thresholds; classes
-    are therefore compared block by block: blocks hold texts of like length, and
-    only blocks whose lengths allow the ratio meet. Pairs that fail stay in the task.
+    Texts that agree in all columns (and in by) are one class, so copies form no pairs. A mean of low or more needs one column of as much: texts
+    meet by any column that allows it. They meet in blocks of like length, whose pairs are dropped by bounds or
+    compared many at a time; where that would be more than FEW_PAIRS and low is PIECES_FROM or more they meet by the pieces that
+    like texts must share, unless frequent pieces would make more pairs than blocks do. All ways are exact; how ("pieces" or "blocks") names one.
     """
-    classes = df.groupBy(*by, *columns).agg(F.min(row).alias("_id"))
-    total = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0))
-    held = classes.withColumn("_len", F.greatest(total, F.lit(1))).withColumn("_band", F.floor(F.log("_len") / BAND).cast("int"))
-    held = held.withColumn("_by", F.xxhash64(*by) if by else F.lit(0).cast("long"))
-    sizes = held.groupBy("_by", "_band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_salts"))
-    held = held.join(sizes, ["_by", "_band"]).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int"))
-    block = F.struct("_band", "_salt")
-    blocks = sizes.select("_by", "_band", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")).select("_by", block.alias("k"))
-    # of lengths n <= m a ratio is 200 n / (n + m) at most; for several columns only their mean is bounded: any two bands meet
-    reach = math.ceil(math.log((200 - low + 0.5) / (low - 0.5)) / BAND) + 1 if low > 0.5 and len(columns) == 1 else math.ceil(math.log(1 << 31) / BAND)
-    near = blocks.select("_by", F.col("k").alias("x"), F.explode(F.sequence(F.col("k._band"), F.col("k._band") + reach)).alias("_band"))
-    pairs = (
-        near.join(blocks.select("_by", F.col("k._band").alias("_band"), F.col("k").alias("y")), ["_by", "_band"]).where(F.col("x") <= F.col("y"))
-        .select("_by", "x", "y", F.xxhash64("_by", "x", "y").alias("_pair"))
-    )
-    text = F.array(*[F.col(c).cast("string") for c in columns]).alias("_text")
-    rows = held.select("_by", block.alias("k"), "_id", text)
-    left = rows.join(pairs.select("_by", F.col("x").alias("k"), "_pair"), ["_by", "k"]).select("_pair", "_id", "_text", F.lit(True).alias("_left"))
-    right = rows.join(pairs.where("x != y").select("_by", F.col("y").alias("k"), "_pair"), ["_by", "k"]).select("_pair", "_id", "_text", F.lit(False).alias("_left"))
-    inner = pairs.where("x = y").select("_pair", F.lit(True).alias("_inner"))
+    classes = _classes(df, columns, by, row)
+    if how is None:
+        how = "blocks"
+        if low >= PIECES_FROM:
+            pairs = _compared(_placed(classes, low)[1], low)
+            if pairs > FEW_PAIRS and _meetings(_keys(classes, low)) * DEARER < pairs:
+                how = "pieces"
+    found = _by_pieces(classes, low) if how == "pieces" else _by_blocks(classes, low)
+    above = F.col("ratio") > low if strict else F.col("ratio") >= low
+    return found.where(above if high is None else above & (F.col("ratio") < high))
+
+
+def _texts(classes: DataFrame) -> DataFrame:
+    """A row for each class and column that has a text: _id, _by, _c and t."""
+    return classes.select("_id", "_by", F.posexplode("_text").alias("_c", "t")).where(F.col("t").isNotNull())
+
+
+def _placed(classes: DataFrame, low: float) -> tuple[DataFrame, DataFrame]:
+    """Texts with their block, and the number of blocks of each band of lengths: at thresholds that bound no lengths there is one band."""
+    length = F.greatest(F.length("t"), F.lit(1))
+    band = F.floor(F.log(length) / BAND).cast("int") if low > 0.5 else F.lit(0)
+    rows = _texts(classes).withColumn("_band", band)
+    sizes = rows.groupBy("_by", "_c", "_band").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("_salts"))
+    rows = rows.join(sizes.drop("_n"), ["_by", "_c", "_band"]).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int"))
+    return rows.select("_by", "_c", F.struct("_band", "_salt").alias("k"), "_id"), sizes
+
+
+def _reach(low: float) -> int:
+    """How many bands apart like texts can be: of lengths n <= m a ratio is 200 n / (n + m) at most."""
+    return math.ceil(math.log((200 - low + 0.5) / (low - 0.5)) / BAND) + 1 if low > 0.5 else 0
+
+
+def _compared(sizes: DataFrame, low: float) -> float:
+    """How many pairs blocks compare."""
+    ahead = sizes.select("_by", "_c", F.col("_n").alias("_m"), F.explode(F.sequence(F.col("_band"), F.col("_band") + _reach(low))).alias("_band"))
+    return sizes.join(ahead, ["_by", "_c", "_band"]).agg(F.coalesce(F.sum(F.col("_n").cast("double") * F.col("_m")), F.lit(0.0))).first()[0]
+
+
+def _block_pairs(sizes: DataFrame, low: float) -> DataFrame:
+    """_by, _c, x, y, _pair: blocks whose lengths allow the ratio, each pair once."""
+    reach = _reach(low)
+    blocks = sizes.select("_by", "_c", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), "_band").select("_by", "_c", F.struct("_band", "_salt").alias("k"))
+    near = blocks.select("_by", "_c", F.col("k").alias("x"), F.explode(F.sequence(F.col("k._band"), F.col("k._band") + reach)).alias("_band"))
+    pairs = near.join(blocks.select("_by", "_c", F.col("k._band").alias("_band"), F.col("k").alias("y")), ["_by", "_c", "_band"]).where(F.col("x") <= F.col("y"))
+    return pairs.select("_by", "_c", "x", "y", F.xxhash64("_by", "_c", "x", "y").alias("_pair"))
+
+
+def _by_blocks(classes: DataFrame, low: float) -> DataFrame:
+    """Pairs of blocks, each compared in one task; a pair of texts counts in the first column that has the ratio."""
+    rows, sizes = _placed(classes, low)
+    pairs = _block_pairs(sizes, low)
+    rows = rows.join(classes.select("_id", "_text"), "_id")
+    sent = lambda side, left, which: rows.join(which.select("_by", "_c", F.col(side).alias("k"), "_pair"), ["_by", "_c", "k"]).select("_pair", "_c", "_id", "_text", F.lit(left).alias("_left"))
+    dealt = sent("x", True, pairs).unionByName(sent("y", False, pairs.where("x != y")))
 
     def compare(own: pd.DataFrame) -> pd.DataFrame:
-        one = own["_inner"].iloc[0]
-        a = own[own["_left"]]
-        b = a if one else own[~own["_left"]]
-        out = []
-        for i, x in zip(a["_id"], a["_text"], strict=True):
-            for j, y in zip(b["_id"], b["_text"], strict=True):
-                if one and j <= i:
-                    continue
-                best = sum(200 * min(len(p or ""), len(q or "")) / max(1, len(p or "") + len(q or "")) if p != q else 100 for p, q in zip(x, y, strict=True)) / len(x)
-                if best + 0.5 < low:
-                    continue
-                mean = sum(fuzzy_ratio(p, q) for p, q in zip(x, y, strict=True)) / len(x)
-                if (mean > low if strict else mean >= low) and (high is None or mean < high):
-                    out.append((min(i, j), max(i, j), mean))
-        return pd.DataFrame(out, columns=["a", "b", "ratio"])
-
-    dealt = left.unionByName(right).join(inner, "_pair", "left").withColumn("_inner", F.coalesce("_inner", F.lit(False)))
+        first = own["_left"].to_numpy()
+        a, b = own[first], own[~first]
+        inner = not len(b)
+        b = a if inner else b
+        i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+        x, y = a["_id"].to_numpy()[i], b["_id"].to_numpy()[j]
+        if inner:
+            once = x < y
+            i, j, x, y = i[once], j[once], x[once], y[once]
+        c = int(own["_c"].iloc[0])
+        mean, each = ratios(a["_text"].tolist(), b["_text"].tolist(), i, j, low)
+        # a pair that also meets by an earlier column counts there
+        hit = (mean >= low) & (each[c] >= low)
+        for earlier in range(c):
+            hit &= each[earlier] < low
+        return pd.DataFrame({"a": np.minimum(x, y)[hit], "b": np.maximum(x, y)[hit], "ratio": mean[hit]})
+
     return dealt.groupBy("_pair").applyInPandas(compare, "a long, b long, ratio double")
 
 
+def _keys(classes: DataFrame, low: float) -> DataFrame:
+    """_key, _id, n, long: the keys of every text in both of its parts, as the longer and as the shorter text of a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, by, c, t in zip(*(b.column(k).to_pylist() for k in ("_id", "_by", "_c", "t")), strict=True):
+                for long, keys in ((True, piece_keys(t, low)), (False, window_keys(t, low))):
+                    letters, places = zip(*set(keys), strict=True)
+                    n = len(places)
+                    yield pa.RecordBatch.from_arrays([pa.array([v] * n, k) for v, k in ((i, pa.int64()), (by, pa.int64()), (c, pa.int32()), (len(t), pa.int32()), (long, pa.bool_()))] + [pa.array(letters, pa.string()), pa.array(places, pa.int32())], names=["_id", "_by", "_c", "n", "long", "letters", "place"])
+
+    rows = _texts(classes).mapInArrow(run, "_id long, _by long, _c int, n int, long boolean, letters string, place int")
+    return rows.select(F.xxhash64("_by", "_c", "letters", "place").alias("_key"), "_id", "n", "long")
+
+
+def _meetings(keys: DataFrame) -> float:
+    """How many pairs meet in equal keys."""
+    sizes = keys.groupBy("_key").agg(F.count_if("long").alias("p"), F.count_if(~F.col("long")).alias("q"))
+    return sizes.agg(F.coalesce(F.sum(F.col("p").cast("double") * F.col("q")), F.lit(0.0))).first()[0]
+
+
+def piece_pairs(classes: DataFrame, low: float) -> DataFrame:
+    """a, b, x, y: the pairs of classes to compare: a shared key, lengths and places that allow the ratio, and an edit distance that allows it.
+
+    An edit distance, in which a changed letter counts once, is never above the distance of the ratio.
+    """
+    keys = _keys(classes, low)
+    p = keys.where("long").select("_key", F.col("_id").alias("p"), F.col("n").alias("m"))
+    q = keys.where("not long").select("_key", F.col("_id").alias("q"), "n")
+    apart = lambda n, m: F.floor((n + m) * ((100.5 - low) / 100) + 1e-9).cast("int")
+    fits = ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("q") < F.col("p")))) & (F.col("m") - F.col("n") <= apart(F.col("n"), F.col("m")))
+    met = p.join(q, "_key").where(fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    x, y = classes.select(F.col("_id").alias("a"), F.col("_text").alias("x")), classes.select(F.col("_id").alias("b"), F.col("_text").alias("y"))
+    width = classes.select(F.size("_text")).first()
+    near = F.lit(False)
+    for c in range(width[0] if width else 0):
+        s, t = F.get("x", F.lit(c)), F.get("y", F.lit(c))
+        near = near | F.coalesce(F.call_function("levenshtein", s, t, apart(F.length(s), F.length(t))) >= 0, F.lit(False))
+    return met.join(x, "a").join(y, "b").where(near)
+
+
+def _by_pieces(classes: DataFrame, low: float) -> DataFrame:
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            at = np.arange(len(f))
+            mean = ratios(f["x"].tolist(), f["y"].tolist(), at, at, low)[0] if len(f) else np.zeros(0)
+            hit = mean >= low
+            yield pd.DataFrame({"a": f["a"].to_numpy()[hit], "b": f["b"].to_numpy()[hit], "ratio": mean[hit]})
+
+    return piece_pairs(classes, low).mapInPandas(compare, "a long, b long, ratio double")
+
+
 def _members(df: DataFrame, columns: Sequence[str], by: Sequence[str], row: str) -> DataFrame:
     """Each row with its class and the mean ratio of the class to itself: a missing text is like no other, not even a missing one.
 

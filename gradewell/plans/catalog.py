@@ -225,28 +225,6 @@ for _keep, _sql in (("first", "row_number() OVER (PARTITION BY text ORDER BY doc
         return dedupe.exact_flags(docs, ["text"], keep=keep).select(F.col("row_id").alias("doc_id"), "is_duplicate")
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
-    b = read(spark, d, "benchmark")
-    near = b.select((F.col("item_id") * 2 + 1).alias("row_id"), F.regexp_replace("text", "^[^ ]+ [^ ]+ ", "").alias("question"))
-    return b.select((F.col("item_id") * 2).alias("row_id"), F.col("text").alias("question")).unionByName(near)
-
-
-@query("f2_fuzzy_flag")
-def _(spark, d):
-    return dedupe.fuzzy_flags(items(spark, d), ["question"], 80, versions=True, ratios=True)
-
-
-@query("f9_threshold_sweep")
-def _(spark, d):
-    return dedupe.sweep(items(spark, d), ["question"], [60, 70, 80, 90])
-
-
-@query("f10_pair_report")
-def _(spark, d):
-    out = dedupe.pair_report(items(spark, d), ["question"], 70, 100)
-    return out.select("row_id", F.to_json("partners").alias("partners"))
-
-
 @query("f15_order_check", "SELECT o_custkey AS grp, bool_and(ok) AS in_order FROM (SELECT o_custkey, coalesce(o_totalprice >= lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), true) AS ok FROM orders) GROUP BY o_custkey")
 def _(spark, d):
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("row_id"), "o_totalprice")
@@ -532,13 +510,6 @@ def _(spark, d):
     return leaderboard.teacher_scores(rows).select("year", F.col("CAT_PRUEBA").alias("exam_code"), "n_teachers", F.round("score_mean", 4).alias("score_mean"), "exam")
 
 
-@query("d7_fuzzy_matches")
-def _(spark, d):
-    # queries are the items of every tenth number, more than those divisible by 100, against all items
-    b = read(spark, d, "benchmark")
-    return dedupe.fuzzy_matches(b.where("item_id % 10 = 0").select(F.regexp_replace("text", "^[^ ]+ ", "").alias("query")), b, "query", "text", 70, 100).select("item_id", "ratio")
-
-
 @query("k_window_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, d):
     from gradewell.streaming.responses import tumbling_counts

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.operators import dedupe
-from gradewell.plans.catalog import query, questions
+from gradewell.plans.catalog import query, questions, read
 
 
 def short(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,21 @@ h_{column} AS (SELECT x, y, CASE WHEN x = y THEN 100 ELSE CAST(round_even(200.0e
 r_{column} AS (SELECT x, y, ratio FROM h_{column} UNION ALL SELECT y, x, ratio FROM h_{column} WHERE x <> y)"""
 
 
+def long_ratios(column: str, table: str = "q") -> str:
+    """ratios() for texts of any length: the places of a letter are a list of 60-bit numbers, added from the lowest with a carry."""
+    full = (1 << 60) - 1
+    added = "x.o[1] + (x.o[1] & x.o[2]) + acc.c"
+    step = f"""list_reduce(list_prepend({{'c': CAST(0 AS BIGINT), 'o': CAST([] AS BIGINT[])}}, list_transform(range(len(r)), lambda k: {{'c': CAST(0 AS BIGINT), 'o': [r[k + 1], m[k + 1]]}})),
+   lambda acc, x: {{'c': ({added}) >> 60, 'o': list_append(acc.o, (({added}) | (x.o[1] - (x.o[1] & x.o[2]))) & {full})}}).o"""
+    return f"""
+t_{column} AS (SELECT {column} AS v, length({column}) AS n, CAST(ceil(length({column}) / 60.0) AS BIGINT) AS w, string_split({column}, '') AS cs FROM (SELECT DISTINCT {column} FROM {table})),
+m_{column} AS (SELECT v, n, w, cs, map(list_distinct(cs), list_transform(list_distinct(cs), lambda c: list_transform(range(w), lambda g: CAST(list_sum(list_transform(range(60), lambda i: CASE WHEN cs[g * 60 + i + 1] = c THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END)) AS BIGINT)))) AS places FROM t_{column}),
+l_{column} AS (SELECT a.v AS x, b.v AS y, a.n AS na, b.n AS nb, 60 * a.w AS bits, list_reduce(list_prepend(list_transform(range(a.w), lambda k: CAST({full} AS BIGINT)), list_transform(b.cs, lambda c: coalesce(a.places[c], list_transform(range(a.w), lambda k: CAST(0 AS BIGINT))))),
+ lambda r, m: {step}) AS r FROM m_{column} a, m_{column} b WHERE a.v <= b.v),
+h_{column} AS (SELECT x, y, CASE WHEN x = y THEN 100 ELSE CAST(round_even(200.0e0 * (bits - list_sum(list_transform(r, lambda b: bit_count(b)))) / (na + nb), 0) AS INTEGER) END AS ratio FROM l_{column}),
+r_{column} AS (SELECT x, y, ratio FROM h_{column} UNION ALL SELECT y, x, ratio FROM h_{column} WHERE x <> y)"""
+
+
 Q = "WITH q AS (SELECT p_partkey AS row_id, p_name || ' ' || p_type AS text, p_name AS question, p_type AS category, p_size % 5 AS year FROM part), "
 TEXT = Q + ratios("text")
 PAIRS = ", w AS (SELECT a.row_id AS i, b.row_id AS j, ratio FROM q a JOIN r_text ON x = a.text JOIN q b ON b.text = y WHERE a.row_id <> b.row_id)"
@@ -124,3 +139,42 @@ def _(spark, d):
 SELECT row_id, dup AS is_duplicate, NOT dup AND row_id IN (SELECT b.row_id FROM f a JOIN r_text ON x = a.text JOIN f b ON b.text = y WHERE a.row_id < b.row_id AND ratio > 85) AS is_fuzzy_duplicate FROM e""")
 def _(spark, d):
     return dedupe.staged_flags(short(spark, d), ["text"], 85).select("row_id", "is_duplicate", "is_fuzzy_duplicate")
+
+
+#: Whole benchmark items, and each once more without its first two words.
+LONG = r"WITH q AS (SELECT item_id * 2 AS row_id, text AS question FROM benchmark UNION ALL SELECT item_id * 2 + 1, regexp_replace(text, '^[^ ]+ [^ ]+ ', '') FROM benchmark), " + long_ratios("question")
+LONG_PAIRS = LONG + ", w AS (SELECT a.row_id AS i, b.row_id AS j, ratio FROM q a JOIN r_question ON x = a.question JOIN q b ON b.question = y WHERE a.row_id < b.row_id)"
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "benchmark")
+    near = b.select((F.col("item_id") * 2 + 1).alias("row_id"), F.regexp_replace("text", "^[^ ]+ [^ ]+ ", "").alias("question"))
+    return b.select((F.col("item_id") * 2).alias("row_id"), F.col("text").alias("question")).unionByName(near)
+
+
+@query("f2_fuzzy_flag", LONG_PAIRS + """, e AS (SELECT j, max_by(ratio, i) AS fuzzy_ratio FROM w WHERE ratio > 80 GROUP BY j)
+SELECT row_id, question, CAST(fuzzy_ratio AS DOUBLE) AS fuzzy_ratio, j IS NOT NULL AS is_fuzzy_duplicate, CASE WHEN j IS NOT NULL THEN 'duplicate' WHEN row_id IN (SELECT i FROM w WHERE ratio > 80) THEN 'original' END AS version FROM q LEFT JOIN e ON j = row_id""")
+def _(spark, d):
+    return dedupe.fuzzy_flags(items(spark, d), ["question"], 80, versions=True, ratios=True)
+
+
+@query("f9_threshold_sweep", LONG_PAIRS + """, b AS (SELECT j, max(ratio) AS best FROM w GROUP BY j)
+SELECT row_id, question, coalesce(best > 60, false) AS above_60, coalesce(best > 70, false) AS above_70, coalesce(best > 80, false) AS above_80, coalesce(best > 90, false) AS above_90 FROM q LEFT JOIN b ON j = row_id""")
+def _(spark, d):
+    return dedupe.sweep(items(spark, d), ["question"], [60, 70, 80, 90])
+
+
+@query("f10_pair_report", LONG + """, f AS (SELECT question, min(row_id) AS id FROM q GROUP BY question)
+SELECT a.id AS row_id, '[' || string_agg('{"row":' || b.id || ',"ratio":' || ratio || '.0}', ',' ORDER BY b.id) || ']' AS partners FROM r_question JOIN f a ON a.question = x JOIN f b ON b.question = y WHERE a.id < b.id AND ratio >= 70 AND ratio < 100 GROUP BY 1""")
+def _(spark, d):
+    out = dedupe.pair_report(items(spark, d), ["question"], 70, 100)
+    return out.select("row_id", F.to_json("partners").alias("partners"))
+
+
+@query("d7_fuzzy_matches", "WITH q AS (SELECT text FROM benchmark UNION ALL SELECT regexp_replace(text, '^[^ ]+ ', '') FROM benchmark), " + long_ratios("text") + """
+SELECT b.item_id, a.item_id AS query_id, ratio FROM benchmark a JOIN r_text ON x = regexp_replace(a.text, '^[^ ]+ ', '') JOIN benchmark b ON b.text = y WHERE ratio BETWEEN 70 AND 100""")
+def _(spark, d):
+    # every item without its first word, against all items
+    b = read(spark, d, "benchmark")
+    asked = b.select(F.col("item_id").alias("query_id"), F.regexp_replace("text", "^[^ ]+ ", "").alias("query"))
+    return dedupe.fuzzy_matches(asked, b, "query", "text", 70, 100).select("item_id", "query_id", "ratio")
