@@ -27,7 +27,6 @@ CELLS, SPREAD = 33, 12.0
 STOP = 0x20  # ends a word that is spelled: no word holds it
 END_HASH, START_HASH = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 BLOCK = 1 << 15  # symbols worked on at once
-EVERY = 4  # weights and refinement move at one block in so many, counts at each
 ONE, TWO = np.uint32(0x27D4EB2F), np.uint32(0xC2B2AE35)
 
 
@@ -113,9 +112,11 @@ def _guesses(ids: np.ndarray, keys: list[np.ndarray], start: np.ndarray, text: n
     """The latest earlier place of the text under the last key that has one (-1: none), and how the guesses from start on went."""
     same, at = np.full(len(ids), -1, dtype=np.int64), np.arange(len(ids))
     salt = mix(text.astype(np.uint64))
+    low = np.uint64((1 << len(ids).bit_length()) - 1)
     for key in keys:
         key = key ^ salt
-        order = np.argsort(key, kind="stable")
+        # sorting the keys' upper bits together with the places costs less than sorting places by keys
+        order = (np.sort(key & ~low | at.astype(np.uint64)) & low).astype(np.int64)
         again = np.flatnonzero((key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]]))
         same[order[again + 1]] = order[again]
     some = same >= 0
@@ -236,9 +237,10 @@ def _mixed(known: np.ndarray, sign: np.ndarray, state: np.ndarray, kind: int, b:
     first = (kind * PLACES + min(b, PLACES - 1)) * 4 * STATES
     own = np.ascontiguousarray(weights[first : first + 4 * STATES].T)
     t = np.zeros(m, dtype=np.float32)
+    gate -= first
     for k in range(K):
-        t += x[k] * own[k][gate - first]
-    return x, gate - first, np.clip(t, -SPREAD, SPREAD)
+        t += x[k] * own[k].take(gate, mode="clip")
+    return x, gate, np.clip(t, -SPREAD, SPREAD)
 
 
 def _blocks(coded: Coded):
@@ -249,28 +251,38 @@ def _blocks(coded: Coded):
             yield x, (len(x.length) - np.searchsorted(x.length[::-1], np.arange(int(x.length[0])), "right")).tolist()
 
 
+def _pulls(x: np.ndarray, gate: np.ndarray, error: np.ndarray, slope: np.ndarray, gates: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each gate the sums of error * x and of slope * x * x over its places, which are brought together first."""
+    order = np.argsort(gate, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=gates))])
+    x, error, slope = x[:, order], error[order], slope[order]
+    pull, bend = np.zeros((gates, len(x))), np.zeros((gates, len(x)))
+    square = x * x
+    for g in range(gates):
+        a, b = ends[g], ends[g + 1]
+        if a < b:
+            pull[g], bend[g] = x[:, a:b] @ error[a:b], square[:, a:b] @ slope[a:b]
+    return pull, bend
+
+
 def learn(coded: Coded, counts: np.ndarray, weights: np.ndarray, cells: np.ndarray, rate: float = 0.3) -> None:
-    """One online pass: a block is predicted from what was counted before it, then weights, refinement and counts take it in."""
+    """One online pass: every block is predicted from what was counted before it, then weights, refinement and counts take it in."""
     flat = counts.reshape(N, -1)
-    for i, (x, sizes) in enumerate(_blocks(coded)):
+    pairs = flat.view(np.uint64)  # zeros and ones of a slot move as one number
+    for x, sizes in _blocks(coded):
         seen = []
         for b, m in enumerate(sizes):
             slot, bit, sign, state = _level(x, b, m)
             seen.append((slot, bit))
-            if i % EVERY:
-                continue
             known = np.empty((N, m), dtype=np.float32)
             for k in range(N):
-                known[k] = logits_of(counts[k].take(slot[k], axis=0))
+                known[k] = logits_of(pairs[k].take(slot[k], mode="clip").view(np.float32).reshape(-1, 2))
             inputs, gate, t = _mixed(known, sign, state, x.kind, b, weights)
             p = 1 / (1 + np.exp(-t))
-            error, slope = bit - p, p * (1 - p)
             first, width = (x.kind * PLACES + min(b, PLACES - 1)) * 4 * STATES, 4 * STATES
-            for k in range(K):
-                pull = np.bincount(gate, error * inputs[k], minlength=width)
-                bend = np.bincount(gate, slope * inputs[k] * inputs[k], minlength=width)
-                weights[first : first + width, k] += rate * pull / (bend + 8)
-            cell = np.rint((t + SPREAD) * ((CELLS - 1) / (2 * SPREAD))).astype(np.int64)
+            pull, bend = _pulls(inputs, gate.astype(np.uint8), bit.astype(np.float32) - p, p * (1 - p), width)
+            weights[first : first + width] += rate * pull / (bend + 8)
+            cell = ((t + np.float32(SPREAD)) * np.float32((CELLS - 1) / (2 * SPREAD)) + np.float32(0.5)).astype(np.int64)
             cells[:, x.kind, min(b, PLACES - 1)] += np.bincount(cell + CELLS * bit, minlength=2 * CELLS).reshape(2, CELLS)
         for slot, bit in seen:
             for k in range(N):

@@ -5,8 +5,8 @@ by their letters, and every bit of every token of every text is predicted by the
 under hashed contexts, combined by gated weights and refined.
 
 1. Words of the training texts are counted (a join key for the base score); the most frequent, VOCABULARY at most, get codes.
-2. Tasks go through the training texts once, online: predict a block, move the weights and the refinement, count it. Counts
-   are summed over tasks, weights averaged. Nothing of a held-out text enters a model or a count.
+2. Tasks go through the training texts once, online: predict a block, move the weights and the refinement, count it: every block, of words and of
+   letters. Counts are summed over tasks, weights averaged; which texts a task has, and so the weights, follows from how the table lies in files. Nothing of a held-out text enters a model or a count.
 3. All texts are scored with the model; what followed the same words earlier in a text is its only state.
 
 The mixing tables and the vocabulary have a fixed largest size, whatever the corpus; word counts grow with it and meet texts by
@@ -37,6 +37,7 @@ VOCABULARY = 1 << 19  # words with a code: 12 bytes each in a broadcast
 HELD_WORDS = 1 << 20  # distinct words that a counting task holds before it gives their counts on
 BLOCK = 1 << 12  # slots of one order in one row of summed counts
 TASK_BYTES, MOST_BYTES, TASKS = 16 << 20, 64 << 20, 24  # a training task holds one table: small inputs make few, large ones have at most MOST_BYTES in each
+WIDE = 16  # training tasks whose sums are taken in one round
 WORD, BYTE, ROW = range(3)
 
 
@@ -109,14 +110,20 @@ def codes_of(counts: DataFrame, most: int = VOCABULARY) -> tuple[_mixing.Codes,
 
 
 def train(texts: DataFrame, codes: _mixing.Codes) -> _mixing.Model:
-    """One online pass over all training texts (one column) in tasks; counts summed by blocks of slots, weights averaged."""
+    """One online pass over all training texts (one column) in tasks; counts summed by blocks of slots, weights averaged.
+
+    Tasks emit the blocks that they touched. The sums are taken in two rounds, so that of many tasks no sum reads more than the root of their number.
+    """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(codes)
     model = _mixing.Model()
     n_weights = model.weights.size
 
+    def row(block: int, part: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.int32()), pa.array([data], type=pa.binary())], names=["block", "part", "data"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, state, mass = None, None, 0
+        counts, state, mass, part = None, None, 0, TaskContext.get().partitionId()
         for batch in batches:
             for _, _, raw, off in slices(batch.column(0)):
                 if counts is None:
@@ -128,33 +135,35 @@ def train(texts: DataFrame, codes: _mixing.Codes) -> _mixing.Model:
             return
         flat = counts.reshape(-1, 2 * BLOCK)
         for i in range(len(flat)):
-            data = flat[i].astype(np.uint32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pa.compress(data, codec="zstd", asbytes=True)], type=pa.binary())], names=["block", "data"])
-        row = np.concatenate([state.weights.reshape(-1).astype(np.float64) * mass, state.cells.reshape(-1), [mass]])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([row.tobytes()], type=pa.binary())], names=["block", "data"])
+            if flat[i].any():
+                yield row(i, part, pa.compress(flat[i].astype(np.uint32).tobytes(), codec="zstd", asbytes=True))
+        yield row(-1, part, np.concatenate([state.weights.reshape(-1).astype(np.float64) * mass, state.cells.reshape(-1), [mass]]).tobytes())
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of one block lie together: one sum is held, however many tasks there are
-        block, total = None, None
+        # rows of one block and part lie together: one sum is held, however many tasks there are
+        now, total = None, None
 
         def done() -> pa.RecordBatch:
-            data = total.tobytes() if block < 0 else pa.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], type=pa.binary())], names=["block", "data"])
+            return row(*now, total.tobytes() if now[0] < 0 else pa.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes(), codec="zstd", asbytes=True))
 
         for batch in batches:
-            for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for b, p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = x.as_buffer()
                 value = np.frombuffer(data) if b < 0 else np.frombuffer(pa.decompress(data, decompressed_size=8 * BLOCK, codec="zstd"), dtype=np.uint32).astype(np.float64)
-                if b != block:
+                if (b, p) != now:
                     if total is not None:
                         yield done()
-                    block, total = b, value.copy()
+                    now, total = (b, p), value.copy()
                 else:
                     total += value
         if total is not None:
             yield done()
 
-    parts = texts.mapInArrow(learn, "block long, data binary").repartition("block").sortWithinPartitions("block").mapInArrow(summed, "block long, data binary")
+    schema = "block long, part int, data binary"
+    parts, tasks = texts.mapInArrow(learn, schema), texts.rdd.getNumPartitions()
+    for roots in (math.ceil(math.sqrt(tasks)), 1):
+        if roots == 1 or tasks > WIDE:
+            parts = parts.withColumn("part", F.col("part") % roots).repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(summed, schema)
     # one table of a fixed size
     counts = _mixing.no_counts()
     flat = counts.reshape(-1, 2 * BLOCK)

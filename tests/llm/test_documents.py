@@ -399,6 +399,68 @@ def test_scores_equal_a_plain_mixer():
     assert got == pytest.approx(want, rel=1e-4)
 
 
+def test_every_block_is_learnt(monkeypatch):
+    """Weights, refinement and counts after several blocks of words and of letters equal those of plain Python."""
+    import numpy as np
+
+    from gradewell.llm import _mixing as m
+
+    monkeypatch.setattr(m, "BLOCK", 16)
+    rare = "zebra quagga okapi gnu ibex tapir bongo nyala".split()
+    _, model, coded = small_model([f"the cat of the dog of the {w} runs" for w in rare] + [""], rounds=1)
+    assert [-(-len(x.value) // 16) for x in coded.parts] == [6, 3]
+    counts, weights, cells = {}, m.Model().weights.astype(float), np.zeros_like(model.cells)
+    for x in coded.parts:
+        for start in range(0, len(x.value), 16):
+            block = range(start, min(start + 16, len(x.value)))
+            seen = []
+            for b in range(int(x.length[block.start : block.stop].max())):
+                moves = {}
+                for i in (i for i in block if x.length[i] > b):
+                    value, length = int(x.value[i]), int(x.length[i])
+                    node, bit = (1 << b) | value >> (length - b), value >> (length - b - 1) & 1
+                    known = []
+                    for k in range(m.N):
+                        slot = ((int(x.context[k, i]) ^ ((node * int(m.ONE) + x.kind) & 0xFFFFFFFF)) * int(m.TWO) & 0xFFFFFFFF) >> (32 - m.BITS)
+                        slot = node if k == 0 and x.kind == 0 and b < m.BITS else slot
+                        zero, one = counts.get((k, slot, 0), 0), counts.get((k, slot, 1), 0)
+                        known.append(math.log((one + 0.4) / (zero + 0.4)))
+                        seen.append((k, slot, bit))
+                    size, sign, state = int(x.guess_length[i]), 0.0, int(x.guess_length[i] > 0)
+                    if size > b and (1 << b) | int(x.guess[i]) >> (size - b) == node:
+                        sign, state = (1.0 if int(x.guess[i]) >> (size - b - 1) & 1 else -1.0), int(x.state[i])
+                    gate = ((x.kind * m.PLACES + min(b, m.PLACES - 1)) * 4 + 2 * (known[2] != 0) + (known[1] != 0)) * m.STATES + state
+                    inputs = np.array([*known, sign, 0.1])
+                    t = max(-m.SPREAD, min(m.SPREAD, float(weights[gate] @ inputs)))
+                    p = 1 / (1 + math.exp(-t))
+                    pull, bend = moves.setdefault(gate, (np.zeros(m.K), np.zeros(m.K)))
+                    pull += (bit - p) * inputs
+                    bend += p * (1 - p) * inputs**2
+                    cells[bit, x.kind, min(b, m.PLACES - 1), int((t + m.SPREAD) * (m.CELLS - 1) / (2 * m.SPREAD) + 0.5)] += 1
+                for gate, (pull, bend) in moves.items():
+                    weights[gate] += 0.3 * pull / (bend + 8)
+            for key in seen:
+                counts[key] = counts.get(key, 0) + 1
+    assert np.allclose(model.weights, weights, atol=2e-5) and np.abs(model.cells - cells).sum() <= 4
+    moved = (np.abs(model.weights - m.Model().weights).sum(1) > 0).reshape(2, -1).any(1)
+    assert moved.all()  # gates of words and of letters
+
+
+def test_sums_of_many_training_tasks(spark, monkeypatch):
+    """Counts in two rounds equal those of one round, whatever the number of tasks."""
+    import numpy as np
+
+    texts = [(i, f"the cat number {i % 7} of the {'dog' * (i % 3 + 1)} runs") for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(9)
+    models = []
+    for wide in (16, 2):
+        monkeypatch.setattr(lm_scoring, "WIDE", wide)
+        known = df.select("text")
+        codes = lm_scoring.codes_of(lm_scoring.counted(known))[0]
+        models.append(lm_scoring.train(known, codes))
+    assert np.array_equal(models[0].logits, models[1].logits) and np.allclose(models[0].weights, models[1].weights) and np.allclose(models[0].cells, models[1].cells)
+
+
 def test_words_of_equal_polynomials_differ():
     """Two strings of which any polynomial hash modulo 2^64 is equal stay apart in word hashes, shingles and token ids."""
     import numpy as np
