@@ -26,7 +26,7 @@ GATES = 2 * PLACES * 4 * STATES
 CELLS, SPREAD = 33, 12.0
 STOP = 0x20  # ends a word that is spelled: no word holds it
 END_HASH, START_HASH = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
-BLOCK = 1 << 15  # symbols worked on at once
+BLOCK = 1 << 16  # symbols worked on at once
 ONE, TWO = np.uint32(0x27D4EB2F), np.uint32(0xC2B2AE35)
 
 
@@ -227,6 +227,17 @@ def _level(x: Symbols, b: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return slot, bit, sign, np.where(holds, x.state[:m], (size > 0).astype(np.uint8))
 
 
+def _levels(x: Symbols, sizes: list[int]) -> tuple[list, np.ndarray, np.ndarray]:
+    """For every bit of the codes its values, guesses and states, and the slots of all bits by context, one bit after the other."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    slots, levels = np.empty((N, int(ends[-1])), dtype=np.uint32), []
+    for b, m in enumerate(sizes):
+        slot, *rest = _level(x, b, m)
+        slots[:, ends[b] : ends[b + 1]] = slot
+        levels.append(rest)
+    return levels, ends, slots
+
+
 def _mixed(known: np.ndarray, sign: np.ndarray, state: np.ndarray, kind: int, b: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, gates and the mixed logit."""
     m = len(sign)
@@ -270,23 +281,21 @@ def learn(coded: Coded, counts: np.ndarray, weights: np.ndarray, cells: np.ndarr
     flat = counts.reshape(N, -1)
     pairs = flat.view(np.uint64)  # zeros and ones of a slot move as one number
     for x, sizes in _blocks(coded):
-        seen = []
-        for b, m in enumerate(sizes):
-            slot, bit, sign, state = _level(x, b, m)
-            seen.append((slot, bit))
-            known = np.empty((N, m), dtype=np.float32)
-            for k in range(N):
-                known[k] = logits_of(pairs[k].take(slot[k], mode="clip").view(np.float32).reshape(-1, 2))
-            inputs, gate, t = _mixed(known, sign, state, x.kind, b, weights)
+        levels, ends, slots = _levels(x, sizes)
+        bits = np.concatenate([bit for bit, _, _ in levels])
+        known = np.empty(slots.shape, dtype=np.float32)
+        # one table after the other: what is read is still near when it is counted
+        for k in range(N):
+            known[k] = logits_of(pairs[k].take(slots[k], mode="clip").view(np.float32).reshape(-1, 2))
+            np.add.at(flat[k], (slots[k] * np.uint32(2) + bits).astype(np.intp), np.float32(1))
+        for b, (bit, sign, state) in enumerate(levels):
+            inputs, gate, t = _mixed(known[:, ends[b] : ends[b + 1]], sign, state, x.kind, b, weights)
             p = 1 / (1 + np.exp(-t))
             first, width = (x.kind * PLACES + min(b, PLACES - 1)) * 4 * STATES, 4 * STATES
             pull, bend = _pulls(inputs, gate.astype(np.uint8), bit.astype(np.float32) - p, p * (1 - p), width)
             weights[first : first + width] += rate * pull / (bend + 8)
             cell = ((t + np.float32(SPREAD)) * np.float32((CELLS - 1) / (2 * SPREAD)) + np.float32(0.5)).astype(np.int64)
             cells[:, x.kind, min(b, PLACES - 1)] += np.bincount(cell + CELLS * bit, minlength=2 * CELLS).reshape(2, CELLS)
-        for slot, bit in seen:
-            for k in range(N):
-                np.add.at(flat[k], (slot[k] * np.uint32(2) + bit).astype(np.intp), np.float32(1))
 
 
 def score(model: Model, coded: Coded, texts: int) -> np.ndarray:
@@ -297,12 +306,13 @@ def score(model: Model, coded: Coded, texts: int) -> np.ndarray:
     out = np.zeros(texts)
     for x, sizes in _blocks(coded):
         value = np.zeros(len(x.length))
-        for b, m in enumerate(sizes):
-            slot, bit, sign, state = _level(x, b, m)
-            known = np.empty((N, m), dtype=np.float32)
-            for k in range(N):
-                np.take(model.logits[k], slot[k], out=known[k], mode="clip")
-            _, _, t = _mixed(known, sign, state, x.kind, b, model.weights)
+        levels, ends, slots = _levels(x, sizes)
+        known = np.empty(slots.shape, dtype=np.float32)
+        for k in range(N):
+            np.take(model.logits[k], slots[k], out=known[k], mode="clip")
+        for b, (bit, sign, state) in enumerate(levels):
+            m = len(bit)
+            _, _, t = _mixed(known[:, ends[b] : ends[b + 1]], sign, state, x.kind, b, model.weights)
             place = (t + np.float32(SPREAD)) * np.float32((CELLS - 1) / (2 * SPREAD))
             low = np.minimum(place.astype(np.int32), CELLS - 2)
             part = place - low
