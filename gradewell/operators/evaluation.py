@@ -14,6 +14,7 @@ from gradewell.operators import scoring
 from gradewell.operators.columns import column_at, numbered
 from gradewell.operators.lookups import with_override
 from gradewell.sources import tables
+from gradewell.sources.providers import Limit, Retry, answer, answer_into
 
 #: What a few-shot example has in the place of a prediction.
 EXAMPLE = "Few-shot example"
@@ -65,11 +66,11 @@ def configs(root: str | Path, pattern: str = "*") -> list[str]:
     return sorted(p.stem for p in (Path(root) / "configs" / "questions").rglob(f"{pattern}.yaml"))
 
 
-def run(questions: DataFrame, models: Sequence[str], cached: DataFrame | None = None, local: DataFrame | None = None, provider: Callable[[str, str], str] | None = None, cache: str | None = None, choices: Sequence[str] = ("c1", "c2", "c3", "c4")) -> Run:
+def run(questions: DataFrame, models: Sequence[str], cached: DataFrame | None = None, local: DataFrame | None = None, provider: Callable[[str, str], str] | None = None, cache: str | None = None, choices: Sequence[str] = ("c1", "c2", "c3", "c4"), limits: Mapping[str, Limit] | None = None, retry: Retry = Retry(attempts=1)) -> Run:
     """Cached responses where a set and model have any, a local group before a general one; the provider is asked for the others.
 
     questions: question_set, row_id, is_example, question, choices, answer. cached and local: question_set, model_id, row_id, resps. Given a
-    cache folder, what the provider said is written there before it is used. Groups that neither has are left out.
+    cache folder, what the provider said is written there part by part, and a run that is started again asks only for what is not there. Groups that neither has are left out.
     """
     held = cached if local is None else with_override(cached, local, GROUP) if cached is not None else local
     names = F.array(*[F.lit(m) for m in models])
@@ -81,10 +82,7 @@ def run(questions: DataFrame, models: Sequence[str], cached: DataFrame | None =
         prompts = with_prompts(questions, "question", choices, "answer", "question_set").select("question_set", "row_id", "prompt", F.explode(names).alias("model_id"))
         if held is not None:
             prompts = prompts.join(held.select(*GROUP).distinct(), GROUP, "left_anti")
-        said = tables.ask(prompts, provider)
-        if cache is not None:
-            tables.write_cache(said, cache)
-            said = questions.sparkSession.read.parquet(cache)
+        said = answer(prompts, provider, limits=limits, retry=retry) if cache is None else answer_into(prompts, provider, cache, limits, retry)
         held = said.select(*columns) if held is None else held.unionByName(said.select(*columns))
     answered = asked.select("question_set", "row_id", "category", F.col("answer").alias("answers")).join(held, ["question_set", "row_id"])
     responses = scoring.parsed(answered)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradewell.plans.catalog import query, questions, read
-from gradewell.sources import tables
+from gradewell.sources import tables, workbooks
 from gradewell.sources.shared import shared_path
 
 
@@ -65,3 +65,34 @@ def _(spark, d):
     path = shared_path(spark, "splits")
     tables.write_splits(questions(spark, d).select("row_id", "question", "category", (F.col("row_id") % 10 == 0).alias("is_example")), path)
     return spark.read.option("header", True).csv(path).groupBy("split", F.col("category_slug").alias("slug")).agg(F.count("*").alias("n"))
+
+
+@query("a4_sheets", """SELECT CAST(p_partkey AS VARCHAR) AS number, p_name || chr(10) || ' "' || p_type || '" <&> _x0041_' || chr(13) AS question, CASE WHEN p_size % 5 <> 0 THEN p_brand WHEN p_size % 2 = 0 THEN '' END AS source FROM part""")
+def _(spark, d):
+    path = shared_path(spark, "sheets")
+    p = read(spark, d, "part")
+    text = F.concat("p_name", F.lit('\n "'), "p_type", F.lit('" <&> _x0041_\r'))
+    source = F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).when(F.col("p_size") % 2 == 0, "")
+    workbooks.write_sheets(p.select(F.col("p_partkey").alias("number"), text.alias("question"), source.alias("source")).repartition(3, "number"), path)
+    return workbooks.read_sheets(spark, path, ["number", "question", "source"]).select("number", "question", "source")
+
+
+def text_pages(content: bytes, page: int, last: int):
+    """Pages of a text from one on; a page of digits alone is taken for one that cannot be read."""
+    for text in workbooks.form_feeds(content)[page - 1 : last]:
+        if text.isdigit():
+            raise ValueError("no text")
+        yield text.decode()
+
+
+@query("a14_page_ranges", """WITH p AS (SELECT o_custkey % 20 AS book, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS page, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderpriority || ' ' || o_orderkey END AS t FROM orders)
+SELECT book, CAST(page AS INTEGER) AS page, CASE WHEN t NOT SIMILAR TO '[0-9]+' THEN t END AS text, CASE WHEN t SIMILAR TO '[0-9]+' THEN 'ValueError: no text' END AS error FROM p WHERE page BETWEEN 5 AND 60""")
+def _(spark, d):
+    # every book is one file, its pages between form feeds
+    path = shared_path(spark, "books")
+    k = F.col("o_orderkey")
+    text = F.when(k % 9 == 0, k.cast("string")).otherwise(F.concat_ws(" ", "o_orderpriority", k))
+    pages = read(spark, d, "orders").select((F.col("o_custkey") % 20).alias("book"), k, text.alias("value"))
+    pages.repartition("book").sortWithinPartitions("book", "o_orderkey").drop("o_orderkey").write.partitionBy("book").option("lineSep", "\f").text(path)
+    found = workbooks.read_page_ranges(spark, path, text_pages, lambda content: len(workbooks.form_feeds(content)), first=5, last=60, suffix=".txt")
+    return found.select(F.regexp_extract("path", "book=([0-9]+)", 1).cast("long").alias("book"), "page", "text", "error")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewell.functions.cleaning import missing_to_null
+from gradewell.sources.providers import KEYS, Retry, answer
 
 QUESTION_COLUMNS = ("Source", "Question", *[f"Answer {x}" for x in "ABCDEFG"], "Correct answer")
 
@@ -55,30 +56,26 @@ def read_json_documents(spark: SparkSession, path: str, schema: str | T.StructTy
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_sheets(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Excel files, one task a file; needs openpyxl on the executors."""
+def read_pages(spark: SparkSession, path: str, extract, first: int = 1, last: int | None = None) -> DataFrame:
+    """path, page, text, error of documents; extract(bytes) yields the text of each page, such as a PDF library or an OCR model gives.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                sheet = pd.read_excel(io.BytesIO(content), dtype=str)
-                yield sheet.reindex(columns=list(columns)).assign(origin=name)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, strings(*columns, "origin"))
-
-
-def read_pages(spark: SparkSession, path: str, extract) -> DataFrame:
-    """path, page, text of documents; extract(bytes) yields the text of each page, such as a PDF library or an OCR model gives."""
+    Where it fails, the pages so far are kept and the one it failed at has the error. One task reads a file; read_page_ranges() of workbooks parts it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                texts = list(extract(bytes(content)))
-                yield pd.DataFrame({"path": [name] * len(texts), "page": range(1, len(texts) + 1), "text": texts})
+                rows = []
+                try:
+                    for page, text in enumerate(extract(bytes(content)), start=1):
+                        if last is not None and page > last:
+                            break
+                        rows.append((page, text, None))
+                except Exception as e:  # noqa: BLE001 - any failure of a library is a row
+                    rows.append((len(rows) + 1, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame([(name, *r) for r in rows if r[0] >= first], columns=["path", "page", "text", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, text string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
 
 
 def question_set(test: DataFrame, examples: DataFrame | None, name: str, row: str = "row_id") -> DataFrame:
@@ -116,26 +113,9 @@ def config_text(values: Mapping) -> str:
     return yaml.safe_dump(dict(values), sort_keys=False, allow_unicode=True)
 
 
-def ask(prompts: DataFrame, provider, keys: Sequence[str] = ("question_set", "model_id", "row_id")) -> DataFrame:
-    """Responses of a provider, provider(model_id, prompt) -> text; a failed call is an empty text with success false.
-
-    Calls cost money, so write the result before using it, and ask only for keys that no cache has.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, good = [], []
-            for model, prompt in zip(batch["model_id"], batch["prompt"], strict=True):
-                try:
-                    texts.append(provider(model, prompt))
-                    good.append(True)
-                except Exception:  # noqa: BLE001 - any failure of a provider is a row
-                    texts.append("")
-                    good.append(False)
-            yield batch[list(keys)].assign(resps=texts, success=good)
-
-    kinds = dict(prompts.dtypes)
-    return prompts.select(*keys, "prompt").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", resps string, success boolean")
+def ask(prompts: DataFrame, provider, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Responses of a provider, asked once each; a failed call is an empty text with success false and its reason."""
+    return answer(prompts, provider, keys, retry=Retry(attempts=1))
 
 
 def write_cache(responses: DataFrame, path: str) -> None:
@@ -171,15 +151,3 @@ def markdown(table: DataFrame, sort: str) -> str:
     rows = table.orderBy(F.desc(sort), *[c for c in table.columns if c != sort]).toLocalIterator()
     lines = [table.columns, ["---"] * len(table.columns), *[["" if v is None else str(v) for v in r] for r in rows]]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
-
-
-def write_sheet(table: DataFrame, path: str) -> None:
-    """A table as an Excel file, written by one task; needs openpyxl on the executors and a path that they can write to."""
-    names = table.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches]
-        pd.concat(parts or [pd.DataFrame(columns=names)]).to_excel(path, index=False)
-        yield pd.DataFrame({"n": [sum(map(len, parts))]})
-
-    table.repartition(1).mapInPandas(run, "n long").collect()

@@ -86,9 +86,3 @@ def test_exact_flags_with_missing_texts_and_a_hot_one(spark):
     df = spark.createDataFrame(rows, "row_id long, text string").repartition(5)
     flags = lambda keep: {r.row_id for r in dedupe.exact_flags(df, ["text"], keep=keep).collect() if not r.is_duplicate}
     assert (flags("first"), flags("last"), flags(False)) == ({0, 1, 200}, {198, 199, 200}, {200})
-
-
-def test_sheets(spark, tmp_path):
-    pytest.importorskip("openpyxl")
-    tables.write_sheet(spark.createDataFrame([("a", 1)], "x string, y int"), str(tmp_path / "t.xlsx"))
-    assert [tuple(r) for r in tables.read_sheets(spark, str(tmp_path / "t.xlsx"), ["x", "y"]).select("x", "y").collect()] == [("a", "1")]

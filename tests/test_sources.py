@@ -33,7 +33,14 @@ def test_files_with_origin_and_counts(spark, tmp_path):
 def test_pages_and_paths(spark, tmp_path):
     (tmp_path / "d.bin").write_bytes(b"one\ftwo")
     pages = tables.read_pages(spark, str(tmp_path / "d.bin"), lambda content: content.decode().split("\f")).orderBy("page").collect()
-    assert [(p.page, p.text) for p in pages] == [(1, "one"), (2, "two")]
+    assert [(p.page, p.text, p.error) for p in pages] == [(1, "one", None), (2, "two", None)]
+
+    def failing(content):
+        yield "first"
+        raise OSError("torn")
+
+    pages = tables.read_pages(spark, str(tmp_path / "d.bin"), failing).orderBy("page").collect()
+    assert [(p.page, p.text, p.error) for p in pages] == [(1, "first", None), (2, None, "OSError: torn")]
     assert tables.local_path(None, tmp_path) is None
     (tmp_path / "data").mkdir()
     (tmp_path / "data" / "f.csv").write_text("")
