@@ -519,4 +519,4 @@ def _(spark, d):
 
 
 # further queries register themselves here
-from gradewell.plans import calls, columns, files, fuzzy, runs  # noqa: E402, F401
+from gradewell.plans import calls, columns, events, files, fuzzy, runs  # noqa: E402, F401
