@@ -117,3 +117,24 @@ def numbered(df: DataFrame, order: str, name: str, by: Sequence[str] = (), start
         on = on & _named(c).eqNullSafe(F.col(f"_by{i}"))
     out = ranged.withColumn("_at", at).join(before, on)
     return out.select(*[_named(c) for c in df.columns], (F.col("_at") + F.col("_before") + start).alias(name))
+
+
+def beside(frames: Sequence[DataFrame], row: str = "row_id") -> DataFrame:
+    """Tables side by side by row number, each row that any of them has: an outer alignment of any number of tables in one shuffle.
+
+    A row number that one table holds twice is an error when it runs, as are column names that two tables share. Rows without a number align with nothing
+    and are left out.
+    """
+    names = [c for f in frames for c in f.columns if c != row]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns of several tables: {sorted({c for c in names if names.count(c) > 1})}")
+    parts = None
+    for i, f in enumerate(frames):
+        own = f.where(_named(row).isNotNull()).select(_named(row), F.struct(*[_named(c) for c in f.columns if c != row], F.lit(True).alias("_there")).alias(f"_t{i}"))
+        parts = own if parts is None else parts.unionByName(own, allowMissingColumns=True)
+    held = [f"_t{i}" for i in range(len(frames))]
+    twice = [F.count(t).alias(f"_n{t}") for t in held]
+    met = parts.groupBy(row).agg(*[F.first(t, ignorenulls=True).alias(t) for t in held], F.greatest(*twice, F.lit(0)).alias("_most"))
+    bad = F.raise_error(F.concat(F.lit(f"a table has {row} twice: "), _named(row).cast("string")))
+    one = F.when(F.col("_most") > 1, bad.cast(dict(met.dtypes)[row])).otherwise(_named(row))
+    return met.select(one.alias(row), *[F.col(f"_t{i}.`{c}`").alias(c) for i, f in enumerate(frames) for c in f.columns if c != row])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from gradewell.operators import scoring
 from gradewell.operators.columns import column_at, numbered
 from gradewell.operators.lookups import with_override
 from gradewell.sources import tables
+from gradewell.sources.shared import settled
 from gradewell.sources.providers import Limit, Retry, answer, answer_into
 
 #: What a few-shot example has in the place of a prediction.
@@ -66,11 +68,12 @@ def configs(root: str | Path, pattern: str = "*") -> list[str]:
     return sorted(p.stem for p in (Path(root) / "configs" / "questions").rglob(f"{pattern}.yaml"))
 
 
-def run(questions: DataFrame, models: Sequence[str], cached: DataFrame | None = None, local: DataFrame | None = None, provider: Callable[[str, str], str] | None = None, cache: str | None = None, choices: Sequence[str] = ("c1", "c2", "c3", "c4"), limits: Mapping[str, Limit] | None = None, retry: Retry = Retry(attempts=1)) -> Run:
+def run(questions: DataFrame, models: Sequence[str], cached: DataFrame | None = None, local: DataFrame | None = None, provider: Callable[[str, str], str] | None = None, cache: str | None = None, choices: Sequence[str] = ("c1", "c2", "c3", "c4"), limits: Mapping[str, Limit] | None = None, retry: Retry = Retry(attempts=1), settle: bool = False) -> Run:
     """Cached responses where a set and model have any, a local group before a general one; the provider is asked for the others.
 
     questions: question_set, row_id, is_example, question, choices, answer. cached and local: question_set, model_id, row_id, resps. Given a
-    cache folder, what the provider said is written there part by part, and a run that is started again asks only for what is not there. Groups that neither has are left out.
+    cache folder, what the provider said is written there part by part, and a run that is started again asks only for what is not there. Groups that neither has are left out. With settle, parsed responses are stored
+    once for all that is made of them.
     """
     held = cached if local is None else with_override(cached, local, GROUP) if cached is not None else local
     names = F.array(*[F.lit(m) for m in models])
@@ -85,7 +88,7 @@ def run(questions: DataFrame, models: Sequence[str], cached: DataFrame | None =
         said = answer(prompts, provider, limits=limits, retry=retry) if cache is None else answer_into(prompts, provider, cache, limits, retry)
         held = said.select(*columns) if held is None else held.unionByName(said.select(*columns))
     answered = asked.select("question_set", "row_id", "category", F.col("answer").alias("answers")).join(held, ["question_set", "row_id"])
-    responses = scoring.parsed(answered)
+    responses = settled(scoring.parsed(answered)) if settle else scoring.parsed(answered)
     summary = scoring.score(responses, GROUP)
     wide = responses.groupBy("question_set", "row_id").pivot("model_id", list(models)).agg(F.first("pred"))
     full = questions.join(wide.toDF("question_set", "row_id", *[f"pred_{m}" for m in models]), ["question_set", "row_id"], "left")
@@ -128,6 +131,59 @@ def collect_runs(runs: Mapping[str, Run], kinds: Sequence[str] | None = None) ->
     return out
 
 
+@dataclass(frozen=True)
+class Collected:
+    """accuracy and bad_format: a row for each model, a column for each set; sizes: questions of each set without its examples; full: all of them with predictions."""
+
+    accuracy: DataFrame
+    bad_format: DataFrame
+    sizes: DataFrame
+    full: DataFrame
+
+
+def collect_sets(done: Run, sets: Sequence[str]) -> Collected:
+    """The rates of several question sets that one run answered, each set being a category of its own; models that a set lacks are null there."""
+    by_set = scoring.score(done.responses, GROUP)
+    wide = [scoring.wide_table(by_set, "model_id", "question_set", rate, list(sets)) for rate in ("accuracy", "bad_format")]
+    asked = done.full.where(~F.coalesce(F.col("is_example"), F.lit(False))).withColumn("category", F.col("question_set"))
+    return Collected(*wide, asked.groupBy("question_set").agg(F.count("*").alias("n")), asked)
+
+
+def load_sets(spark: SparkSession, root: str | Path, names: Sequence[str], category: str | None = None, guard: bool = True) -> DataFrame:
+    """Several question sets as one table, told apart by question_set. With a category all rows have it; else, with guard, a set of several categories is an error."""
+    out = None
+    for name in names:
+        own = load_questions(spark, root, name)
+        if category is not None:
+            own = own.withColumn("category", F.lit(category))
+        elif guard and own.where("not is_example").select("category").distinct().limit(2).count() > 1:
+            raise ValueError(f"more than one category in {name}")
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no question sets")
+    return out
+
+
+def read_caches(spark: SparkSession, folder: str, sets: Sequence[str], models: Sequence[str]) -> DataFrame | None:
+    """Cached responses <folder>/<set>/<model>.csv (answers, resps, success), their rows numbered after the examples of their set by cached_rows(); None if there are none."""
+    found = None
+    for name in sets:
+        for model in models:
+            path = Path(folder) / name / f"{model}.csv"
+            if path.exists():
+                # one file is one partition, whose rows are numbered in order
+                own = tables.read_csv(spark, str(path), ["answers", "resps", "success"], missing=False).select(F.lit(name).alias("question_set"), F.lit(model).alias("model_id"), F.monotonically_increasing_id().alias("row_id"), "resps")
+                found = own if found is None else found.unionByName(own)
+    return found
+
+
+def after_examples(cached: DataFrame, questions: DataFrame) -> DataFrame:
+    """Cached responses with the row numbers of their questions: a cache has no rows for the examples, which come first."""
+    shown = questions.where("is_example").groupBy("question_set").agg(F.count("*").alias("_shown"))
+    moved = cached.join(F.broadcast(shown), "question_set", "left")  # a row for each question set of one run
+    return moved.withColumn("row_id", F.col("row_id") + F.coalesce("_shown", F.lit(0))).drop("_shown")
+
+
 def publish(done: Run, categories: Sequence[str], path: str, shown: Mapping[str, str] | None = None, offset: int = 0) -> str:
     """Writes accuracy, bad_format and the full table as CSV below path, and gives the ranking as text."""
     accuracy, bad = leaderboard(done, categories)
@@ -148,3 +204,19 @@ def experiment_configs(files: Sequence[str], template: Mapping, counts: Mapping[
         example = f.replace("test", "dev")
         out[name] = tables.config_text({**template, "test_file": f.replace("data/", ""), "example_file": example.replace("data/", ""), "example_rows": list(range(counts.get(name, 0)))})
     return out
+
+
+def write_configs(spark: SparkSession, folder: str | Path, target: str | Path, template: Mapping, prefix: str = "", suffix: str = "_test") -> list[Path]:
+    """experiment_configs() of the files in <folder>/test as YAML files in target; the rows of <folder>/dev tell how many examples each has."""
+    files = [f"{folder}/test/{p.name}" for p in sorted((Path(folder) / "test").glob("*.csv"))]
+    rows = spark.read.options(header=True, multiLine=True, escape='"').csv(str(Path(folder) / "dev")) if (Path(folder) / "dev").exists() else None
+    counts = {}
+    if rows is not None:
+        named = rows.groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).agg(F.count("*").alias("n"))
+        counts = {Path(unquote(r.file)).stem.replace("dev", "test").removesuffix(suffix): r.n for r in named.collect()}  # a row for each file
+    Path(target).mkdir(parents=True, exist_ok=True)
+    out = []
+    for name, text in experiment_configs(files, template, counts, prefix, suffix).items():
+        out.append(Path(target) / f"{name}.yaml")
+        out[-1].write_text(text, encoding="utf-8")
+    return out

@@ -126,6 +126,17 @@ def _(spark, d):
     return questions(spark, d).select("row_id", "question").join(wide, "row_id", "left")
 
 
+@query("d13_outer", RESPONSES + """, p AS (SELECT row_id, max(pred) FILTER (model_id = 'm0') AS pred_m0 FROM responses WHERE row_id % 3 <> 0 GROUP BY row_id), r AS (SELECT row_id + 5 AS row_id, max(pred) FILTER (model_id = 'm1') AS pred_m1, count(*) AS n FROM responses GROUP BY row_id)
+SELECT coalesce(a.row_id, p.row_id, r.row_id) AS row_id, question, pred_m0, pred_m1, n FROM (SELECT p_partkey AS row_id, p_name AS question FROM part WHERE p_size > 10) a FULL JOIN p ON p.row_id = a.row_id FULL JOIN r ON r.row_id = coalesce(a.row_id, p.row_id)""")
+def _(spark, d):
+    # rows that only the questions, only the one or only the other prediction has
+    said = responses(spark, d)
+    of = lambda m, name: F.max(F.when(F.col("model_id") == m, F.col("pred"))).alias(name)
+    first = said.where("row_id % 3 != 0").groupBy("row_id").agg(of("m0", "pred_m0"))
+    second = said.groupBy((F.col("row_id") + 5).alias("row_id")).agg(of("m1", "pred_m1"), F.count("*").alias("n"))
+    return C.beside([questions(spark, d).where("p_size > 10").select("row_id", "question"), first, second])
+
+
 @query("d14_two_keys", RESPONSES + """, s AS (SELECT model_id, category, round(avg(CASE WHEN pred = answer THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy FROM responses GROUP BY ALL)
 SELECT w.model_id, w.category, accuracy FROM (SELECT 'm0' AS model_id, 'PROMO' AS category UNION ALL SELECT 'm3', 'SMALL' UNION ALL SELECT 'none', 'PROMO') w LEFT JOIN s USING (model_id, category)""")
 def _(spark, d):
@@ -200,9 +211,9 @@ def _(spark, d):
     return r.groupBy("model_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(r.agg(F.count("*").alias("n_all"))))
 
 
-@query("f14_repeated_ids", "SELECT row_id, count(*) AS n FROM (SELECT unnest([3, 5, 3, 9, 5, 5]) AS row_id) GROUP BY row_id HAVING count(*) > 1")
+@query("f14_repeated_ids", "SELECT l_partkey AS row_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey HAVING count(*) > 1")
 def _(spark, d):
-    ids = spark.createDataFrame([(i,) for i in (3, 5, 3, 9, 5, 5)], "row_id int")
+    ids = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("row_id"))
     return dedupe.repeated(ids, "row_id")
 
 
@@ -336,12 +347,10 @@ def _(spark, d):
     return leaderboard.by_provider(s)
 
 
-@query("c14_pick_in_order", "SELECT CAST(row_number() OVER (ORDER BY p.pos) - 1 AS BIGINT) AS place, o_orderkey AS row_id FROM (SELECT unnest([2, 0, 1, 3]) AS pos, unnest([3, 1, 3, 7]) AS k) p JOIN orders ON o_orderkey = k")
+@query("c14_pick_in_order", "SELECT c_custkey AS place, o_orderkey AS row_id, o_totalprice FROM customer JOIN orders ON o_orderkey = c_custkey * 7 % 1000")
 def _(spark, d):
-    places = spark.createDataFrame([(2, 3), (0, 1), (1, 3), (3, 7)], "pos int, row_id long")
-    picked = lookups.pick_rows(read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id")), places)
-    # the order of the rows as they come
-    return picked.select("row_id").coalesce(1).withColumn("place", F.monotonically_increasing_id()).select("place", "row_id")
+    places = read(spark, d, "customer").select(F.col("c_custkey").alias("place"), (F.col("c_custkey") * 7 % 1000).alias("row_id"))
+    return lookups.pick_rows(read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice"), places, order="place")
 
 
 @query("h14_odd_keys", """SELECT c_custkey AS row_id, CASE c_custkey % 3 WHEN 0 THEN 'A_B_' WHEN 1 THEN 'LENGUA_' ELSE 'X.XLS' END AS name, '20' || CASE c_custkey % 3 WHEN 0 THEN '19' WHEN 1 THEN '16' ELSE 'ls' END AS year,

@@ -69,12 +69,13 @@ def _(spark, d):
     return E.questions_per_category(question_sets(spark, d))
 
 
-@query("e24_collected_sets", RUN + "SELECT model_id, " + SCORES.format(s=1) + ", count(*) AS n, count(DISTINCT question_set) AS n_sets FROM r GROUP BY model_id")
+@query("e24_collected_sets", RUN + ", s AS (SELECT model_id, question_set, " + SCORES.format(s=1) + """ FROM r GROUP BY ALL), z AS (SELECT sum(n) AS asked, count(*) AS n_sets FROM (SELECT question_set, count(*) AS n FROM q WHERE NOT is_example GROUP BY 1))
+SELECT model_id, max(accuracy) FILTER (question_set = 'Brand#1') AS first, max(accuracy) FILTER (question_set = 'Brand#5') AS fifth, max(bad_format) FILTER (question_set = 'Brand#5') AS bad, CAST(any_value(asked) AS BIGINT) AS asked, any_value(n_sets) AS n_sets FROM s, z GROUP BY model_id""")
 def _(spark, d):
-    from gradewell.operators.scoring import rates
-
-    out = done(spark, d).responses.groupBy("model_id").agg(*rates(), F.count_distinct("question_set").alias("n_sets"))
-    return rounded(out, "accuracy", "bad_format")
+    found = E.collect_sets(done(spark, d), ["Brand#1", "Brand#5"])
+    both = found.accuracy.toDF("model_id", "first", "fifth").join(found.bad_format.select("model_id", F.col("`Brand#5`").alias("bad")), "model_id")
+    sizes = found.sizes.agg(F.sum("n").alias("asked"), F.count("*").alias("n_sets"))
+    return rounded(both.crossJoin(F.broadcast(sizes)), "first", "fifth", "bad")  # sizes is one row
 
 
 @query("e25_experiments", RUN + """SELECT experiment, model_id, """ + SCORES.format(s=1) + """, count(*) AS n FROM (SELECT *, 'duplicate' AS experiment FROM r WHERE model_id = 'm0' UNION ALL SELECT *, 'permute' FROM r) GROUP BY ALL""")

@@ -86,3 +86,54 @@ def test_exact_flags_with_missing_texts_and_a_hot_one(spark):
     df = spark.createDataFrame(rows, "row_id long, text string").repartition(5)
     flags = lambda keep: {r.row_id for r in dedupe.exact_flags(df, ["text"], keep=keep).collect() if not r.is_duplicate}
     assert (flags("first"), flags("last"), flags(False)) == ({0, 1, 200}, {198, 199, 200}, {200})
+
+
+def test_command_line(spark, root, capsys):
+    from gradewell.__main__ import main
+
+    for model, letters in (("m-1", "ABAB"), ("m-2", "B?AA")):
+        (root / "data/cache/S").mkdir(parents=True, exist_ok=True)
+        (root / f"data/cache/S/{model}.csv").write_text("answers,resps,success\n" + "".join(f"A,{x}. so,True\n" for x in letters), encoding="utf-8")
+    text = main(["--root", str(root), "--questions", "S", "--models", "two", "--offset", "900"], spark)
+    assert text.splitlines()[2:] == ["| Model One | 100.0 |", "| Model Two | 25.0 |"]
+    rates = spark.read.option("header", True).csv(str(root / "data/results/two/bad_format")).collect()
+    assert {r.model_id: float(r.Science) for r in rates} == {"m-1": 0.0, "m-2": 25.0}
+    assert {r.category for r in spark.read.option("header", True).csv(str(root / "data/results/two/full")).collect()} == {"Science"}
+    main(["--root", str(root), "--questions", "S", "--models", "two", "--category", "SEND", "--output", str(root / "out")], spark)
+    assert "SEND" in spark.read.option("header", True).csv(str(root / "out/two/accuracy")).columns
+    with pytest.raises(SystemExit):
+        main(["--root", str(root), "--questions", "S", "--models", "two", "--cache", str(root / "none")], spark)
+
+
+def test_collected_sets(spark, root):
+    sets = evaluation.load_sets(spark, root, ["S"])
+    cached = spark.createDataFrame([("S", "m-1", i, "A") for i in range(2, 6)], "question_set string, model_id string, row_id long, resps string")
+    found = evaluation.collect_sets(evaluation.run(sets, ["m-1"], cached), ["S", "T"])
+    assert [tuple(r) for r in found.accuracy.collect()] == [("m-1", 0.5, None)] and [tuple(r) for r in found.sizes.collect()] == [("S", 4)]
+    assert {r.category for r in found.full.collect()} == {"S"} and found.full.count() == 4
+    mixed = (root / "data/test/S_test.csv").read_text().replace("Science", "Maths", 1)
+    (root / "data/test/S_test.csv").write_text(mixed)
+    with pytest.raises(ValueError, match="more than one category"):
+        evaluation.load_sets(spark, root, ["S"])
+
+
+def test_written_configs(spark, root):
+    made = evaluation.write_configs(spark, str(root / "data"), root / "made", {"choices": ["A"]})
+    assert [p.name for p in made] == ["S.yaml"] and tables.read_config(made[0])["example_rows"] == [0, 1, 2]
+
+
+def test_tables_beside_each_other(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "row_id int, a string")
+    b = spark.createDataFrame([(2, 5), (3, None)], "row_id int, b int")
+    c = spark.createDataFrame([(4, "w")], "row_id int, `c.d` string")
+    got = columns.beside([a, b, c])
+    assert got.columns == ["row_id", "a", "b", "c.d"]
+    assert sorted(map(tuple, got.collect())) == [(1, "x", None, None), (2, "y", 5, None), (3, None, None, None), (4, None, None, "w")]
+    with pytest.raises(Exception, match="twice: 2"):
+        columns.beside([a, b.union(b)]).collect()
+    with pytest.raises(ValueError):
+        columns.beside([a, a])
+    from gradewell.operators import lookups
+
+    order = spark.createDataFrame([(2, 3), (0, 1), (1, 3), (3, 2)], "pos int, row_id int")
+    assert [r.row_id for r in lookups.pick_rows(spark.createDataFrame([(1,), (2,), (3,)], "row_id int"), order).select("row_id").collect()] == [1, 3, 3, 2]
