@@ -88,10 +88,14 @@ def pretokens(cp: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+OVERHEAD = 200  # bytes of two byte strings and their place in a dictionary
+
+
 class Bpe:
     """A vocabulary, its pair tests and a bounded memo of distinct pre-tokens."""
 
-    MEMO = 400_000
+    MEMO = 400_000  # pairs that are remembered
+    BYTES, KEPT = 64 << 20, 256  # of remembered words and values; a longer word is worked out each time it comes
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -121,6 +125,7 @@ class Bpe:
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
         self._fast = self._ranked()
 
     def merge(self, word: bytes) -> list[int]:
@@ -206,13 +211,20 @@ class Bpe:
         which[other] = len(at) + np.arange(len(other))
         at = np.concatenate([at, other])
         memo = self.memo
-        if len(memo) > self.MEMO:
+        if self.held > self.BYTES:
             memo.clear()
+            self.held = 0
         data = raw.tobytes()
         words = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
         new = list(dict.fromkeys(w for w in words if w not in memo))
-        memo.update(zip(new, make(new), strict=True))
-        parts = [memo[w] for w in words]
+        once = {}
+        for w, value in zip(new, make(new), strict=True):
+            if len(w) <= self.KEPT:
+                memo[w] = value
+                self.held += len(w) + len(value) + OVERHEAD
+            else:
+                once[w] = value
+        parts = [memo[w] if w in memo else once[w] for w in words]
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         return np.frombuffer(b"".join(parts), dtype="<u4"), np.concatenate([[0], np.cumsum(sizes)]), which
 

@@ -2,7 +2,7 @@
 
 Edge cases: a null text counts as empty and has no words; an empty text fails
 the base rule (fewer than ten words). Repeated rows are judged alike; an empty table
-gives no rows. judge() keeps all columns, which may have any names: they ride along as one struct. There is no shuffle so a hot key or a very long text needs no special care.
+gives no rows. judge() keeps all columns; one that has the name of a measure gives its place to the measure. There is no shuffle so a hot key or a very long text needs no special care.
 """
 
 from __future__ import annotations
@@ -17,6 +17,12 @@ from gradewell.llm._store import table
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
+#: What judge() adds.
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_length", "symbol_ratio", "bang_ratio", "stop_word_ratio",
+    "duplicate_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio", "base_failed", "kept",
+)
+
 #: Frequent function words of the languages that the rules know.
 STOP_WORDS = (
     "the of and to a in is that for it was with on by as be this are at from "
@@ -83,7 +89,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """df and the counts that the rules are made of: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios."""
     whole = F.coalesce(F.col(text), F.lit(""))
     spaced = F.translate(whole, SPACE, " " * len(SPACE))
-    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), whole.alias("_text"), F.filter(F.split(spaced, " ", -1), lambda w: w != "").alias("_words"))
+    own = [F.col(f"`{c}`") for c in df.columns if c not in MEASURES]
+    out = df.select(F.struct(*own or [F.lit(0)]).alias("_row"), whole.alias("_text"), F.filter(F.split(spaced, " ", -1), lambda w: w != "").alias("_words"))
     lines = F.filter(F.split(F.col("_text"), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     out = out.select("*", lines.alias("_lines"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     out = _with_repeat_words(out, "_hashes")
@@ -94,7 +101,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     symbols = length - F.length(_deleted(F.col("_text"), SYMBOLS))
     dup_lines = n_lines - F.size(F.array_distinct("_lines"))
     return out.select(
-        "_row.*",
+        *(["_row.*"] if own else []),
         n.cast("long").alias("n_words"),
         word_chars.cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),

@@ -1,17 +1,17 @@
 """WARC archives written by Spark's own text writer and read by a salvaging reader.
 
 Writing: of records with equal payloads the one with the smallest page_id is
-the response and the others are revisits of it. A record ends with two line
-breaks, so with these as the line separator Spark's text writer produces
-valid archives, each one gzip member, on any file system that Spark can write to.
-
-Files are bounded by bytes: pages are written in three classes of size, each with as many records a file as FILE_BYTES holds of its
-largest; a payload beyond that is a file of its own.
+the response and the others are revisits of it. Every record is a gzip member of its own, as the format asks, so that damage costs the records it
+hits. Tasks compress their records and number their files by bytes; Spark's text writer puts the members into files, on any file system
+that Spark can write to. Its line separator is a member without content, which adds nothing to what is inflated. Files hold FILE_BYTES of
+payload at most, unless one payload is longer.
 
 Reading: archives are read by Spark's binaryFile source, one row a file, and
-parsed inside tasks. A record whose header, length or digest fails its check is
+parsed inside tasks, a member at a time. A record whose header, length or digest fails its check is
 not trusted: the reader searches for the next version line or gzip member that
-parses, anywhere in the file, resumes there, and logs the bytes between as quarantined. A file of more than 2 GB is beyond that source.
+parses, anywhere in the file, resumes there, and logs the bytes between as quarantined. Archives of other writers may have members of many
+records: of a damaged one those before the damage are kept, and the gap that is logged is the whole member. A file of more than 2 GB is
+beyond that source.
 
 Edge cases: a null html is an empty payload, like an empty one; rows with equal
 page_id are kept, and all of them are the response if theirs is the smallest; a row of a null page_id comes after all others: it revisits an
@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ TYPES = (b"warcinfo", b"response", b"resource", b"request", b"metadata", b"revis
 ONCE = (b"warc-type", b"warc-record-id", b"content-length", b"warc-date")
 MAGIC = b"\x1f\x8b\x08"
 NO_ID = "none"
-FILE_BYTES, CLASSES = 64 << 20, (32 << 10, 1 << 20)
+FILE_BYTES = 64 << 20
+EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()  # a member without content
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 RECORD = "kind string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, file string, start long, end long, reason string"
@@ -79,7 +81,7 @@ def with_first_copy(pages: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def records(pages: DataFrame, copies: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One column, value: each page as a WARC record without its closing line breaks."""
+    """value, each page as a WARC record, and size, the bytes of its payload in the archive."""
     rows = with_first_copy(pages, copies)
     payload = F.col("payload").cast("binary")
     digest = base32_sha1(payload)
@@ -109,21 +111,30 @@ def records(pages: DataFrame, copies: DataFrame, min_bytes: int = 0, date: str =
         F.octet_length(body).cast("string"),
         F.lit(END),
         body,
+        F.lit(END),
     )
-    return rows.select(head.alias("value"))
+    return rows.select(head.cast("binary").alias("value"), F.octet_length(body).cast("long").alias("size"))
+
+
+def write(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Archives under path, of at most file_bytes payload bytes each unless one payload alone is longer, in one pass over the pages."""
 
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = 0, 0
+        for b in batches:
+            numbers, members = [], []
+            for value, size in zip(b.column("value"), b.column("size").to_pylist(), strict=True):
+                if held and held + size > file_bytes:
+                    number, held = number + 1, 0
+                held += size
+                numbers.append(number)
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                members.append(z.compress(value.as_buffer()) + z.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(members, pa.binary())], names=["file", "member"])
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES, classes: tuple[int, ...] = CLASSES) -> None:
-    """Archives under path, of at most file_bytes payload bytes each unless one payload alone is longer."""
-    copies = revisits(pages)
-    size = F.coalesce(F.octet_length("html"), F.lit(0))
-    # how many classes a page is beyond
-    of = sum(((size > c).cast("int") for c in classes), F.lit(0))
-    held = {r["c"] for r in pages.groupBy(of.alias("c")).agg(F.count("*")).collect()} or {0}  # as many rows as classes
-    for k in sorted(held):
-        per_file = max(1, file_bytes // classes[k]) if k < len(classes) else 1
-        writer = records(pages.where(of == k), copies, min_bytes).write.mode("append").option("lineSep", END)
-        writer.option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    members = records(pages, revisits(pages), min_bytes).mapInArrow(compress, "file int, member binary")
+    # bytes pass through the writer as they are; the separator is given in an encoding that has all bytes
+    members.select("file", F.col("member").cast("string")).write.mode("append").partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
 
 
 def _field(lines: dict[bytes, bytes], name: bytes) -> bytes:
@@ -175,7 +186,9 @@ def _sound(data: bytes, at: int) -> bool:
 
 
 def _opens_archive(data: bytes, at: int) -> bool:
-    """Whether a gzip member that begins here begins with a version line."""
+    """Whether a gzip member that begins here begins with a version line, or is the one that parts members."""
+    if data.startswith(EMPTY, at):
+        return True
     try:
         return zlib.decompressobj(31).decompress(memoryview(data)[at : at + (1 << 12)], len(VERSION)) == VERSION
     except zlib.error:

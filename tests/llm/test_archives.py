@@ -24,6 +24,24 @@ def test_archives_read_back(spark):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_a_damaged_record_is_the_only_one_lost(spark, tmp_path):
+    """Two flipped bytes of a written archive cost the record that they hit, and the gap is its member."""
+    df = spark.range(250).selectExpr("id as page_id", "'u' as url", "concat('page ', id, repeat(sha2(string(id), 256), 20)) as html").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write(df, path)
+    (file,) = [f for f in (tmp_path / "w").rglob("part-*")]
+    data = bytearray(file.read_bytes())
+    assert gzip.decompress(bytes(data)).count(b"WARC/1.0") == 250  # an ordinary reader sees all members
+    members = [r for r in warc.salvage(bytes(data))]
+    hit = members[62]
+    at = (hit["start"] + hit["end"]) // 2
+    data[at] ^= 0xFF
+    data[at + 1] ^= 0xFF
+    got = list(warc.salvage(bytes(data)))
+    assert {r["page_id"] for r in got if r["kind"] != "gap"} == set(range(250)) - {hit["page_id"]}
+    assert [(r["start"], r["end"]) for r in got if r["kind"] == "gap"] == [(hit["start"], hit["end"])]
+
+
 def test_rows_without_an_id_and_repeated_rows(spark):
     rows = [(None, "u", "a"), (None, "u", "b"), (None, "u", "b"), (4, "u", "a"), (2, "u", "a"), (2, "u", "a"), (2, "u", "c"), (9, "u", "c")]
     path = fresh_path(spark, "t")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -461,6 +462,32 @@ def test_sums_of_many_training_tasks(spark, monkeypatch):
     assert np.array_equal(models[0].logits, models[1].logits) and np.allclose(models[0].weights, models[1].weights) and np.allclose(models[0].cells, models[1].cells)
 
 
+def test_columns_named_like_measures(spark):
+    df = spark.createDataFrame([(1, "some words here", 7, "x")], "doc_id long, text string, n_words int, kept string")
+    (r,) = quality_rules.judge(df).collect()
+    assert (r.doc_id, r.n_words, r.base_failed, r.kept) == (1, 3, True, False)
+    assert quality_rules.judge(df.select("text").withColumnRenamed("text", "kept"), "kept").first().n_words == 3
+
+
+def test_memo_is_bounded_in_bytes(monkeypatch):
+    """Many long texts without spaces, and many different words: what is remembered stays small, and counts are right."""
+    import numpy as np
+
+    from gradewell.llm import _bpe
+
+    bpe = _bpe.Bpe(token_counts.default_vocabulary())
+    monkeypatch.setattr(bpe, "BYTES", 1 << 18)
+    tok, rng = library(), random.Random(1)
+    for i in range(60):
+        text = "".join(rng.choice("abcdefghij") for _ in range(20_000)) + "".join(f" w{i}x{k}" for k in range(300))
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        ids = list(packing.token_ids(bpe, raw, np.array([0, len(raw)])))
+        if i % 20 == 0:
+            assert np.frombuffer(ids[0], dtype="<u4").tolist()[:-1] == tok.encode(text, add_special_tokens=False).ids
+        held = sum(len(k) + len(v) for k, v in bpe.memo.items())
+        assert held <= bpe.held <= (1 << 18) + 300 * 300 and max(map(len, bpe.memo)) <= bpe.KEPT
+
+
 def test_words_of_equal_polynomials_differ():
     """Two strings of which any polynomial hash modulo 2^64 is equal stay apart in word hashes, shingles and token ids."""
     import numpy as np
