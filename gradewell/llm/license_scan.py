@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm._store import table
+from gradewell.llm._licenses import WHOLE
+from gradewell.llm._store import store, table
 
 SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
 EXACT = SHINGLE + 1  # words of the largest class whose shingles are the keys
@@ -49,6 +50,8 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Notices and whole texts.
+ALL = TEMPLATES | WHOLE
 
 #: ASCII signs part words, capitals A to Z are lowered.
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,16 +82,21 @@ def _once(column: str) -> Column:
     return F.when(F.col("_row") >= 0, F.col(column))
 
 
-def registry(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """license_id, shingles (distinct), class: its words, beyond 16 rounded up to an eighth of the power of two below."""
-    rows = spark.createDataFrame([(k, v) for k, v in templates.items()], "license_id string, notice string")
-    out = shingled(rows, "notice").where(F.size("_shingles") > 0)
+def registry_of(notices: DataFrame, license_id: str = "license_id", notice: str = "notice") -> DataFrame:
+    """license_id, shingles (distinct), class of a table of templates of any length: its words, beyond 16 rounded up to an eighth of the power of two below.
+
+    Templates of fewer words than a shingle match nothing and are left out; of texts under one name each is a template.
+    """
+    out = shingled(notices.select(F.col(f"`{license_id}`").alias("license_id"), F.col(f"`{notice}`").alias("notice")), "notice").where(F.size("_shingles") > 0)
     words = F.size("_shingles") + SHINGLE - 1
     step = F.pow(F.lit(2), F.greatest(F.floor(F.log2(words - 1)) - 3, F.lit(0)))
     size = (F.ceil(words / step) * step).cast("int")
-    out = out.select("license_id", F.array_distinct("_shingles").alias("shingles"), size.alias("class"))
-    # the registry comes from the driver and goes back there, as plain rows
-    return spark.createDataFrame(out.collect(), out.schema)
+    return store(out.select("license_id", F.array_distinct("_shingles").alias("shingles"), size.alias("class")), "licenses")
+
+
+def registry(spark: SparkSession, templates: dict[str, str] = ALL) -> DataFrame:
+    """registry_of() a list that the caller holds."""
+    return registry_of(spark.createDataFrame(list(templates.items()), "license_id string, notice string"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:

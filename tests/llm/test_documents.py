@@ -552,6 +552,34 @@ def test_license_scan_equals_exact_containment(spark):
     assert len(want) > 100 and got == pytest.approx(want)
 
 
+def test_license_scan_of_whole_texts(spark):
+    """Templates from a table, whole licenses and one of thousands of words, some of their words changed: the same as counting every window's shingles."""
+    rng = random.Random(11)
+    words = lambda text: [w for w in re.sub(r"[\x01-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", " ", text.translate(LOWER)).split(" ") if w]
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(3000))
+    notices = license_scan.WHOLE | {"long": long, "tiny": "too short", "none": None}
+    known = license_scan.registry_of(spark.createDataFrame(list(notices.items()), "name string, body string"), "name", "body")
+    texts = []
+    for name in [*license_scan.WHOLE, "long"]:
+        for rate in (0, 0.02, 0.06):
+            own = [w if rng.random() >= rate else f"other{rng.randrange(99)}" for w in words(notices[name])]
+            texts.append(" ".join([f"x{rng.randrange(50)}" for _ in range(rng.randrange(700))] + own + [f"y{rng.randrange(50)}" for _ in range(rng.randrange(300))]))
+    texts.append(" ".join(words(long)[:2000]))
+    shingles = lambda ws: [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    sizes = {r.license_id: r["class"] for r in known.collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        own = shingles(words(t))
+        for name in sizes:
+            c, wanted = sizes[name], set(shingles(words(notices[name])))
+            best = max(len(wanted & set(own[at : at + 2 * c - 4])) / len(wanted) for at in range(0, max(1, len(own)), c))
+            if best >= license_scan.CONTAINED:
+                want[i, name] = best
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license_id): r.containment for r in license_scan.scan(df, known).collect()}
+    assert got == pytest.approx(want) and sizes["long"] >= 3000 and (len(texts) - 4, "long") in got and len(want) >= 2 * len(license_scan.WHOLE)
+
+
 def test_license_scan_misses_no_short_notice(spark):
     """200 notices of one shingle at each place of 6,000 different texts: bands alone miss some."""
     notices = {f"n{k}": " ".join(f"n{k}{c}" for c in "abcde") for k in range(200)}
