@@ -323,10 +323,11 @@ def _(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.md5(text.cast("binary")).alias("prompt_md5"))
 
 
-@query("h7_temperature", "SELECT s_suppkey AS row_id, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS temperature FROM supplier")
+@query("h7_temperature", "SELECT s_suppkey AS row_id, CASE WHEN s_suppkey % 7 < 5 THEN 1 ELSE 0 END AS temperature FROM supplier")
 def _(spark, d):
-    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.when(F.col("s_suppkey") % 2 == 0, "o1-x").otherwise("go1-x").alias("model_id"))
-    return s.select("row_id", R.temperature(F.col("model_id")).alias("temperature"))
+    kinds = F.array(*[F.lit(x) for x in ("o1-", "o3-mini", "o4-mini", "o3-", "claude-3-7-sonnet-20250219-thinking-", "go1-", "o1")])
+    model = F.concat(F.get(kinds, (F.col("s_suppkey") % 7).cast("int")), F.col("s_name"))
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), R.temperature(model).alias("temperature"))
 
 
 @query("h10_typos", "SELECT p_partkey AS row_id, replace(replace(p_type, 'PROMO', 'Promo'), 'ECO', 'Eco') AS category FROM part")
@@ -340,9 +341,9 @@ def _(spark, d):
     return questions(spark, d).select("row_id", clean.replace_in_turn(F.col("category"), pairs).alias("category"))
 
 
-@query("h15_exam_code", "SELECT s_suppkey AS row_id, 'AB_' || CAST(s_suppkey AS VARCHAR) AS exam FROM supplier")
+@query("h15_exam_code", "SELECT s_suppkey AS row_id, replace(s_name, '-', '_') || '_' || s_nationkey AS exam FROM supplier")
 def _(spark, d):
-    code = F.concat(F.lit(" AB-"), F.col("s_suppkey").cast("string"), F.lit(" (x-y)"))
+    code = F.concat(F.lit(" "), "s_name", F.lit("-"), F.col("s_nationkey").cast("string"), F.lit(" (x-"), "s_name", F.lit(")"))
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), clean.exam_code(code).alias("exam"))
 
 
@@ -380,10 +381,23 @@ def _(spark, d):
     return read(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), clean.question_number(text).alias("number"))
 
 
-@query("i1_segment", "SELECT c_custkey AS row_id, CAST(unnest([0, 1]) AS BIGINT) AS place, unnest(['1. a ' || c_custkey || ' D x', '2. b D y']) AS paragraph FROM customer")
+def question_pages(spark: SparkSession, d: str, number: Column) -> DataFrame:
+    """row_id, text: five parts to a page, a question each; number: of a question, from its part's key and its place on the page."""
+    w = Window.partitionBy(F.floor(F.col("p_partkey") / 5)).orderBy("p_partkey")
+    part = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 5).alias("row_id"), "p_partkey", "p_name", "p_type", "p_brand", F.row_number().over(w).alias("place"))
+    line = F.concat(number.cast("string"), F.lit(". "), "p_name", F.lit("\nA "), "p_type", F.lit("\nD "), "p_brand")
+    pages = part.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("t")))).alias("ts"))  # five rows a page
+    return pages.select("row_id", F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("text"))
+
+
+PAGES = """WITH p AS (SELECT p_partkey // 5 AS row_id, row_number() OVER (PARTITION BY p_partkey // 5 ORDER BY p_partkey) AS place, p_partkey, '. ' || p_name || chr(10) || 'A ' || p_type || chr(10) || 'D ' || p_brand AS t FROM part)
+"""
+
+
+@query("i1_segment", PAGES + "SELECT row_id, place - 1 AS place, p_partkey || t AS paragraph FROM p")
 def _(spark, d):
-    text = F.concat(F.lit("1. a "), F.col("c_custkey").cast("string"), F.lit(" D x\n2. b D y"))
-    out = read(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.posexplode(clean.paragraphs(text)).alias("place", "paragraph"))
+    pages = question_pages(spark, d, F.col("p_partkey"))
+    out = pages.select("row_id", F.posexplode(clean.paragraphs(F.col("text"))).alias("place", "paragraph"))
     return out.withColumn("place", F.col("place").cast("long"))
 
 
@@ -457,32 +471,32 @@ def _(spark, d):
     return questions(spark, d).select("row_id", clean.slug(F.concat("question", F.lit(" PCK"))).alias("slug"))
 
 
-@query("h27_choices", r"SELECT c_custkey AS row_id, 'x' || c_custkey || '.' AS choice, 'a b' AS question, c_custkey % 2 = 0 AS complete FROM customer")
+@query("h27_choices", "SELECT c_custkey AS row_id, c_name || c_custkey || '.' AS choice, c_name || ' ' || c_mktsegment AS question, c_custkey % 2 = 0 AS complete FROM customer")
 def _(spark, d):
-    c, k = keyed(spark, d)
-    other = F.when(F.col("row_id") % 2 == 0, "y").otherwise("")
-    return c.select("row_id", clean.without_final_stop(F.concat(F.lit("x"), k, F.lit(".."))).alias("choice"), clean.one_line(F.lit("a\nb")).alias("question"), clean.complete_choices(k, other).alias("complete"))
+    k = F.col("c_custkey").cast("string")
+    other = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("")
+    choice, question = F.concat("c_name", k, F.lit("..")), F.concat("c_name", F.lit("\n"), "c_mktsegment")
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), clean.without_final_stop(choice).alias("choice"), clean.one_line(question).alias("question"), clean.complete_choices(k, other).alias("complete"))
 
 
-@query("h30_leading_number", "SELECT c_custkey AS row_id, CAST(c_custkey AS INTEGER) AS number, substring('. abcdefgh', CAST(length(CAST(c_custkey AS VARCHAR)) AS BIGINT)) AS rest FROM customer")
+@query("h30_leading_number", "SELECT c_custkey AS row_id, CAST(c_custkey AS INTEGER) AS number, substring('. ' || c_name, CAST(length(CAST(c_custkey AS VARCHAR)) AS BIGINT)) AS rest FROM customer")
 def _(spark, d):
-    c, k = keyed(spark, d)
-    found = clean.leading_number(F.concat(k, F.lit(". abcdefgh")))
-    return c.select("row_id", found["number"].alias("number"), found["rest"].alias("rest"))
+    found = clean.leading_number(F.concat(F.col("c_custkey").cast("string"), F.lit(". "), "c_name"))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), found["number"].alias("number"), found["rest"].alias("rest"))
 
 
-@query("h32_page_text", "SELECT c_custkey AS row_id, CAST(c_custkey AS INTEGER) AS page, 'a' || chr(10) || 'b' AS text FROM customer")
+@query("h32_page_text", "SELECT c_custkey AS row_id, CAST(c_custkey AS INTEGER) AS page, c_name || chr(10) || c_mktsegment AS text FROM customer")
 def _(spark, d):
-    c, k = keyed(spark, d)
-    return c.select("row_id", clean.page_number(F.concat(F.lit("Page "), k)).alias("page"), clean.without_last_line(F.concat(F.lit("a\nb\n"), k)).alias("text"))
+    k = F.col("c_custkey").cast("string")
+    text = F.concat_ws("\n", "c_name", "c_mktsegment", k)
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), clean.page_number(F.concat(F.lit("Page "), k)).alias("page"), clean.without_last_line(text).alias("text"))
 
 
-@query("i2_segment_page", "SELECT c_custkey AS row_id, CAST(unnest([0, 1]) AS INTEGER) AS place, unnest(['1. a' || chr(10) || 'D x', '2. b' || chr(10) || 'D ' || c_custkey]) AS paragraph FROM customer")
+@query("i2_segment_page", PAGES + "SELECT row_id, CAST(place - 1 AS INTEGER) AS place, place || t AS paragraph FROM p")
 def _(spark, d):
     from gradewell.functions.pages import SegmentPage
 
-    c, k = keyed(spark, d)
-    pages = c.select("row_id", F.concat(F.lit("1. a\nD x\n2. b\nD "), k).alias("text"))
+    pages = question_pages(spark, d, F.col("place"))
     return pages.lateralJoin(SegmentPage(F.col("text").outer())).select("row_id", "place", "paragraph")
 
 

@@ -39,9 +39,9 @@ def _(spark, d):
     return C.rename_at(read(spark, d, "supplier").withColumnRenamed("s_name", "name"), {0: "model_id", 2: "provider"})
 
 
-@query("c6_constant_category", "SELECT 'SEND' AS category, count(*) AS n FROM part")
+@query("c6_constant_category", "SELECT p_partkey AS row_id, p_name AS question, 'SEND' AS category FROM part")
 def _(spark, d):
-    return questions(spark, d).withColumn("category", F.lit("SEND")).groupBy("category").agg(F.count("*").alias("n"))
+    return questions(spark, d).withColumn("category", F.lit("SEND")).select("row_id", "question", "category")
 
 
 @query("c8_membership", "SELECT p_partkey AS row_id, p_type AS category FROM part WHERE p_type IN ('PROMO', 'ECONOMY')")
@@ -156,12 +156,15 @@ def _(spark, d):
     return leaderboard.with_registry(scores, models, combined=True).withColumn("cost", F.round("cost", 4))
 
 
-@query("d18_same_keys", "SELECT NOT EXISTS (SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem) AS all_used, NOT EXISTS (SELECT p_partkey FROM part EXCEPT SELECT p_partkey FROM part) AS itself")
+@query("d18_same_keys", """SELECT NOT EXISTS (SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem) AS all_used, NOT EXISTS (SELECT p_type FROM part EXCEPT SELECT p_type FROM part WHERE p_size > 25) AND NOT EXISTS (SELECT p_type FROM part WHERE p_size > 25 EXCEPT SELECT p_type FROM part) AS same_types,
+ NOT EXISTS (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) AND NOT EXISTS (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer) AS same_customers""")
 def _(spark, d):
     used, known = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct(), read(spark, d, "supplier").select("s_suppkey")
     missing = known.subtract(used).agg((F.count("*") == 0).alias("all_used"))
-    q = questions(spark, d).select("row_id")
-    return missing.withColumn("itself", F.lit(lookups.same_keys(q, q)))
+    q = read(spark, d, "part")
+    types = lookups.same_keys(q.select("p_type"), q.where("p_size > 25").select("p_type"))
+    people = lookups.same_keys(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    return missing.select("all_used", F.lit(types).alias("same_types"), F.lit(people).alias("same_customers"))
 
 
 @query("d19_equal_columns", "SELECT bool_and(p_name = p_name) AS same, bool_and(p_size = p_partkey) AS other FROM part")
@@ -172,9 +175,9 @@ def _(spark, d):
     return both.agg(F.bool_and(F.coalesce(F.col("x") == F.col("y"), F.lit(False))).alias("same"), F.bool_and(F.coalesce(F.col("p_size") == F.col("z"), F.lit(False))).alias("other"))
 
 
-@query("e11_one_category", "SELECT 'SEND' AS category, count(*) AS n FROM part")
+@query("e11_one_category", "SELECT p_type AS category, count(*) AS n FROM part WHERE p_type = 'PROMO' GROUP BY p_type")
 def _(spark, d):
-    one = scoring.one_value(questions(spark, d).withColumn("category", F.lit("SEND")), "category")
+    one = scoring.one_value(questions(spark, d).where("category = 'PROMO'"), "category")
     return one.groupBy("category").agg(F.count("*").alias("n"))
 
 
