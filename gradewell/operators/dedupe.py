@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewell.operators.likeness import common_subsequence, fuzzy_ratio, piece_keys, ratios, window_keys  # noqa: F401
+from gradewell.operators.timewise import with_last, with_range
 from gradewell.sources.shared import settled
 
 BLOCK = 512  # texts compared with another block at once
@@ -347,12 +348,17 @@ def candidate_report(queries: DataFrame, known: DataFrame, query: str, text: str
 
 
 def in_order(df: DataFrame, column: str, row: str = "row_id", by: Sequence[str] = ()) -> DataFrame:
-    """Whether a column never falls in the order of rows, by group."""
-    w = Window.partitionBy(*by).orderBy(row) if by else None
-    if w is None:
-        raise ValueError("an order check over one unbounded group is not distributed; give the column that groups rows")
-    ok = F.coalesce(F.col(column) >= F.lag(column).over(w), F.lit(True))
-    return df.withColumn("_ok", ok).groupBy(*by).agg(F.bool_and("_ok").alias("in_order"))
+    """Whether a column never falls from a row to the next in the order of rows, by group; a missing value is neither above nor below.
+
+    A group of many rows is dealt to ranges of row numbers, each of which knows the last value before it.
+    """
+    held = df.select(*by, F.col(row).cast("long").alias("_at"), F.struct(F.col(column).alias("v")).alias("_value"))
+    if not by:
+        held = held.withColumn("_all", F.lit(0))
+    keys = list(by) or ["_all"]
+    seen = with_last(with_range(held, keys, "_at"), keys, ["_at"], "_value", "_before", inclusive=False)
+    ok = F.coalesce(F.col("_value.v") >= F.col("_before.v"), F.lit(True))
+    return seen.withColumn("_ok", ok).groupBy(*by).agg(F.bool_and("_ok").alias("in_order"))
 
 
 def register(spark) -> None:

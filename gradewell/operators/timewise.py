@@ -33,7 +33,7 @@ def with_range(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     return df.join(found, list(keys), "left").withColumn("_range", F.coalesce(own, F.lit(0))).drop("_cuts")
 
 
-def _carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, inclusive: bool) -> DataFrame:
+def with_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, inclusive: bool) -> DataFrame:
     """df and name: the last value that is not null up to each row in the order of its key (before it, unless inclusive). df has _range.
 
     Ranges are windows of their own; the last value of each is one row of an aggregate, and these are carried on in order.
@@ -65,7 +65,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
     # of one time one row is enough: a hot time of the right side is one row of each key
     found = found.groupBy(*keys, "_at", "_side").agg(F.max("_found").alias("_found"))
     both = with_range(rows.unionByName(found, allowMissingColumns=True), keys, "_at")
-    out = _carried(both, keys, ["_at", "_side"], "_found", "_latest", True).where("_side = 1")
+    out = with_last(both, keys, ["_at", "_side"], "_found", "_latest", True).where("_side = 1")
     near = F.col("_latest") if within is None else F.when(F.col("_at") - F.col("_latest._then") <= round(within * 1_000_000), F.col("_latest"))
     out = out.select("_row.*", near.alias("_latest")).select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"_latest.{v}").alias(v) for v in values])
     return out.unionByName(left.where(~known), allowMissingColumns=True)
@@ -127,7 +127,7 @@ def streaks(df: DataFrame, keys: Sequence[str], time: str, flag: str, tie: str)
     for k in keys:
         known = known & F.col(k).isNotNull()
     rows = df.where(known).select(*keys, F.col(time).alias("_time"), _micros(time).alias("_at"), tie, F.coalesce(flag, F.lit(False)).alias("_flag"))
-    rows = _carried(with_range(rows, keys, "_at"), keys, order, "_flag", "_before", False)
+    rows = with_last(with_range(rows, keys, "_at"), keys, order, "_flag", "_before", False)
     rows = rows.withColumn("_opens", (F.col("_flag") & ~F.coalesce("_before", F.lit(False))).cast("long"))
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

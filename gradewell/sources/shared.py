@@ -21,11 +21,15 @@ def _folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the whole cluster shares."""
-    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the whole cluster shares; what is written there goes when the application ends."""
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df computed once, into the shared folder."""
-    _folder(df.sparkSession)
-    return df.checkpoint()
+    path = shared_path(df.sparkSession, "settled")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

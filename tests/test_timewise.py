@@ -127,3 +127,15 @@ def test_streamed_sessions_equal_those_of_a_table(spark, tmp_path, monkeypatch):
     assert built_in == want and n == 2
     own, n = streamed(spark, tmp_path, "own", [*frames, end, late], lambda df: S.session_stream(df, "user", "ts", "v", 20, "10 minutes"))
     assert own == want and n == 2
+
+
+@pytest.mark.parametrize("rows", [3, 100_000])
+def test_order_of_long_groups(spark, monkeypatch, rows):
+    from gradewell.operators import dedupe
+
+    monkeypatch.setattr(timewise, "ROWS", rows)
+    good = [("a", i, i // 2 if i % 5 else None) for i in range(40)]
+    bad = [("b", i, 40 - i if i == 33 else i) for i in range(40)]
+    df = spark.createDataFrame(good + bad + [("c", 1, 5)], "k string, row_id long, v int")
+    assert {r.k: r.in_order for r in dedupe.in_order(df, "v", by=["k"]).collect()} == {"a": True, "b": False, "c": True}
+    assert dedupe.in_order(df.where("k = 'a'"), "v").first().in_order and not dedupe.in_order(df.where("k = 'b'"), "v").first().in_order
