@@ -24,6 +24,7 @@ STATES = 5  # no guess, one that failed in this code, or how many in a row were
 PLACES = 16  # of a bit in its code that gates tell apart
 GATES = 2 * PLACES * 4 * STATES
 CELLS, SPREAD = 33, 12.0
+CONSTANT = np.float32(0.1)
 STOP = 0x20  # ends a word that is spelled: no word holds it
 END_HASH, START_HASH = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 BLOCK = 1 << 16  # symbols worked on at once
@@ -208,13 +209,13 @@ def logits_of(counts: np.ndarray) -> np.ndarray:
     return np.log((counts[..., 1] + np.float32(0.4)) / (counts[..., 0] + np.float32(0.4)))
 
 
-def _level(x: Symbols, b: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the first m codes, which have more than b bits: slots, bit b, the sign of the guess (0: none) and the state."""
+def _level(x: Symbols, b: int, m: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the first m codes, which have more than b bits: bit b, the sign of the guess (0: none) and the state; their slots go to slot."""
     left = x.length[:m] - np.uint8(b)
     value = x.value[:m]
     node = (value >> left) | np.uint32(1 << b)
     bit = (value >> (left - np.uint8(1))) & np.uint32(1)
-    slot = x.context[:, :m] ^ (node * ONE + np.uint32(x.kind))
+    np.bitwise_xor(x.context[:, :m], node * ONE + np.uint32(x.kind), out=slot)
     slot *= TWO
     slot >>= np.uint32(32 - BITS)
     if not x.kind and b < BITS:
@@ -224,7 +225,7 @@ def _level(x: Symbols, b: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     rest = np.where(holds, size - np.uint8(b), np.uint8(1))
     holds &= (x.guess[:m] >> rest) | np.uint32(1 << b) == node
     sign = np.where(holds, ((x.guess[:m] >> (rest - np.uint8(1))) & np.uint32(1)).astype(np.float32) * 2 - 1, np.float32(0))
-    return slot, bit, sign, np.where(holds, x.state[:m], (size > 0).astype(np.uint8))
+    return bit, sign, np.where(holds, x.state[:m], (size > 0).astype(np.uint8))
 
 
 def _levels(x: Symbols, sizes: list[int]) -> tuple[list, np.ndarray, np.ndarray]:
@@ -232,26 +233,21 @@ def _levels(x: Symbols, sizes: list[int]) -> tuple[list, np.ndarray, np.ndarray]
     ends = np.concatenate([[0], np.cumsum(sizes)])
     slots, levels = np.empty((N, int(ends[-1])), dtype=np.uint32), []
     for b, m in enumerate(sizes):
-        slot, *rest = _level(x, b, m)
-        slots[:, ends[b] : ends[b + 1]] = slot
-        levels.append(rest)
+        levels.append(_level(x, b, m, slots[:, ends[b] : ends[b + 1]]))
     return levels, ends, slots
 
 
-def _mixed(known: np.ndarray, sign: np.ndarray, state: np.ndarray, kind: int, b: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, gates and the mixed logit."""
-    m = len(sign)
-    x = np.empty((K, m), dtype=np.float32)
-    x[:N], x[N], x[N + 1] = known, sign, 0.1
-    met = (known[2] != 0) * np.int64(2) + (known[1] != 0)
-    gate = ((kind * PLACES + min(b, PLACES - 1)) * 4 + met) * STATES + state
+def _mixed(known: np.ndarray, sign: np.ndarray, state: np.ndarray, kind: int, b: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gates, counted from the first of the kind and place, and the mixed logit of the contexts' logits, the guess and a constant."""
     first = (kind * PLACES + min(b, PLACES - 1)) * 4 * STATES
+    met = (known[2] != 0) * np.uint8(2) + (known[1] != 0)
+    gate = (met * np.uint8(STATES) + state).astype(np.intp)
     own = np.ascontiguousarray(weights[first : first + 4 * STATES].T)
-    t = np.zeros(m, dtype=np.float32)
-    gate -= first
-    for k in range(K):
-        t += x[k] * own[k].take(gate, mode="clip")
-    return x, gate, np.clip(t, -SPREAD, SPREAD)
+    t = (own[N + 1] * CONSTANT).take(gate, mode="clip")
+    t += sign * own[N].take(gate, mode="clip")
+    for k in range(N):
+        t += known[k] * own[k].take(gate, mode="clip")
+    return gate, np.clip(t, -SPREAD, SPREAD, out=t)
 
 
 def _blocks(coded: Coded):
@@ -262,11 +258,16 @@ def _blocks(coded: Coded):
             yield x, (len(x.length) - np.searchsorted(x.length[::-1], np.arange(int(x.length[0])), "right")).tolist()
 
 
-def _pulls(x: np.ndarray, gate: np.ndarray, error: np.ndarray, slope: np.ndarray, gates: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each gate the sums of error * x and of slope * x * x over its places, which are brought together first."""
+def _pulls(known: np.ndarray, sign: np.ndarray, gate: np.ndarray, error: np.ndarray, slope: np.ndarray, gates: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each gate the sums of error * x and of slope * x * x over its places, which are brought together first; x: what the weights belong to."""
     order = np.argsort(gate, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=gates))])
-    x, error, slope = x[:, order], error[order], slope[order]
+    x = np.empty((K, len(order)), dtype=np.float32)
+    for k in range(N):
+        known[k].take(order, out=x[k], mode="clip")
+    sign.take(order, out=x[N], mode="clip")
+    x[N + 1] = CONSTANT
+    error, slope = error[order], slope[order]
     pull, bend = np.zeros((gates, len(x))), np.zeros((gates, len(x)))
     square = x * x
     for g in range(gates):
@@ -289,21 +290,39 @@ def learn(coded: Coded, counts: np.ndarray, weights: np.ndarray, cells: np.ndarr
             known[k] = logits_of(pairs[k].take(slots[k], mode="clip").view(np.float32).reshape(-1, 2))
             np.add.at(flat[k], (slots[k] * np.uint32(2) + bits).astype(np.intp), np.float32(1))
         for b, (bit, sign, state) in enumerate(levels):
-            inputs, gate, t = _mixed(known[:, ends[b] : ends[b + 1]], sign, state, x.kind, b, weights)
+            own = known[:, ends[b] : ends[b + 1]]
+            gate, t = _mixed(own, sign, state, x.kind, b, weights)
             p = 1 / (1 + np.exp(-t))
             first, width = (x.kind * PLACES + min(b, PLACES - 1)) * 4 * STATES, 4 * STATES
-            pull, bend = _pulls(inputs, gate.astype(np.uint8), bit.astype(np.float32) - p, p * (1 - p), width)
+            pull, bend = _pulls(own, sign, gate.astype(np.uint8), bit.astype(np.float32) - p, p * (1 - p), width)
             weights[first : first + width] += rate * pull / (bend + 8)
             cell = ((t + np.float32(SPREAD)) * np.float32((CELLS - 1) / (2 * SPREAD)) + np.float32(0.5)).astype(np.int64)
             cells[:, x.kind, min(b, PLACES - 1)] += np.bincount(cell + CELLS * bit, minlength=2 * CELLS).reshape(2, CELLS)
 
 
-def score(model: Model, coded: Coded, texts: int) -> np.ndarray:
-    """Natural log of the probability of each text: of all its bits."""
+FINE = 1 << 15  # steps of a mixed logit, 0.0007 apart, whose final logarithms are tabled
+
+
+def _final(model: Model) -> np.ndarray:
+    """Natural logs of the final probability of a zero and of a one, by kind, place and step of the mixed logit: half the mixed one, half the refined.
+
+    Both come from one probability, so at every step they are those of a distribution.
+    """
     near = np.arange(CELLS) * (2 * SPREAD / (CELLS - 1)) - SPREAD
     prior = 1 / (1 + np.exp(-near))
-    refined = ((model.cells[1] + 20 * prior) / (model.cells.sum(axis=0) + 20)).astype(np.float32)
-    out = np.zeros(texts)
+    refined = (model.cells[1] + 20 * prior) / (model.cells.sum(axis=0) + 20)
+    t = np.arange(FINE + 1) * (2 * SPREAD / FINE) - SPREAD
+    out = np.empty((2, PLACES, 2, FINE + 1), dtype=np.float32)
+    for kind in range(2):
+        for place in range(PLACES):
+            p = 0.5 * (1 / (1 + np.exp(-t)) + np.interp(t, near, refined[kind, place]))
+            out[kind, place] = np.log([1 - p, p])
+    return out.reshape(2, PLACES, -1)
+
+
+def score(model: Model, coded: Coded, texts: int) -> np.ndarray:
+    """Natural log of the probability of each text: of all its bits."""
+    final, out = _final(model), np.zeros(texts)
     for x, sizes in _blocks(coded):
         value = np.zeros(len(x.length))
         levels, ends, slots = _levels(x, sizes)
@@ -311,14 +330,8 @@ def score(model: Model, coded: Coded, texts: int) -> np.ndarray:
         for k in range(N):
             np.take(model.logits[k], slots[k], out=known[k], mode="clip")
         for b, (bit, sign, state) in enumerate(levels):
-            m = len(bit)
-            _, _, t = _mixed(known[:, ends[b] : ends[b + 1]], sign, state, x.kind, b, model.weights)
-            place = (t + np.float32(SPREAD)) * np.float32((CELLS - 1) / (2 * SPREAD))
-            low = np.minimum(place.astype(np.int32), CELLS - 2)
-            part = place - low
-            own = refined[x.kind, min(b, PLACES - 1)]
-            q = own[low] * (1 - part) + own[low + 1] * part
-            p = np.float32(0.5) * (1 / (1 + np.exp(-t)) + q)
-            value[:m] += np.log(np.where(bit == 1, p, 1 - p))
+            _, t = _mixed(known[:, ends[b] : ends[b + 1]], sign, state, x.kind, b, model.weights)
+            step = ((t + np.float32(SPREAD)) * np.float32(FINE / (2 * SPREAD)) + np.float32(0.5)).astype(np.int32)
+            value[: len(bit)] += final[x.kind, min(b, PLACES - 1)].take(step + bit.astype(np.int32) * np.int32(FINE + 1), mode="clip")
         out += np.bincount(x.text, value, minlength=texts)
     return out
