@@ -95,7 +95,7 @@ class Bpe:
     """A vocabulary, its pair tests and a bounded memo of distinct pre-tokens."""
 
     MEMO = 400_000  # pairs that are remembered
-    BYTES, KEPT = 64 << 20, 256  # of remembered words and values; a longer word is worked out each time it comes
+    BYTES, KEPT = 128 << 20, 256  # of remembered words and values; a longer word is worked out each time it comes
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
