@@ -96,3 +96,15 @@ def _(spark, d):
     pages.repartition("book").sortWithinPartitions("book", "o_orderkey").drop("o_orderkey").write.partitionBy("book").option("lineSep", "\f").text(path)
     found = workbooks.read_page_ranges(spark, path, text_pages, lambda content: len(workbooks.form_feeds(content)), first=5, last=60, suffix=".txt")
     return found.select(F.regexp_extract("path", "book=([0-9]+)", 1).cast("long").alias("book"), "page", "text", "error")
+
+
+@query("a9_listed_files", "SELECT 'type=' || p_type AS folder, count(DISTINCT p_brand) AS n_files, true AS written FROM part GROUP BY p_type")
+def _(spark, d):
+    # a file for each type and brand, beside files of another kind
+    path = shared_path(spark, "folders")
+    p = read(spark, d, "part").select("p_name", "p_brand", F.col("p_type").alias("type"))
+    p.repartition(7, "type", "p_brand").sortWithinPartitions("type", "p_brand").select("p_name", "type", F.col("p_brand").alias("brand")).write.partitionBy("type", "brand").csv(path)
+    p.select("p_name", "type").write.mode("append").partitionBy("type").json(path)
+    found = tables.list_files(spark, path, ".csv")
+    by = F.regexp_extract("path", "(type=[^/]*)/", 1)
+    return found.groupBy(by.alias("folder")).agg(F.count_distinct("folder").alias("n_files"), F.bool_and(F.col("bytes") > 0).alias("written"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gradewell.operators import evaluation as E
 from gradewell.plans.catalog import query, read, rounded
+from gradewell.sources.shared import shared_path
 
 MODELS = ("m0", "m1", "m2")
 
@@ -86,3 +87,17 @@ def _(spark, d):
     sets = question_sets(spark, d)
     found = E.collect_runs({"duplicate": E.run(sets, MODELS[:1], general), "permute": E.run(sets, MODELS, general, local)}, ["duplicate", "permute", "reworded"])
     return rounded(score(found, ["experiment", "model_id"]), "accuracy", "bad_format")
+
+
+@query("b2_published", RUN + ", s AS (SELECT model_id, category, " + SCORES.format(s=100) + " FROM r GROUP BY ALL UNION ALL SELECT model_id, 'Overall', " + SCORES.format(s=100) + """ FROM r GROUP BY ALL)
+SELECT model_id, max(accuracy) FILTER (category = 'PROMO') AS promo, max(accuracy) FILTER (category = 'Overall') AS overall, max(bad_format) FILTER (category = 'Overall') AS bad, (SELECT count(*) FROM q WHERE NOT is_example) AS n_full FROM s GROUP BY model_id""")
+def _(spark, d):
+    # the files of a published run, read back
+    path = shared_path(spark, "published")
+    general, local = caches(spark, d)
+    E.publish(E.run(question_sets(spark, d), MODELS, general, local, settle=True), ["PROMO"], path)
+    csv = lambda name: spark.read.option("header", True).csv(f"{path}/{name}")
+    rates = csv("accuracy").select("model_id", F.col("PROMO").cast("double").alias("promo"), F.col("Overall").cast("double").alias("overall"))
+    both = rates.join(csv("bad_format").select("model_id", F.col("Overall").cast("double").alias("bad")), "model_id")
+    sizes = csv("full").agg(F.count("*").alias("n_full"))
+    return rounded(both.crossJoin(F.broadcast(sizes)), "promo", "overall", "bad")  # sizes is one row

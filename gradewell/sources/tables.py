@@ -52,6 +52,14 @@ def count_rows_by_folder(spark: SparkSession, path: str, prefix: str, columns: S
     return first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_folders"))
 
 
+def list_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """path, folder, name, bytes of all files below path whose names end with suffix; their contents are not read."""
+    files = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).select("path", "length")
+    at = F.split("path", "/", -1)
+    named = files.select("path", F.url_decode(F.get(at, F.size(at) - 2)).alias("folder"), F.url_decode(F.element_at(at, -1)).alias("name"), F.col("length").alias("bytes"))
+    return named.where(F.endswith("name", F.lit(suffix)))
+
+
 def read_json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
