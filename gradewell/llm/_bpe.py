@@ -25,18 +25,27 @@ SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 
 
 @cache
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """The class of each code point, and whether it is the same in every Unicode version."""
-    kind, sure = np.full(0x110000, OTHER, dtype=np.uint8), np.zeros(0x110000, dtype=bool)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all code points the class and whether it is the same in every Unicode version, and which blocks of 256 have been looked up."""
+    return np.full(0x110000, OTHER, dtype=np.uint8), np.zeros(0x110000, dtype=bool), np.zeros(0x1100, dtype=bool)
+
+
+def _classes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each code point, and whether it is the same in every Unicode version; looked up for the blocks that cp has."""
+    kind, sure, ready = _tables()
+    met = np.flatnonzero(np.bincount(cp >> 8, minlength=1))
     old = unicodedata.ucd_3_2_0.category
-    for i in range(0x110000):
-        c = chr(i)
-        now = unicodedata.category(c)
-        if now[0] in "LN":
-            kind[i] = LETTER if now[0] == "L" else NUMBER
-        sure[i] = now != "Cn" and old(c)[0] == now[0]
-    kind[SPACES], sure[SPACES] = SPACE, True
-    return kind, sure
+    for block in met[~ready[met]].tolist():
+        for i in range(block << 8, (block + 1) << 8):
+            c = chr(i)
+            now = unicodedata.category(c)
+            if now[0] in "LN":
+                kind[i] = LETTER if now[0] == "L" else NUMBER
+            sure[i] = now != "Cn" and old(c)[0] == now[0]
+        spaces = [i for i in SPACES if i >> 8 == block]
+        kind[spaces], sure[spaces] = SPACE, True
+        ready[block] = True
+    return kind[cp], sure[cp]
 
 
 def _byte_chars() -> dict[str, int]:
@@ -55,7 +64,7 @@ def pretokens(cp: np.ndarray, edges: np.ndarray) -> np.ndarray:
     n = len(cp)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    kind = _classes()[0][cp]
+    kind = _classes(cp)[0]
     start = np.empty(n, dtype=bool)
     start[0] = True
     np.not_equal(kind[1:], kind[:-1], out=start[1:])
@@ -255,7 +264,7 @@ class Encoded:
             raise ValueError("text is not valid UTF-8")
         self.edges = np.searchsorted(self.byte_at, off)
         at = pretokens(self.cp, self.edges[:-1][np.diff(self.edges) > 0])
-        unsure = np.unique(np.searchsorted(self.edges, np.flatnonzero(~_classes()[1][self.cp]), "right") - 1)
+        unsure = np.unique(np.searchsorted(self.edges, np.flatnonzero(~_classes(self.cp)[1]), "right") - 1)
         if len(unsure):
             # the library's own pre-tokens, of which each character stands for a byte
             parts, done = [], 0

@@ -78,7 +78,7 @@ def _plain_counts(bpe: _bpe.Bpe, raw: np.ndarray, off: np.ndarray) -> list[np.nd
     before = np.concatenate([[0], np.cumsum(last)])
     by_byte = inside.astype(np.int64) + np.repeat(before[:-1], x.end - x.start)
     at_cp = np.concatenate([[0], by_byte[x.byte_at[1:] - 1]])  # counted from the slice's start
-    kind = _bpe._classes()[0][x.cp]
+    kind = _bpe._classes(x.cp)[0]
     first = x.first_cp
     size = np.diff(np.append(first, len(x.cp)))
     inner = np.zeros(len(first), dtype=bool)
