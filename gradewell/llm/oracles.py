@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gradewell.llm.license_scan import ALL, CONTAINED
 from gradewell.llm.quality_rules import RULES, STOP_WORDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -148,4 +149,23 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS
 """
 
 
-SQL = {"op11_conversation_repair": _repair(), "op12_secret_scan": SECRETS, "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_decontaminate": LEAKS, "op7_minhash_dedup": NEAR}
+def _licenses() -> str:
+    """The share of each template's five-word shingles in every window of its class, counted without bands."""
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in ALL.items())
+    words = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x01-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH t AS (SELECT license_id, {words.format("notice")} AS ws FROM (VALUES {rows}) AS v(license_id, notice)),
+z AS (SELECT license_id, ws, len(ws) AS n, CAST(pow(2, greatest(floor(log2(len(ws) - 1)) - 3, 0)) AS BIGINT) AS step FROM t WHERE len(ws) >= 5),
+c AS (SELECT license_id, ws, CAST(ceil(n / step) * step AS BIGINT) AS class FROM z),
+g AS (SELECT DISTINCT license_id, class, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS k FROM c)),
+s AS (SELECT license_id, count(*) AS size FROM g GROUP BY 1),
+d AS (SELECT doc_id, {words.format("text")} AS ws FROM documents),
+o AS (SELECT doc_id, k - 1 AS i, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS k FROM d WHERE len(ws) >= 5)),
+h AS (SELECT doc_id, license_id, class, g, i, i // class AS w FROM o JOIN g USING (g)),
+b AS (SELECT doc_id, license_id, class, g, i, w FROM h UNION SELECT doc_id, license_id, class, g, i, w - 1 FROM h WHERE w > 0 AND i <= (w + 1) * class - 5),
+f AS (SELECT doc_id, license_id, class, w, count(DISTINCT g) AS found FROM b GROUP BY ALL)
+SELECT doc_id, license_id, max(found / size) AS containment, count(*) AS n_windows, min(w * class) AS first_word FROM f JOIN s USING (license_id) WHERE found / size >= {CONTAINED} GROUP BY doc_id, license_id
+"""
+
+
+SQL = {"op10_license_scan": _licenses(), "op11_conversation_repair": _repair(), "op12_secret_scan": SECRETS, "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_decontaminate": LEAKS, "op7_minhash_dedup": NEAR}
