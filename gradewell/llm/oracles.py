@@ -168,4 +168,21 @@ SELECT doc_id, license_id, max(found / size) AS containment, count(*) AS n_windo
 """
 
 
-SQL = {"op10_license_scan": _licenses(), "op11_conversation_repair": _repair(), "op12_secret_scan": SECRETS, "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_decontaminate": LEAKS, "op7_minhash_dedup": NEAR}
+#: Every 100 bytes of every text by their digest; all but the first place of each are covered, and what covers touches is one run.
+REPEATS = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, s, md5_number(hex(b[s + 1:s + 100])) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS s FROM d)),
+c AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+g AS (SELECT doc_id, s, s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 OR lag(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL AS opens FROM c),
+i AS (SELECT doc_id, s, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM g),
+r AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS e FROM i GROUP BY ALL),
+n AS (SELECT doc_id, k, a, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r),
+t AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS last FROM n GROUP BY doc_id),
+p AS (SELECT doc_id, string_agg(hex(b[before + 1:a]), '' ORDER BY a) AS kept FROM n JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || hex(b[last + 1:octet_length(b)]))) END AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN p USING (doc_id)
+"""
+
+
+SQL = {"op8_suffix_dedup": REPEATS, "op10_license_scan": _licenses(), "op11_conversation_repair": _repair(), "op12_secret_scan": SECRETS, "op2_chat_format": CHAT, "op3_warc": WARC, "op5_quality_rules": QUALITY, "op6_decontaminate": LEAKS, "op7_minhash_dedup": NEAR}
