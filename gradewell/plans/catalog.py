@@ -325,7 +325,7 @@ def _(spark, d):
 
 @query("h7_temperature", "SELECT s_suppkey AS row_id, CASE WHEN s_suppkey % 7 < 5 THEN 1 ELSE 0 END AS temperature FROM supplier")
 def _(spark, d):
-    kinds = F.array(*[F.lit(x) for x in ("o1-", "o3-mini", "o4-mini", "o3-", "claude-3-7-sonnet-20250219-thinking-", "go1-", "o1")])
+    kinds = F.array(*[F.lit(x) for x in (*R.WARM_PREFIXES, "go1-", "o1")])
     model = F.concat(F.get(kinds, (F.col("s_suppkey") % 7).cast("int")), F.col("s_name"))
     return read(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), R.temperature(model).alias("temperature"))
 

@@ -74,8 +74,9 @@ def _(spark, d):
         exact = events.groupBy(*by).agg(F.count_distinct("user_id").alias("users"))
         found = sketches.estimates(sketches.united(fine, by), [0.5])
         # of a quantile the rank is what is stated: how many values lie below the estimate, and how many not above
-        both = found.join(exact, by) if by else found.crossJoin(exact)
-        ranked = events.join(both, by) if by else events.crossJoin(both)
+        # over all rows each side is one row
+        both = found.join(exact, by) if by else found.crossJoin(F.broadcast(exact))
+        ranked = events.join(both, by) if by else events.crossJoin(F.broadcast(both))
         below, upto = F.avg((F.col("value") < F.col("q50")).cast("double")), F.avg((F.col("value") <= F.col("q50")).cast("double"))
         sides = ranked.groupBy(*by, "n", "users", "n_items").agg(below.alias("below"), upto.alias("upto"))
         users = F.abs(F.col("n_items") - F.col("users")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("users"))
