@@ -104,7 +104,7 @@ class Bpe:
     """A vocabulary, its pair tests and a bounded memo of distinct pre-tokens."""
 
     MEMO = 400_000  # pairs that are remembered
-    BYTES, KEPT = 128 << 20, 256  # of remembered words and values; a longer word is worked out each time it comes
+    BYTES, KEPT = 64 << 20, 256  # of remembered words and values; a longer word is worked out each time it comes
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -211,6 +211,11 @@ class Bpe:
         encode = self._fast._encode_single_piece if self._fast else self.merge
         return [np.array(encode(w), dtype="<u4").tobytes() for w in words]
 
+    def forget(self) -> None:
+        """Let go of remembered words: a worker that waits for other work holds none."""
+        self.memo.clear()
+        self.held = 0
+
     def per_word(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For byte spans: what make gives for a list of words, as (flat values, values of each distinct word as offsets, the distinct word of each span)."""
         _, at, which = np.unique(bytes_hash(raw, start, end), return_index=True, return_inverse=True)
@@ -221,8 +226,7 @@ class Bpe:
         at = np.concatenate([at, other])
         memo = self.memo
         if self.held > self.BYTES:
-            memo.clear()
-            self.held = 0
+            self.forget()
         data = raw.tobytes()
         words = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
         new = list(dict.fromkeys(w for w in words if w not in memo))

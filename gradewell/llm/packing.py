@@ -128,6 +128,7 @@ def pack(df: DataFrame, id_column: str = "doc_id", text: str = "text", vocabular
                         emit(packer.add((doc, start, size, n, ids[4 * start : 4 * (start + size)])), None)
                 yield frame(rows)
                 rows.clear()
+        bpe.forget()
         emit(packer.rest(), partition // MERGED)
         yield frame(rows)
 
