@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -123,11 +123,6 @@ class Bpe:
         self.bytes_of = {i: b for b, i in self.ids.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {tuple(bytes(to_byte[c] for c in part) for part in m): r for r, m in enumerate(merges)}
-        # all tokens that end at a place are found in one pass; bytes stand as characters of the same number
-        self.endings = ahocorasick.Automaton()
-        for b, t in self.ids.items():
-            self.endings.add_word(b.decode("latin-1"), (t, len(b)))
-        self.endings.make_automaton()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -137,6 +132,15 @@ class Bpe:
         self.held = 0
         self._fast = self._ranked()
 
+    @cached_property
+    def endings(self) -> ahocorasick.Automaton:
+        """Finds all tokens that end at a place in one pass, for counts; bytes stand as characters of the same number."""
+        out = ahocorasick.Automaton()
+        for b, t in self.ids.items():
+            out.add_word(b.decode("latin-1"), (t, len(b)))
+        out.make_automaton()
+        return out
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token by applying merges in the order of their rank."""
         parts = [word[i : i + 1] for i in range(len(word))]
