@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,26 @@ def test_fuzzy_matches_of_more_queries_than_are_sent(spark, most):
     want = sorted((i, q, dedupe.fuzzy_ratio(q, x)) for i, x in enumerate(texts) for q in texts[::2] if 70 <= dedupe.fuzzy_ratio(q, x) <= 100)
     got = dedupe.fuzzy_matches(queries, known, "query", "text", 70, 100, most_queries=most)
     assert sorted((r.item_id, r["query"], r.ratio) for r in got.collect()) == want
+
+
+def test_copies_are_compared_once_and_meet_everywhere(spark, monkeypatch):
+    from gradewell.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "COPIES", 100)
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("int")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        compared.add(len(a))
+        return pd.Series([dedupe.fuzzy_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    monkeypatch.setattr(dedupe, "fuzz_ratio", counted)
+    texts = ["large ring", "large rings", "cold plate", None]
+    known = spark.range(2000).select(F.col("id").alias("row_id"), F.get(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 4).cast("int")).alias("text"))
+    asked = known.where("row_id % 100 < 4").select(F.col("row_id").alias("seed"), F.col("text").alias("query"))
+    got = dedupe.fuzzy_matches(asked, known, "query", "text", 80).groupBy("query", "text", "ratio").agg(F.count("*").alias("n"), F.count_distinct("row_id", "seed").alias("pairs")).collect()
+    want = {(x, y, dedupe.fuzzy_ratio(x, y), 500 * 20, 500 * 20) for x in texts[:3] for y in texts[:3] if dedupe.fuzzy_ratio(x, y) >= 80}
+    assert {tuple(r) for r in got} == want
+    assert compared.value <= 2 * 9  # of 2,000 rows and 80 queries; both filters may ask for the ratio
+    listed = dedupe.candidate_report(asked, known, "query", "text", 80, seed="seed").collect()
+    assert len(listed) == 80 and all(r.partners[0].row == r.seed and len(r.partners) == (1 if r["query"] is None else 500 if r["query"] == "cold plate" else 1000) for r in listed)
