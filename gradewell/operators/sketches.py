@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LG = 12  # 2^LG registers of a distinct count
-#: Relative error of a distinct count at three standard deviations, and rank error of a quantile sketch of the default size, in nearly all cases.
-DISTINCT_ERROR = 3 * 0.83 / math.sqrt(1 << LG)
+LG = 15  # 2^LG registers of a distinct count
+#: Relative error of a distinct count at six standard deviations (those of united sketches, which are wider than those of a single one, 0.83),
+#: so that none of many groups exceeds it, and rank error of a quantile sketch of the default size, in nearly all cases.
+DISTINCT_ERROR = 6 * 1.04 / math.sqrt(1 << LG)
 RANK_ERROR = 0.0265
 
 
