@@ -281,7 +281,7 @@ SELECT row_id, md5('The following are example multiple choice questions (with an
 def _(spark, d):
     p = read(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_type").alias("question_set"), F.col("p_name").alias("question"), F.col("p_brand").alias("c1"), F.col("p_size").cast("string").alias("c2"),
                                       F.substring(F.lit("ABCD"), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1)).alias("answer"), (F.col("p_partkey") % 50 == 1).alias("is_example"))
-    return R.with_prompts(p, "question", ["c1", "c2"], "answer", "question_set").select("row_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+    return R.with_prompt_md5(p, "question", ["c1", "c2"], "answer", "question_set").select("row_id", "prompt_md5")
 
 
 @query("h1_all_patterns", r"""WITH t AS (SELECT c_custkey, substring('ABCDEFG', CAST(c_custkey % 7 + 1 AS INTEGER), 1) AS l FROM customer)

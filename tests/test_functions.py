@@ -153,3 +153,14 @@ def test_copies_are_compared_once_and_meet_everywhere(spark, monkeypatch):
     assert compared.value <= 2 * 9  # of 2,000 rows and 80 queries; both filters may ask for the ratio
     listed = dedupe.candidate_report(asked, known, "query", "text", 80, seed="seed").collect()
     assert len(listed) == 80 and all(r.partners[0].row == r.seed and len(r.partners) == (1 if r["query"] is None else 500 if r["query"] == "cold plate" else 1000) for r in listed)
+
+
+def test_hashes_of_prompts_are_those_of_whole_prompts(spark):
+    rows = [(i, None if i % 11 == 0 else f"s{i % 3}", None if i % 13 == 0 else f"quéstion {i}", f"c{i}" if i % 4 else None, "ABCD"[i % 4], None if i % 17 == 0 else i % 5 == 1 and i % 3 > 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, set string, q string, a string, answer string, is_example boolean").repartition(5)
+    want = R.with_prompts(df, "q", ["a"], "answer", "set").withColumn("prompt_md5", F.md5(F.col("prompt").cast("binary"))).drop("prompt")
+    got = R.with_prompt_md5(df, "q", ["a"], "answer", "set")
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # no row holds a set's examples
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
