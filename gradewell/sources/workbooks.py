@@ -123,11 +123,12 @@ def _shared(book: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in book.namelist():
         return []
     with book.open("xl/sharedStrings.xml") as f:
-        out = []
-        for _, e in ElementTree.iterparse(f):
-            if e.tag == f"{MAIN}si":
+        out, root = [], None
+        for event, e in ElementTree.iterparse(f, events=("start", "end")):
+            root = e if root is None else root
+            if event == "end" and e.tag == f"{MAIN}si":
                 out.append(_text("".join(t.text or "" for t in e.iter(f"{MAIN}t"))))
-                e.clear()
+                root.clear()
         return out
 
 
@@ -144,9 +145,10 @@ def sheet_rows(book: zipfile.ZipFile, member: str) -> Iterator[tuple[int, dict[i
     """Number and cells, by place and as text, of each row."""
     shared = _shared(book)
     with book.open(member) as f:
-        number, root = 0, None
+        number, held = 0, []
         for event, e in ElementTree.iterparse(f, events=("start", "end")):
-            root = e if root is None else root
+            if event == "start" and e.tag in (f"{MAIN}worksheet", f"{MAIN}sheetData"):
+                held.append(e)
             if event == "start" or e.tag != f"{MAIN}row":
                 continue
             number, cells = int(e.get("r") or number + 1), {}
@@ -160,7 +162,8 @@ def sheet_rows(book: zipfile.ZipFile, member: str) -> Iterator[tuple[int, dict[i
                     text = shared[int(value.text)] if kind == "s" else _text(value.text or "") if kind == "str" else value.text
                 cells[_place(c.get("r")) if c.get("r") else k] = text
             yield number, cells
-            root.clear()
+            for parent in held:  # the parser goes on in the open element, which would keep all rows
+                parent.clear()
 
 
 @dataclass

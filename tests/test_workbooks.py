@@ -1,3 +1,4 @@
+import tracemalloc
 import zipfile
 
 import pytest
@@ -73,3 +74,14 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         W.write_sheets(bad, str(tmp_path / "x"))
     assert W.listed(str(tmp_path / "x"), ".xlsx") == []
+
+
+def test_rows_that_were_read_are_let_go(tmp_path):
+    path = str(tmp_path / "b.xlsx")
+    W.write_book(path, ["n", "text"], ((i, f"row {i}") for i in range(30_000)))
+    with zipfile.ZipFile(path) as book:
+        tracemalloc.start()
+        n = sum(1 for _ in W.sheet_rows(book, "xl/worksheets/sheet1.xml"))
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+    assert n == 30_001 and most < 3 << 20
