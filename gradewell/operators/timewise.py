@@ -106,18 +106,45 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], start:
     return met(bins(x, False, True), bins(y, True, True)).unionByName(met(bins(x, True, False), bins(y, False, True)))
 
 
-def rolling(df: DataFrame, keys: Sequence[str], time: str, seconds: float, values: Mapping[str, Callable[[], Column]]) -> DataFrame:
+def rolling(df: DataFrame, keys: Sequence[str], time: str, seconds: float, values: Mapping[str, Callable[[], Column] | tuple[Callable[[], Column], Callable[[Column, Column], Column]]]) -> DataFrame:
     """df with aggregates over the rows of equal keys in the last seconds up to each row's time, rows of that time included.
 
-    Time is cut into stretches of that length; a row also stands in the next stretch, where it is seen but not kept, so that no window holds more than two.
+    Time is cut into stretches of that length. Where every aggregate comes with a function that merges two of its results, a frame is the rest of the stretch before
+    and the beginning of its own: both run over their stretch once, so the work does not grow with the rows of a frame. Otherwise
+    a row also stands in the next stretch, where it is seen but not kept, and every frame is aggregated anew; no window holds more than two stretches.
     """
     width = round(seconds * 1_000_000)
     known = F.col(time).isNotNull()
     rows = df.where(known).withColumn("_at", _micros(time)).withColumn("_own", F.floor(F.col("_at") / width))
-    rows = rows.withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    w = Window.partitionBy(*keys, "_stretch").orderBy("_at").rangeBetween(-width, 0)
-    out = rows.select("*", *[make().over(w).alias(name) for name, make in values.items()]).where("_own = _stretch")
-    return out.drop("_at", "_own", "_stretch").unionByName(df.where(~known), allowMissingColumns=True)
+    if all(isinstance(v, tuple) for v in values.values()):
+        out = _merged_frames(df, rows, keys, width, values)
+    else:
+        rows = rows.withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+        w = Window.partitionBy(*keys, "_stretch").orderBy("_at").rangeBetween(-width, 0)
+        out = rows.select("*", *[(v[0] if isinstance(v, tuple) else v)().over(w).alias(name) for name, v in values.items()]).where("_own = _stretch")
+        out = out.drop("_at", "_own", "_stretch")
+    return out.unionByName(df.where(~known), allowMissingColumns=True)
+
+
+def _merged_frames(df: DataFrame, rows: DataFrame, keys: Sequence[str], width: int, values: Mapping[str, tuple]) -> DataFrame:
+    """rolling() by merges: the rest of a stretch from each of its times on is carried a width further, where the first that is not earlier than a row's time is the row's."""
+    own = Window.partitionBy(*keys, "_own")
+    until = lambda order: own.orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    of = lambda w: F.struct(*[make().over(w).alias(f"v{k}") for k, (make, _) in enumerate(values.values())])
+    group = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    held = rows.select(*group, "_own", "_at", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), of(until(F.col("_at"))).alias("_begun"), of(until(-F.col("_at"))).alias("_rest"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    carried = held.select(*names, (F.col("_own") + 1).alias("_own"), (F.col("_at") + width).alias("_at"), F.lit(0).alias("_side"), "_rest")
+    both = held.drop("_rest").withColumn("_side", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    seen = Window.partitionBy(*names, "_own").orderBy(F.col("_at").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_rest", F.last("_rest", ignorenulls=True).over(seen)).where("_side = 1")
+    whole = [F.when(F.col("_rest").isNull(), F.col(f"_begun.v{k}")).otherwise(merge(F.col(f"_rest.v{k}"), F.col(f"_begun.v{k}"))).alias(name) for k, (name, (_, merge)) in enumerate(values.items())]
+    return out.select("_row.*", *whole)
+
+
+def added(a: Column, b: Column) -> Column:
+    """Merges two counts or sums, of which either may be missing."""
+    return F.coalesce(a + b, a, b)
 
 
 def streaks(df: DataFrame, keys: Sequence[str], time: str, flag: str, tie: str) -> DataFrame:

@@ -50,7 +50,8 @@ def _(spark, d):
 WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 90 MINUTE PRECEDING AND CURRENT ROW)""")
 def _(spark, d):
     events = read(spark, d, "events").select("event_id", "event_type", "ts", "value")
-    out = timewise.rolling(events, ["event_type"], "ts", 90 * 60, {"n": lambda: F.count("*"), "total": lambda: F.sum("value"), "most": lambda: F.max("value")})
+    of = {"n": (lambda: F.count("*"), timewise.added), "total": (lambda: F.sum("value"), timewise.added), "most": (lambda: F.max("value"), F.greatest)}
+    out = timewise.rolling(events, ["event_type"], "ts", 90 * 60, of)
     return out.select("event_id", "n", F.round("total", 4).alias("total"), "most")
 
 

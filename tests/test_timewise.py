@@ -147,3 +147,20 @@ def test_counts_of_many_united_sketches_lie_within_their_error(spark):
     found = sketches.estimates(sketches.united(sketches.sketched(df, ["g", "h"], "item", "v"), ["g"])).collect()
     assert len(found) == 300 and all(abs(r.n_items - n) <= sketches.DISTINCT_ERROR * n for r in found)
     assert sketches.DISTINCT_ERROR <= 3 * 0.83 / 64  # no wider than once stated
+
+
+def test_merged_frames_equal_plain_ones_and_see_each_row_once(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(60)]), rng.choice([None, 1.0, 2.5, 4.0])) for i in range(400)]
+    df = spark.createDataFrame([(i, k, at(t), v) for i, k, t, v in rows], "id long, k string, ts timestamp, v double")
+    of = {"n": (lambda: F.count("*"), timewise.added), "total": (lambda: F.sum("v"), timewise.added), "most": (lambda: F.max("v"), F.greatest)}
+    out = timewise.rolling(df, ["k"], "ts", 7, of)
+    assert out.columns == [*df.columns, *of]
+    # no frame slides over rows
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, -7000000" not in plan and "unboundedpreceding" in plan
+    for r in out.collect():
+        _, k, t, v = rows[r.id]
+        near = [x for _, j, u, x in rows if j == k and t is not None and u is not None and t - 7 <= u <= t]
+        held = [x for x in near if x is not None]
+        assert (r.k, r.v, r.n, r.total, r.most) == (k, v, *((len(near), sum(held) if held else None, max(held, default=None)) if t is not None else (None,) * 3))
