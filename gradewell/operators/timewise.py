@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 ROWS = 100_000  # rows of a key that one range should hold
 CUTS = 5_000  # ranges of a key at most: its cuts are one array
+STEP = 2  # interval lengths of one level differ by a factor of 2^STEP at most
 
 
 def _micros(time: str | Column) -> Column:
@@ -74,36 +75,58 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """Pairs of rows of equal keys whose times [start, end) overlap, as structs left and right; each pair once.
 
-    Every interval lies in bins of the power of two that is next above its length, two at most. It is offered there, and in the
-    bins around it of every greater power that occurs, so intervals meet at the level of the longer of them: no interval is opened to more
-    bins than twice the levels, however long it is, and short ones do not meet in the bins of long ones. Empty intervals overlap nothing.
+    Every interval lies in bins of the power of 2^STEP that is next above its length, two at most. It is offered there, and in the
+    bins around it of every greater power that the other side has, so intervals meet at the level of the longer of them: no interval is opened to more
+    bins than twice the levels, however long it is, and short ones do not meet in the bins of long ones. Rows that lie outside of the
+    times that the other side has for their keys are left out before, and keys and times move once. Empty intervals overlap nothing.
     """
+    names = [f"_k{i}" for i in range(len(keys))]
 
     def placed(df: DataFrame, name: str) -> DataFrame:
         a, b = _micros(start), _micros(end)
-        own = df.where(b > a).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], a.alias("_a"), b.alias("_b"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
-        return own.withColumn("_level", F.ceil(F.log2((F.col("_b") - F.col("_a")).cast("double"))).cast("int"))
+        own = df.where(b > a).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], a.alias("_a"), b.alias("_b"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in _moved(df)]).alias(name))
+        return own.withColumn("_level", (F.ceil(F.log2((F.col("_b") - F.col("_a")).cast("double")) / STEP) * STEP).cast("int"))
 
-    x, y = placed(left, "left"), placed(right, "right")
-    levels = sorted(r[0] for r in x.select("_level").union(y.select("_level")).distinct().collect())  # 64 at most
-    on = [*[f"_k{i}" for i in range(len(keys))], "_at", "_bin"]
+    def _moved(df: DataFrame) -> dict[str, str]:
+        """Columns that a row is given back from its keys and times."""
+        kinds = dict(df.dtypes)
+        return {t: f for t, f in ((start, "_a"), (end, "_b")) if kinds[t] == "timestamp"} | dict(zip(keys, names, strict=True))
+
+    def near(df: DataFrame, other: DataFrame) -> DataFrame:
+        """Rows within the times of the other side's rows of their keys."""
+        known = other.groupBy(*names).agg(F.min("_a").alias("_first"), F.max("_b").alias("_last"))
+        found = df.join(known, names) if names else df.crossJoin(F.broadcast(known))
+        return found.where((F.col("_a") < F.col("_last")) & (F.col("_b") > F.col("_first"))).drop("_first", "_last")
 
-    def bins(df: DataFrame, up: bool, own: bool) -> DataFrame:
-        """Rows by level and bin: of the own level, of greater ones, or both."""
-        wanted = F.filter(F.lit(levels or [0]), lambda v: ((v > F.col("_level")) & F.lit(up)) | ((v == F.col("_level")) & F.lit(own)))
+    x, y = placed(left, "left"), placed(right, "right")
+    x, y = near(x, y), near(y, x)
+    # 64 at most
+    levels = {name: sorted(r[0] for r in df.select("_level").distinct().collect()) for name, df in (("left", x), ("right", y))}
+    on = [*names, "_at", "_bin"]
+
+    def bins(df: DataFrame, up: bool, own: bool, at: str) -> DataFrame:
+        """Rows by level and bin: of the own level, of greater ones that the side named at has, or both."""
+        wanted = F.filter(F.lit(levels[at] or [0]), lambda v: ((v > F.col("_level")) & F.lit(up)) | ((v == F.col("_level")) & F.lit(own)))
         size = F.pow(F.lit(2.0), F.col("_at")).cast("long")
         opened = df.withColumn("_at", F.explode(wanted))
         first, last = F.floor(F.col("_a") / size), F.floor((F.col("_b") - 1) / size)
         return opened.withColumn("_bin", F.explode(F.sequence(first, last))).drop("_level")
 
+    def whole(df: DataFrame, name: str, times: dict[str, str]) -> Column:
+        moved = _moved(df)
+        back = lambda c: F.timestamp_micros(times[moved[c]]) if moved[c] in times else F.col(moved[c])
+        return F.struct(*[(back(c) if c in moved else F.col(f"{name}.`{c}`")).alias(c) for c in df.columns]).alias(name)
+
     def met(a: DataFrame, b: DataFrame) -> DataFrame:
         b = b.withColumnsRenamed({"_a": "_c", "_b": "_d"})
         later = F.greatest("_a", "_c")
         overlap = (F.col("_a") < F.col("_d")) & (F.col("_c") < F.col("_b"))
         once = F.floor(later / F.pow(F.lit(2.0), F.col("_at")).cast("long")) == F.col("_bin")
-        return a.join(b, on).where(overlap & once).select("left", "right")
+        # opened rows do not pass through the driver, however few they are
+        pairs = a.join(b.hint("merge"), on).where(overlap & once)
+        return pairs.select(whole(left, "left", {"_a": "_a", "_b": "_b"}), whole(right, "right", {"_a": "_c", "_b": "_d"}))
 
-    return met(bins(x, False, True), bins(y, True, True)).unionByName(met(bins(x, True, False), bins(y, False, True)))
+    return met(bins(x, False, True, "left"), bins(y, True, True, "left")).unionByName(met(bins(x, True, False, "right"), bins(y, False, True, "right")))
 
 
 def rolling(df: DataFrame, keys: Sequence[str], time: str, seconds: float, values: Mapping[str, Callable[[], Column] | tuple[Callable[[], Column], Callable[[Column, Column], Column]]]) -> DataFrame:

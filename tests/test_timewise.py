@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions import props
@@ -164,3 +165,17 @@ def test_merged_frames_equal_plain_ones_and_see_each_row_once(spark):
         near = [x for _, j, u, x in rows if j == k and t is not None and u is not None and t - 7 <= u <= t]
         held = [x for x in near if x is not None]
         assert (r.k, r.v, r.n, r.total, r.most) == (k, v, *((len(near), sum(held) if held else None, max(held, default=None)) if t is not None else (None,) * 3))
+
+
+def test_intervals_move_few_rows(spark, monkeypatch):
+    # keys and times that the other side lacks do not move, and lengths of many powers share a level
+    left = spark.range(2000).select((F.col("id") % 200).alias("k"), F.timestamp_seconds(F.col("id") * 10).alias("start"), F.timestamp_seconds(F.col("id") * 10 + F.pow(F.lit(2), F.col("id") % 16)).alias("end"), "id")
+    right = left.where("k < 20").withColumnRenamed("id", "other")
+    joined = timewise.interval_join(left, right, ["k"])
+    want = left.alias("a").join(right.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))).select(F.struct("a.*").alias("left"), F.struct("b.*").alias("right"))
+    assert joined.schema == want.schema or joined.dtypes == want.dtypes
+    assert sorted(map(str, joined.collect())) == sorted(map(str, want.collect()))
+    monkeypatch.setattr(DataFrame, "join", (lambda plain: lambda a, b, *of: (sizes.append(a.count() + b.count()) if "_bin" in a.columns else None) or plain(a, b, *of))(DataFrame.join))
+    sizes = []
+    timewise.interval_join(left, right, ["k"])
+    assert sum(sizes) < 4000  # of 2,200 intervals, in both joins
