@@ -24,8 +24,8 @@ DEARER = 8  # pairs of a block that cost as much as two texts that meet by a pie
 BAND = math.log(1.1)  # lengths within a tenth share a band
 RANGE = 65_536  # row numbers that one window holds
 SENT = 64 << 20  # bytes of queries, in all their bands, that are sent to every task
-COPIES = 1000  # known rows of one text that meet its queries in one place
-SALTS = 64  # places of a text at most
+COPIES = 1000  # known rows of one text that meet its queries as one list
+OPENED = 4 << 20  # rows of a result that one task opens
 
 
 def exact_flags(df: DataFrame, columns: Sequence[str], name: str = "is_duplicate", keep: str | bool = "first", row: str = "row_id") -> DataFrame:
@@ -315,9 +315,10 @@ def similar_to(df: DataFrame, text: str, column: str, threshold: float) -> DataF
 def fuzzy_matches(queries: DataFrame, known: DataFrame, query: str, text: str, low: float, high: float = 100.0, most_queries: int = 10_000) -> DataFrame:
     """Rows of known within [low, high] of each query text.
 
-    Ratios are found between different texts, so copies are compared once; the rows of both sides meet by the pairs of texts afterwards, known rows of one
-    text dealt over SALTS places at most. Texts meet by bands of length, of which each query has all that allow the ratio. Up to most_queries
-    texts of SENT bytes are sent to all tasks; more are dealt in blocks of that number, and each known text meets every block of its band.
+    Ratios are found between different texts, so copies are compared once. Known rows of one text are dealt into lists of about COPIES; a query meets
+    the lists of its partners and these are opened last, so no join forms the rows of the result and no list grows with the input. Texts meet by bands
+    of length, of which each query has all that allow the ratio. Up to most_queries texts of SENT bytes are sent to all tasks; more are dealt in blocks
+    of that number, and each known text meets every block of its band.
     """
     a, b = F.length("_x"), F.length("_y")
     fits = 200 * F.least(a, b) >= (low - 0.5) * (a + b)
@@ -325,10 +326,13 @@ def fuzzy_matches(queries: DataFrame, known: DataFrame, query: str, text: str, l
     band = lambda length: F.floor(F.log(F.greatest(length, F.lit(1))) / BAND).cast("int") if banded else F.when(length >= 0, 0)
     reach = math.ceil(math.log((200 - low + 0.5) / (low - 0.5)) / BAND) + 1 if banded else 0
     asked = queries.select(F.col(query).alias("_x")).where("_x is not null").distinct()
-    there = settled(known.groupBy(F.col(text).alias("_y")).agg(F.count("*").alias("_n")).where("_y is not null"))
+    at = known.columns.index(text)
+    rows = settled(known.toDF(*[f"_k{k}" for k in range(len(known.columns))]).withColumnRenamed(f"_k{at}", "_y").where("_y is not null"))
+    there = settled(rows.groupBy("_y").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / COPIES).cast("int").alias("_lists")))
     dealt = asked.withColumn("_band", F.explode(F.sequence(band(a) - reach, band(a) + reach)))
     # few texts are still compared by all tasks
-    placed = there.select("_y").repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("_band", band(b))
+    places = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = there.repartition(places).withColumn("_band", band(b))
     n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_x")), F.lit(0))).first()
     if n <= most_queries and size * (2 * reach + 1) <= SENT:
         joined = placed.join(F.broadcast(dealt), "_band")
@@ -336,12 +340,22 @@ def fuzzy_matches(queries: DataFrame, known: DataFrame, query: str, text: str, l
         blocks = F.lit(max(2, math.ceil(n / most_queries)))
         dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("_x"), blocks).cast("int"))
         joined = placed.withColumn("_block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))).join(dealt, ["_band", "_block"])
-    like = joined.where(fits).select("_x", "_y", fuzz_ratio("_x", "_y").alias("ratio")).where(F.col("ratio").between(low, high))
-    copies = there.agg(F.max("_n")).first()[0] or 0
-    salts = max(1, min(SALTS, math.ceil(copies / COPIES)))
-    place = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in known.dtypes if "map<" not in kind]), F.lit(salts)).cast("int")
-    partners = queries.join(like, F.col(query) == F.col("_x")).drop("_x").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return known.withColumn("_y", F.col(text)).withColumn("_salt", place).join(partners, ["_y", "_salt"]).drop("_y", "_salt")
+    like = settled(joined.where(fits).select("_x", "_y", "_n", "_lists", fuzz_ratio("_x", "_y").alias("_ratio")).where(F.col("_ratio").between(low, high)))
+    # rows that agree in all columns are told apart by their place in the settled table
+    listed = rows.withColumn("_at", F.xxhash64(F.monotonically_increasing_id())).join(there.drop("_n"), "_y").withColumn("_list", F.pmod("_at", "_lists").cast("int"))
+    others = [f"_k{k}" for k in range(len(known.columns)) if k != at]
+    listed = listed.groupBy("_y", "_list").agg(F.collect_list(F.struct(*others or [F.lit(True).alias("_there")])).alias("_rows"))
+    asking = queries.toDF(*[f"_q{k}" for k in range(len(queries.columns))])
+    partners = asking.join(like, F.col(f"_q{queries.columns.index(query)}") == F.col("_x")).withColumn("_list", F.explode(F.sequence(F.lit(0), F.col("_lists") - 1)))
+    # lists are small for what they open into, so places are numbered by the rows of the result
+    n = partners.agg(F.sum(F.col("_n") / F.col("_lists"))).first()[0] or 0
+    places = max(places, math.ceil(n / OPENED))
+    opened = partners.repartition(places, "_y", "_list").join(listed.repartition(places, "_y", "_list"), ["_y", "_list"]).select("_y", *asking.columns, "_ratio", F.inline("_rows"))
+    return opened.select(
+        *[F.col("_y" if k == at else f"_k{k}").alias(c) for k, c in enumerate(known.columns)],
+        *[F.col(f"_q{k}").alias(c) for k, c in enumerate(queries.columns)],
+        F.col("_ratio").alias("ratio"),
+    )
 
 
 def candidate_report(queries: DataFrame, known: DataFrame, query: str, text: str, low: float, high: float = 100.0, row: str = "row_id", seed: str | None = None) -> DataFrame:

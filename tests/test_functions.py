@@ -155,6 +155,31 @@ def test_copies_are_compared_once_and_meet_everywhere(spark, monkeypatch):
     assert len(listed) == 80 and all(r.partners[0].row == r.seed and len(r.partners) == (1 if r["query"] is None else 500 if r["query"] == "cold plate" else 1000) for r in listed)
 
 
+def test_no_join_forms_the_rows_of_fuzzy_matches(spark, monkeypatch):
+    from gradewell.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "COPIES", 100)
+
+    def rows_of_joins(node) -> int:
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        kind = node.getClass().getSimpleName()
+        below += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if "QueryStageExec" in kind else []
+        return (node.metrics().apply("numOutputRows").value() if kind.endswith("JoinExec") else 0) + sum(map(rows_of_joins, below))
+
+    # rows without a number agree in all columns, and a column of both sides is kept twice
+    known = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "large ring").otherwise("large rings").alias("text"), F.lit("k").alias("side"))
+    asked = spark.range(100).select(F.lit("large ring").alias("query"), F.lit("q").alias("side"))
+    got = dedupe.fuzzy_matches(asked, known, "query", "text", 80)
+    assert got.columns == ["text", "side", "query", "side", "ratio"]
+    rows = got.collect()
+    counts = {x: sum(tuple(r) == x for r in rows) for x in {tuple(r) for r in rows}}
+    assert counts == {("large ring", "k", "large ring", "q", 100): 200_000, ("large rings", "k", "large ring", "q", 95): 200_000}
+    # lists of about 100 rows: before, the last join formed all 400,000 rows
+    assert rows_of_joins(got._jdf.queryExecution().executedPlan()) < 20_000
+    bare = dedupe.fuzzy_matches(asked.select("query"), known.select("text"), "query", "text", 96)
+    assert bare.columns == ["text", "query", "ratio"] and bare.count() == 200_000
+
+
 def test_hashes_of_prompts_are_those_of_whole_prompts(spark):
     rows = [(i, None if i % 11 == 0 else f"s{i % 3}", None if i % 13 == 0 else f"quéstion {i}", f"c{i}" if i % 4 else None, "ABCD"[i % 4], None if i % 17 == 0 else i % 5 == 1 and i % 3 > 0) for i in range(300)]
     df = spark.createDataFrame(rows, "row_id long, set string, q string, a string, answer string, is_example boolean").repartition(5)
