@@ -209,45 +209,58 @@ def logits_of(counts: np.ndarray) -> np.ndarray:
     return np.log((counts[..., 1] + np.float32(0.4)) / (counts[..., 0] + np.float32(0.4)))
 
 
-def _level(x: Symbols, b: int, m: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tops(x: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and guesses from the highest bit on, how many bits the guess holds for (the first wrong one included), and whether there is one."""
+    top = x.value << (np.uint8(32) - x.length)
+    some = x.guess_length > 0
+    guess = np.where(some, x.guess << np.where(some, np.uint8(32) - x.guess_length, np.uint8(0)), np.uint32(0))
+    apart = np.frexp((top ^ guess).astype(np.float64))[1]
+    return top, guess, np.minimum(33 - apart, x.guess_length).astype(np.uint8), some.view(np.uint8)
+
+
+def _level(x: Symbols, tops: tuple, b: int, m: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the first m codes, which have more than b bits: bit b, the sign of the guess (0: none) and the state; their slots go to slot."""
-    left = x.length[:m] - np.uint8(b)
-    value = x.value[:m]
-    node = (value >> left) | np.uint32(1 << b)
-    bit = (value >> (left - np.uint8(1))) & np.uint32(1)
+    top, guess, until, some = (y[:m] for y in tops)
+    node = (top >> np.uint32(32 - b)) | np.uint32(1 << b) if b else np.ones(m, dtype=np.uint32)
+    bit = (top >> np.uint32(31 - b)) & np.uint32(1)
     np.bitwise_xor(x.context[:, :m], node * ONE + np.uint32(x.kind), out=slot)
     slot *= TWO
     slot >>= np.uint32(32 - BITS)
     if not x.kind and b < BITS:
         slot[0] = node  # without context the table is exact
-    size = x.guess_length[:m]
-    holds = size > b
-    rest = np.where(holds, size - np.uint8(b), np.uint8(1))
-    holds &= (x.guess[:m] >> rest) | np.uint32(1 << b) == node
-    sign = np.where(holds, ((x.guess[:m] >> (rest - np.uint8(1))) & np.uint32(1)).astype(np.float32) * 2 - 1, np.float32(0))
-    return bit, sign, np.where(holds, x.state[:m], (size > 0).astype(np.uint8))
+    holds = until > b
+    sign = ((guess >> np.uint32(31 - b)) & np.uint32(1)).astype(np.float32)
+    sign *= 2
+    sign -= 1
+    sign *= holds
+    return bit, sign, np.where(holds, x.state[:m], some)
 
 
 def _levels(x: Symbols, sizes: list[int]) -> tuple[list, np.ndarray, np.ndarray]:
     """For every bit of the codes its values, guesses and states, and the slots of all bits by context, one bit after the other."""
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+    ends, tops = np.concatenate([[0], np.cumsum(sizes)]), _tops(x)
     slots, levels = np.empty((N, int(ends[-1])), dtype=np.uint32), []
     for b, m in enumerate(sizes):
-        levels.append(_level(x, b, m, slots[:, ends[b] : ends[b + 1]]))
+        levels.append(_level(x, tops, b, m, slots[:, ends[b] : ends[b + 1]]))
     return levels, ends, slots
 
 
-def _mixed(known: np.ndarray, sign: np.ndarray, state: np.ndarray, kind: int, b: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gates, counted from the first of the kind and place, and the mixed logit of the contexts' logits, the guess and a constant."""
-    first = (kind * PLACES + min(b, PLACES - 1)) * 4 * STATES
+def _gates(known: np.ndarray, state: np.ndarray, kind: int, b: int) -> tuple[np.ndarray, int]:
+    """Gates, counted from the first of the kind and place, and that one."""
     met = (known[2] != 0) * np.uint8(2) + (known[1] != 0)
-    gate = (met * np.uint8(STATES) + state).astype(np.intp)
+    return met * np.uint8(STATES) + state, (kind * PLACES + min(b, PLACES - 1)) * 4 * STATES
+
+
+def _mixed(known: np.ndarray, sign: np.ndarray, state: np.ndarray, kind: int, b: int, weights: np.ndarray) -> np.ndarray:
+    """The mixed logit of the contexts' logits, the guess and a constant."""
+    gate, first = _gates(known, state, kind, b)
+    gate = gate.astype(np.intp)
     own = np.ascontiguousarray(weights[first : first + 4 * STATES].T)
     t = (own[N + 1] * CONSTANT).take(gate, mode="clip")
     t += sign * own[N].take(gate, mode="clip")
     for k in range(N):
         t += known[k] * own[k].take(gate, mode="clip")
-    return gate, np.clip(t, -SPREAD, SPREAD, out=t)
+    return np.clip(t, -SPREAD, SPREAD, out=t)
 
 
 def _blocks(coded: Coded):
@@ -258,23 +271,31 @@ def _blocks(coded: Coded):
             yield x, (len(x.length) - np.searchsorted(x.length[::-1], np.arange(int(x.length[0])), "right")).tolist()
 
 
-def _pulls(known: np.ndarray, sign: np.ndarray, gate: np.ndarray, error: np.ndarray, slope: np.ndarray, gates: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each gate the sums of error * x and of slope * x * x over its places, which are brought together first; x: what the weights belong to."""
+def _move(known: np.ndarray, sign: np.ndarray, state: np.ndarray, bit: np.ndarray, kind: int, b: int, weights: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mixes as _mixed() and moves the weights. Places of one gate are brought together first, so that its weights meet them at once; mixed logits and bits are given in that order."""
+    gate, first = _gates(known, state, kind, b)
     order = np.argsort(gate, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=gates))])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=4 * STATES))]).tolist()
+    spans = [(first + g, ends[g], ends[g + 1]) for g in range(4 * STATES) if ends[g] < ends[g + 1]]
     x = np.empty((K, len(order)), dtype=np.float32)
     for k in range(N):
         known[k].take(order, out=x[k], mode="clip")
     sign.take(order, out=x[N], mode="clip")
     x[N + 1] = CONSTANT
-    error, slope = error[order], slope[order]
-    pull, bend = np.zeros((gates, len(x))), np.zeros((gates, len(x)))
-    square = x * x
-    for g in range(gates):
-        a, b = ends[g], ends[g + 1]
-        if a < b:
-            pull[g], bend[g] = x[:, a:b] @ error[a:b], square[:, a:b] @ slope[a:b]
-    return pull, bend
+    bit, t = bit.take(order, mode="clip"), np.empty(len(order), dtype=np.float32)
+    for g, i, j in spans:
+        np.matmul(weights[g], x[:, i:j], out=t[i:j])
+    np.clip(t, -SPREAD, SPREAD, out=t)
+    p = np.negative(t)
+    np.exp(p, out=p)
+    p += 1
+    np.reciprocal(p, out=p)
+    error, slope = bit.astype(np.float32) - p, p * (1 - p)
+    pulls = [x[:, i:j] @ error[i:j] for _, i, j in spans]
+    x *= x
+    for (g, i, j), pull in zip(spans, pulls, strict=True):
+        weights[g] += rate * pull.astype(np.float64) / (x[:, i:j] @ slope[i:j] + 8)
+    return t, bit
 
 
 def learn(coded: Coded, counts: np.ndarray, weights: np.ndarray, cells: np.ndarray, rate: float = 0.3) -> None:
@@ -285,17 +306,21 @@ def learn(coded: Coded, counts: np.ndarray, weights: np.ndarray, cells: np.ndarr
         levels, ends, slots = _levels(x, sizes)
         bits = np.concatenate([bit for bit, _, _ in levels])
         known = np.empty(slots.shape, dtype=np.float32)
-        # one table after the other: what is read is still near when it is counted
+        pair = np.empty(slots.shape[1], dtype=np.uint64)
+        met = pair.view(np.float32).reshape(-1, 2)
+        # logits_of() the counts met, one table after the other: what is read is still near when it is counted
         for k in range(N):
-            known[k] = logits_of(pairs[k].take(slots[k], mode="clip").view(np.float32).reshape(-1, 2))
-            np.add.at(flat[k], (slots[k] * np.uint32(2) + bits).astype(np.intp), np.float32(1))
+            at = slots[k].astype(np.intp)
+            pairs[k].take(at, out=pair, mode="clip")
+            np.add(met[:, 1], np.float32(0.4), out=known[k])
+            known[k] /= met[:, 0] + np.float32(0.4)
+            np.log(known[k], out=known[k])
+            at *= 2
+            at += bits
+            np.add.at(flat[k], at, np.float32(1))
         for b, (bit, sign, state) in enumerate(levels):
             own = known[:, ends[b] : ends[b + 1]]
-            gate, t = _mixed(own, sign, state, x.kind, b, weights)
-            p = 1 / (1 + np.exp(-t))
-            first, width = (x.kind * PLACES + min(b, PLACES - 1)) * 4 * STATES, 4 * STATES
-            pull, bend = _pulls(own, sign, gate.astype(np.uint8), bit.astype(np.float32) - p, p * (1 - p), width)
-            weights[first : first + width] += rate * pull / (bend + 8)
+            t, bit = _move(own, sign, state, bit, x.kind, b, weights, rate)
             cell = ((t + np.float32(SPREAD)) * np.float32((CELLS - 1) / (2 * SPREAD)) + np.float32(0.5)).astype(np.int64)
             cells[:, x.kind, min(b, PLACES - 1)] += np.bincount(cell + CELLS * bit, minlength=2 * CELLS).reshape(2, CELLS)
 
@@ -303,7 +328,7 @@ def learn(coded: Coded, counts: np.ndarray, weights: np.ndarray, cells: np.ndarr
 FINE = 1 << 15  # steps of a mixed logit, 0.0007 apart, whose final logarithms are tabled
 
 
-def _final(model: Model) -> np.ndarray:
+def final_logs(model: Model) -> np.ndarray:
     """Natural logs of the final probability of a zero and of a one, by kind, place and step of the mixed logit: half the mixed one, half the refined.
 
     Both come from one probability, so at every step they are those of a distribution.
@@ -320,9 +345,9 @@ def _final(model: Model) -> np.ndarray:
     return out.reshape(2, PLACES, -1)
 
 
-def score(model: Model, coded: Coded, texts: int) -> np.ndarray:
-    """Natural log of the probability of each text: of all its bits."""
-    final, out = _final(model), np.zeros(texts)
+def score(model: Model, coded: Coded, texts: int, final: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of the probability of each text: of all its bits. final: final_logs() of the model, for who asks many times."""
+    final, out = final_logs(model) if final is None else final, np.zeros(texts)
     for x, sizes in _blocks(coded):
         value = np.zeros(len(x.length))
         levels, ends, slots = _levels(x, sizes)
@@ -330,7 +355,7 @@ def score(model: Model, coded: Coded, texts: int) -> np.ndarray:
         for k in range(N):
             np.take(model.logits[k], slots[k], out=known[k], mode="clip")
         for b, (bit, sign, state) in enumerate(levels):
-            _, t = _mixed(known[:, ends[b] : ends[b + 1]], sign, state, x.kind, b, model.weights)
+            t = _mixed(known[:, ends[b] : ends[b + 1]], sign, state, x.kind, b, model.weights)
             step = ((t + np.float32(SPREAD)) * np.float32(FINE / (2 * SPREAD)) + np.float32(0.5)).astype(np.int32)
             value[: len(bit)] += final[x.kind, min(b, PLACES - 1)].take(step + bit.astype(np.int32) * np.int32(FINE + 1), mode="clip")
         out += np.bincount(x.text, value, minlength=texts)

@@ -197,6 +197,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, model = shared.value
+        # a copy of the task's own lies in large pages, a table read out of a message does not
+        model = _mixing.Model(np.array(model.logits), model.weights, model.cells)
+        final = _mixing.final_logs(model)
         # of words without a code, the counts come by a join
         value, row = np.append(np.log10((codes.times + 0.1) / total), 0.0), TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -215,7 +218,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                         pa.array(np.diff(coded.words.off) + 1, type=pa.int64()),
                         pa.array(np.bincount(text_of[~rare], minlength=n) + (n_ends > 0), type=pa.int64()),
                         pa.array(np.bincount(text_of, value[coded.found], minlength=n) + end_value),
-                        pa.array(_mixing.score(model, coded, n)),
+                        pa.array(_mixing.score(model, coded, n, final)),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(coded.words.hash[rare].view(np.int64))),
                     ],
                     names=["row", "id", "held_out", "n_bytes", "n_tokens", "n_coded", "base", "score", "rare"],

@@ -400,6 +400,55 @@ def test_scores_equal_a_plain_mixer():
     assert got == pytest.approx(want, rel=1e-4)
 
 
+def test_final_logs_are_made_once_for_many_slices(spark, tmp_path, monkeypatch):
+    """A task that scores several slices of text tables the final logarithms once, and scores are those of a table for each slice."""
+    import numpy as np
+
+    from gradewell.llm import _mixing as m
+
+    texts = ["the cat of the dog the cat", "of the cat zebra", "", "dog of dog of the quagga"]
+    _, model, coded = small_model(texts)
+    want, final = m.score(model, coded, len(texts)), m.final_logs(model)
+    made = []
+    monkeypatch.setattr(m, "final_logs", lambda own: made.append(own) or final)
+    assert np.array_equal(m.score(model, coded, len(texts), final), want) and not made
+    # one task of ten slices at least, in a worker that writes down what it makes
+    monkeypatch.undo()
+    path = str(tmp_path / "made")
+
+    def run(batches):
+        from gradewell.llm import _mixing as own
+
+        table = own.final_logs
+
+        def noted(of):
+            with open(path, "a") as f:
+                f.write("x")
+            return table(of)
+
+        own.final_logs = noted
+        try:
+            yield from score(batches)
+        finally:
+            own.final_logs = table
+
+    score = None
+    real = type(spark.range(1)).mapInArrow
+
+    def wrapped(self, func, schema, *args, **kwargs):
+        nonlocal score
+        if "rare array" not in schema:
+            return real(self, func, schema, *args, **kwargs)
+        score = func
+        return real(self, run, schema, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", wrapped)
+    long = spark.range(12).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("the cat of "), F.col("id").cast("string"), F.lit(" dogs ")), 80_000).alias("text")).coalesce(1)
+    got = lm_scoring.score_texts(long).collect()
+    assert len(got) == 12 and all(r.score < 0 for r in got)
+    assert open(path).read() == "x"  # before: one for each slice
+
+
 def test_every_block_is_learnt(monkeypatch):
     """Weights, refinement and counts after several blocks of words and of letters equal those of plain Python."""
     import numpy as np
