@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 
@@ -27,7 +28,9 @@ CELLS, SPREAD = 33, 12.0
 CONSTANT = np.float32(0.1)
 STOP = 0x20  # ends a word that is spelled: no word holds it
 END_HASH, START_HASH = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
-BLOCK = 1 << 16  # symbols worked on at once
+BLOCK = 1 << 17  # symbols worked on at once
+PIECE = 1 << 15  # bits or slots worked on at once, so that what is made on the way stays near
+SPARSE = 4  # slots a bit: with more of them a block's logits are made for its bits, else once a slot
 ONE, TWO = np.uint32(0x27D4EB2F), np.uint32(0xC2B2AE35)
 
 
@@ -67,14 +70,24 @@ class Codes:
         size = (length[kind] + kind).astype(np.uint8)
         by = np.argsort(hashes)
         self.hashes, self.times, self.value, self.length = hashes[by], times[by], own[by], size[by]
+        # where hashes of the same upper bits begin: about one hash each
+        self.upper = max(len(hashes).bit_length(), 1)
+        self.first = np.searchsorted(self.hashes, np.arange(1 << self.upper, dtype=np.uint64) << np.uint64(64 - self.upper)).astype(np.int32)
         self.byte_value, self.byte_length = prefix_code((bytes_seen + 1).tolist(), 16)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of words among the coded ones, -1 for others."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        at = self.first.take((hashes >> np.uint64(64 - self.upper)).astype(np.intp), mode="clip").astype(np.intp)
+        met = self.hashes.take(at, mode="clip")
+        left = np.flatnonzero(met < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] < len(self.hashes)]
+            met[left] = self.hashes[at[left]]
+            left = left[met[left] < hashes[left]]
+        return np.where(met == hashes, at, -1)
 
 
 @dataclass
@@ -112,14 +125,16 @@ def _upper(x: np.ndarray) -> np.ndarray:
 def _guesses(ids: np.ndarray, keys: list[np.ndarray], start: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The latest earlier place of the text under the last key that has one (-1: none), and how the guesses from start on went."""
     same, at = np.full(len(ids), -1, dtype=np.int64), np.arange(len(ids))
-    salt = mix(text.astype(np.uint64))
+    salt = mix(np.arange(int(text[-1]) + 1, dtype=np.uint64)).take(text) if len(text) else np.zeros(0, dtype=np.uint64)
     low = np.uint64((1 << len(ids).bit_length()) - 1)
     for key in keys:
         key = key ^ salt
         # sorting the keys' upper bits together with the places costs less than sorting places by keys
-        order = (np.sort(key & ~low | at.astype(np.uint64)) & low).astype(np.int64)
-        again = np.flatnonzero((key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]]))
-        same[order[again + 1]] = order[again]
+        both = np.sort(key & ~low | at.astype(np.uint64))
+        again = np.flatnonzero((both[1:] ^ both[:-1]) <= low)
+        here, there = (both[again + 1] & low).astype(np.int64), (both[again] & low).astype(np.int64)
+        own = (key[here] == key[there]) & (text[here] == text[there])
+        same[here[own]] = there[own]
     some = same >= 0
     right = some & (ids[same] == ids)
     wrong = np.where(right, -1, at)
@@ -132,27 +147,27 @@ def _guesses(ids: np.ndarray, keys: list[np.ndarray], start: np.ndarray, text: n
 
 def encode(codes: Codes, raw: np.ndarray, off: np.ndarray) -> Coded:
     w = Words(raw, off)
-    distinct, which = np.unique(w.hash, return_inverse=True)
-    place = codes.find(distinct)
-    known = place >= 0
-    found = place[which]
+    found = codes.find(w.hash)
     texts = len(off) - 1
     count = np.diff(w.off) + 1
     text = np.repeat(np.arange(texts), count)
     first = w.off[:-1] + np.arange(texts)
-    start, at = first[text], np.arange(len(text))
+    start = first[text]
     of_word = np.arange(len(w)) + w.text_of()
     ends = first + count - 1
     ids = np.empty(len(text), dtype=np.uint64)
     value, length = np.full(len(text), codes.end[0], dtype=np.uint32), np.full(len(text), codes.end[1], dtype=np.uint8)
     ids[ends], ids[of_word] = END_HASH, w.hash
     if len(codes.hashes):
-        value[of_word] = np.where(known, codes.value[place], codes.escape[0])[which]
-        length[of_word] = np.where(known, codes.length[place], codes.escape[1])[which]
+        # -1 is behind the last code
+        value[of_word] = np.append(codes.value, np.uint32(codes.escape[0])).take(found, mode="wrap")
+        length[of_word] = np.append(codes.length, np.uint8(codes.escape[1])).take(found, mode="wrap")
     else:
         value[of_word], length[of_word] = codes.escape
-    back = lambda k: np.where(at - k >= start, ids[np.maximum(at - k, 0)], START_HASH)
-    one, last, before = back(1), back(2), back(3)
+    one, last, before = (np.empty_like(ids) for _ in range(3))
+    for own, nearer in ((one, ids), (last, one), (before, last)):
+        own[1:] = nearer[:-1]
+        own[first] = START_HASH
     with np.errstate(over="ignore"):
         w1 = mix(one + np.uint64(1))
         w2 = mix(w1 ^ last)
@@ -201,12 +216,25 @@ class Model:
 
 
 def no_counts() -> np.ndarray:
-    """Zeros and ones by context and slot."""
-    return np.zeros((N, 1 << BITS, 2), dtype=np.float32)
+    """By context, zeros of all slots and ones of all slots: each of these tables is half as large as one of pairs, and stays nearer."""
+    return np.zeros((N, 2, 1 << BITS), dtype=np.float32)
 
 
 def logits_of(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts[..., 1] + np.float32(0.4)) / (counts[..., 0] + np.float32(0.4)))
+    return np.log((counts[..., 1, :] + np.float32(0.4)) / (counts[..., 0, :] + np.float32(0.4)))
+
+
+def _logits(counts: np.ndarray, out: np.ndarray) -> None:
+    """logits_of() one context's counts, in place and piece by piece."""
+    for a, e in _pieces(counts.shape[-1]):
+        own, zeros = out[a:e], counts[0, a:e] + np.float32(0.4)
+        np.add(counts[1, a:e], np.float32(0.4), out=own)
+        own /= zeros
+        np.log(own, out=own)
+
+
+def _pieces(n: int):
+    return ((a, min(a + PIECE, n)) for a in range(0, n, PIECE))
 
 
 def _tops(x: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,31 +246,50 @@ def _tops(x: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return top, guess, np.minimum(33 - apart, x.guess_length).astype(np.uint8), some.view(np.uint8)
 
 
-def _level(x: Symbols, tops: tuple, b: int, m: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the first m codes, which have more than b bits: bit b, the sign of the guess (0: none) and the state; their slots go to slot."""
-    top, guess, until, some = (y[:m] for y in tops)
-    node = (top >> np.uint32(32 - b)) | np.uint32(1 << b) if b else np.ones(m, dtype=np.uint32)
-    bit = (top >> np.uint32(31 - b)) & np.uint32(1)
-    np.bitwise_xor(x.context[:, :m], node * ONE + np.uint32(x.kind), out=slot)
-    slot *= TWO
-    slot >>= np.uint32(32 - BITS)
-    if not x.kind and b < BITS:
-        slot[0] = node  # without context the table is exact
+def _level(x: Symbols, tops: tuple, b: int, a: int, e: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of codes a to e, which have more than b bits: bit b, the sign of the guess (0: none) and the state; their slots go to slot."""
+    top, guess, until, some = (y[a:e] for y in tops)
+    node = (top >> np.uint32(32 - b)) | np.uint32(1 << b) if b else np.ones(e - a, dtype=np.uint32)
+    exact = not x.kind and b < BITS  # without context the table is exact
+    if exact:
+        slot[0] = node
+    node = node * ONE
+    node += np.uint32(x.kind)
+    for k in range(exact, N):
+        own = slot[k]
+        np.bitwise_xor(x.context[k, a:e], node, out=own)
+        own *= TWO
+        own >>= np.uint32(32 - BITS)
     holds = until > b
-    sign = ((guess >> np.uint32(31 - b)) & np.uint32(1)).astype(np.float32)
-    sign *= 2
-    sign -= 1
-    sign *= holds
-    return bit, sign, np.where(holds, x.state[:m], some)
+    sign = (((guess >> np.uint32(31 - b)) & np.uint32(1)).astype(np.int8) * np.int8(2) - np.int8(1)) * holds
+    return (top >> np.uint32(31 - b)) & np.uint32(1), sign, np.maximum(x.state[a:e] * holds, some)
+
+
+@dataclass
+class Levels:
+    """Bits of codes, one level after the other (where each ends): values, signs of guesses, states, and by context slots and then logits."""
 
+    ends: list[int]
+    bit: np.ndarray
+    sign: np.ndarray
+    state: np.ndarray
+    slots: np.ndarray
+
+    @property
+    def known(self) -> np.ndarray:
+        """Logits come where slots were."""
+        return self.slots.view(np.float32)
 
-def _levels(x: Symbols, sizes: list[int]) -> tuple[list, np.ndarray, np.ndarray]:
-    """For every bit of the codes its values, guesses and states, and the slots of all bits by context, one bit after the other."""
-    ends, tops = np.concatenate([[0], np.cumsum(sizes)]), _tops(x)
-    slots, levels = np.empty((N, int(ends[-1])), dtype=np.uint32), []
+
+def _levels(x: Symbols, sizes: list[int]) -> Levels:
+    ends, tops = [0, *np.cumsum(sizes).tolist()], _tops(x)
+    n = ends[-1]
+    y = Levels(ends, np.empty(n, dtype=np.uint8), np.empty(n, dtype=np.float32), np.empty(n, dtype=np.uint8), np.empty((N, n), dtype=np.uint32))
     for b, m in enumerate(sizes):
-        levels.append(_level(x, tops, b, m, slots[:, ends[b] : ends[b + 1]]))
-    return levels, ends, slots
+        for a, e in _pieces(m):
+            i, j = ends[b] + a, ends[b] + e
+            y.bit[i:j], y.sign[i:j], y.state[i:j] = _level(x, tops, b, a, e, y.slots[:, i:j])
+    return y
 
 
 def _gates(known: np.ndarray, state: np.ndarray, kind: int, b: int) -> tuple[np.ndarray, int]:
@@ -275,7 +322,7 @@ def _move(known: np.ndarray, sign: np.ndarray, state: np.ndarray, bit: np.ndarra
     """Mixes as _mixed() and moves the weights. Places of one gate are brought together first, so that its weights meet them at once; mixed logits and bits are given in that order."""
     gate, first = _gates(known, state, kind, b)
     order = np.argsort(gate, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=4 * STATES))]).tolist()
+    ends = np.searchsorted(gate.take(order, mode="clip"), np.arange(4 * STATES + 1, dtype=np.uint8)).tolist()
     spans = [(first + g, ends[g], ends[g + 1]) for g in range(4 * STATES) if ends[g] < ends[g + 1]]
     x = np.empty((K, len(order)), dtype=np.float32)
     for k in range(N):
@@ -300,29 +347,40 @@ def _move(known: np.ndarray, sign: np.ndarray, state: np.ndarray, bit: np.ndarra
 
 def learn(coded: Coded, counts: np.ndarray, weights: np.ndarray, cells: np.ndarray, rate: float = 0.3) -> None:
     """One online pass: every block is predicted from what was counted before it, then weights, refinement and counts take it in."""
-    flat = counts.reshape(N, -1)
-    pairs = flat.view(np.uint64)  # zeros and ones of a slot move as one number
+    table = np.empty(1 << BITS, dtype=np.float32)
     for x, sizes in _blocks(coded):
-        levels, ends, slots = _levels(x, sizes)
-        bits = np.concatenate([bit for bit, _, _ in levels])
-        known = np.empty(slots.shape, dtype=np.float32)
-        pair = np.empty(slots.shape[1], dtype=np.uint64)
-        met = pair.view(np.float32).reshape(-1, 2)
-        # logits_of() the counts met, one table after the other: what is read is still near when it is counted
-        for k in range(N):
-            at = slots[k].astype(np.intp)
-            pairs[k].take(at, out=pair, mode="clip")
-            np.add(met[:, 1], np.float32(0.4), out=known[k])
-            known[k] /= met[:, 0] + np.float32(0.4)
-            np.log(known[k], out=known[k])
-            at *= 2
-            at += bits
-            np.add.at(flat[k], at, np.float32(1))
-        for b, (bit, sign, state) in enumerate(levels):
-            own = known[:, ends[b] : ends[b + 1]]
-            t, bit = _move(own, sign, state, bit, x.kind, b, weights, rate)
+        y = _levels(x, sizes)
+        _count(y, counts, table)
+        for b, (i, j) in enumerate(pairwise(y.ends)):
+            t, bit = _move(y.known[:, i:j], y.sign[i:j], y.state[i:j], y.bit[i:j], x.kind, b, weights, rate)
             cell = ((t + np.float32(SPREAD)) * np.float32((CELLS - 1) / (2 * SPREAD)) + np.float32(0.5)).astype(np.int64)
-            cells[:, x.kind, min(b, PLACES - 1)] += np.bincount(cell + CELLS * bit, minlength=2 * CELLS).reshape(2, CELLS)
+            cell += np.uint8(CELLS) * bit
+            cells[:, x.kind, min(b, PLACES - 1)] += np.bincount(cell, minlength=2 * CELLS).reshape(2, CELLS)
+
+
+def _count(y: Levels, counts: np.ndarray, table: np.ndarray) -> None:
+    """Logits of what was counted before take the slots' place, then the bits are counted: of one context after the other, zeros before ones, so that one table is near at a time."""
+    n = y.ends[-1]
+    one = y.bit.view(bool)
+    pieces = [(a, e, np.flatnonzero(~one[a:e]), np.flatnonzero(one[a:e])) for a, e in _pieces(n)]
+    zeros = n - int(np.count_nonzero(one))
+    moved, few = np.empty(n, dtype=np.uint32), SPARSE * n < table.size
+    for k in range(N):
+        if not few:
+            _logits(counts[k], table)
+        to = [0, zeros]
+        for a, e, *sides in pieces:
+            slot, at = y.slots[k, a:e], y.slots[k, a:e].astype(np.intp)
+            for side, places in enumerate(sides):
+                slot.take(places, out=moved[to[side] : to[side] + len(places)], mode="clip")
+                to[side] += len(places)
+            if few:
+                _logits(counts[k].take(at, axis=1, mode="clip"), y.known[k, a:e])
+            else:
+                table.take(at, out=y.known[k, a:e], mode="clip")
+        for side, own in enumerate((moved[:zeros], moved[zeros:])):
+            for a, e in _pieces(len(own)):
+                np.add.at(counts[k, side], own[a:e].astype(np.intp), np.float32(1))
 
 
 FINE = 1 << 15  # steps of a mixed logit, 0.0007 apart, whose final logarithms are tabled
@@ -349,14 +407,19 @@ def score(model: Model, coded: Coded, texts: int, final: np.ndarray | None = Non
     """Natural log of the probability of each text: of all its bits. final: final_logs() of the model, for who asks many times."""
     final, out = final_logs(model) if final is None else final, np.zeros(texts)
     for x, sizes in _blocks(coded):
-        value = np.zeros(len(x.length))
-        levels, ends, slots = _levels(x, sizes)
-        known = np.empty(slots.shape, dtype=np.float32)
+        value, y = np.zeros(len(x.length)), _levels(x, sizes)
         for k in range(N):
-            np.take(model.logits[k], slots[k], out=known[k], mode="clip")
-        for b, (bit, sign, state) in enumerate(levels):
-            t = _mixed(known[:, ends[b] : ends[b + 1]], sign, state, x.kind, b, model.weights)
-            step = ((t + np.float32(SPREAD)) * np.float32(FINE / (2 * SPREAD)) + np.float32(0.5)).astype(np.int32)
-            value[: len(bit)] += final[x.kind, min(b, PLACES - 1)].take(step + bit.astype(np.int32) * np.int32(FINE + 1), mode="clip")
+            for i, j in _pieces(y.ends[-1]):
+                model.logits[k].take(y.slots[k, i:j].astype(np.intp), out=y.known[k, i:j], mode="clip")
+        for b, m in enumerate(sizes):
+            for a, e in _pieces(m):
+                i, j = y.ends[b] + a, y.ends[b] + e
+                t = _mixed(y.known[:, i:j], y.sign[i:j], y.state[i:j], x.kind, b, model.weights)
+                t += np.float32(SPREAD)
+                t *= np.float32(FINE / (2 * SPREAD))
+                t += np.float32(0.5)
+                step = t.astype(np.intp)
+                step += y.bit[i:j] * np.uint32(FINE + 1)
+                value[a:e] += final[x.kind, min(b, PLACES - 1)].take(step, mode="clip")
         out += np.bincount(x.text, value, minlength=texts)
     return out

@@ -496,6 +496,47 @@ def test_every_block_is_learnt(monkeypatch):
     assert moved.all()  # gates of words and of letters
 
 
+def test_logits_of_a_block_are_made_once_a_slot(monkeypatch):
+    """A block of more bits than slots takes one logarithm a slot, and learns what it learns with one for each bit."""
+    import numpy as np
+
+    from gradewell.llm import _mixing as m
+
+    rng = np.random.default_rng(7)
+    text = " ".join(f"w{i}" for i in (20_000 * rng.random(90_000) ** 2).astype(int).tolist() + list(range(20_000)) * 2)
+    made, log, models = [0], np.log, []
+
+    def counted(x, *args, **kwargs):
+        made[0] += np.size(x)
+        return log(x, *args, **kwargs)
+
+    for sparse in (m.SPARSE, 0):
+        monkeypatch.setattr(m, "SPARSE", sparse)
+        monkeypatch.setattr(m, "logits_of", lambda counts: counts.copy())
+        made[0] = 0
+        monkeypatch.setattr(np, "log", counted)
+        _, model, coded = small_model([text], rounds=1)
+        monkeypatch.setattr(np, "log", log)
+        bits, blocks = sum(int(x.length.sum()) for x in coded.parts), sum(1 for _ in m._blocks(coded))
+        models.append((model, made[0], bits, blocks))
+    (one, few, bits, blocks), (other, many, *_) = models
+    assert bits > blocks * (1 << m.BITS) and few == m.N * blocks * (1 << m.BITS) and many == m.N * bits  # before: one for each bit
+    assert np.array_equal(one.logits, other.logits) and np.array_equal(one.weights, other.weights) and np.array_equal(one.cells, other.cells)
+
+
+def test_coded_words_are_found_among_like_hashes():
+    """Words whose hashes share their upper bits are told apart, and those beyond either end have no code."""
+    import numpy as np
+
+    from gradewell.llm import _mixing as m
+
+    hashes = np.array([0, 5, 6, 7, 8, 1 << 40, (1 << 63) + 1, (1 << 63) + 2, (1 << 64) - 2], dtype=np.uint64)
+    codes = m.Codes(hashes[::-1].copy(), np.arange(2, 11), 1, 1, np.zeros(256, dtype=np.int64))
+    asked = np.array([*hashes.tolist(), 1, 9, 1 << 41, 1 << 63, (1 << 63) + 3, (1 << 64) - 3, (1 << 64) - 1], dtype=np.uint64)
+    assert codes.find(asked).tolist() == [*range(9), *[-1] * 7]
+    assert codes.find(asked[:0]).tolist() == [] and m.Codes(hashes[:0], np.zeros(0, dtype=np.int64), 1, 1, np.zeros(256, dtype=np.int64)).find(asked).tolist() == [-1] * 16
+
+
 def test_sums_of_many_training_tasks(spark, monkeypatch):
     """Counts in two rounds equal those of one round, whatever the number of tasks."""
     import numpy as np
