@@ -106,7 +106,7 @@ class Symbols:
     def block(self, a: int, b: int) -> Symbols:
         """A part, longest codes first: at each bit those that go on are a prefix."""
         by = np.argsort(-self.length[a:b].astype(np.int16), kind="stable")
-        return Symbols(self.kind, *(x[..., a:b][..., by] for x in (self.value, self.length, self.context, self.guess, self.guess_length, self.state, self.text)))
+        return Symbols(self.kind, *(x[..., a:b].take(by, axis=-1, mode="clip") for x in (self.value, self.length, self.context, self.guess, self.guess_length, self.state, self.text)))
 
 
 @dataclass
@@ -142,7 +142,7 @@ def _guesses(ids: np.ndarray, keys: list[np.ndarray], start: np.ndarray, text: n
     run = np.zeros(len(ids), dtype=np.int64)
     run[1:] = at[:-1] - wrong[:-1]
     run = np.minimum(run, at - start)
-    return same, np.where(some, 2 + (run > 0) + (run > 2), 0).astype(np.uint8)
+    return same, (np.uint8(2) + (run > 0) + (run > 2)) * some
 
 
 def encode(codes: Codes, raw: np.ndarray, off: np.ndarray) -> Coded:
@@ -176,7 +176,7 @@ def encode(codes: Codes, raw: np.ndarray, off: np.ndarray) -> Coded:
     context = np.stack([np.zeros(len(text), dtype=np.uint32), _upper(w1), _upper(w2), _upper(w3), _upper(skip)])
     same, state = _guesses(ids, [w1, w2], start, text)
     some = same >= 0
-    words = Symbols(0, value, length, context, np.where(some, value[same], 0).astype(np.uint32), np.where(some, length[same], 0).astype(np.uint8), state, text)
+    words = Symbols(0, value, length, context, value.take(same, mode="wrap") * some, length.take(same, mode="wrap") * some, state, text)
     return Coded(w, found, (words, _spelled(codes, w, np.flatnonzero(found < 0))))
 
 
@@ -203,7 +203,7 @@ def _spelled(codes: Codes, w: Words, rare: np.ndarray) -> Symbols:
     same, state = _guesses(s, [so_far], start, text)
     value, length = codes.byte_value[s], codes.byte_length[s]
     some = same >= 0
-    return Symbols(1, value, length, context, np.where(some, value[same], 0).astype(np.uint32), np.where(some, length[same], 0).astype(np.uint8), state, text)
+    return Symbols(1, value, length, context, value.take(same, mode="wrap") * some, length.take(same, mode="wrap") * some, state, text)
 
 
 @dataclass
@@ -241,7 +241,7 @@ def _tops(x: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes and guesses from the highest bit on, how many bits the guess holds for (the first wrong one included), and whether there is one."""
     top = x.value << (np.uint8(32) - x.length)
     some = x.guess_length > 0
-    guess = np.where(some, x.guess << np.where(some, np.uint8(32) - x.guess_length, np.uint8(0)), np.uint32(0))
+    guess = x.guess << (np.uint8(32) - x.guess_length)  # all bits are shifted out where there is none
     apart = np.frexp((top ^ guess).astype(np.float64))[1]
     return top, guess, np.minimum(33 - apart, x.guess_length).astype(np.uint8), some.view(np.uint8)
 
@@ -337,7 +337,7 @@ def _move(known: np.ndarray, sign: np.ndarray, state: np.ndarray, bit: np.ndarra
     np.exp(p, out=p)
     p += 1
     np.reciprocal(p, out=p)
-    error, slope = bit.astype(np.float32) - p, p * (1 - p)
+    error, slope = bit - p, p * (1 - p)
     pulls = [x[:, i:j] @ error[i:j] for _, i, j in spans]
     x *= x
     for (g, i, j), pull in zip(spans, pulls, strict=True):
@@ -356,6 +356,7 @@ def learn(coded: Coded, counts: np.ndarray, weights: np.ndarray, cells: np.ndarr
             cell = ((t + np.float32(SPREAD)) * np.float32((CELLS - 1) / (2 * SPREAD)) + np.float32(0.5)).astype(np.int64)
             cell += np.uint8(CELLS) * bit
             cells[:, x.kind, min(b, PLACES - 1)] += np.bincount(cell, minlength=2 * CELLS).reshape(2, CELLS)
+        del y  # before the next block's take room
 
 
 def _count(y: Levels, counts: np.ndarray, table: np.ndarray) -> None:
@@ -422,4 +423,5 @@ def score(model: Model, coded: Coded, texts: int, final: np.ndarray | None = Non
                 step += y.bit[i:j] * np.uint32(FINE + 1)
                 value[a:e] += final[x.kind, min(b, PLACES - 1)].take(step, mode="clip")
         out += np.bincount(x.text, value, minlength=texts)
+        del y
     return out

@@ -131,6 +131,7 @@ def train(texts: DataFrame, codes: _mixing.Codes) -> _mixing.Model:
                 coded = _mixing.encode(shared.value, raw, off)
                 _mixing.learn(coded, counts, state.weights, state.cells)
                 mass += len(coded.parts[0].value)
+                del coded  # before the next slice's takes room
         if counts is None:
             return
         flat = counts.reshape(-1, 2 * BLOCK)
@@ -224,6 +225,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     names=["row", "id", "held_out", "n_bytes", "n_tokens", "n_coded", "base", "score", "rare"],
                 )
                 row += n
+                del coded  # before the next slice's takes room
 
     schema = f"row long, id {kind}, held_out boolean, n_bytes long, n_tokens long, n_coded long, base double, score double, rare array<long>"
     scored = store(docs.select(doc_id, text, _held_out(doc_id).alias("held_out")).mapInArrow(run, schema), "lm-scores")
