@@ -111,6 +111,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def spans_hash(prefix: np.ndarray, first: int, end: int, size: int) -> np.ndarray:
+    """span_hash() of the spans of one size from each place of a range."""
+    _, down = _powers(len(prefix))
+    with np.errstate(over="ignore"):
+        return mix((prefix[first + size : end + size] - prefix[first:end]) * down[first:end] + np.uint64(size))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string or binary column; null is the empty text."""
     if column.null_count:

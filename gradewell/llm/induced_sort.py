@@ -193,7 +193,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         nxt = np.full(len(rank), -1, dtype=np.int64)
         nxt[:-step] = rank[step:] if step < len(rank) else nxt[:-step]
         key = rank * (len(rank) + 2) + nxt + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, so their order does not matter
         k = key[order]
         rank[order] = np.cumsum(np.append(0, k[1:] != k[:-1]))
         if rank[order[-1]] == len(rank) - 1:
@@ -226,7 +226,19 @@ class _Swept:
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, known: np.ndarray) -> np.ndarray:
     """Common prefixes of pairs of suffixes, up to most; known is what they have in common at least."""
-    out, n = np.minimum(known, most).astype(np.int32), len(text)
+    out, n, wide = np.minimum(known, most).astype(np.int32), len(text), 8 // text.itemsize
+    if 1 < wide <= n:
+        # eight bytes of symbols at once, while they are equal
+        eights = np.ndarray((n - wide + 1,), dtype=np.uint64, buffer=text, strides=(text.itemsize,))
+        active = np.flatnonzero(out < most)
+        while len(active):
+            x, y = a[active] + out[active], b[active] + out[active]
+            ok = (x < len(eights)) & (y < len(eights))
+            active, x, y = active[ok], x[ok], y[ok]
+            active = active[eights[x] == eights[y]]
+            out[active] += wide
+            active = active[out[active] < most]
+        np.minimum(out, most, out=out)
     active = np.flatnonzero(out < most)
     while len(active):
         x, y = a[active] + out[active], b[active] + out[active]
@@ -308,7 +320,7 @@ def _sort(text: np.ndarray, sink, most: int, symbols: int, scratch: Scratch) ->
         target = text[pos[at] - 1].astype(np.int64)
         if down:
             target = symbols - 1 - target
-        by = np.argsort(target, kind="stable")
+        by = np.argsort(target.astype(np.uint16) if symbols <= 1 << 16 else target, kind="stable")
         at, target = at[by], target[by]
         first = np.append(True, target[1:] != target[:-1])
         value = ranges.of(np.where(first, 0, np.append(0, at[:-1] + 1)), at)

@@ -8,8 +8,10 @@ of one anchor form a region, and only regions of one anchor hash can repeat each
 2. Sorted by these, an equal region that comes later is repeated as a whole; a
    region whose anchor no other region has repeats nothing. Of what is left, the
    first of each kind of region, only its bytes can tell.
-3. These regions' bytes are dealt into shards by anchor, and external induced
-   sorting (induced_sort) gives the suffixes of a shard in order with their
+3. These regions' bytes are dealt into shards by anchor. Equal windows have their
+   anchor in one place, so windows whose bytes around it stand in no other region
+   are left out (a comparison of hashes, which only says what is different), and
+   external induced sorting (induced_sort) gives the suffixes of a shard in order with their
    common prefixes: neighbours with MATCH bytes in common are one string, of
    which all but the earliest occurrence are covered.
 4. Covered windows are merged to spans by document and cut from the text.
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gradewell.llm import induced_sort
 from gradewell.llm._store import one_text, store, table
-from gradewell.llm._words import bytes_hash, mix, prefix_hash, slices, span_hash
+from gradewell.llm._words import bytes_hash, mix, prefix_hash, slices, span_hash, spans_hash, text_buffers
 
 MATCH, KMER = 100, 24
 HOT = 2000  # different regions of one anchor in one shard
@@ -46,6 +48,8 @@ PARTS = 8  # shards of one anchor
 FEW = 250_000  # ids in a broadcast: 16 MB at most; more are joined by a shuffle
 SHARD = 16_384  # regions sorted together, about 2 MB; a task takes one shard after the other
 SHARD_MEMORY = 64 << 20
+BLOCK = 1 << 15  # windows whose anchors are looked for at once
+BINS = 4  # ranges of an anchor's place in a window: the windows of one range that have one anchor share 81 bytes at least
 
 
 def regions_of(raw: np.ndarray, off: np.ndarray, match: int = MATCH, kmer: int = KMER) -> tuple[np.ndarray, ...]:
@@ -55,27 +59,32 @@ def regions_of(raw: np.ndarray, off: np.ndarray, match: int = MATCH, kmer: int =
     if n < match:
         return empty
     prefix = prefix_hash(raw)
-    at = np.arange(n - kmer + 1)
-    # the place rides in the low bits: the smallest is unique, and the leftmost of equal ones
-    bits = np.uint64(max(1, int(n).bit_length()))
-    key = (span_hash(prefix, at, at + kmer) >> bits << bits) | at.astype(np.uint64)
-    width, step = match - kmer + 1, 1
-    while 2 * step <= width:
-        key = np.minimum(key[:-step], key[step:])
-        step *= 2
-    if width > step:
-        key = np.minimum(key[: len(key) - (width - step)], key[width - step :])
-    anchor = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    t = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(anchor)]
-    start = np.arange(len(anchor))
-    inside = start + match <= off[t + 1]
-    start, anchor, t = start[inside], anchor[inside], t[inside]
-    if not len(start):
+    anchor, width = np.empty(n - match + 1, dtype=np.int64), match - kmer + 1
+    # windows in blocks that stay near; a k-mer's place in its block rides in the low bits: the smallest is unique, and the leftmost of equal ones
+    bits = np.uint64((BLOCK + width).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    for a in range(0, len(anchor), BLOCK):
+        b = min(a + BLOCK, len(anchor))
+        key = spans_hash(prefix, a, b + width - 1, kmer)
+        key &= ~low
+        key |= np.arange(len(key), dtype=np.uint64)
+        step = 1
+        while 2 * step <= width:
+            key = np.minimum(key[:-step], key[step:])
+            step *= 2
+        if width > step:
+            key = np.minimum(key[: len(key) - (width - step)], key[width - step :])
+        np.add(key & low, a, out=anchor[a:b], casting="unsafe")
+    # regions begin where the anchor changes and where a text begins, and end there or with the last window of their text
+    first = np.union1d(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, off[:-1][np.diff(off) >= match])
+    t = np.searchsorted(off, first, "right") - 1
+    end = np.minimum(np.append(first[1:], len(anchor)), off[t + 1] - match + 1)
+    inside = first < end
+    first, end, t = first[inside], end[inside], t[inside]
+    if not len(first):
         return empty
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (t[1:] != t[:-1])]))
-    first, last = start[new], start[np.append(new[1:], len(start)) - 1]
-    a, t = anchor[new], t[new]
-    return t, first - off[t], last - first + 1, a - first, span_hash(prefix, a, a + kmer), bytes_hash(raw, first, last + match)
+    a = anchor[first]
+    return t, first - off[t], end - first, a - first, span_hash(prefix, a, a + kmer), bytes_hash(raw, first, end - 1 + match)
 
 
 def _again(*columns: np.ndarray) -> np.ndarray:
@@ -185,7 +194,7 @@ def _only(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
 
 
 def _bytes(docs: DataFrame, doc_id: str, text: str, opened: DataFrame, match: int) -> DataFrame:
-    """shard, doc, start, windows, body: the bytes of open regions, hot anchors dealt by the anchor's place."""
+    """shard, doc, start, shape, body: the bytes of open regions, hot anchors dealt by the anchor's place."""
     # at most one in HOT open regions names such an anchor: a short list, so regions of one anchor need not meet in a task
     hot = store(opened.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT), "hot-anchors")
     hot = F.broadcast(hot) if hot.count() <= FEW else hot
@@ -197,7 +206,7 @@ def _bytes(docs: DataFrame, doc_id: str, text: str, opened: DataFrame, match: in
     span = match - KMER + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("body", pa.binary())])
+        schema = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("shape", pa.int64()), ("body", pa.binary())])
         for batch in batches:
             rows: list[tuple] = []
             for doc, body, regions in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -209,7 +218,7 @@ def _bytes(docs: DataFrame, doc_id: str, text: str, opened: DataFrame, match: in
                         low, high = span * part // x["parts"], span * (part + 1) // x["parts"]
                         a, b = max(0, place - high + 1), min(windows, place - low + 1)
                         if a < b:
-                            rows.append(((x["anchor"] + part) & ((1 << 63) - 1), doc, x["start"] + a, b - a, bytes(data[x["start"] + a : x["start"] + b - 1 + match])))
+                            rows.append(((x["anchor"] + part) & ((1 << 63) - 1), doc, x["start"] + a, (b - a) * 256 + place - a, bytes(data[x["start"] + a : x["start"] + b - 1 + match])))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema=schema)
                     rows = []
@@ -218,7 +227,7 @@ def _bytes(docs: DataFrame, doc_id: str, text: str, opened: DataFrame, match: in
 
     texts = _only(docs.select(F.col(doc_id).cast("long").alias(doc_id), text), doc_id, by_doc).dropDuplicates([doc_id])
     both = texts.withColumnRenamed(doc_id, "doc").join(by_doc, "doc").select("doc", text, "regions")
-    return both.mapInArrow(run, "shard long, doc long, start long, windows long, body binary")
+    return both.mapInArrow(run, "shard long, doc long, start long, shape long, body binary")
 
 
 def _windows(docs: DataFrame, doc_id: str, text: str, crowded: DataFrame, match: int) -> DataFrame:
@@ -250,8 +259,32 @@ def _windows(docs: DataFrame, doc_id: str, text: str, crowded: DataFrame, match:
     return both.mapInArrow(run, PLACES)
 
 
+def _alike(raw: np.ndarray, at: np.ndarray, windows: np.ndarray, place: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, first window and end of runs of windows whose bytes that the whole bin of places has in common stand in another piece too.
+
+    Equal windows have their anchor in one place, so they agree in these bytes as in all others, and a window of no run has no equal one.
+    """
+    span, prefix = match - KMER + 1, prefix_hash(raw)
+    found = []
+    for i in range(BINS):
+        low, high = span * i // BINS, span * (i + 1) // BINS
+        # place falls by one with each window
+        a, b = np.maximum(0, place - high + 1), np.minimum(windows, place - low + 1)
+        x = np.flatnonzero(a < b)
+        anchor = at[x] + place[x]
+        # spans of one hash and different bytes only bring a run that the sort finds to be different
+        _, kind, times = np.unique(span_hash(prefix, anchor - low, anchor - high + 1 + match), return_inverse=True, return_counts=True)
+        x = x[times[kind] > 1]
+        found.append((x, a[x], b[x]))
+    piece, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((a, piece))
+    piece, a, b = piece[order], a[order], b[order]
+    new = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (a[1:] != b[:-1]))[: len(piece)])
+    return piece[new], a[new], b[np.append(new[1:], len(b))[: len(new)] - 1]
+
+
 def _covered(pieces: DataFrame, shards: int, match: int, memory: int) -> DataFrame:
-    """doc, start, end: spans of windows that start earlier in their shard, by the suffix array of each shard's regions."""
+    """doc, start, end: spans of windows that start earlier in their shard, by the suffix array of what may be alike in each shard's regions."""
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(shards)).cast("long"))
     ordered = dealt.repartition("shard").sortWithinPartitions("shard", "doc", "start")
 
@@ -262,78 +295,79 @@ def _covered(pieces: DataFrame, shards: int, match: int, memory: int) -> DataFra
             cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and held[-1].column(0)[-1].as_py() != number[a]:
-                    yield from of_shard(held)
+                    yield from _of_shard(held, match, memory)
                     held = []
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from of_shard(held)
-
-    def of_shard(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, starts, windows, bodies, sizes = [], [], [], [], []
-        for batch in batches:
-            docs.append(batch.column(1).to_numpy())
-            starts.append(batch.column(2).to_numpy())
-            windows.append(batch.column(3).to_numpy())
-            for x in batch.column(4):
-                body = np.frombuffer(x.as_buffer(), dtype=np.uint8)
-                sizes.append(len(body) + 1)
-                bodies.append(body)
-        doc, start, count = np.concatenate(docs), np.concatenate(starts), np.concatenate(windows)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        # 0 ends the whole, 1 each region; bytes follow
-        text = np.ones(at[-1] + 1, dtype=np.uint16)
-        text[-1] = 0
-        for i, body in enumerate(bodies):
-            text[at[i] : at[i] + len(body)] = body.astype(np.uint16) + 2
-        bodies.clear()
-        starts_window = np.zeros(len(text), dtype=bool)
-        own = np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        starts_window[own] = True
-        covered = np.zeros(len(text), dtype=bool)
-        group: list[np.ndarray] = []
-
-        def close() -> None:
-            if group:
-                pos = np.concatenate(group)
-                if len(pos) > 1:
-                    covered[pos] = True
-                    covered[pos.min()] = False
-                group.clear()
-
-        def sink(pos: np.ndarray, lcp: np.ndarray) -> None:
-            # regions stand in the order of documents and starts, so the first place in the shard is the earliest
-            cuts = np.flatnonzero(lcp < match)
-            if not len(cuts):
-                group.append(pos.copy())
-                return
-            if cuts[0]:
-                group.append(pos[: cuts[0]].copy())
-            close()
-            size = np.diff(np.append(cuts, len(pos)))
-            whole = np.flatnonzero(size[:-1] > 1)
-            if len(whole):
-                index = np.repeat(cuts[whole], size[whole]) + np.arange(size[whole].sum()) - np.repeat(np.cumsum(size[whole]) - size[whole], size[whole])
-                members = pos[index]
-                least = np.minimum.reduceat(members, np.cumsum(size[whole]) - size[whole])
-                covered[members] = True
-                covered[least] = False
-            group.append(pos[cuts[-1] :].copy())
-
-        induced_sort.sort(text, sink, match, memory, 258)
-        close()
-        hit = np.flatnonzero(covered & starts_window)
-        if not len(hit):
-            return
-        r = np.searchsorted(at, hit, "right") - 1
-        new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (r[1:] != r[:-1])]))
-        last = hit[np.append(new[1:], len(hit)) - 1]
-        r = r[new]
-        begin = start[r] + hit[new] - at[r]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(begin), pa.array(start[r] + last - at[r] + match)], names=["doc", "start", "end"])
+            yield from _of_shard(held, match, memory)
 
     return ordered.mapInArrow(run, "doc long, start long, end long")
 
 
+def _of_shard(batches: list[pa.RecordBatch], match: int, memory: int) -> Iterator[pa.RecordBatch]:
+    """doc, start, end of one shard: its rows are shard, doc, start, shape, body, in the order of documents and starts."""
+    doc, start, shape = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in (1, 2, 3))
+    buffers = [text_buffers(b.column(4)) for b in batches]
+    raw = np.concatenate([r for r, _ in buffers])
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in buffers]))])
+    piece, low, high = _alike(raw, begin, shape // 256, shape % 256, match)
+    if not len(piece):
+        return
+    doc, start, count = doc[piece], start[piece] + low, high - low
+    size = count - 1 + match
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    # 0 ends the whole, 1 each run; bytes follow
+    text = np.ones(at[-1] + 1, dtype=np.uint16)
+    text[-1] = 0
+    of = np.arange(size.sum())
+    before = np.cumsum(size) - size
+    text[of + np.repeat(at[:-1] - before, size)] = raw[of + np.repeat(begin[piece] + low - before, size)].astype(np.uint16) + 2
+    del raw, buffers, of
+    starts_window = np.zeros(len(text), dtype=bool)
+    starts_window[np.repeat(at[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())] = True
+    covered = np.zeros(len(text), dtype=bool)
+    group: list[np.ndarray] = []
+
+    def close() -> None:
+        if group:
+            pos = np.concatenate(group)
+            if len(pos) > 1:
+                covered[pos] = True
+                covered[pos.min()] = False
+            group.clear()
+
+    def sink(pos: np.ndarray, lcp: np.ndarray) -> None:
+        # runs stand in the order of documents and starts, so the first place in the shard is the earliest
+        cuts = np.flatnonzero(lcp < match)
+        if not len(cuts):
+            group.append(pos.copy())
+            return
+        if cuts[0]:
+            group.append(pos[: cuts[0]].copy())
+        close()
+        size = np.diff(np.append(cuts, len(pos)))
+        whole = np.flatnonzero(size[:-1] > 1)
+        if len(whole):
+            index = np.repeat(cuts[whole], size[whole]) + np.arange(size[whole].sum()) - np.repeat(np.cumsum(size[whole]) - size[whole], size[whole])
+            members = pos[index]
+            least = np.minimum.reduceat(members, np.cumsum(size[whole]) - size[whole])
+            covered[members] = True
+            covered[least] = False
+        group.append(pos[cuts[-1] :].copy())
+
+    induced_sort.sort(text, sink, match, memory, 258)
+    close()
+    hit = np.flatnonzero(covered & starts_window)
+    if not len(hit):
+        return
+    r = np.searchsorted(at, hit, "right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (r[1:] != r[:-1])]))
+    last = hit[np.append(new[1:], len(hit)) - 1]
+    r = r[new]
+    first = start[r] + hit[new] - at[r]
+    yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(first), pa.array(start[r] + last - at[r] + match)], names=["doc", "start", "end"])
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", match: int = MATCH, memory: int = SHARD_MEMORY) -> DataFrame:
     """doc, spans: the spans of bytes (start, end) covered by an earlier string, sorted, for documents that have any."""
     docs = docs.where(F.col(doc_id).isNotNull())

@@ -156,6 +156,17 @@ def test_induced_sorting(monkeypatch):
         assert induced(text, most, rng.choice([1, 200, 1 << 20])) == suffixes(text, most)
 
 
+def test_induced_sorting_of_narrow_symbols():
+    """Common prefixes are compared eight bytes at once: they end where they end, at the bound, and at the end of the text."""
+    rng = random.Random(6)
+    for _ in range(60):
+        text = [rng.randint(1, 3) for _ in range(rng.randint(1, 60))]
+        text = [*text, 4, *text[: rng.randint(0, len(text))], 0]
+        most, got = rng.choice([1, 3, 4, 7, 500]), ([], [])
+        induced_sort.sort(np.array(text, dtype=np.uint16), lambda p, c: (got[0].extend(p.tolist()), got[1].extend(c.tolist())), most)
+        assert got == suffixes(text, most)
+
+
 def test_induced_sorting_of_many_symbols_in_little_memory(monkeypatch):
     """Over 4,096 symbols, and over 4,096 names in the recursion, with queues and arrays of a few kilobytes: files hold the rest."""
     rng = random.Random(6)

@@ -7,10 +7,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gradewell.llm import _store, decontaminate, license_scan, lm_scoring, minhash, packing, quality_rules, suffix_dedup, token_counts
+from gradewell.llm import _store, decontaminate, induced_sort, license_scan, lm_scoring, minhash, packing, quality_rules, suffix_dedup, token_counts
 
 WORD, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -223,6 +225,32 @@ def test_a_crowded_anchor_is_split_until_shards_are_bounded(spark, monkeypatch):
     assert most and max(most) <= 8 * suffix_dedup.HOT
 
 
+def test_windows_that_cannot_be_alike_are_not_sorted(monkeypatch):
+    """Regions that share an anchor and not the bytes around it stay out of the suffix sort, and what it finds is all there is."""
+    rng = random.Random(4)
+    junk = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    phrase, passage = junk(60), junk(130)
+    rows = [(i, junk(150) + (passage if i % 20 == 0 else phrase) + junk(150)) for i in range(60)]
+    raw = np.frombuffer("".join(t for _, t in rows).encode(), dtype=np.uint8)
+    off = np.cumsum([0] + [len(t) for _, t in rows])
+    doc, start, windows, place, anchor, _ = suffix_dedup.regions_of(raw, off)
+    _, kind, times = np.unique(anchor, return_inverse=True, return_counts=True)
+    x = np.flatnonzero(times[kind] > 1)
+    bodies = [raw[off[doc[i]] + start[i] : off[doc[i]] + start[i] + windows[i] + 99].tobytes() for i in x]
+    columns = [np.zeros(len(x), dtype=np.int64), doc[x], start[x], windows[x] * 256 + place[x]]
+    shard = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, pa.binary())], names=["shard", "doc", "start", "shape", "body"])
+    sizes, sort = [], induced_sort.sort
+    monkeypatch.setattr(induced_sort, "sort", lambda text, *args: (sizes.append(len(text)), sort(text, *args)))
+    cover = {d: set() for d, _ in rows}
+    # in two batches, as Spark may hand them over
+    for found in suffix_dedup._of_shard([shard.slice(0, 7), shard.slice(7)], 100, 1 << 20):
+        for d, a, b in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            cover[d] |= set(range(a, b))
+    assert {d: len(c) for d, c in cover.items()} == {d: w[1] for d, w in plain_repeats(rows).items()}
+    assert sum(map(len, bodies)) > 5_000 and sum(sizes) < 2_000, (sum(map(len, bodies)), sizes)
+    assert not list(suffix_dedup._of_shard([shard.slice(0, 1)], 100, 1 << 20)) and len(sizes) == 1
+
+
 def library():
     from tokenizers import Tokenizer
 
